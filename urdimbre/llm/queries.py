@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from urdimbre.llm import conversations
+from urdimbre.llm import conversations, splits
 
-MODULES = (conversations,)
+MODULES = (conversations, splits)
 
 
 def queries() -> dict:
