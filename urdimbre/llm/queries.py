@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from urdimbre.llm import conversations, splits
+from urdimbre.llm import conversations, quantiles, splits
 
-MODULES = (conversations, splits)
+MODULES = (conversations, quantiles, splits)
 
 
 def queries() -> dict:
