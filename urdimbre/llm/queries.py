@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from urdimbre.llm import conversations, quantiles, splits
+from urdimbre.llm import conversations, quantiles, splits, tokens
 
-MODULES = (conversations, quantiles, splits)
+MODULES = (conversations, quantiles, splits, tokens)
 
 
 def queries() -> dict:
