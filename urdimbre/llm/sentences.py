@@ -42,7 +42,7 @@ DOTTED = r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)\.(?:[,;:]|\s+\p{Ll})"
 OPENS = r"(?:^|\n\s*\n\s*|[\p{L}\p{M}]{6}[.!?]\s+|[\p{L}\p{M}\p{N}][!?]\s+)[¿¡«“„\"(]*(\p{Lu}[\p{L}\p{M}]*)"
 AMONG = r"\p{Ll},?\s(\p{Lu}[\p{L}\p{M}]*)"
 BARE = r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]{1,5})(?![\p{L}\p{M}.])"
-OPEN_CASE = r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*|\p{N}+)\.[»”“\"')\]]*\s+(\p{Lu}[\p{L}\p{M}]*)"
+OPEN_CASE = r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*|\p{N}+)\.[»”“\"')\]]*\s+(\p{Lu}[\p{L}\p{M}]*\.?)"
 IN_DOCUMENT = {k: regex.compile(p) for k, p in (("dotted", DOTTED), ("opens", OPENS))}
 
 
@@ -51,7 +51,7 @@ def found(pattern: str, text: Column, group: int = 1) -> Column:
 
 
 def open_cases(docs: DataFrame) -> DataFrame:
-    """``doc_id, w, n``: a short word, known abbreviation or figure (``0``) with a full stop before a capital ``n``."""
+    """``doc_id, w, n``: a short word, known abbreviation or figure (``0``) with a full stop before a capital ``n`` (with its own full stop, if any)."""
     pairs = F.arrays_zip(found(OPEN_CASE, F.col("text"), 1).alias("w"), found(OPEN_CASE, F.col("text"), 2).alias("n"))
     rows = docs.select("doc_id", F.explode(F.array_distinct(pairs)).alias("p")).select("doc_id", F.col("p.w").alias("w"), F.col("p.n").alias("n"))
     return rows.withColumn("w", F.when(F.col("w").rlike(r"^\p{N}"), "0").otherwise(F.col("w"))).distinct()
@@ -75,10 +75,11 @@ def kept_together(docs: DataFrame) -> DataFrame:
     seen = evidence(docs)
     pairs = (
         cases.select("w", "n").distinct()
-        .join(seen.select(F.col("word").alias("w"), "dotted", "bare"), "w", "left").join(seen.select(F.col("word").alias("n"), "opens", "among"), "n", "left")
+        .join(seen.select(F.col("word").alias("w"), "dotted", "bare"), "w", "left").withColumn("name", F.rtrim("n", F.lit("."))).join(seen.select(F.col("word").alias("name"), "opens", "among"), "name", "left")
         .na.fill(0, ["dotted", "bare", "opens", "among"])
     )
-    never_bare = (F.col("bare") == 0) & (F.length("w") <= SHORT) & ((F.col("among") > 0) | (F.length("n") == 1))
+    # Never seen without full stop, and before another abbreviation.
+    never_bare = (F.col("bare") == 0) & (F.length("w") <= SHORT) & F.col("n").endswith(".") & (F.length("n") <= SHORT)
     shortened = (F.col("dotted") > 0) | never_bare
     together = (F.col("opens") == 0) & F.when(F.col("w") == "0", F.col("among") > 0).otherwise(shortened)
     return cases.join(pairs.where(together).select("w", "n"), ["w", "n"]).groupBy("doc_id").agg(F.collect_set(F.concat_ws(" ", "w", "n")).alias("juntas"))
@@ -195,7 +196,8 @@ class Document:
             return True
         if not figure and self.seen("dotted", word):
             return False
-        return f"{'0' if figure else word} {name}" not in self.together
+        key = "0" if figure else word
+        return f"{key} {name}" not in self.together and f"{key} {name}." not in self.together
 
 
 def _script(letter: str) -> str:
