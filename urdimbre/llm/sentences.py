@@ -38,12 +38,12 @@ WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.·]+$")
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 BLANK_LINE = regex.compile(r"\n[^\S\n]*\n\s*|\f")
 #: Evidence, of the same form for the document and (in Java's syntax) the corpus.
-DOTTED = r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)\.(?:[,;:]|\s+\p{Ll})"
+DOTTED = r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)\.(?:[,;:]|[^\S\n]+\p{Ll}(?!\)))"
 OPENS = r"(?:^|\n\s*\n\s*|[\p{L}\p{M}]{6}[.!?]\s+|[\p{L}\p{M}\p{N}][!?]\s+)[¿¡«“„\"(]*(\p{Lu}[\p{L}\p{M}]*)"
 AMONG = r"\p{Ll},?\s(\p{Lu}[\p{L}\p{M}]*)"
-BARE = r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]{1,5})(?![\p{L}\p{M}.])"
+BARE = r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]+)(?![\p{L}\p{M}.])"
 OPEN_CASE = r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*|\p{N}+)\.[»”“\"')\]]*\s+(\p{Lu}[\p{L}\p{M}]*\.?)"
-IN_DOCUMENT = {k: regex.compile(p) for k, p in (("dotted", DOTTED), ("opens", OPENS))}
+IN_DOCUMENT = {k: regex.compile(p) for k, p in (("dotted", DOTTED), ("opens", OPENS), ("bare", BARE))}
 
 
 def found(pattern: str, text: Column, group: int = 1) -> Column:
@@ -80,7 +80,7 @@ def kept_together(docs: DataFrame) -> DataFrame:
     )
     # Never seen without full stop, and before another abbreviation.
     never_bare = (F.col("bare") == 0) & (F.length("w") <= SHORT) & F.col("n").endswith(".") & (F.length("n") <= SHORT)
-    shortened = (F.col("dotted") > 0) | never_bare
+    shortened = (2 * F.col("dotted") > F.col("bare")) | never_bare
     together = (F.col("opens") == 0) & F.when(F.col("w") == "0", F.col("among") > 0).otherwise(shortened)
     return cases.join(pairs.where(together).select("w", "n"), ["w", "n"]).groupBy("doc_id").agg(F.collect_set(F.concat_ws(" ", "w", "n")).alias("juntas"))
 
@@ -97,6 +97,9 @@ class Document:
             self.known[kind] = Counter(m.group(1) for m in IN_DOCUMENT[kind].finditer(self.text))
         return self.known[kind][word]
 
+    def shortened(self, word: str) -> bool:
+        return 2 * self.seen("dotted", word) > self.seen("bare", word)
+
     def spans(self) -> Iterator[tuple[int, int]]:
         cut = regex.compile(r"[\n\f]") if self.form in ("lista", "transcripcion") else BLANK_LINE
         at = 0
@@ -188,13 +191,13 @@ class Document:
         word = word.group() if word else ""
         figure = word[-1:].isdigit()
         if first.isdigit():
-            return figure or len(word) >= SHORT and not self.seen("dotted", word)
+            return figure or len(word) >= SHORT and not self.shortened(word)
         if opened or not first.isupper():
             return True
         name = WORD.match(text, at).group()
         if self.seen("opens", name):
             return True
-        if not figure and self.seen("dotted", word):
+        if not figure and self.shortened(word):
             return False
         key = "0" if figure else word
         return f"{key} {name}" not in self.together and f"{key} {name}." not in self.together
