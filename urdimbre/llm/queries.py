@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from urdimbre.llm import conversations, quantiles, sentences, splits, tokens
+from urdimbre.llm import conversations, mixture, quantiles, sentences, splits, tokens
 
-MODULES = (conversations, quantiles, sentences, splits, tokens)
+MODULES = (conversations, mixture, quantiles, sentences, splits, tokens)
 
 
 def queries() -> dict:
