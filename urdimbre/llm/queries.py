@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from urdimbre.llm import conversations, mixture, quantiles, scans, sentences, splits, tokens
+from urdimbre.llm import conversations, language, mixture, quantiles, scans, sentences, splits, tokens
 
-MODULES = (conversations, scans, quantiles, splits, tokens, mixture, sentences)
+MODULES = (conversations, scans, quantiles, splits, language, tokens, mixture, sentences)
 
 
 def queries() -> dict:

@@ -50,12 +50,13 @@ TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@|]+")
 DIVIDED = regex.compile(r"((?:[\p{L}\p{M}\p{N}@]|\\/)+)([-‐\xad¬])\s*$")
 OPENING = regex.compile(r"^\s*((?:[\p{Ll}\p{M}\p{N}@]|\\/)(?:[\p{L}\p{M}\p{N}@]|\\/|(?<=\p{L})-(?=\p{L}))*)")
 DIGITS = str.maketrans({"l": "1", "I": "1", "i": "1", "|": "1", "o": "0", "O": "0", "S": "5", "s": "5", "B": "6", "b": "6", "z": "2", "Z": "2", "g": "9", "q": "9", "é": "6", "ó": "6"})
+LINES = str.maketrans("1|", "ll")
 ALIKE = str.maketrans({"6": "b", "h": "b", "0": "b", "o": "b", "ó": "b", "é": "e", "1": "i", "l": "i", "í": "i", "|": "i", "5": "s", "2": "z", "9": "g", "q": "g", "@": "a", "e": "c", "u": "n", "f": "t"})
 
 
 def shape(text: str) -> str:
     """Key of a text: lower case, characters that are misread for one another made one."""
-    text = text.lower().replace("é", "e").replace("\\/", "v").replace("ﬁ", "fi")
+    text = text.lower().translate(LINES).replace("é", "e").replace("\\/", "v").replace("ﬁ", "fi")
     return text.replace("rn", "m").replace("cl", "d").replace("vv", "w").translate(ALIKE)
 
 
