@@ -17,6 +17,7 @@ and the words beside them.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from math import log
@@ -45,34 +46,37 @@ FREQUENT, BLESSED, CLEAN_SHARE = 1e-6, 3, 1e-7
 RARER = 0.1
 EDGE = 2
 
-WORD = regex.compile(r"(?:[\p{L}\p{M}\p{N}@]|\\/)+(?:(?<=\p{L})-(?=\p{L})(?:[\p{L}\p{M}\p{N}@]|\\/)+)*")
-TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@|]+")
-DIVIDED = regex.compile(r"((?:[\p{L}\p{M}\p{N}@]|\\/)+)([-‐\xad¬])\s*$")
+WORD = re.compile(r"(?:[\w@]+|\\/)+(?:-(?:[\w@]+|\\/)+)*")
+TOKEN = re.compile(r"[\w@|]+")
+DIVIDED = re.compile(r"((?:[\w@]+|\\/)+)([-‐\xad¬])\s*$")
+JOINED = re.compile(r"(?<=\w)[‐\xad¬]\s*\n\s*(?=[^\WA-ZÀ-Þ]|@)")
+#: Word parts at the end and start of lines of which it isn't known whose the hyphen is.
+UNSURE = re.compile(r"[\w@]+-\s*\n\s*[\w@-]+")
+PUNCTUATION = ".,;:!?¡¿…()[]{}«»\"“”„'‘’—–|·%°"
 OPENING = regex.compile(r"^\s*((?:[\p{Ll}\p{M}\p{N}@]|\\/)(?:[\p{L}\p{M}\p{N}@]|\\/|(?<=\p{L})-(?=\p{L}))*)")
 DIGITS = str.maketrans({"l": "1", "I": "1", "i": "1", "|": "1", "o": "0", "O": "0", "S": "5", "s": "5", "B": "6", "b": "6", "z": "2", "Z": "2", "g": "9", "q": "9", "é": "6", "ó": "6"})
-LINES = str.maketrans("1|", "ll")
-ALIKE = str.maketrans({"6": "b", "h": "b", "0": "b", "o": "b", "ó": "b", "é": "e", "1": "i", "l": "i", "í": "i", "|": "i", "5": "s", "2": "z", "9": "g", "q": "g", "@": "a", "e": "c", "u": "n", "f": "t"})
+ALIKE = str.maketrans({"6": "b", "h": "b", "0": "b", "o": "b", "ó": "b", "é": "c", "1": "i", "l": "i", "í": "i", "|": "i", "5": "s", "2": "z", "9": "g", "q": "g", "@": "a", "e": "c", "u": "n", "f": "t"})
 
 
 def shape(text: str) -> str:
-    """Key of a text: lower case, characters that are misread for one another made one."""
-    text = text.lower().translate(LINES).replace("é", "e").replace("\\/", "v").replace("ﬁ", "fi")
-    return text.replace("rn", "m").replace("cl", "d").replace("vv", "w").translate(ALIKE)
+    """Key of a text: lower case, characters that are misread for one another made one, then those read as two."""
+    text = text.lower().replace("\\/", "v").replace("ﬁ", "fi").translate(ALIKE)
+    return text.replace("rn", "m").replace("ci", "d").replace("vv", "w")
 
 
+NO_END, NO_START, NUMERALS = ".,;:!?»”\"" + HYPHENS, "«„\"(¿¡", "0123456789lIiOovVxX|"
 PAGE_SHAPES, OF_SHAPES = {shape(w) for w in PAGE_WORDS}, {shape(w) for w in OF_WORDS}
 
 
 def title_key(line: str) -> str | None:
     """Key of a line that looks like a title: its words by shape, numbers and their marks left out."""
     line = line.strip()
-    if len(line) > 110 or not line or line[-1] in ".,;:!?»”\"" + HYPHENS or line[0] in "«„\"(¿¡":
+    if not 4 <= len(line) <= 110 or line[-1] in NO_END or line[0] in NO_START or line[0].islower() and line[0] != "l" and not line[1:6].isupper() or "%" in line:
         return None
-    words = [w for w in TOKEN.findall(line) if not regex.fullmatch(r"[0-9lIiOovVxX|]+", w)]
-    first = next((c for w in words for c in w), "")
-    if sum(len(w) for w in words) < 4 or "%" in line or not (first.isupper() or first in "l105269@"):
+    words = [w for w in TOKEN.findall(line) if w.strip(NUMERALS)]
+    if not words or sum(map(len, words)) < 4 or not (words[0][0].isupper() or words[0][0] in "l105269@" or words[0][1:].isupper()):
         return None
-    return " ".join(shape(w) for w in words)
+    return " ".join(map(shape, words))
 
 
 def page_number(line: str) -> tuple[str, int] | None:
@@ -152,13 +156,19 @@ def marked(pages: DataFrame, found: DataFrame) -> DataFrame:
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the words of the text lines of a batch, divided words as one."""
     for b in batches:
-        count: Counter = Counter()
+        raw: Counter = Counter()
         for text, out in zip(b.column("texto").to_pylist(), b.column("fuera").to_pylist()):
-            out = set(out or ())
-            body = "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in out and x.strip())
-            body = regex.sub(r"(?<=\p{L})[‐\xad¬]\s*\n\s*(?=[\p{Ll}\p{N}@])", "", body)
-            body = regex.sub(r"[\p{L}\p{M}]+-\s*\n\s*[\p{L}\p{M}-]+", " ", body)  # whose hyphen it is isn't known yet
-            count.update(w.lower() for w in WORD.findall(body))
+            text = text or ""
+            if out:
+                skip = set(out)
+                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in skip)
+            if "\n" in text:
+                text = UNSURE.sub(" ", JOINED.sub("", text))
+            raw.update(text.lower().split())
+        count: Counter = Counter()
+        for token, n in raw.items():
+            for w in WORD.findall(token):
+                count[w] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["palabra", "n"])
 
 
@@ -269,15 +279,15 @@ def _seams(trusted) -> Callable:
                     if tail and opening:
                         out.append((doc, number, "guion", tail[0], i, tail[1], opening.group(1), tail[2]))
                         start = opening.end()
-                    divided = DIVIDED.search(line)
+                    divided = DIVIDED.search(line) if line.rstrip()[-1:] in HYPHENS else None
                     tail = (i, divided.group(1), divided.group(2)) if divided else None
                     if divided:
                         end = divided.start()
-                    words = WORD.findall(line, start, end)
-                    for w in words:
-                        low = w.lower()
-                        if low not in good and not low.isdigit():
-                            out.append((doc, number, "palabra", i, i, low, "", ""))
+                    for token in line[start:end].lower().split():
+                        if token.strip(PUNCTUATION) not in good:
+                            for w in WORD.findall(token):
+                                if w not in good and any(c.isalpha() or c == "@" for c in w):
+                                    out.append((doc, number, "palabra", i, i, w, "", ""))
                 if tail:
                     out.append((doc, number, "cola", tail[0], tail[0], tail[1], "", tail[2]))
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
@@ -357,26 +367,24 @@ def noisy_lines(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) ->
     Chunks are whole lines of the pages of their document, so a line is judged where the page has it; documents
     that have chunks but no pages are judged by their chunks. Null texts have no lines; repeated rows count once.
     """
-    distinct = cut(distinct_pages(pages))
-    cuts = chunks.select("id", "documento_id", "texto").where("id is not null and texto is not null").dropDuplicates(["id"])
-    alone = cuts.join(distinct.select("documento_id").distinct(), "documento_id", "left_anti").select(F.concat(F.lit("\x01"), "id").alias("documento_id"), F.lit(1).alias("numero"), "texto")
-    found = noise(cut(distinct.union(alone)), clean)
+    cuts = chunks.select("id", "documento_id", "texto").where("id is not null and texto is not null")
+    named = pages.where("texto is not null and numero is not null").select("documento_id").distinct()
+    alone = cuts.join(named, "documento_id", "left_anti").select(F.concat(F.lit("\x01"), "id").alias("documento_id"), F.lit(1).alias("numero"), "texto")
+    found = noise(cut(distinct_pages(pages.select("documento_id", "numero", "texto").union(alone))), clean)
     lines = cut(found["lineas"])
     of_pages = lines.where(~F.col("documento_id").startswith("\x01")).select(F.lit("paginas").alias("tabla"), F.concat_ws(":", "documento_id", F.col("numero").cast("string")).alias("clave"), "linea", "tipo")
     of_alone = lines.where(F.col("documento_id").startswith("\x01")).select(F.lit("trozos").alias("tabla"), F.expr("substring(documento_id, 2)").alias("clave"), "linea", "tipo")
-    # The text of each judged line, by which the chunks' lines find it.
-    judged = (
-        lines.groupBy("documento_id", "numero", "linea").agg(F.collect_set("tipo").alias("tipos")).join(distinct, ["documento_id", "numero"])
-        .select("documento_id", F.get(F.split("texto", "\n"), F.col("linea")).alias("renglon"), "tipos")
-        .groupBy("documento_id", "renglon").agg(F.array_distinct(F.flatten(F.collect_list("tipos"))).alias("tipos"))
-    )
-    own = cuts.select("id", "documento_id", F.posexplode(F.split("texto", "\n")).alias("linea", "renglon")).where("trim(renglon) <> ''")
-    known = own.join(judged, ["documento_id", "renglon"], "left").withColumn("tipos", F.coalesce("tipos", F.array().cast("array<string>")))
-    outside = F.array_contains("tipos", "cabecera") | F.array_contains("tipos", "folio")
-    last = known.groupBy("id").agg(F.max(F.when(~outside, F.col("linea"))).alias("ultima"))
+    # The text of each judged line, by two hashes of which the chunks' lines find it.
+    mark = lambda c: (F.xxhash64("documento_id", c).alias("h"), F.xxhash64(F.lit(1), c, "documento_id").alias("g"))
+    line = F.get(F.split("texto", "\n"), F.col("linea"))
+    judged = lines.join(found["paginas"], ["documento_id", "numero"]).select(*mark(line), "tipo").groupBy("h", "g").agg(F.collect_set("tipo").alias("tipos"))
+    own = cuts.select("id", F.size(F.split("texto", "\n")).alias("todas"), "documento_id", F.posexplode(F.split("texto", "\n")).alias("linea", "renglon"))
+    known = own.select("id", "todas", "linea", *mark(F.col("renglon"))).join(judged, ["h", "g"]).groupBy("id", "todas").agg(F.collect_set(F.struct("linea", "tipos")).alias("malas"))
+    outside = F.transform(F.filter("malas", lambda m: F.array_contains(m["tipos"], "cabecera") | F.array_contains(m["tipos"], "folio")), lambda m: m["linea"])
+    last = F.array_max(F.array_except(F.sequence(F.lit(0), F.col("todas") - 1), outside))
     of_chunks = (
-        known.where(F.size("tipos") > 0).join(last, "id").select("id", "linea", "ultima", F.explode("tipos").alias("tipo"))
-        .where("tipo <> 'guion' or linea < ultima").select(F.lit("trozos").alias("tabla"), F.col("id").alias("clave"), "linea", "tipo")
+        known.select("id", last.alias("ultima"), F.explode("malas").alias("m")).select("id", "ultima", "m.linea", F.explode("m.tipos").alias("tipo"))
+        .where("tipo <> 'guion' or linea < ultima").select(F.lit("trozos").alias("tabla"), F.col("id").alias("clave"), "linea", "tipo").distinct()
     )
     return of_pages.union(of_alone).union(of_chunks)
 
