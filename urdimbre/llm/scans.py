@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from urdimbre.operators.sequences import running_sum
 from urdimbre.plans.lineage import cut, table
 
 #: Shapes (left) and what scanners misread them as.
@@ -260,7 +261,7 @@ def candidates(unknown: DataFrame, known: dict[str, int]) -> DataFrame:
 def _seams(trusted) -> Callable:
     """Words outside the trusted ones with their lines, and hyphens at the end of text lines.
 
-    ``clase``: palabra (a word), guion (a division within the page, the word joined), cola and cabeza (the last
+    ``clase``: palabra (a word, with those beside it), guion (a division within the page, the word joined), cola and cabeza (the last
     text line of the page ends in a division; the first word of its first text line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,28 +276,32 @@ def _seams(trusted) -> Callable:
                     start, end = 0, len(line)
                     opening = OPENING.match(line) if tail or k == 0 else None
                     if k == 0 and opening:
-                        out.append((doc, number, "cabeza", i, i, opening.group(1), "", ""))
+                        out.append((doc, number, "cabeza", i, i, opening.group(1), "", "", "", ""))
                     if tail and opening:
-                        out.append((doc, number, "guion", tail[0], i, tail[1], opening.group(1), tail[2]))
+                        out.append((doc, number, "guion", tail[0], i, tail[1], opening.group(1), tail[2], "", ""))
                         start = opening.end()
                     divided = DIVIDED.search(line) if line.rstrip()[-1:] in HYPHENS else None
                     tail = (i, divided.group(1), divided.group(2)) if divided else None
                     if divided:
                         end = divided.start()
-                    for token in line[start:end].lower().split():
+                    tokens = line[start:end].lower().split()
+                    for at, token in enumerate(tokens):
                         if token.strip(PUNCTUATION) not in good:
                             for w in WORD.findall(token):
                                 if w not in good and any(c.isalpha() or c == "@" for c in w):
-                                    out.append((doc, number, "palabra", i, i, w, "", ""))
+                                    beside = (tokens[j].strip(PUNCTUATION) if 0 <= j < len(tokens) else "" for j in (at - 1, at + 1))
+                                    out.append((doc, number, "palabra", i, i, w, "", "", *beside))
                 if tail:
-                    out.append((doc, number, "cola", tail[0], tail[0], tail[1], "", tail[2]))
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=["documento_id", "numero", "clase", "linea", "siguiente", "a", "b", "signo"])
+                    out.append((doc, number, "cola", tail[0], tail[0], tail[1], "", tail[2], "", ""))
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 10, kinds)], names=["documento_id", "numero", "clase", "linea", "siguiente", "a", "b", "signo", "antes", "despues"])
 
     return run
 
 
-SEAMS = "documento_id string, numero int, clase string, linea int, siguiente int, a string, b string, signo string"
+SEAMS = "documento_id string, numero int, clase string, linea int, siguiente int, a string, b string, signo string, antes string, despues string"
+#: Weight of the words beside a correction.
+BESIDE = 1.5
 #: Pages of a document looked over in one task; what follows the last of them is looked up apart.
 STRETCH = 1000
 
@@ -310,8 +315,8 @@ def following(pages: DataFrame) -> DataFrame:
     return full.withColumn("propia", own).join(firsts, ["documento_id", "tramo"]).select("documento_id", "numero", F.coalesce("propia", "luego").alias("despues"))
 
 
-def noise(pages: DataFrame, clean: DataFrame | None) -> dict[str, DataFrame]:
-    """What is wrong with the distinct ``pages``.
+def noise(pages: DataFrame, clean: DataFrame | None, context: bool = False) -> dict[str, DataFrame]:
+    """What is wrong with the distinct ``pages``; with ``context``, corrections are ranked by the words beside them too.
 
     ``lineas``: documento_id, numero, linea, tipo (cabecera, folio, guion, caracter). ``divididas``: the divided words,
     with the page and line that each goes on in. ``palabras``: documento_id, numero, linea, palabra, correcta of misread words.
@@ -324,9 +329,9 @@ def noise(pages: DataFrame, clean: DataFrame | None) -> dict[str, DataFrame]:
     trusted = spark.sparkContext.broadcast({r["palabra"] for r in known if r["limpia"]})
     seams = cut(page.mapInArrow(_seams(trusted), SEAMS))
     over = (
-        seams.where("clase = 'cola'").join(following(seams_pages(page)), ["documento_id", "numero"]).alias("t")
-        .join(seams.where("clase = 'cabeza'").select("documento_id", F.col("numero").alias("despues"), F.col("linea").alias("l"), F.col("a").alias("inicio")), ["documento_id", "despues"])
-        .select("documento_id", "numero", F.col("despues").alias("pagina"), "linea", F.col("l").alias("siguiente"), "a", F.col("inicio").alias("b"), "signo")
+        seams.where("clase = 'cola'").join(following(seams_pages(page)).withColumnRenamed("despues", "luego"), ["documento_id", "numero"])
+        .join(seams.where("clase = 'cabeza'").select("documento_id", F.col("numero").alias("luego"), F.col("linea").alias("l"), F.col("a").alias("inicio")), ["documento_id", "luego"])
+        .select("documento_id", "numero", F.col("luego").alias("pagina"), "linea", F.col("l").alias("siguiente"), "a", F.col("inicio").alias("b"), "signo")
     )
     within = seams.where("clase = 'guion'").select("documento_id", "numero", F.col("numero").alias("pagina"), "linea", "siguiente", "a", "b", "signo")
     divided = within.union(over).withColumn("junta", F.lower(F.concat("a", "b"))).withColumn("compuesta", F.lower(F.concat("a", F.lit("-"), "b")))
@@ -334,22 +339,48 @@ def noise(pages: DataFrame, clean: DataFrame | None) -> dict[str, DataFrame]:
     seen = lambda c, name: lexicon.select(F.col("palabra").alias(c), F.col("n").alias(name))
     divided = divided.join(seen("junta", "nj"), "junta", "left").join(seen("compuesta", "nc"), "compuesta", "left")
     divided = cut(divided.where((F.col("signo") != "-") | (F.coalesce("nj", F.lit(0)) >= F.coalesce("nc", F.lit(0)))))
-    words = seams.where("clase = 'palabra'").select("documento_id", "numero", "linea", F.col("a").alias("palabra"), F.lit(0).alias("corte"), F.lit(None).cast("int").alias("pagina"), F.lit(None).cast("int").alias("siguiente"))
-    parts = divided.select("documento_id", "numero", "linea", F.col("junta").alias("palabra"), F.length("a").alias("corte"), "pagina", "siguiente")
+    words = seams.where("clase = 'palabra'").select("documento_id", "numero", "linea", F.col("a").alias("palabra"), F.lit(0).alias("corte"), F.lit(None).cast("int").alias("pagina"), F.lit(None).cast("int").alias("siguiente"), "antes", "despues")
+    parts = divided.select("documento_id", "numero", "linea", F.col("junta").alias("palabra"), F.length("a").alias("corte"), "pagina", "siguiente", F.lit("").alias("antes"), F.lit("").alias("despues"))
     # Hyphenated words whose own hyphen ends the line, and pages' first and last halves that nothing joins, stay as they are.
     every = words.union(parts)
     distinct = every.groupBy("palabra").agg(F.count("*").alias("n"))
     choices = cut(candidates(distinct, counts))
-    best = choices.groupBy("palabra").agg(F.max_by("correcta", F.struct("puntos", "correcta")).alias("correcta"))
     # A word that clean texts have isn't misread; a divided one is on the line of the part that differs.
     blessed = lexicon_blessed(spark, known)
-    wrong = cut(every.join(best, "palabra").join(blessed, "palabra", "left_anti"))
+    if context:
+        own = every.where("antes <> '' or despues <> ''").select("antes", "palabra", "despues").distinct().join(choices, "palabra")
+        before, after = (neighbours(page).select(F.col(x).alias(c), F.col(y).alias("correcta"), F.col("n").alias(f"n_{c}")) for c, x, y in (("antes", "a", "b"), ("despues", "b", "a")))
+        ranked = own.join(before, ["antes", "correcta"], "left").join(after, ["despues", "correcta"], "left")
+        beside = sum(BESIDE * F.log1p(F.coalesce(f"n_{c}", F.lit(0))) for c in ("antes", "despues"))
+        told = ranked.groupBy("antes", "palabra", "despues").agg(F.max_by("correcta", F.struct(F.col("puntos") + beside, "correcta")).alias("dicha"))
+        every = every.join(told, ["antes", "palabra", "despues"], "left")
+    else:
+        every = every.withColumn("dicha", F.lit(None).cast("string"))
+    best = choices.groupBy("palabra").agg(F.max_by("correcta", F.struct("puntos", "correcta")).alias("correcta"))
+    wrong = every.join(best, "palabra").join(blessed, "palabra", "left_anti")
+    wrong = cut(wrong.withColumn("correcta", F.coalesce("dicha", "correcta")).drop("dicha", "antes", "despues"))
     second = (F.col("corte") > 0) & (F.substring("palabra", F.lit(1), F.col("corte")) == F.substring("correcta", F.lit(1), F.col("corte")))
     on = wrong.select("documento_id", F.when(second, F.col("pagina")).otherwise(F.col("numero")).alias("numero"), F.when(second, F.col("siguiente")).otherwise(F.col("linea")).alias("linea"), F.lit("caracter").alias("tipo"))
     lines = found.union(divided.select("documento_id", "numero", "linea", F.lit("guion").alias("tipo"))).union(on).distinct()
     return {"lineas": lines, "divididas": divided, "palabras": wrong, "opciones": choices, "paginas": page}
 
 
+def neighbours(page: DataFrame) -> DataFrame:
+    """``a, b, n``: how often words follow each other in the lines of marked pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count: Counter = Counter()
+            for text in b.column("texto").to_pylist():
+                for line in text.lower().split("\n"):
+                    words = [w.strip(PUNCTUATION) for w in line.split()]
+                    count.update(zip(words, words[1:]))
+            keys = list(count)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(count.values()), pa.int64())], names=["a", "b", "n"])
+
+    return page.select("texto").mapInArrow(run, "a string, b string, n bigint").where("a <> '' and b <> ''").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def seams_pages(page: DataFrame) -> DataFrame:
     """Pages with at least one text line."""
     lines = F.split("texto", "\n")
@@ -389,11 +420,111 @@ def noisy_lines(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) ->
     return of_pages.union(of_alone).union(of_chunks)
 
 
+def like(word: str, right: str) -> str:
+    """``right`` in the case of ``word``."""
+    letters = [c for c in word if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return right.upper()
+    return right[:1].upper() + right[1:] if letters and word[0] == letters[0] and word[0].isupper() else right
+
+
+#: Begins a line of which the first word went to the line before.
+GLUED = "\x02"
+
+
+def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs of each text after its fixes; of each whether it begins within one and whether it is left open."""
+    for b in batches:
+        out: list[tuple] = []
+        for table_, key, number, text, fixes in zip(*(b.column(c).to_pylist() for c in ("tabla", "clave", "numero", "texto", "arreglos"))):
+            fix = {f["linea"]: f for f in fixes or ()}
+            lines, first = [], True
+            for i, line in enumerate(text.split("\n")):
+                f = fix.get(i)
+                if f and f["fuera"]:
+                    continue
+                if f and line.strip():
+                    if f["quita"] and (table_ == "paginas" or not first):
+                        rest = OPENING.sub("", line, count=1)
+                        line = rest if rest[:1].isspace() else GLUED + rest
+                    divided = DIVIDED.search(line) if f["entera"] else None
+                    end = divided.start() if divided else len(line)
+                    right = {c["palabra"]: c["correcta"] for c in f["cambios"] or ()}
+                    body = WORD.sub(lambda m: like(m.group(), right[m.group().lower()]) if m.group().lower() in right else m.group(), line[:end])
+                    line = body + (like(divided.group(1), f["entera"]) if divided else line[end:])
+                first = first and not line.strip()
+                lines.append(line.strip())
+            width = max(map(len, lines), default=0)
+            held: list[list[str]] = []
+            fresh = True
+            for k, line in enumerate(lines):
+                if not line:
+                    fresh = True
+                    continue
+                title = title_key(line) is not None and len(line) < 0.6 * width and line[0].isupper() and (k + 1 == len(lines) or not lines[k + 1] or not lines[k + 1][0].islower())
+                if fresh or title or not held:
+                    held.append([])
+                held[-1].append(line)
+                fresh = title or line[-1] in ".!?:" and len(line) < 0.8 * width
+            for k, p in enumerate(held):
+                own = re.sub(r"(?<=.) \x02", "", re.sub(r"\s+", " ", " ".join(p)))
+                out.append((table_, key, number, k, own, k > 0 or not (own[0].islower() or own[0] == GLUED), k == len(held) - 1 and own[-1] not in ".!?:\""))
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=["tabla", "clave", "numero", "k", "texto", "empieza", "abierto"])
+
+
+def repaired(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) -> DataFrame:
+    """``tabla, clave, numero, parrafo, texto``: the paragraphs of documents (clave = documento_id; numero: the page they begin on)
+    and of chunks (clave = id), without furniture, with divided words joined and misread ones put right.
+
+    A paragraph that a page leaves open, or that the next page begins in small letters, goes on across the page. Null and
+    blank texts have no paragraph; repeated rows count once. Chunks of documents without pages stay unmended but reflowed.
+    """
+    found = noise(cut(distinct_pages(pages.select("documento_id", "numero", "texto"))), clean, context=True)
+    page = found["paginas"]
+    at = ["documento_id", "numero", "linea"]
+    out = found["lineas"].where("tipo in ('cabecera', 'folio')").select(*at, F.lit(True).alias("fuera"))
+    words = found["palabras"]
+    changes = words.where("corte = 0").groupBy(*at).agg(F.collect_set(F.struct("palabra", "correcta")).alias("cambios"))
+    mended = words.where("corte > 0").select(*at, "correcta")
+    whole = found["divididas"].join(mended, at, "left").select(*at, "pagina", "siguiente", F.coalesce("correcta", "junta").alias("entera"))
+    taken = whole.select("documento_id", F.col("pagina").alias("numero"), F.col("siguiente").alias("linea"), F.lit(True).alias("quita")).distinct()
+    fixes = cut(
+        out.join(changes, at, "full").join(whole.groupBy(*at).agg(F.max("entera").alias("entera")), at, "full").join(taken, at, "full")
+        .select(*at, F.struct("linea", F.coalesce("fuera", F.lit(False)).alias("fuera"), "cambios", "entera", F.coalesce("quita", F.lit(False)).alias("quita")).alias("f"))
+    )
+    kind = fixes.schema["f"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+    of_pages = page.join(fixes.groupBy("documento_id", "numero").agg(F.collect_list("f").alias("arreglos")), ["documento_id", "numero"], "left")
+    of_pages = of_pages.select(F.lit("paginas").alias("tabla"), F.col("documento_id").alias("clave"), "numero", "texto", F.coalesce("arreglos", none).alias("arreglos"))
+    mark = lambda c: (F.xxhash64("documento_id", c).alias("h"), F.xxhash64(F.lit(1), c, "documento_id").alias("g"))
+    known = fixes.join(page, ["documento_id", "numero"]).select(*mark(F.get(F.split("texto", "\n"), F.col("linea"))), "f").groupBy("h", "g").agg(F.min_by("f", F.col("f")["linea"]).alias("f"))
+    cuts = cut(chunks.select("id", "documento_id", "texto").where("id is not null and texto is not null").dropDuplicates(["id"]))
+    own = cuts.select("id", "documento_id", F.posexplode(F.split("texto", "\n")).alias("linea", "renglon")).select("id", "linea", *mark(F.col("renglon")))
+    moved = own.join(known, ["h", "g"]).groupBy("id").agg(F.collect_list(F.struct("linea", "f.fuera", "f.cambios", "f.entera", "f.quita")).alias("arreglos"))
+    of_chunks = cuts.join(moved, "id", "left").select(F.lit("trozos").alias("tabla"), F.col("id").alias("clave"), F.lit(0).alias("numero"), "texto", F.coalesce("arreglos", none).alias("arreglos"))
+    kinds = "tabla string, clave string, numero int, k int, texto string, empieza boolean, abierto boolean"
+    told = cut(of_pages.union(of_chunks).mapInArrow(_paragraphs, kinds))
+    # A page's first paragraph goes on if it begins small or the page before was left open.
+    after = following(seams_pages(page)).select(F.col("documento_id").alias("clave"), "numero", "despues")
+    left = told.where("abierto and tabla = 'paginas'").join(after, ["clave", "numero"]).select("clave", F.col("despues").alias("numero"), F.lit(0).alias("k"), F.lit("paginas").alias("tabla"), F.lit(True).alias("sigue"))
+    starts = told.join(left, ["tabla", "clave", "numero", "k"], "left").withColumn("nuevo", (F.col("empieza") & F.col("sigue").isNull()).cast("int"))
+    ordered = running_sum(starts, ["tabla", "clave"], "numero", "nuevo", "parrafo", ties=["k"])
+    joined = ordered.groupBy("tabla", "clave", "parrafo").agg(F.array_sort(F.collect_list(F.struct("numero", "k", "texto"))).alias("ps"))
+    return joined.select("tabla", "clave", F.get("ps", F.lit(0))["numero"].alias("numero"), "parrafo", F.regexp_replace(F.array_join(F.transform("ps", lambda p: p["texto"]), " "), f" ?{GLUED}", "").alias("texto"))
+
+
 def p2_found(spark, folder: str) -> DataFrame:
     """Noisy lines of pages and chunks and what is wrong with them."""
     clean = table(spark, folder, "documents").select(F.col("text").alias("texto"))
     return noisy_lines(table(spark, folder, "paginas"), table(spark, folder, "trozos"), clean)
 
 
+def p2_parrafos(spark, folder: str) -> DataFrame:
+    """Paragraphs of documents and chunks, mended."""
+    clean = table(spark, folder, "documents").select(F.col("text").alias("texto"))
+    return repaired(table(spark, folder, "paginas"), table(spark, folder, "trozos"), clean)
+
+
 SQL: dict[str, str] = {}
-QUERIES: dict[str, Callable] = {"p2_found": p2_found}
+QUERIES: dict[str, Callable] = {"p2_found": p2_found, "p2_parrafos": p2_parrafos}
