@@ -36,10 +36,11 @@ def by_rank(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, floa
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Score interval of a share, within 0 and 1; null for n = 0."""
-    share = F.when(n > 0, k / n)
+    n = F.when(n > 0, n)
+    share = k / n
     middle = (share + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), middle - half)), F.when(n > 0, F.least(F.lit(1.0), middle + half))
 
 
 def idf(df: Column, total: Column) -> Column:
