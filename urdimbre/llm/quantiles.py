@@ -114,13 +114,13 @@ def batched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
 
 
 def states(keys: pa.Table, ends: np.ndarray, codes: np.ndarray, counts: np.ndarray, dense: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """State rows: of key i the codes up to ``ends[i]``, or the counters ``dense[i]``."""
+    """State rows: of key i the codes up to ``ends[i]``, or all of it in the counters ``dense[i]``."""
     starts = np.concatenate([[0], ends[:-1]])
     sums = np.concatenate([[0], np.cumsum(counts)])
     n = sums[ends] - sums[starts]
     for i in np.flatnonzero(ends - starts > SPARSE):
-        own = slice(starts[i], ends[i])
-        dense[i] = dense.get(i, 0) + counters(codes[own], counts[own])
+        if i not in dense:
+            dense[i] = counters(codes[starts[i] : ends[i]], counts[starts[i] : ends[i]])
     for i, c in dense.items():
         n[i] = c[: 1 << EXACT].sum()
     blobs = [None] * len(ends)

@@ -464,6 +464,8 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 title = title_key(line) is not None and len(line) < 0.6 * width and line[0].isupper() and (k + 1 == len(lines) or not lines[k + 1] or not lines[k + 1][0].islower())
                 if fresh or title or not held:
                     held.append([])
+                elif re.search(r"\w-$", held[-1][-1]) and line[0].islower():  # the hyphen is the word's own
+                    line = GLUED + line
                 held[-1].append(line)
                 fresh = title or line[-1] in ".!?:" and len(line) < 0.8 * width
             for k, p in enumerate(held):

@@ -21,6 +21,8 @@ from urdimbre.plans.lineage import cut, table
 
 #: Bits of a subset-sum bitset at most; larger totals are counted in units of several rows.
 BITS = 1 << 22
+#: Share of all rows above which a component is dealt by itself, and components of a smaller size that are held back.
+LARGE, HELD = 0.0005, 16
 #: Components ranked in one task at most, about.
 RANKED = 200_000
 
@@ -120,32 +122,45 @@ def deal(sizes: list[tuple[int, int]], shares: list[tuple[str, float]]) -> dict[
     """For each component size, how many components of it each split gets.
 
     ``sizes``: size and number of components; ``shares``: split and proportion (normalised here; null and
-    negative count as 0; ties by name). Most components of each size are dealt in proportion at once; those left
-    over, fewer than the splits for each size, are what the bitsets choose among.
+    negative count as 0; ties by name). From the largest size down, a component above ``LARGE`` of all rows goes
+    to the split that lacks most; of smaller ones most are dealt in proportion to what the splits lack. The
+    bitsets choose among those held back, at least ``HELD`` of each size where there are so many.
     """
     shares = sorted(((name, max(0.0, p or 0.0)) for name, p in shares), key=lambda x: (x[1], x[0]))
     whole = sum(p for _, p in shares) or 1.0
-    shares = [(name, p / whole) for name, p in shares]
     rows = sum(s * m for s, m in sizes)
-    given = {s: [[name, int(m * p)] for name, p in shares] for s, m in sizes}
-    rest = {s: m - sum(k for _, k in given[s]) for s, m in sizes}
+    lacks = [rows * p / whole for _, p in shares]
+    given = {s: [0] * len(shares) for s, _ in sizes}
+    rest: dict[int, int] = {}
+    for s, m in sorted(sizes, reverse=True):
+        if s > LARGE * rows:
+            for _ in range(m):
+                i = max(range(len(shares)), key=lambda i: (lacks[i], i))
+                given[s][i] += 1
+                lacks[i] -= s
+            continue
+        open_ = [max(0.0, x) for x in lacks]
+        most = (m - min(m, HELD)) / (sum(open_) or 1.0)
+        for i, x in enumerate(open_):
+            given[s][i] = int(most * x)
+            lacks[i] -= s * given[s][i]
+        rest[s] = m - sum(given[s])
     unit = -(-max(1, sum(s * m for s, m in rest.items())) // BITS)
-    for i, (_, p) in enumerate(shares[:-1]):
-        want = rows * p - sum(s * g[i][1] for s, g in given.items())
+    for i in range(len(shares) - 1):
         by_unit: dict[int, list[int]] = {}
         for s in sorted(rest):
             if rest[s]:
                 by_unit.setdefault(max(1, round(s / unit)), []).append(s)
-        taken = subset_closest([(u, sum(rest[s] for s in ss)) for u, ss in by_unit.items()], want / unit)
+        taken = subset_closest([(u, sum(rest[s] for s in ss)) for u, ss in by_unit.items()], lacks[i] / unit)
         for u, k in taken.items():
             for s in by_unit[u]:
                 one = min(k, rest[s])
-                given[s][i][1] += one
+                given[s][i] += one
                 rest[s] -= one
                 k -= one
     for s, m in rest.items():
-        given[s][-1][1] += m
-    return {s: [(name, k) for name, k in g if k] for s, g in given.items()}
+        given[s][-1] += m
+    return {s: [(name, k) for (name, _), k in zip(shares, g) if k] for s, g in given.items()}
 
 
 def split(rows: DataFrame, shares: DataFrame) -> DataFrame:
