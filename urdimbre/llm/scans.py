@@ -41,8 +41,8 @@ MISREAD = {
 PAGE_WORDS = ("página", "page", "seite", "pagina", "pág", "pag", "p", "s", "pg", "folio", "hoja", "blatt")
 OF_WORDS = ("de", "of", "von", "sur", "di")
 HYPHENS = "-‐\xad¬"
-#: Share of all words from which a word is frequent (so at most a million are), and times in the clean texts that bless one.
-FREQUENT, BLESSED, CLEAN_SHARE = 1e-6, 3, 1e-7
+#: Share of all words from which a word is frequent or blessed by the clean texts (so at most a million are each), and the least times of the latter.
+FREQUENT, BLESSED = 1e-6, 3
 #: A misread word is seen at most this share of the times of the right one.
 RARER = 0.1
 EDGE = 2
@@ -186,7 +186,7 @@ def vocabulary(pages: DataFrame, clean: DataFrame | None) -> DataFrame:
         both = paged.union(word_counts(clean.select("texto", F.array().cast("array<int>").alias("fuera"))).select("palabra", F.lit(0).cast("bigint"), F.col("n")))
     counts = cut(both.groupBy("palabra").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where(F.col("palabra").rlike(r"[\p{L}@]")))
     total = counts.agg(F.sum("n").alias("n"), F.sum("c").alias("c")).first()
-    blessed = F.col("c") >= max(BLESSED, CLEAN_SHARE * (total["c"] or 0))
+    blessed = F.col("c") >= max(BLESSED, FREQUENT * (total["c"] or 0))
     frequent = F.col("n") >= max(2, FREQUENT * (total["n"] or 0))
     return counts.where(blessed | frequent).select("palabra", (F.col("n") + F.col("c")).alias("n"), blessed.alias("limpia"))
 

@@ -184,7 +184,8 @@ class Document:
         if mark in "!?":
             return True
         if not gap and to == b:
-            return first.isupper() and text[a - 2 : a].islower() and text[a - 2 : a].isalpha() and not opened
+            before = text[a - 2 : a]
+            return first.isupper() and not opened and (before.islower() and before.isalpha() or before[-1:].isdigit() or before[-1:] in "%)")
         if _script(letter) in ("Devanagari", "Thai"):
             return False
         word = WORD_BEFORE.search(text, start, a)
