@@ -14,12 +14,12 @@ def usable(c: Column) -> Column:
 
 def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """How often each value of ``value`` occurs in each group: what exact percentiles need, combined before the shuffle."""
-    return rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("veces"))
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_veces"))
 
 
 def linear(value: str, p: float, digits: int = 1) -> Column:
     """Percentile between neighbouring ranks, over ``counted`` values; null without values."""
-    return F.round(F.expr(f"percentile(`{value}`, {p}D, veces)"), digits)
+    return F.round(F.expr(f"percentile(`{value}`, {p}D, _veces)"), digits)
 
 
 def by_rank(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], nearest: bool) -> DataFrame:
@@ -29,9 +29,9 @@ def by_rank(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, floa
     """
     each = counted(rows, keys, value)
     upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = each.withColumn("hasta", F.sum("veces").over(upto)).withColumn("n", F.sum("veces").over(Window.partitionBy(*keys)))
-    place = lambda q: (F.bround if nearest else F.floor)(F.lit(q) * (F.col("n") - 1)) + 1
-    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("hasta") >= place(q), F.col(value))).alias(k) for k, q in wanted.items()))
+    ranked = each.withColumn("_hasta", F.sum("_veces").over(upto)).withColumn("_n", F.sum("_veces").over(Window.partitionBy(*keys)))
+    place = lambda q: (F.bround if nearest else F.floor)(F.lit(q) * (F.col("_n") - 1)) + 1
+    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("_hasta") >= place(q), F.col(value))).alias(k) for k, q in wanted.items()))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -16,8 +16,8 @@ def crosstab(rows: DataFrame, row: str, column: str, values: list) -> DataFrame:
 def described(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Count, minimum, quartiles and maximum of ``value`` by ``key``; nulls don't count."""
     each = counted(rows, [key], value)
-    quart = F.expr(f"percentile(`{value}`, array(0.25D, 0.5D, 0.75D), veces)")
-    found = each.groupBy(key).agg(F.sum("veces").alias("n"), F.min(value).alias("minimo"), quart.alias("_q"), F.max(value).alias("maximo"))
+    quart = F.expr(f"percentile(`{value}`, array(0.25D, 0.5D, 0.75D), _veces)")
+    found = each.groupBy(key).agg(F.sum("_veces").alias("n"), F.min(value).alias("minimo"), quart.alias("_q"), F.max(value).alias("maximo"))
     return found.select(key, "n", "minimo", *(F.round(F.get("_q", F.lit(i)), 4).alias(k) for i, k in enumerate(("q1", "mediana", "q3"))), "maximo")
 
 
@@ -71,7 +71,7 @@ def within_band(rows: DataFrame, base: Column, values: list[str], low: float = 0
     """Rows outside ``base`` whose values all lie within the percentiles ``low``..``high`` of the rows in it."""
     bands = None
     for v in values:
-        own = counted(rows.where(base), [], v).agg(F.expr(f"percentile(`{v}`, array({low}D, {high}D), veces)").alias(f"_{v}"))
+        own = counted(rows.where(base), [], v).agg(F.expr(f"percentile(`{v}`, array({low}D, {high}D), _veces)").alias(f"_{v}"))
         bands = own if bands is None else bands.crossJoin(own)  # one row each
     held = rows.where(~F.coalesce(base, F.lit(False))).crossJoin(F.broadcast(bands))
     for v in values:
@@ -84,3 +84,16 @@ def key_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     x, y = (t.where(F.col(key).isNotNull()).select(key).distinct().withColumn(n, F.lit(1)) for t, n in ((a, "_a"), (b, "_b")))
     both = x.join(y, key, "full")
     return both.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("ambas"), F.count_if(F.col("_b").isNull()).alias("solo_primera"), F.count_if(F.col("_a").isNull()).alias("solo_segunda"))
+
+
+def zero_cells(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of a value of ``a`` and one of ``b`` that no row has; nulls are no value. Both are sets of labels, so their pairs are few."""
+    x, y = (rows.where(F.col(c).isNotNull()).select(c).distinct() for c in (a, b))
+    return x.crossJoin(y).join(rows.select(a, b).distinct(), [a, b], "left_anti")
+
+
+def joined_cases(cases: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many cases have a partner in ``others`` by all keys, how many have none, and how many rows the inner join gives."""
+    n = others.groupBy(*keys).agg(F.count("*").alias("_n"))
+    both = cases.join(n, keys, "left")
+    return both.agg(F.count("_n").alias("con"), F.count_if(F.col("_n").isNull()).alias("sin"), F.coalesce(F.sum("_n"), F.lit(0)).alias("filas"))

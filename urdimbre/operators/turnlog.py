@@ -25,7 +25,7 @@ def call() -> Column:
 def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``n, p50, p95, minimo, maximo`` of the usable values of each group, percentiles linear, one digit."""
     each = counted(rows.withColumn(value, usable(F.col(value))), keys, value)
-    return each.groupBy(*keys).agg(F.sum("veces").alias("n"), linear(value, 0.5).alias("p50"), linear(value, 0.95).alias("p95"), F.round(F.min(value), 1).alias("minimo"), F.round(F.max(value), 1).alias("maximo"))
+    return each.groupBy(*keys).agg(F.sum("_veces").alias("n"), linear(value, 0.5).alias("p50"), linear(value, 0.95).alias("p95"), F.round(F.min(value), 1).alias("minimo"), F.round(F.max(value), 1).alias("maximo"))
 
 
 def latency_by_origin(log: DataFrame) -> DataFrame:

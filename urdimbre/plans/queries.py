@@ -91,6 +91,14 @@ def question_detect(spark, folder: str) -> DataFrame:
     return table(spark, folder, "turnos").where("tipo = 'turno'").select("llamada_id", "turno_idx", "recibido_ts", tx.asks(F.col("transcripcion")).alias("pregunta"))
 
 
+@query(rf"""select llamada_id, turno_idx, recibido_ts, coalesce(extraccion.pregunta_del_paciente, false) or (trim(coalesce(transcripcion, '')) <> '' and (regexp_matches(trim(transcripcion), '[¿?]')
+  or regexp_matches(lower(trim(transcripcion)), '^[^\p{{L}}\p{{N}}_]*({tx.QUESTION_OPENERS})($|[^\p{{L}}\p{{N}}_])'))) as pregunta from turnos where tipo = 'turno'""")
+def question_union(spark, folder: str) -> DataFrame:
+    """The model's mark or the form of the text: the second only adds to the first."""
+    told = F.coalesce("extraccion.pregunta_del_paciente", F.lit(False))
+    return table(spark, folder, "turnos").where("tipo = 'turno'").select("llamada_id", "turno_idx", "recibido_ts", (told | tx.asks(F.col("transcripcion"))).alias("pregunta"))
+
+
 BARE_SQL = "trim(regexp_replace({}, '[^0-9a-z]+', ' ', 'g'))"
 
 
@@ -180,6 +188,25 @@ def first_seen(spark, folder: str) -> DataFrame:
     return dedup.first_seen(own, ["f"], ["en", "doc_id"]).select("doc_id", "source", "n_chars")
 
 
+LENGTH_SQL = "min(n) filter (r > floor({q} * (m - 1)))"
+
+
+@query(f"""select origen, max(m) as trozos, {LENGTH_SQL.format(q=0.05)} as p05, {LENGTH_SQL.format(q=0.5)} as p50, {LENGTH_SQL.format(q=0.95)} as p95, count(*) filter (n > 500) as largos
+  from (select origen, length(texto) as n, row_number() over (partition by origen order by length(texto)) as r, count(*) over (partition by origen) as m from trozos where texto is not null) group by origen""")
+def chunk_lengths(spark, folder: str) -> DataFrame:
+    """Lengths of the chunks by origin (percentiles of floored rank), and how many are above 500 characters."""
+    rows = table(spark, folder, "trozos").where("texto is not null").select("origen", F.length("texto").alias("n"))
+    found = stats.by_rank(rows, ["origen"], "n", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, nearest=False)
+    return found.join(rows.groupBy("origen").agg(F.count("*").alias("trozos"), F.count_if(F.col("n") > 500).alias("largos")), "origen").select("origen", "trozos", "p05", "p50", "p95", "largos")
+
+
+@query("select documento_id, numero, length(trim(texto)) as n from (select distinct documento_id, numero, texto from paginas where texto is not null) order by n, documento_id, numero limit 5")
+def smallest_pages(spark, folder: str) -> DataFrame:
+    """The five shortest pages: a report."""
+    own = table(spark, folder, "paginas").where("texto is not null").select("documento_id", "numero", "texto").distinct()
+    return own.select("documento_id", "numero", F.length(F.trim("texto")).alias("n")).orderBy("n", "documento_id", "numero").limit(5)
+
+
 # Retrieval --------------------------------------------------------------------------------------------------
 
 
@@ -271,6 +298,17 @@ def alpha_sweep(spark, folder: str) -> DataFrame:
     return each.groupBy("alfa").agg(F.round(own, 6).alias("peor_propia"), F.round(foreign, 6).alias("mejor_ajena"), F.round(own - foreign, 6).alias("hueco"))
 
 
+@query(f"""with {DENSE_SQL}, b as (select consulta, max(denso) as mejor from p where consulta <> id group by consulta)
+  select min(mejor) filter (label % 2 = 0) as peor_cubierta, max(mejor) filter (label % 2 = 1) as mejor_ajena, round(min(mejor) filter (label % 2 = 0) - max(mejor) filter (label % 2 = 1), 6) as hueco,
+  round((min(mejor) filter (label % 2 = 0) + max(mejor) filter (label % 2 = 1)) / 2, 6) as umbral from b join embeddings on vec_id = consulta""")
+def population_gap(spark, folder: str) -> DataFrame:
+    """Separation of two populations of queries (by label) by their best score, and the threshold between them."""
+    labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("consulta"), "label")
+    best = dense_topk(spark, folder).where("consulta <> id").groupBy("consulta").agg(F.max("denso").alias("mejor")).join(labels, "consulta")
+    low, high = F.min(F.when(F.col("label") % 2 == 0, F.col("mejor"))), F.max(F.when(F.col("label") % 2 == 1, F.col("mejor")))
+    return best.agg(low.alias("peor_cubierta"), high.alias("mejor_ajena"), F.round(low - high, 6).alias("hueco"), F.round((low + high) / 2, 6).alias("umbral"))
+
+
 # Turn log ---------------------------------------------------------------------------------------------------
 
 TURNS = "(select *, lower(trim(llamada_id)) as llamada, lower(trim(tipo)) as clase_fila from turnos)"
@@ -409,6 +447,23 @@ def crosstab_day_wound(spark, folder: str) -> DataFrame:
     return analysis.crosstab(table(spark, folder, TRAJECTORIES), "dia_postop", "herida", WOUNDS)
 
 
+@query(f"select m.movilidad, h.herida from (select distinct movilidad from {TRAJECTORIES} where movilidad is not null) m, (select distinct herida from {TRAJECTORIES} where herida is not null) h where not exists (select 1 from {TRAJECTORIES} t where t.movilidad = m.movilidad and t.herida = h.herida)")
+def zero_cells(spark, folder: str) -> DataFrame:
+    return analysis.zero_cells(table(spark, folder, TRAJECTORIES), "movilidad", "herida")
+
+
+@query(f"select clase, criterio, count(*) as n, count(distinct llamada) as llamadas from {TURNS} where clase_fila = 'cierre' group by all")
+def closing_hist(spark, folder: str) -> DataFrame:
+    return table(spark, folder, "turnos").where(turnlog.kind() == "cierre").groupBy("clase", "criterio").agg(F.count("*").alias("n"), F.count_distinct(turnlog.call()).alias("llamadas"))
+
+
+@query(f"""select count(n) as con, count(*) filter (n is null) as sin, coalesce(sum(n), 0)::bigint as filas from llamadas l
+  left join (select paciente_id, dia_postop, count(*) as n from {TRAJECTORIES} group by all) t on t.paciente_id = l.paciente_id and t.dia_postop = l.dia_postop""")
+def case_join(spark, folder: str) -> DataFrame:
+    """Calls with and without a row of the same patient and day."""
+    return analysis.joined_cases(table(spark, folder, "llamadas"), table(spark, folder, TRAJECTORIES), ["paciente_id", "dia_postop"])
+
+
 @query(f"""select arquetipo_trayectoria, count(dolor_nrs) as n, min(dolor_nrs) as minimo, round(quantile_cont(dolor_nrs, 0.25), 4) as q1, round(quantile_cont(dolor_nrs, 0.5), 4) as mediana, round(quantile_cont(dolor_nrs, 0.75), 4) as q3, max(dolor_nrs) as maximo
   from {TRAJECTORIES} where dolor_nrs is not null group by all""")
 def pain_by_archetype(spark, folder: str) -> DataFrame:
