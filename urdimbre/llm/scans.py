@@ -91,7 +91,7 @@ def page_number(line: str) -> tuple[str, int] | None:
     numbers = [w for w in words if shape(w) not in OF_SHAPES]
     if not 1 <= len(numbers) <= 2 or len(words) > 3:
         return None
-    if len(numbers) == 1 and regex.fullmatch(r"[ivxl]+|[IVXL]+", numbers[0]) and own == numbers[0]:
+    if len(numbers) == 1 and regex.fullmatch(r"[ivxl]+|[IVXL]+", numbers[0]) and own == numbers[0] and set(own) != {"l"}:
         value, before = 0, 0
         for c in reversed(numbers[0].lower()):
             n = {"i": 1, "v": 5, "x": 10, "l": 50}[c]
@@ -99,9 +99,9 @@ def page_number(line: str) -> tuple[str, int] | None:
             before = max(before, n)
         return "roman", value
     values = [w.translate(DIGITS) for w in numbers]
-    if not all(v.isascii() and v.isdigit() and len(v) <= 5 for v in values) or not (own != numbers[0] or any(c.isdigit() for c in own)):
+    if not all(v.isascii() and v.isdigit() and len(v) <= 5 for v in values) or own == numbers[0] and not any(c.isdigit() or c == "l" for c in own):
         return None
-    if not any(c.isdigit() for c in own) and not regex.fullmatch(r"\W*[lIi|oO]\W*|p\W*[lIi|oO]+", own):
+    if not any(c.isdigit() for c in own) and not regex.fullmatch(r"\W*[lIi|oO]+\W*|p\W*[lIi|oO]+", own):
         return None
     return regex.sub(r"\s+", " ", regex.sub(r"[^\W_]+|@", "9", own)), int(values[0])
 
