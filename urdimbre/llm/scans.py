@@ -86,8 +86,8 @@ def page_number(line: str) -> tuple[str, int] | None:
     if not own or len(own) > 24 or own[-1] in ".:;!?\"" or regex.search(r"[%,°:\"?!¿¡«»]", own):
         return None
     words = TOKEN.findall(own)
-    while words and shape(words[0]) in PAGE_SHAPES and len(words) > 1:
-        words.pop(0)
+    named = len(words) > 1 and shape(words[0]) in PAGE_SHAPES
+    words = words[named:]
     numbers = [w for w in words if shape(w) not in OF_SHAPES]
     if not 1 <= len(numbers) <= 2 or len(words) > 3:
         return None
@@ -101,7 +101,7 @@ def page_number(line: str) -> tuple[str, int] | None:
     values = [w.translate(DIGITS) for w in numbers]
     if not all(v.isascii() and v.isdigit() and len(v) <= 5 for v in values) or own == numbers[0] and not any(c.isdigit() or c == "l" for c in own):
         return None
-    if not any(c.isdigit() for c in own) and not regex.fullmatch(r"\W*[lIi|oO]+\W*|p\W*[lIi|oO]+", own):
+    if not named and not any(c.isdigit() for c in own) and not regex.fullmatch(r"\W*[lIi|oO]+\W*", own):
         return None
     return regex.sub(r"\s+", " ", regex.sub(r"[^\W_]+|@", "9", own)), int(values[0])
 
@@ -129,16 +129,18 @@ def furniture(pages: DataFrame) -> DataFrame:
     by_doc = titles.groupBy("documento_id", "clave").agg(F.count(F.when(F.col("borde"), 1)).alias("bordes"), F.count(F.when(~F.col("borde"), 1)).alias("dentro"))
     running = (
         by_doc.groupBy("clave").agg(F.sum("bordes").alias("bordes"), F.sum("dentro").alias("dentro"), F.max("bordes").alias("repetida"))
-        .where("repetida >= 2 and dentro <= 0.1 * bordes").select("clave")
+        .where("repetida >= 2 and (repetida >= 3 or bordes >= 4) and dentro <= 0.1 * bordes").select("clave")
     )
     heads = titles.where("borde").join(running, "clave", "left_semi").select("documento_id", "numero", "linea", F.lit("cabecera").alias("tipo"))
     numbers = seen.where("estilo is not null").withColumn("paso", F.col("valor") - F.col("numero"))
     kept = numbers.groupBy("documento_id", "estilo", "paso").agg(F.count_distinct("numero").alias("n"))
-    styles = kept.groupBy("documento_id", "estilo").agg(F.max("n").alias("mas"))
-    # A style with words or marks is one by itself; a bare number must keep its distance to the page on several.
+    # A style with words or marks is one by itself; a bare number must keep its distance to the page on several, nearly:
+    # blank pages aren't always counted.
+    near = Window.partitionBy("documento_id", "estilo").orderBy("paso").rangeBetween(-2, 2)
+    known = numbers.join(kept.withColumn("cerca", F.sum("n").over(near)), ["documento_id", "estilo", "paso"])
     bare = F.col("estilo").isin("9", "roman")
-    known = numbers.join(kept, ["documento_id", "estilo", "paso"]).join(styles, ["documento_id", "estilo"])
-    folios = known.where(~bare | (F.col("n") >= 2) | ((F.col("paso") == 0) & (F.col("mas") <= 1))).select("documento_id", "numero", "linea", F.lit("folio").alias("tipo"))
+    first = (F.col("paso") == 0) | (F.col("estilo") == "roman") & F.col("paso").between(-3, 0)
+    folios = known.where(~bare | (F.col("cerca") >= 2) | first).select("documento_id", "numero", "linea", F.lit("folio").alias("tipo"))
     return heads.union(folios).distinct()
 
 
@@ -275,6 +277,8 @@ def _seams(trusted) -> Callable:
                 for k, (i, line) in enumerate(lines):
                     start, end = 0, len(line)
                     opening = OPENING.match(line) if tail or k == 0 else None
+                    if opening and not any(c.isalpha() or c == "@" for c in opening.group(1)):
+                        opening = None
                     if k == 0 and opening:
                         out.append((doc, number, "cabeza", i, i, opening.group(1), "", "", "", ""))
                     if tail and opening:
