@@ -119,3 +119,14 @@ def test_analyses_on_small_tables(spark):
     report = analysis.key_report(rows.withColumnRenamed("g", "k"), rows.limit(0).withColumnRenamed("g", "k"), "k").first()
     assert tuple(report) == (0, 3, 0)
     assert analysis.sweep(rows.limit(0), "g", "v", [1.0]).count() == 0
+
+
+def test_highest_with_ties():
+    rng = np.random.default_rng(2)
+    for span in (2, 5, 1000):
+        score = rng.integers(0, span, (4, 300)).astype(float)
+        ids = np.broadcast_to(rng.permutation(300), score.shape)
+        got, at = retrieval.highest(score, ids, 7)
+        for r in range(4):
+            want = sorted(zip(-score[r], ids[r]))[:7]
+            assert [(-a, b) for a, b in zip(got[r], at[r])] == want

@@ -19,8 +19,8 @@ from urdimbre.functions.text import STEM, TERM, canonical_words, query_terms, sn
 from urdimbre.plans.lineage import cut
 
 POOL, BEST, ALPHA, THRESHOLD, QUOTED = 60, 5, 0.5, 0.59, 400
-#: Queries in a block, so at most some tens of MB.
-BLOCK = 20_000
+#: Queries in a block, and rows that a block is multiplied with at once: some tens of MB of scores.
+BLOCK, ROWS = 2_000, 4_096
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -28,21 +28,28 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def highest(score: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` highest of each row, ties by id. A few times as many are parted first, unless ties reach beyond them."""
+    few = 4 * most
+    if score.shape[1] > few:
+        at = np.argpartition(-score, few - 1, axis=1)[:, :few]
+        part = np.take_along_axis(score, at, 1)
+        if np.all(np.partition(-part, most - 1, axis=1)[:, most - 1] < -part.min(1)):
+            score, ids = part, np.take_along_axis(ids, at, 1)
+    keep = np.lexsort((ids, -score), axis=1)[:, :most]
+    return np.take_along_axis(score, keep, 1), np.take_along_axis(ids, keep, 1)
+
+
 def _nearest(queries, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, wanted = queries.value
         best, score = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             own = matrix(b.column("vector"))
             keys = np.asarray(b.column("id"), np.int64)
             norm = np.linalg.norm(own, axis=1)
             got = np.round(wanted @ (own / np.where(norm > 0, norm, 1)[:, None]).T, 6)
-            score, best = np.hstack([score, got]), np.hstack([best, np.broadcast_to(keys, got.shape)])
-            if score.shape[1] > most:
-                keep = np.lexsort((best, -score), axis=1)[:, :most]
-                score, best = np.take_along_axis(score, keep, 1), np.take_along_axis(best, keep, 1)
+            score, best = highest(np.hstack([score, got]), np.hstack([best, np.broadcast_to(keys, got.shape)]), most)
         for at in range(0, len(ids), 500):
             part = slice(at, at + 500)
             n = score.shape[1]
