@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Ranges that the values of a group are cut into.
+RANGES = 1000
+
+
 def usable(c: Column) -> Column:
     """The number, or null if it is NaN or infinite."""
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
@@ -25,13 +31,21 @@ def linear(value: str, p: float, digits: int = 1) -> Column:
 def by_rank(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], nearest: bool) -> DataFrame:
     """Percentiles that are values: of rank q * (n - 1) from 0, taken to the nearest rank (ties to even) or down.
 
-    Ranks are running sums over distinct values, whose number bounds what a group holds in one task.
+    The values of a group are cut into ``RANGES`` of equal width; counts of ranges tell which ones hold the ranks, and
+    only those are ranked. Null keys are a group; null values don't count.
     """
-    each = counted(rows, keys, value)
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = each.withColumn("_hasta", F.sum("_veces").over(upto)).withColumn("_n", F.sum("_veces").over(Window.partitionBy(*keys)))
-    place = lambda q: (F.bround if nearest else F.floor)(F.lit(q) * (F.col("_n") - 1)) + 1
-    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("_hasta") >= place(q), F.col(value))).alias(k) for k, q in wanted.items()))
+    each = counted(rows, keys, value).withColumn("_k", F.struct(F.lit(0), *keys))
+    ends = each.groupBy("_k").agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_veces").alias("_n"))
+    share = (F.col(value) - F.col("_min")) / F.nullif(F.col("_max") - F.col("_min"), F.lit(0))
+    placed = each.join(ends, "_k").withColumn("_c", F.coalesce(F.floor(share * RANGES), F.lit(0)))
+    before = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_k", "_c", "_n").agg(F.sum("_veces").alias("_m")).withColumn("_antes", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    rank = lambda q: (F.bround if nearest else F.floor)(F.lit(q) * (F.col("_n") - 1)) + 1
+    holds = lambda q: (rank(q) > F.col("_antes")) & (rank(q) <= F.col("_antes") + F.col("_m"))
+    held = ranges.where(reduce(lambda a, b: a | b, map(holds, wanted.values()))).drop("_n")
+    upto = Window.partitionBy("_k", "_c").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(held, ["_k", "_c"]).withColumn("_hasta", F.sum("_veces").over(upto) + F.col("_antes"))
+    return ranked.groupBy(*keys).agg(*(F.min(F.when(holds(q) & (F.col("_hasta") >= rank(q)), F.col(value))).alias(k) for k, q in wanted.items()))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
