@@ -70,3 +70,4 @@ def test_mixture(spark):
 def test_report(spark, folder):
     for r in M.p7_informe(spark, folder).collect():
         assert r.usos <= r.tope or r.tokens_mezcla == 0
+        assert abs((r.alcanzada or 0) - r.posible) < 0.05

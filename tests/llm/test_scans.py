@@ -79,3 +79,12 @@ def test_empty_tables(spark):
     assert S.noisy_lines(pages.limit(0), chunks.limit(0), clean).count() == 0
     assert S.noisy_lines(pages, chunks.limit(0), None).count() > 0
     assert list(itertools.islice(S.repaired(pages.limit(0), chunks.limit(0), clean).toLocalIterator(), 1)) == []
+
+
+def test_running_lines_are_no_lines_of_text(spark):
+    """A line as wide as the text that happens to stand twice at the edge of pages is no running line; a short title is."""
+    body = "\n".join(["el texto de la página sigue con palabras que llenan el renglón hasta el final"] * 6)
+    wide = "El equipo revisa la herida cada mañana y anota lo que ve en la hoja de control"
+    pages = [("d", i, f"{wide if i < 3 else 'Otra cosa'}\n{body}\nfin.") for i in range(1, 6)] + [("e", i, f"{'Guía de casa' if i in (2, 4) else 'y sigue'}\n{body}\nfin.") for i in range(1, 6)]
+    got = {(r.documento_id, r.numero) for r in S.furniture(spark.createDataFrame(pages, "documento_id string, numero int, texto string")).collect()}
+    assert got == {("d", 3), ("d", 4), ("d", 5), ("e", 2), ("e", 4)}

@@ -168,16 +168,17 @@ def p7_mezcla(spark, folder: str) -> DataFrame:
 
 
 def p7_informe(spark, folder: str) -> DataFrame:
-    """Of every source with a target: ``fuente, objetivo, alcanzada`` (shares), ``tokens_corpus, tokens_mezcla`` and the most often
-    that a block is used beside its cap. ``objetivo`` is the share among all targets, also of sources without documents."""
+    """Of every source with a target: ``fuente, objetivo, posible, alcanzada`` (shares), ``tokens_corpus, tokens_mezcla`` and the most often
+    that a block is used beside its cap. ``objetivo`` is the share among all targets, ``posible`` that among sources with documents."""
     blocks = corpus_blocks(spark, folder)
     goal = targets(table(spark, folder, "mezcla_objetivo"))
     used = mix(blocks, goal).groupBy("fuente").agg(F.sum(F.size("ids")).alias("tokens_mezcla"), F.max(F.col("vuelta") + 1).alias("usos"))
     have = blocks.groupBy("fuente").agg(F.sum(F.size("ids")).alias("tokens_corpus"))
     every = Window.partitionBy(F.lit(0))  # one row per source with a target
+    there = F.when(F.col("tokens_corpus") > 0, F.col("peso")).otherwise(0.0)
     return (
         goal.join(have, "fuente", "left").join(used, "fuente", "left").na.fill(0)
-        .select("fuente", (F.col("peso") / F.sum("peso").over(every)).alias("objetivo"), F.try_divide("tokens_mezcla", F.sum("tokens_mezcla").over(every)).alias("alcanzada"), "tokens_corpus", "tokens_mezcla", "usos", "tope")
+        .select("fuente", (F.col("peso") / F.sum("peso").over(every)).alias("objetivo"), F.try_divide(there, F.sum(there).over(every)).alias("posible"), F.try_divide("tokens_mezcla", F.sum("tokens_mezcla").over(every)).alias("alcanzada"), "tokens_corpus", "tokens_mezcla", "usos", "tope")
     )
 
 

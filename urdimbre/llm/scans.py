@@ -65,6 +65,12 @@ def shape(text: str) -> str:
     return text.replace("rn", "m").replace("ci", "d").replace("vv", "w")
 
 
+def division(line: str) -> re.Match | None:
+    """The word part and hyphen that a line ends in; only its last word is looked at."""
+    own = line.rstrip()
+    return DIVIDED.search(line, own.rfind(" ") + 1) if own[-1:] in HYPHENS else None
+
+
 NO_END, NO_START, NUMERALS = ".,;:!?»”\"" + HYPHENS, "«„\"(¿¡", "0123456789lIiOovVxX|"
 PAGE_SHAPES, OF_SHAPES = {shape(w) for w in PAGE_WORDS}, {shape(w) for w in OF_WORDS}
 
@@ -114,22 +120,24 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = (text or "").split("\n")
             full = [i for i, x in enumerate(lines) if x.strip()]
             edge = {*full[:EDGE], *full[-EDGE:]}
+            width = max((len(lines[i]) for i in full if i not in edge), default=0)
             for i in full:
                 page = page_number(lines[i]) if i in edge else None
                 key = None if page else title_key(lines[i])
                 if page or key:
-                    out.append((doc, number, i, i in edge, key, *(page or (None, None))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64()))], names=["documento_id", "numero", "linea", "borde", "clave", "estilo", "valor"])
+                    filled = 0.85 * width <= len(lines[i].rstrip()) <= 1.1 * width  # as a line of running text is
+                    out.append((doc, number, i, i in edge, key, *(page or (None, None)), not filled))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.bool_()))], names=["documento_id", "numero", "linea", "borde", "clave", "estilo", "valor", "suelta"])
 
 
 def furniture(pages: DataFrame) -> DataFrame:
     """``documento_id, numero, linea, tipo`` of running lines (cabecera) and page numbers (folio) of distinct pages."""
-    seen = cut(pages.select("documento_id", "numero", "texto").mapInArrow(_edges, "documento_id string, numero int, linea int, borde boolean, clave string, estilo string, valor bigint"))
+    seen = cut(pages.select("documento_id", "numero", "texto").mapInArrow(_edges, "documento_id string, numero int, linea int, borde boolean, clave string, estilo string, valor bigint, suelta boolean"))
     titles = seen.where("clave is not null")
-    by_doc = titles.groupBy("documento_id", "clave").agg(F.count(F.when(F.col("borde"), 1)).alias("bordes"), F.count(F.when(~F.col("borde"), 1)).alias("dentro"))
+    by_doc = titles.groupBy("documento_id", "clave").agg(F.count(F.when(F.col("borde"), 1)).alias("bordes"), F.count(F.when(~F.col("borde"), 1)).alias("dentro"), F.min("suelta").alias("suelta"))
     running = (
-        by_doc.groupBy("clave").agg(F.sum("bordes").alias("bordes"), F.sum("dentro").alias("dentro"), F.max("bordes").alias("repetida"))
-        .where("repetida >= 2 and (repetida >= 3 or bordes >= 4) and dentro <= 0.1 * bordes").select("clave")
+        by_doc.groupBy("clave").agg(F.sum("bordes").alias("bordes"), F.sum("dentro").alias("dentro"), F.max("bordes").alias("repetida"), F.min("suelta").alias("suelta"))
+        .where("repetida >= 2 and (repetida >= 3 or bordes >= 4 or suelta) and dentro <= 0.1 * bordes").select("clave")
     )
     heads = titles.where("borde").join(running, "clave", "left_semi").select("documento_id", "numero", "linea", F.lit("cabecera").alias("tipo"))
     numbers = seen.where("estilo is not null").withColumn("paso", F.col("valor") - F.col("numero"))
@@ -270,9 +278,14 @@ def _seams(trusted) -> Callable:
         good = trusted.value
         for b in batches:
             out: list[tuple] = []
+            fine: dict[str, bool] = {}  # by token as it stands, whether it is a trusted word
             for doc, number, text, furniture in zip(*(b.column(c).to_pylist() for c in ("documento_id", "numero", "texto", "fuera"))):
                 skip = set(furniture or ())
                 lines = [(i, x) for i, x in enumerate(text.split("\n")) if i not in skip and x.strip()]
+                here = set(text.lower().split())
+                for t in here - fine.keys():
+                    fine[t] = t.strip(PUNCTUATION) in good
+                odd = [t for t in here if not fine[t]]
                 tail = None
                 for k, (i, line) in enumerate(lines):
                     start, end = 0, len(line)
@@ -284,13 +297,14 @@ def _seams(trusted) -> Callable:
                     if tail and opening:
                         out.append((doc, number, "guion", tail[0], i, tail[1], opening.group(1), tail[2], "", ""))
                         start = opening.end()
-                    divided = DIVIDED.search(line) if line.rstrip()[-1:] in HYPHENS else None
+                    divided = division(line)
                     tail = (i, divided.group(1), divided.group(2)) if divided else None
                     if divided:
                         end = divided.start()
-                    tokens = line[start:end].lower().split()
+                    body = line[start:end].lower()
+                    tokens = body.split() if any(t in body for t in odd) or start else ()
                     for at, token in enumerate(tokens):
-                        if token.strip(PUNCTUATION) not in good:
+                        if not fine.get(token) and token.strip(PUNCTUATION) not in good:
                             for w in WORD.findall(token):
                                 if w not in good and any(c.isalpha() or c == "@" for c in w):
                                     beside = (tokens[j].strip(PUNCTUATION) if 0 <= j < len(tokens) else "" for j in (at - 1, at + 1))
@@ -451,7 +465,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if f["quita"] and (table_ == "paginas" or not first):
                         rest = OPENING.sub("", line, count=1)
                         line = rest if rest[:1].isspace() else GLUED + rest
-                    divided = DIVIDED.search(line) if f["entera"] else None
+                    divided = division(line) if f["entera"] else None
                     end = divided.start() if divided else len(line)
                     right = {c["palabra"]: c["correcta"] for c in f["cambios"] or ()}
                     body = WORD.sub(lambda m: like(m.group(), right[m.group().lower()]) if m.group().lower() in right else m.group(), line[:end])
