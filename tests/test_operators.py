@@ -92,6 +92,30 @@ def test_dense_top(spark):
     assert retrieval.dense_top(rows, rows.limit(0), 10).count() == 0
 
 
+def test_best_by_label_has_no_pool(spark, tmp_path):
+    """A query whose 70 nearest rows have another label still has its own worst score; the hybrid score is fused for each alpha."""
+    from urdimbre.plans import queries
+
+    rng = np.random.default_rng(4)
+    m = np.vstack([[1.0, 0, 0], np.column_stack([np.ones(70), rng.uniform(0, 0.1, (70, 2))]), [[0.2, 1, 0], [0.1, 1, 0]]])
+    labels = [0, *[1] * 70, 0, None]
+    words = ["rodilla herida fiebre", *["paseo largo"] * 70, "la rodilla y la fiebre", "rodilla"]
+    spark.createDataFrame([(i, [float(x) for x in v], lab) for i, (v, lab) in enumerate(zip(m, labels))], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    near, far = round(float(unit[71] @ unit[0]), 6), round(float(max(unit[1:71] @ unit[0])), 6)
+    got = {r.alfa: r for r in queries.alpha_sweep(spark, str(tmp_path)).collect()}
+    assert abs(got[1.0].peor_propia - near) < 2e-6 and abs(got[1.0].mejor_ajena - far) < 2e-6
+    n = len(words)
+    idf = {"rodill": np.log(1 + n / 4), "herida": np.log(1 + n / 2), "fiebre": np.log(1 + n / 3)}
+    cover = (idf["rodill"] + idf["fiebre"]) / sum(idf.values())
+    found = queries.alpha_sweep_hybrid(spark, str(tmp_path)).collect()
+    assert len(found) == len(queries.ALPHAS) and [r.alfa for r in found if r.mejor_alfa] == [0.0]
+    for r in found:
+        assert r.consultas == 1 and abs(r.peor_propia - (near if r.alfa == 1 else r.alfa * near + (1 - r.alfa) * cover)) < 2e-6
+        assert abs(r.mejor_ajena - r.alfa * far) < 2e-6
+
+
 def test_threshold_keeps_each_by_itself(spark):
     rows = spark.createDataFrame([(1, 0.8), (1, 0.31), (1, 0.72), (2, 0.21)], "consulta int, puntos double")
     assert [r.puntos for r in retrieval.sufficient(rows, 0.35).collect()] == [0.8, 0.72]

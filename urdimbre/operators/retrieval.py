@@ -21,6 +21,8 @@ from urdimbre.plans.lineage import cut
 POOL, BEST, ALPHA, THRESHOLD, QUOTED = 60, 5, 0.5, 0.59, 400
 #: Queries in a block, and rows that a block is multiplied with at once: some tens of MB of scores.
 BLOCK, ROWS = 2_000, 4_096
+#: The same where scores are fused, which takes several arrays of that size.
+FUSED_ROWS = 512
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -84,6 +86,88 @@ def dense_top(vectors: DataFrame, queries: DataFrame, most: int = POOL) -> DataF
     return every.withColumn("puesto", place).where(F.col("puesto") <= most)
 
 
+def _extremes(queries, alphas: tuple[float, ...] | None) -> Callable:
+    """Running best score of each query over rows with its label and over rows with another, for each alpha (none: the cosine)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, wanted, labels, terms, whole = queries.value
+        best = np.full((len(alphas or (None,)), 2, len(ids)), -np.inf)
+        for b in (part.slice(at, FUSED_ROWS) for part in batches for at in range(0, part.num_rows, FUSED_ROWS)):
+            own, keys = matrix(b.column("vector")), np.asarray(b.column("id"), np.int64)
+            norm = np.linalg.norm(own, axis=1)
+            dense = np.round(wanted @ (own / np.where(norm > 0, norm, 1)[:, None]).T, 6)
+            same = labels[:, None] == np.asarray(b.column("label"), np.int64)
+            other = ids[:, None] != keys
+            sides = (same & other, ~same & other)
+            scores = [dense]
+            if alphas:
+                there: dict[str, list[int]] = {}
+                for i, own_terms in enumerate(b.column("terminos").to_pylist()):
+                    for t in own_terms or ():
+                        if t in terms:
+                            there.setdefault(t, []).append(i)
+                has = np.zeros(dense.shape)
+                for t, at in there.items():
+                    asking, weights = terms[t]
+                    has[np.ix_(asking, at)] += weights[:, None]
+                cover = np.clip(has / np.where(whole > 0, whole, 1)[:, None], 0, 1)
+                dense = np.clip(dense, 0, 1)
+                # A query without terms (of which the whole weight is unknown), or alpha 1, scores by the cosine alone.
+                alone = np.isnan(whole)[:, None]
+                scores = (dense if a >= 1 else np.round(np.where(alone, dense, a * dense + (1 - a) * cover), 6) for a in alphas)
+            for k, score in enumerate(scores):
+                for side, of in enumerate(sides):
+                    np.maximum(best[k, side], np.where(of, score, -np.inf).max(1), out=best[k, side])
+        for a, (near, far) in zip(alphas or (1.0,), best):
+            columns = (pa.array(x, mask=np.isinf(x)) for x in (near, far))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), a)), *columns], names=["consulta", "alfa", "propia", "ajena"])
+
+    return run
+
+
+def best_by_label(vectors: DataFrame, queries: DataFrame, alphas: tuple[float, ...] | None = None, lexicon: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``consulta, alfa, propia, ajena``: each query's best score over all other rows with its label, and over all with another.
+
+    ``vectors`` and ``queries``: ``id, vector, label``; rows without one of them are left out. Without ``alphas`` the score
+    is the cosine; with them it is fused with the coverage that ``lexicon`` (what ``lexical`` gives) holds, for each alpha. There
+    is no pool: every row is scored. A score is null if no row has (or lacks) the label.
+    """
+    spark, parts = vectors.sparkSession, []
+    usable = "vector is not null and id is not null and label is not null"
+    columns = [F.col("id").cast("bigint").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.col("label").cast("bigint").alias("label")]
+    own, asked = vectors.where(usable).select(*columns), queries.where(usable).select(*columns)
+    if alphas:
+        weights, there = lexicon
+        terms = there.groupBy("id").agg(F.collect_set("termino").alias("terminos"))
+        weighed = weights.groupBy("consulta").agg(F.collect_list(F.struct("termino", "peso")).alias("pesos"))
+        own = cut(own.join(terms, "id", "left"))
+        asked = asked.join(weighed.withColumnRenamed("consulta", "id"), "id", "left")
+    asked = cut(asked)
+    blocks = max(1, -(-asked.count() // BLOCK))
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()
+        if not block.num_rows:
+            continue
+        m = matrix(block.column("vector"))
+        norm = np.linalg.norm(m, axis=1)
+        asking: dict[str, list[tuple[int, float]]] = {}
+        whole = np.full(block.num_rows, np.nan)
+        for i, pairs in enumerate(block.column("pesos").to_pylist() if alphas else ()):
+            if pairs:
+                whole[i] = sum(x["peso"] for x in pairs)
+            for x in pairs or ():
+                asking.setdefault(x["termino"], []).append((i, x["peso"]))
+        held = {t: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for t, x in asking.items()}
+        sent = spark.sparkContext.broadcast((np.asarray(block.column("id"), np.int64), m / np.where(norm > 0, norm, 1)[:, None], np.asarray(block.column("label"), np.int64), held, whole))
+        parts.append(own.mapInArrow(_extremes(sent, alphas), "consulta bigint, alfa double, propia double, ajena double"))
+    if not parts:
+        return spark.createDataFrame([], "consulta bigint, alfa double, propia double, ajena double")
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    return every.groupBy("consulta", "alfa").agg(F.max("propia").alias("propia"), F.max("ajena").alias("ajena"))
+
+
 def stems_of_words(words: DataFrame, stems: DataFrame) -> DataFrame:
     """``palabra, termino``: the stems that occur in each distinct word. Words meet stems on their pieces of a stem's length."""
     pieces = F.flatten(F.transform(F.sequence(F.lit(TERM), F.lit(STEM)), lambda n: F.when(F.length("palabra") >= n, F.transform(F.sequence(F.lit(1), F.length("palabra") - n + 1), lambda i: F.substring(F.col("palabra"), i, n))).otherwise(F.array().cast("array<string>"))))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from urdimbre.functions import stats
 from urdimbre.functions import text as tx
@@ -214,6 +215,10 @@ def _vectors(spark, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
+def _labelled(spark, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
 def _texts(spark, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"))
 
@@ -288,16 +293,35 @@ def hit_at_k(spark, folder: str) -> DataFrame:
     from p join embeddings q on q.vec_id = consulta join embeddings e on e.vec_id = id where consulta <> id group by consulta)
   select a as alfa, round(min(a * propia + (1 - a)), 6) as peor_propia, round(max(a * ajena), 6) as mejor_ajena, round(min(a * propia + (1 - a)) - max(a * ajena), 6) as hueco from l, (select unnest([{", ".join(f"{a}::double" for a in ALPHAS)}]) as a) group by a""")
 def alpha_sweep(spark, folder: str) -> DataFrame:
-    """Gap between the worst own and the best foreign score of all queries, for each weight of the dense score (the label as the other)."""
-    labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    found = dense_topk(spark, folder).where("consulta <> id").join(labels, "id").join(labels.select(F.col("id").alias("consulta"), F.col("label").alias("suya")), "consulta")
-    same = F.col("label") == F.col("suya")
-    best = found.groupBy("consulta").agg(F.max(F.when(same, F.col("denso"))).alias("propia"), F.max(F.when(~same, F.col("denso"))).alias("ajena"))
+    """Gap between the worst own and the best foreign score of all queries, for each weight of the dense score (the label as the other).
+
+    Each query's best scores are taken over all rows. The SQL looks at the 60 nearest only, so it differs where a query has no row of its label among them.
+    """
+    vectors = _labelled(spark, folder)
+    best = retrieval.best_by_label(vectors, vectors.where("id % 100 = 0"))
     each = best.select("propia", "ajena", F.explode(F.array(*map(F.lit, ALPHAS))).alias("alfa"))
     own, foreign = F.min(F.col("alfa") * F.col("propia") + (1 - F.col("alfa"))), F.max(F.col("alfa") * F.col("ajena"))
     return each.groupBy("alfa").agg(F.round(own, 6).alias("peor_propia"), F.round(foreign, 6).alias("mejor_ajena"), F.round(own - foreign, 6).alias("hueco"))
 
 
+@query()
+def alpha_sweep_hybrid(spark, folder: str) -> DataFrame:
+    """The same of the hybrid score, by language of the query's text: own and foreign best over all rows by the fusion with each alpha.
+
+    ``mejor_alfa``: whether the alpha has the language's widest gap (ties: the larger). A query without text is indeterminado.
+    """
+    vectors, texts = _labelled(spark, folder), _texts(spark, folder)
+    asked = texts.where("id % 100 = 0")
+    weights, there = retrieval.lexical(texts, asked)
+    best = retrieval.best_by_label(vectors, vectors.where("id % 100 = 0"), ALPHAS, (weights, there))
+    language = asked.select(F.col("id").alias("consulta"), tx.guessed_language(F.col("texto")).alias("idioma"))
+    found = best.join(language, "consulta", "left").withColumn("idioma", F.coalesce("idioma", F.lit("indeterminado")))
+    own, foreign = F.min("propia"), F.max("ajena")
+    gaps = found.groupBy("idioma", "alfa").agg(F.count("*").alias("consultas"), own.alias("peor_propia"), foreign.alias("mejor_ajena"), F.round(own - foreign, 6).alias("hueco"))
+    place = F.row_number().over(Window.partitionBy("idioma").orderBy(F.col("hueco").desc_nulls_last(), F.col("alfa").desc()))
+    return gaps.withColumn("mejor_alfa", (place == 1) & F.col("hueco").isNotNull())
+
+
 @query(f"""with {DENSE_SQL}, b as (select consulta, max(denso) as mejor from p where consulta <> id group by consulta)
   select min(mejor) filter (label % 2 = 0) as peor_cubierta, max(mejor) filter (label % 2 = 1) as mejor_ajena, round(min(mejor) filter (label % 2 = 0) - max(mejor) filter (label % 2 = 1), 6) as hueco,
   round((min(mejor) filter (label % 2 = 0) + max(mejor) filter (label % 2 = 1)) / 2, 6) as umbral from b join embeddings on vec_id = consulta""")
