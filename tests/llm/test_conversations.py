@@ -75,3 +75,22 @@ def test_edges(spark):
 def test_queries_equal_sql(spark, folder, duck):
     for name in C.SQL:
         same(C.QUERIES[name](spark, folder), duck, C.SQL[name])
+
+
+def test_rows_without_id_join_what_they_quote(spark, tmp_path):
+    at = lambda i: f"2026-01-01T00:00:{i:02d}Z"
+    rows = [
+        ("apertura", at(0), "a", 0, "", "Hola"), ("turno", at(1), "a", 1, "Me duele", "Espere"), ("turno", at(1), None, 1, "me  duele.", "espere"), ("turno", at(2), "a", 2, "Bien", "Vale"),
+        ("turno", "2026-01-01T01:00:01+01:00", " ", 1, "Me duele", "Espere"), ("turno", at(5), None, 4, "Solo", "Sí"), ("turno", at(5), None, 4, "solo", "sí"), ("turno", at(1), None, 2, "Me duele", "Espere"),
+        ("turno", at(7), "b", 1, "igual", "igual"), ("turno", at(7), "c", 1, "igual", "igual"), ("turno", at(7), None, 1, "igual", "igual"), ("turno", None, "d", 1, "sin", "hora"), ("turno", None, None, 1, "sin", "hora"),
+    ]
+    full = spark.createDataFrame([(t, ts, START + timedelta(seconds=i), c, n, p, a) for i, (t, ts, c, n, p, a) in enumerate(rows)], LOG)
+    full.write.parquet(f"{tmp_path}/turnos.parquet")
+    told = C.conversations(full).collect()
+    assert {r.component for r in told if r.call} == {"a", "b", "c", "d"} and all(r.component == r.call for r in told if r.call)
+    assert {(r.idx, r.patient.lower()) for r in told if not r.call and r.component == "a"} == {(1, "me  duele.")}
+    got = {(r.llamada_id, r.turno_idx, r.hablante, r.texto) for r in C.p1_sin_id(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a", 1, "paciente", "me  duele."), ("a", 1, "agente", "espere"), (None, 4, "paciente", "Solo"), (None, 4, "agente", "Sí"), (None, 2, "paciente", "Me duele"), (None, 2, "agente", "Espere"),
+        (None, 1, "paciente", "igual"), (None, 1, "agente", "igual"), (None, 1, "paciente", "sin"), (None, 1, "agente", "hora"),
+    }

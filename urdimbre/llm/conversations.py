@@ -4,11 +4,12 @@ Rows are linked, the links' connected components are the conversations, and a co
 and validated. Links:
 
 * reply: a turn answers within the call it names, so it links to that call's opening node;
-* quote: copies of one turn (same call, same ``turno_idx``) quote each other and share a node; rows without
-  a call link to the node of what they quote (same instant, turn and words).
+* quote: copies of one turn (same call, same ``turno_idx``) quote each other and share a node; every row also
+  links to what it quotes (same instant, turn and words), where a row without a call meets the call it copies.
+  What rows of several calls say at once tells nothing of the call, and a row without instant quotes nothing.
 
-Components are found with alternating large-star and small-star joins. Rows without ``llamada_id`` form
-components of their own, which belong to no call of ``llamadas``.
+Components are found with alternating large-star and small-star joins. Rows without ``llamada_id`` that quote
+no call form components of their own, which belong to no call of ``llamadas``.
 """
 
 from __future__ import annotations
@@ -74,11 +75,18 @@ def components(links: DataFrame) -> DataFrame:
             )
 
 
+def quote(instant: Column, idx: Column, *said: Column) -> Column:
+    """What a row quotes, in 128 bits: its instant, turn and words (null and empty words are one); null without instant or turn."""
+    parts = [F.unix_micros(instant), idx.cast("int"), *(F.coalesce(w, F.lit("")) for w in said)]
+    both = F.struct(F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *reversed(parts)).alias("g"))
+    return F.when(instant.isNotNull() & idx.isNotNull(), both)
+
+
 def turns(log: DataFrame) -> DataFrame:
     """One row per turn of the log: the copies of a turn pre-aggregated.
 
     Columns: ``node`` (the turn), ``call`` (plain id or null), ``idx``, ``clase`` flags, ``texto`` structs of
-    the earliest copy that says something, and whether copies differ in words. Rows whose ``tipo`` is unknown,
+    the earliest copy that says something, whether copies differ in words, and what they quote. Rows whose ``tipo`` is unknown,
     and turns without ``turno_idx``, have no place in a conversation and are left out.
     """
     kind = plain_id(F.col("tipo"))
@@ -88,26 +96,41 @@ def turns(log: DataFrame) -> DataFrame:
         F.coalesce("recibido_ts", F.lit("9999-12-31").cast("timestamp_ntz")).alias("at"), F.try_to_timestamp("ts").alias("ts"),
         F.col("transcripcion").alias("p"), F.col("respuesta").alias("a"), words(F.col("transcripcion")).alias("wp"), words(F.col("respuesta")).alias("wa"),
     ).where("idx is not null")
-    quoted = F.concat_ws("\x1f", F.lit(NO_CALL), F.coalesce(F.col("ts").cast("string"), F.lit("")), F.coalesce("wp", F.lit("")), F.coalesce("wa", F.lit("")))
+    alone = F.concat_ws("\x1f", F.lit(NO_CALL), F.coalesce(F.col("ts").cast("string"), F.lit("")), F.col("idx").cast("string"), F.coalesce("wp", F.lit("")), F.coalesce("wa", F.lit("")))
     first = lambda text, said: F.min(F.when(F.col(said).isNotNull(), F.struct("at", F.col(text).alias("text"))))["text"]
     return (
-        rows.withColumn("thread", F.coalesce("call", quoted))
+        rows.withColumn("thread", F.coalesce("call", alone)).withColumn("quote", quote(F.col("ts"), F.col("idx"), F.col("wp"), F.col("wa")))
         .groupBy("thread", "call", "idx")
         .agg(
             F.max(F.col("kind") == "apertura").alias("opens"), F.max((F.col("kind") == "turno") & F.col("wp").isNotNull()).alias("asks"),
             F.max(F.col("wa").isNotNull()).alias("answers"),
             (F.coalesce(F.min("wp") != F.max("wp"), F.lit(False)) | F.coalesce(F.min("wa") != F.max("wa"), F.lit(False))).alias("versions"),
-            first("p", "wp").alias("patient"), first("a", "wa").alias("agent"),
+            first("p", "wp").alias("patient"), first("a", "wa").alias("agent"), F.collect_set("quote").alias("quotes"),
         )
         .withColumn("node", F.concat_ws("#", "thread", "idx"))
     )
 
 
+def quote_links(told: DataFrame) -> DataFrame:
+    """Links ``u, v`` from the threads of turns to what they quote, where it joins any: of what a turn without a call
+    quotes, and not turns of several calls."""
+    quotes = told.select("thread", "call", F.explode("quotes").alias("quote"))
+    open_ = cut(quotes.where("call is null").select("quote").distinct())
+    pairs = cut(quotes.join(open_, "quote", "left_semi").distinct())
+    joins = pairs.groupBy("quote").agg(F.min("call").alias("a"), F.max("call").alias("z")).where("a is null or a = z").select("quote")
+    name = F.concat_ws("\x1e", F.lit(NO_CALL), F.col("quote.h").cast("string"), F.col("quote.g").cast("string"))
+    return pairs.join(joins, "quote").select(F.col("thread").alias("u"), name.alias("v"))
+
+
 def conversations(log: DataFrame) -> DataFrame:
-    """The turns of ``log`` with the ``component`` (conversation) that reply and quote links put them in."""
+    """The turns of ``log`` with the ``component`` (conversation) that reply and quote links put them in.
+
+    Reply links make each thread (the turns of a call, or the copies of a turn without one) a star, which stands as one
+    node in the joins. The component of turns that belong to a call, by their own id or what they quote, is the call.
+    """
     told = cut(turns(log))
-    linked = components(told.select(F.col("node").alias("u"), F.col("thread").alias("v")))
-    return told.join(linked, "node").drop("node", "thread")
+    linked = components(quote_links(told)).withColumnRenamed("node", "thread")
+    return told.join(linked, "thread", "left").withColumn("component", F.coalesce("component", "thread")).drop("node", "thread", "quotes")
 
 
 def judged(calls: DataFrame, told: DataFrame) -> DataFrame:
@@ -150,12 +173,31 @@ def p1_conversaciones(spark, folder: str) -> DataFrame:
         F.struct((2 * F.col("idx") + 1).alias("orden"), F.lit("agente").alias("hablante"), F.col("agent").alias("texto")),
     ))
     return (
-        told.where(F.col("idx") >= 0).join(whole, "component")
+        told.where((F.col("idx") >= 0) & F.col("call").isNotNull()).join(whole, "component")
         .select("llamada_id", F.col("idx").alias("turno_idx"), said.alias("s")).select("llamada_id", "turno_idx", "s.*")
         .where("texto is not null")
     )
 
 
+def p1_sin_id(spark, folder: str) -> DataFrame:
+    """Utterances of the turns without id: ``conversacion, llamada_id, turno_idx, orden, hablante, texto``.
+
+    ``llamada_id`` is the plain id of the call that a turn quotes; null where it quotes none, the turns of such a
+    ``conversacion`` being all that is known of it. ``orden``, ``hablante`` and ``texto`` as in ``p1_conversaciones``.
+    """
+    told = cut(conversations(table(spark, folder, "turnos")))
+    calls = told.where("call is not null").select("component", F.col("call").alias("llamada_id")).distinct()
+    said = F.explode(F.array(
+        F.struct((2 * F.col("idx")).alias("orden"), F.lit("paciente").alias("hablante"), F.when(~F.col("opens"), F.col("patient")).alias("texto")),
+        F.struct((2 * F.col("idx") + 1).alias("orden"), F.lit("agente").alias("hablante"), F.col("agent").alias("texto")),
+    ))
+    return (
+        told.where("call is null and idx >= 0").join(calls, "component", "left")
+        .select(F.sha2("component", 256).substr(1, 32).alias("conversacion"), "llamada_id", F.col("idx").alias("turno_idx"), said.alias("s"))
+        .select("conversacion", "llamada_id", "turno_idx", "s.*").where("texto is not null")
+    )
+
+
 WORDS_SQL = r"array_to_string(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}\p{{M}}]+'), ' ')"
 SAYS_SQL = r"coalesce(regexp_matches(regexp_replace({c}, '\([^()]*\)|\[[^\[\]]*\]|\{{[^{{}}]*\}}', ' ', 'g'), '[\p{{L}}\p{{N}}]'), false)"
 TOLD_SQL = f"""
@@ -187,4 +229,4 @@ from vueltas join estado using (id) where entera and idx >= 0 and not abre and p
 union all
 select llamada_id, idx, 2 * idx + 1, 'agente', agente from vueltas join estado using (id) where entera and idx >= 0 and agente is not null""",
 }
-QUERIES = {"p1_found": p1_found, "p1_conversaciones": p1_conversaciones}
+QUERIES = {"p1_found": p1_found, "p1_conversaciones": p1_conversaciones, "p1_sin_id": p1_sin_id}
