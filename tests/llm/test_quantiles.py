@@ -72,3 +72,17 @@ def test_turns_count_once(spark, folder, duck):
     assert got == dict(want)
     total = {r.medida: r.n for r in Q.p3_total_de_dias(spark, folder).collect()}
     assert set(total) == set(Q.MEASURES)
+
+
+def test_copies_without_id_count_once(spark):
+    spans = ", ".join(f"{m} double" for m in Q.MEASURES[2:])
+    kind = f"tipo string, ts string, recibido_ts timestamp, llamada_id string, turno_idx int, latencia_ms struct<cliente_fin_habla_a_audio double, cliente_origen string, servidor_total double, spans struct<{spans}>>, transcripcion string, respuesta string"
+    rows = [
+        ("a", "2026-01-01T10:00:00Z", 1, "Me duele", "Espere"), (None, "2026-01-01T11:00:00+01:00", 1, "me duele.", "Espere"), (" ", "2026-01-01T10:00:00Z", 1, "Me duele", "Espere"),
+        (None, "2026-01-01T10:00:00Z", 1, "Otra cosa", "Espere"), (None, "2026-01-01T10:00:00Z", 2, "Me duele", "Espere"), ("b", "2026-01-01T12:00:00Z", 1, "x", "y"), ("c", "2026-01-01T12:00:00Z", 1, "x", "y"), (None, "2026-01-01T12:00:00Z", 1, "x", "y"),
+        (None, None, 1, "Me duele", "Espere"),
+    ]
+    log = spark.createDataFrame([("turno", ts, None, c, n, (100.0, None, 5.0, (1.0,) * 6), p, a) for c, ts, n, p, a in rows], kind)
+    got = sorted((str(r.llamada_id), str(r.dia)) for r in Q.measured_turns(log).collect())
+    day = "2026-01-01"
+    assert got == sorted([("a", day), ("None", day), ("None", day), ("b", day), ("c", day), ("None", day), ("None", "None")])

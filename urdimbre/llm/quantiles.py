@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urdimbre.llm.conversations import NO_CALL, plain_id
+from urdimbre.llm.conversations import NO_CALL, plain_id, quote, words
 from urdimbre.plans.lineage import cut, table
 
 LEVELS, EXACT, DEPTH, WIDTH = 20, 10, 5, 1024
@@ -288,19 +288,37 @@ def percentiles(state: DataFrame, wanted: dict[str, float] | None = None) -> Dat
     return state.select(*ARROW_STATE.names).mapInArrow(read_ranks(wanted), "agrupacion string, grupo string, medida string, n bigint, " + ", ".join(f"{k} double" for k in wanted))
 
 
+def with_calls(turns: DataFrame) -> DataFrame:
+    """Rows of turns with ``call``: their plain id; without one, the call of the row with the same instant, turn and words.
+
+    Rows that say the same in several calls tell nothing of the call: it stays null. Only rows at the instant and turn
+    of a row without id are looked at, and only the rows without id are joined.
+    """
+    at = F.try_to_timestamp("ts")
+    rows = turns.withColumn("call", plain_id(F.col("llamada_id")))
+    said = quote(F.col("instante"), F.col("turno_idx"), words(F.col("transcripcion")), words(F.col("respuesta")))
+    lost = rows.where("call is null")
+    asked = cut(lost.select(at.alias("instante"), "turno_idx").where("instante is not null and turno_idx is not null").distinct())
+    named = rows.where("call is not null").select("call", at.alias("instante"), "turno_idx", "transcripcion", "respuesta").join(asked, ["instante", "turno_idx"], "left_semi")
+    known = named.select("call", said.alias("dicho")).groupBy("dicho").agg(F.min("call").alias("a"), F.max("call").alias("z")).where("a = z").select("dicho", F.col("a").alias("de"))
+    found = lost.withColumn("instante", at).withColumn("dicho", said).join(cut(known), "dicho", "left").withColumn("call", F.col("de"))
+    return rows.where("call is not null").unionByName(found.select(*rows.columns))
+
+
 def measured_turns(log: DataFrame) -> DataFrame:
     """One row per turn with its ``llamada_id``, ``dia`` (UTC day of ``ts``), ``cliente_origen`` and coded measures.
 
     Copies of a turn count once: of each measure the first usable value received is taken (ties by
-    millisecond: the smallest). A null ``cliente_origen`` means navegador. Turns without a call are told apart by
-    ``ts`` and ``turno_idx``; they count for days and origins, not for a call. Only rows of ``tipo`` turno count.
+    millisecond: the smallest). A null ``cliente_origen`` means navegador. Copies that lost their id go
+    to the call of the turn they copy; turns without any call are told apart by ``ts`` and ``turno_idx`` and count for days
+    and origins, not for a call. Only rows of ``tipo`` turno count.
     """
     spans = "latencia_ms.spans."
     source = {m: F.col(f"latencia_ms.{m}" if i < 2 else spans + m) for i, m in enumerate(MEASURES)}
     at = F.coalesce(F.unix_millis(F.col("recibido_ts").cast("timestamp")), F.lit((1 << 42) - 1))
     ts = F.try_to_timestamp("ts")
-    rows = log.where(plain_id(F.col("tipo")) == "turno").select(
-        F.coalesce(plain_id(F.col("llamada_id")), F.concat(F.lit(NO_CALL), F.coalesce("ts", F.lit("")))).alias("call"), F.coalesce("turno_idx", F.lit(-1)).alias("idx"),
+    rows = with_calls(log.where(plain_id(F.col("tipo")) == "turno").select("llamada_id", "turno_idx", "ts", "recibido_ts", "latencia_ms", "transcripcion", "respuesta")).select(
+        F.coalesce("call", F.concat(F.lit(NO_CALL), F.coalesce(ts.cast("string"), "ts", F.lit("")))).alias("call"), F.coalesce("turno_idx", F.lit(-1)).alias("idx"),
         F.struct(at.alias("at"), F.coalesce("latencia_ms.cliente_origen", F.lit("navegador")).alias("v")).alias("origin"),
         (F.shiftleft(at, LEVELS) + F.unix_date(ts.cast("date"))).alias("day"), *((F.shiftleft(at, LEVELS) + code(c)).alias(m) for m, c in source.items()),
     )
