@@ -88,3 +88,12 @@ def test_running_lines_are_no_lines_of_text(spark):
     pages = [("d", i, f"{wide if i < 3 else 'Otra cosa'}\n{body}\nfin.") for i in range(1, 6)] + [("e", i, f"{'Guía de casa' if i in (2, 4) else 'y sigue'}\n{body}\nfin.") for i in range(1, 6)]
     got = {(r.documento_id, r.numero) for r in S.furniture(spark.createDataFrame(pages, "documento_id string, numero int, texto string")).collect()}
     assert got == {("d", 3), ("d", 4), ("d", 5), ("e", 2), ("e", 4)}
+
+
+def test_words_beside_tell_the_line_of_a_misreading(spark):
+    """Of two corrections of a divided word, the one that follows "luna" elsewhere decides which of its lines is misread."""
+    body = "\n".join(["brilla luna caradoea siempre"] * 3)
+    pages = spark.createDataFrame([("d", 1, f"ayer vimos luna cara-\ndoca otra vez\n{body}")], "documento_id string, numero int, texto string")
+    clean = spark.createDataFrame([("brilla luna siempre ayer vimos otra vez caradoea.",), ("earadoca earadoca",), ("earadoca earadoca earadoca",)] * 40, "texto string")
+    chunks = spark.createDataFrame([], "id string, documento_id string, texto string")
+    assert sorted((r.linea, r.tipo) for r in S.noisy_lines(pages, chunks, clean).collect()) == [(0, "guion"), (1, "caracter")]

@@ -292,15 +292,18 @@ def _seams(trusted) -> Callable:
                     opening = OPENING.match(line) if tail or k == 0 else None
                     if opening and not any(c.isalpha() or c == "@" for c in opening.group(1)):
                         opening = None
+                    beyond = next(iter(line[opening.end() :].lower().split()), "").strip(PUNCTUATION) if opening else ""
                     if k == 0 and opening:
-                        out.append((doc, number, "cabeza", i, i, opening.group(1), "", "", "", ""))
+                        out.append((doc, number, "cabeza", i, i, opening.group(1), "", "", "", beyond))
                     if tail and opening:
-                        out.append((doc, number, "guion", tail[0], i, tail[1], opening.group(1), tail[2], "", ""))
+                        out.append((doc, number, "guion", tail[0], i, tail[1], opening.group(1), *tail[2:], beyond))
                         start = opening.end()
                     divided = division(line)
-                    tail = (i, divided.group(1), divided.group(2)) if divided else None
+                    tail = None
                     if divided:
                         end = divided.start()
+                        ahead = line[:end].lower().rsplit(None, 1)
+                        tail = (i, divided.group(1), divided.group(2), ahead[-1].strip(PUNCTUATION) if ahead else "")
                     body = line[start:end].lower()
                     tokens = body.split() if any(t in body for t in odd) or start else ()
                     for at, token in enumerate(tokens):
@@ -310,7 +313,7 @@ def _seams(trusted) -> Callable:
                                     beside = (tokens[j].strip(PUNCTUATION) if 0 <= j < len(tokens) else "" for j in (at - 1, at + 1))
                                     out.append((doc, number, "palabra", i, i, w, "", "", *beside))
                 if tail:
-                    out.append((doc, number, "cola", tail[0], tail[0], tail[1], "", tail[2], "", ""))
+                    out.append((doc, number, "cola", tail[0], tail[0], tail[1], "", *tail[2:], ""))
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 10, kinds)], names=["documento_id", "numero", "clase", "linea", "siguiente", "a", "b", "signo", "antes", "despues"])
 
@@ -348,17 +351,17 @@ def noise(pages: DataFrame, clean: DataFrame | None, context: bool = False) -> d
     seams = cut(page.mapInArrow(_seams(trusted), SEAMS))
     over = (
         seams.where("clase = 'cola'").join(following(seams_pages(page)).withColumnRenamed("despues", "luego"), ["documento_id", "numero"])
-        .join(seams.where("clase = 'cabeza'").select("documento_id", F.col("numero").alias("luego"), F.col("linea").alias("l"), F.col("a").alias("inicio")), ["documento_id", "luego"])
-        .select("documento_id", "numero", F.col("luego").alias("pagina"), "linea", F.col("l").alias("siguiente"), "a", F.col("inicio").alias("b"), "signo")
+        .join(seams.where("clase = 'cabeza'").select("documento_id", F.col("numero").alias("luego"), F.col("linea").alias("l"), F.col("a").alias("inicio"), F.col("despues").alias("tras")), ["documento_id", "luego"])
+        .select("documento_id", "numero", F.col("luego").alias("pagina"), "linea", F.col("l").alias("siguiente"), "a", F.col("inicio").alias("b"), "signo", "antes", F.col("tras").alias("despues"))
     )
-    within = seams.where("clase = 'guion'").select("documento_id", "numero", F.col("numero").alias("pagina"), "linea", "siguiente", "a", "b", "signo")
+    within = seams.where("clase = 'guion'").select("documento_id", "numero", F.col("numero").alias("pagina"), "linea", "siguiente", "a", "b", "signo", "antes", "despues")
     divided = within.union(over).withColumn("junta", F.lower(F.concat("a", "b"))).withColumn("compuesta", F.lower(F.concat("a", F.lit("-"), "b")))
     lexicon = spark.createDataFrame([(r["palabra"], r["n"]) for r in known], "palabra string, n bigint")
     seen = lambda c, name: lexicon.select(F.col("palabra").alias(c), F.col("n").alias(name))
     divided = divided.join(seen("junta", "nj"), "junta", "left").join(seen("compuesta", "nc"), "compuesta", "left")
     divided = cut(divided.where((F.col("signo") != "-") | (F.coalesce("nj", F.lit(0)) >= F.coalesce("nc", F.lit(0)))))
     words = seams.where("clase = 'palabra'").select("documento_id", "numero", "linea", F.col("a").alias("palabra"), F.lit(0).alias("corte"), F.lit(None).cast("int").alias("pagina"), F.lit(None).cast("int").alias("siguiente"), "antes", "despues")
-    parts = divided.select("documento_id", "numero", "linea", F.col("junta").alias("palabra"), F.length("a").alias("corte"), "pagina", "siguiente", F.lit("").alias("antes"), F.lit("").alias("despues"))
+    parts = divided.select("documento_id", "numero", "linea", F.col("junta").alias("palabra"), F.length("a").alias("corte"), "pagina", "siguiente", "antes", "despues")
     # Hyphenated words whose own hyphen ends the line, and pages' first and last halves that nothing joins, stay as they are.
     every = words.union(parts)
     distinct = every.groupBy("palabra").agg(F.count("*").alias("n"))
@@ -419,7 +422,7 @@ def noisy_lines(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) ->
     cuts = chunks.select("id", "documento_id", "texto").where("id is not null and texto is not null")
     named = pages.where("texto is not null and numero is not null").select("documento_id").distinct()
     alone = cuts.join(named, "documento_id", "left_anti").select(F.concat(F.lit("\x01"), "id").alias("documento_id"), F.lit(1).alias("numero"), "texto")
-    found = noise(cut(distinct_pages(pages.select("documento_id", "numero", "texto").union(alone))), clean)
+    found = noise(cut(distinct_pages(pages.select("documento_id", "numero", "texto").union(alone))), clean, context=True)
     lines = cut(found["lineas"])
     of_pages = lines.where(~F.col("documento_id").startswith("\x01")).select(F.lit("paginas").alias("tabla"), F.concat_ws(":", "documento_id", F.col("numero").cast("string")).alias("clave"), "linea", "tipo")
     of_alone = lines.where(F.col("documento_id").startswith("\x01")).select(F.lit("trozos").alias("tabla"), F.expr("substring(documento_id, 2)").alias("clave"), "linea", "tipo")
