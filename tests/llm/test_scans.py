@@ -1,8 +1,10 @@
 import itertools
+import random
 
 import pytest
 
 from urdimbre.llm import scans as S
+from urdimbre.llm.automaton import Trie, scripts
 
 
 @pytest.mark.parametrize(
@@ -21,24 +23,26 @@ def test_title_keys_survive_misreading():
         assert S.title_key(line) is None
 
 
-def test_trie_finds_all_within_two_misreadings():
-    words = ["paciente", "dernier", "demier", "informe", "salvo", "médico", "painkiller", "confirme", "primera", "casa"]
-    trie = S.Trie(dict.fromkeys(words, 10))
+def test_automata_find_all_within_two_edits():
+    """Against the plain recursion over every vocabulary word: insertions, deletions, substitutions and look-alike pairs."""
+    rng = random.Random(4)
+    words = ["paciente", "pacientes", "dernier", "demier", "informe", "salvo", "médico", "casa", "cosa", "ñ", "a", "", "herida", "hospital", "x" * 70, *("".join(rng.choice("abcdlnrmu") for _ in range(rng.randrange(1, 7))) for _ in range(150))]
+    trie = Trie(words)
+    asked = ["paciete", "pacientte", "hospitel", "horida", "pacienta", "hérida", "pacicnte", "derner", "clemier", "infonne", "riz", "", "zzzzz", "x" * 69 + "y", *("".join(rng.choice("abcdlnrmu") for _ in range(rng.randrange(0, 7))) for _ in range(150))]
+    got = {}
+    for q, w, edits in trie.within(asked):
+        for a, b, e in zip(q, w, edits):
+            got[asked[a], trie.words[b]] = int(e)
+    for w in asked:
+        for v in set(words) - {""}:
+            ways = scripts(v, w, 2)
+            assert got.get((w, v)) == (len(ways[0]) if ways else None), (w, v)
+    assert {v for (w, v) in got if w == "paciete"} == {"paciente", "pacientes"} and list(Trie([]).within(["a"]))[0][0].size == 0
 
-    def misread(word):
-        for i in range(len(word)):
-            for right, wrongs in S.MISREAD.items():
-                if word.startswith(right, i):
-                    for wrong in wrongs:
-                        yield word[:i] + wrong + word[i + len(right) :], i + len(wrong)
 
-    for word in words:
-        for once, at in misread(word):
-            assert once == word or word in trie.within(once)
-            for twice, at2 in misread(once):
-                if at2 > at + 2 and once[:at] == twice[:at]:
-                    assert twice == word or word in trie.within(twice)
-    assert trie.within("zzz") == {} and trie.within("") == {}
+def test_scripts():
+    assert scripts("primera", "pnmera", 2) == [("ri>n",)] and scripts("casa", "casa", 2) == [()]
+    assert scripts("modo", "rnocio", 2) == [] and ("m>rn", "d>cl") in scripts("modo", "rnoclo", 2)
 
 
 def build(spark):
@@ -97,3 +101,24 @@ def test_words_beside_tell_the_line_of_a_misreading(spark):
     clean = spark.createDataFrame([("brilla luna siempre ayer vimos otra vez caradoea.",), ("earadoca earadoca",), ("earadoca earadoca earadoca",)] * 40, "texto string")
     chunks = spark.createDataFrame([], "id string, documento_id string, texto string")
     assert sorted((r.linea, r.tipo) for r in S.noisy_lines(pages, chunks, clean).collect()) == [(0, "guion"), (1, "caracter")]
+
+
+def test_only_systematic_edits_are_misreadings(spark):
+    """An edit that many words show is learnt; a rare word that only chance brings near another stays."""
+    right = [f"{a}n{b}" for a in ("casa", "mes", "lla", "ro", "tri", "go") for b in ("te", "do", "ra", "li")]
+    read = [w.replace("n", "u", 1) for w in right[:12]] + ["casanfe"]
+    known = spark.createDataFrame([(w, 100) for w in right] + [(f"otra{chr(97 + i % 26)}{chr(97 + i // 26)}", 50) for i in range(300)], "palabra string, n bigint")
+    unknown = spark.createDataFrame([(w, 1) for w in [*read, "casaute-mesndo", "otrazz", "goun"]], "palabra string, n bigint")
+    got = {r.palabra: r.correcta for r in S.candidates(unknown, known).collect()}
+    assert {w: got.get(w) for w in read[:12]} == dict(zip(read[:12], right[:12]))
+    assert got["casaute-mesndo"] == "casante-mesndo" if "mesndo" in right else "casaute-mesndo" in got and "otrazz" not in got
+
+
+def test_equal_lines_with_different_noise(spark):
+    """A line that is a page number on one page and text on another is told by the page that the chunk starts on; a changed line judges its chunk by itself."""
+    body = "El paciente descansa en casa y toma agua\n"
+    pages = [("d", 1, f"{body}12\n{body}fin de la hoja\n1"), ("d", 2, f"{body * 3}2"), ("d", 12, f"{body * 3}12"), ("d", 13, f"{body * 3}13")]
+    chunks = [("c1", "d", 1, f"{body}12\n{body}"), ("c2", "d", 12, f"{body}12"), ("c3", "d", 2, f"El pacieute descansa\n{body}")]
+    clean = spark.createDataFrame([(body + "fin de la hoja El paciente descansa nunca antes",)] * 40, "texto string")
+    got = sorted((r.clave, r.linea, r.tipo) for r in S.noisy_lines(spark.createDataFrame(pages, "documento_id string, numero int, texto string"), spark.createDataFrame(chunks, "id string, documento_id string, pagina int, texto string"), clean).where("tabla = 'trozos'").collect())
+    assert ("c2", 1, "folio") in got and ("c3", 0, "caracter") in got and not [x for x in got if x[0] == "c1" and x[2] == "folio"]

@@ -8,11 +8,11 @@ and the distance to the number of the page repeat in the document.
 Divided words. A text line that ends in a hyphen goes on in the next text line, which furniture or the end of
 the page may part from it; a hyphen stays if the hyphenated word is the commoner one elsewhere.
 
-Misread words. The vocabulary holds the words of clean texts and the frequent words of the pages; as every word
-in it is a given share of all, its size is bounded. Words outside it are looked up with a Levenshtein automaton
-whose edits are misreadings of shapes (one character for another, one for two, two for one), run over a trie
-of the vocabulary: it finds every word within two such edits. Candidates are ranked by their count, the edits
-and the words beside them.
+Misread words. The vocabulary holds the words of clean texts and those that pages repeat. Words outside it are
+looked up with Levenshtein automata intersected with a trie of the vocabulary (``automaton``): every word within two
+insertions, deletions, substitutions or look-alike pairs is found. Which edits scanners make is learnt from the data: an
+edit is systematic if it explains a fair share of the words that it could happen to. Candidates are ranked by their
+count, how often their edits happen, and the words beside them.
 """
 
 from __future__ import annotations
@@ -20,31 +20,34 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from math import log
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from urdimbre.llm.automaton import Trie, scripts
 from urdimbre.operators.sequences import running_sum
 from urdimbre.plans.lineage import cut, table
 
-#: Shapes (left) and what scanners misread them as.
-MISREAD = {
-    "a": "@", "b": "6h", "c": "e", "e": "c", "f": "t", "g": "9q", "h": "b", "i": "l1", "l": "1i", "n": "u", "o": "0", "q": "g9",
-    "s": "5", "t": "f", "u": "n", "z": "2", "ó": "6o", "é": "6e", "í": "1il", "ò": "6o", "í": "1", "à": "@",
-    "m": ["rn"], "d": ["cl", "el"], "ç": "g", "w": ["vv"], "v": ["\\/"], "ri": "n", "rn": "m", "cl": "d", "fi": "ﬁ", "fl": "ﬂ", "ll": "u", "vv": "w",
-}
 #: Words that stand beside a page number.
 PAGE_WORDS = ("página", "page", "seite", "pagina", "pág", "pag", "p", "s", "pg", "folio", "hoja", "blatt")
 OF_WORDS = ("de", "of", "von", "sur", "di")
 HYPHENS = "-‐\xad¬"
-#: Share of all words from which a word is frequent or blessed by the clean texts (so at most a million are each), and the least times of the latter.
-FREQUENT, BLESSED = 1e-6, 3
+#: Words with signs or figures among letters, which no right word has.
+ODD = regex.compile(r"[@\\ﬁﬂ]|(?<=\p{L})\p{N}|\p{N}(?=\p{L})")
+#: Times that clean texts have a word which isn't misread, and that pages have a word which may be the right one.
+BLESSED, PAGED = 3, 5
+#: Share of all clean words from which a word is looked up in each task, so at most 200,000 are; rarer ones are joined.
+COMMON = 5e-6
 #: A misread word is seen at most this share of the times of the right one.
 RARER = 0.1
+#: Share of the words it could happen to that a systematic edit is seen in; words that are added to them against chance; times a word is seen to count.
+SYSTEMATIC, SMOOTH, SEEN = 0.01, 20, 10
+#: Vocabulary words in the trie of a task, and words that walk it.
+SLICE, WALKED = 200_000, 20_000
 EDGE = 2
 
 WORD = re.compile(r"(?:[\w@]+|\\/)+(?:-(?:[\w@]+|\\/)+)*")
@@ -189,83 +192,82 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(pages: DataFrame, clean: DataFrame | None) -> DataFrame:
-    """``palabra, n, limpia``: words of clean texts (``texto``) and frequent words of marked pages."""
+    """``palabra, n, c``: how often marked pages and clean texts (``texto``) have each word with a letter."""
     paged = word_counts(pages).withColumn("c", F.lit(0).cast("bigint"))
-    both = paged
     if clean is not None:
-        both = paged.union(word_counts(clean.select("texto", F.array().cast("array<int>").alias("fuera"))).select("palabra", F.lit(0).cast("bigint"), F.col("n")))
-    counts = cut(both.groupBy("palabra").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where(F.col("palabra").rlike(r"[\p{L}@]")))
-    total = counts.agg(F.sum("n").alias("n"), F.sum("c").alias("c")).first()
-    blessed = F.col("c") >= max(BLESSED, FREQUENT * (total["c"] or 0))
-    frequent = F.col("n") >= max(2, FREQUENT * (total["n"] or 0))
-    return counts.where(blessed | frequent).select("palabra", (F.col("n") + F.col("c")).alias("n"), blessed.alias("limpia"))
-
-
-class Trie:
-    """Trie of a vocabulary, intersected with the automaton of misreadings of a word."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.counts, self.root = counts, {}
-        for w in counts:
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-        self.edits: dict[str, list[tuple[str, str]]] = {}
-        for right, wrongs in MISREAD.items():
-            for wrong in wrongs:
-                self.edits.setdefault(right[0], []).append((right, wrong))
-
-    def within(self, word: str, most: int = 2) -> dict[str, int]:
-        """Vocabulary words of which ``word`` is a misreading, with the least number of edits."""
-        found: dict[str, int] = {}
-        states = [(self.root, 0, 0)]  # trie node, characters of the word read, edits made
-        while states:
-            node, i, edits = states.pop()
-            if i == len(word):
-                if "" in node and found.get(node[""], 9) > edits:
-                    found[node[""]] = edits
-                continue
-            if word[i] in node:
-                states.append((node[word[i]], i + 1, edits))
-            if edits < most:
-                for c, below in node.items():
-                    for right, wrong in self.edits.get(c, ()) if c else ():
-                        if word.startswith(wrong, i):
-                            after = below
-                            for x in right[1:]:
-                                after = after.get(x) if after else None
-                            if after:
-                                states.append((after, i + len(wrong), edits + 1))
-        found.pop(word, None)
-        return found
-
-
-def _candidates(vocabulary) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(vocabulary.value)
-        for b in batches:
-            words, right, score = [], [], []
-            for w, n in zip(b.column("palabra").to_pylist(), b.column("n").to_pylist()):
-                parts = regex.split("-", w)
-                if len(parts) > 1:  # a hyphenated word is misread if one of its parts is
-                    fixed = [p if p in trie.counts else max(trie.within(p), key=lambda x: (trie.counts[x], x), default=None) for p in parts]
-                    if all(fixed) and fixed != parts:
-                        words.append(w), right.append("-".join(fixed)), score.append(0.0)
-                    continue
-                odd = bool(regex.search(r"[@\\ﬁﬂ]|(?<=\p{L})\p{N}|\p{N}(?=\p{L})", w))
-                for c, edits in trie.within(w).items():
-                    if n <= trie.counts[c] * (1 if odd else RARER):
-                        words.append(w), right.append(c), score.append(log(trie.counts[c]) - 4.0 * edits)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(right, pa.string()), pa.array(score, pa.float64())], names=["palabra", "correcta", "puntos"])
+        told = word_counts(clean.select("texto", F.array().cast("array<int>").alias("fuera")))
+        paged = paged.union(told.select("palabra", F.lit(0).cast("bigint"), F.col("n")))
+    return paged.groupBy("palabra").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).where(F.col("palabra").rlike(r"[\p{L}@]"))
+
+
+def _retrieve(unknown: pa.Table, known: pa.Table) -> pa.Table:
+    """Pairs of a word and a vocabulary word that it may be a misreading of, with the edits between them."""
+    words, times = unknown.column("palabra").to_pylist(), unknown.column("n").to_numpy()
+    trie = Trie(known.column("palabra").to_pylist())
+    counts = dict(zip(known.column("palabra").to_pylist(), known.column("n").to_pylist()))
+    of = np.array([counts[w] for w in trie.words], np.int64)
+    most = np.array([1.0 if ODD.search(w) else RARER for w in words])
+    out: list[tuple] = []
+    for q, w, edits in trie.within(words):
+        keep = (edits > 0) & (times[q] <= of[w] * most[q])
+        for a, b, e in zip(q[keep].tolist(), w[keep].tolist(), edits[keep].tolist()):
+            out.append((words[a], trie.words[b], int(of[b]), e, scripts(trie.words[b], words[a], e)))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.string()))))], names=["palabra", "correcta", "veces", "ediciones", "guiones"])
+
+
+def retrieved(unknown: DataFrame, known: DataFrame) -> DataFrame:
+    """``palabra, correcta, veces, ediciones, guiones``: for each distinct word ``palabra, n`` every vocabulary word ``palabra, n``
+    that is at most two edits away and common enough, with all shortest ways from it to the word.
+
+    The vocabulary is cut into tries of about ``SLICE`` words and the words into blocks; each task walks one block down one trie.
+    """
+    slices = 1 + known.count() // SLICE
+    many = unknown.count()
+    blocks = max(1 + many // WALKED, min(unknown.sparkSession.sparkContext.defaultParallelism, 1 + many // 500))
+    each = unknown.select("palabra", "n", F.pmod(F.xxhash64("palabra"), F.lit(blocks)).alias("bloque"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("tramo"))
+    words = known.select("palabra", "n", F.pmod(F.xxhash64("palabra"), F.lit(slices)).alias("tramo"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bloque"))
+    return each.groupBy("bloque", "tramo").cogroup(words.groupBy("bloque", "tramo")).applyInArrow(_retrieve, "palabra string, correcta string, veces bigint, ediciones int, guiones array<array<string>>")
+
+
+def edit_rates(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """``edicion, tasa`` of the systematic edits: the share of the words having its right part that are seen with it.
+
+    Learnt from words one edit from the vocabulary; a word with several such candidates counts for each in part.
+    """
+    one = pairs.where("ediciones = 1")
+    share = one.join(one.groupBy("palabra").agg((1 / F.count("*")).alias("parte")), "palabra")
+    held = share.select("correcta", "parte", F.explode(F.flatten("guiones")).alias("edicion")).groupBy("edicion", "correcta").agg(F.max("parte").alias("parte"))
+    seen = held.groupBy("edicion").agg(F.sum("parte").alias("vistas")).withColumn("de", F.substring_index("edicion", ">", 1))
+    places = F.transform(F.sequence(F.lit(1), F.length("palabra")), lambda i: F.array(F.substring(F.col("palabra"), i, F.lit(1)), F.substring(F.col("palabra"), i, F.lit(2))))
+    parts = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(places)))).alias("de")
+    could = known.where(F.col("n") >= SEEN).select(parts).groupBy("de").agg(F.count("*").alias("posibles"))
+    rate = F.col("vistas") / (F.col("posibles") + SMOOTH)
+    return seen.join(could, "de").select("edicion", rate.alias("tasa")).where(F.col("tasa") >= SYSTEMATIC)
 
-    return run
 
+def candidates(unknown: DataFrame, known: DataFrame) -> DataFrame:
+    """``palabra, correcta, puntos``: all that each distinct word ``palabra, n`` may be a misreading of by systematic edits.
 
-def candidates(unknown: DataFrame, known: dict[str, int]) -> DataFrame:
-    """``palabra, correcta, puntos``: all that each distinct word ``palabra, n`` may be a misreading of."""
-    vocabulary = unknown.sparkSession.sparkContext.broadcast(known)
-    return unknown.select("palabra", "n").mapInArrow(_candidates(vocabulary), "palabra string, correcta string, puntos double")
+    A word with hyphens is misread if one of its parts is and the others are known; it has one candidate, of the likeliest parts.
+    """
+    inner = unknown.where("instr(palabra, '-') > 0").select("palabra", "n", F.posexplode(F.split("palabra", "-")).alias("k", "parte"))
+    parts = inner.groupBy(F.col("parte").alias("palabra")).agg(F.sum("n").alias("n")).join(known.select("palabra"), "palabra", "left_anti").where("palabra <> ''")
+    whole = unknown.where("instr(palabra, '-') = 0").select("palabra", "n")
+    words = cut(whole.union(parts).groupBy("palabra").agg(F.sum("n").alias("n")))
+    pairs = cut(retrieved(words, known))
+    rates = edit_rates(pairs, known)
+    ways = pairs.select("palabra", "correcta", "veces", F.posexplode("guiones").alias("g", "guion"))
+    costs = ways.select("*", F.explode("guion").alias("edicion")).join(rates, "edicion").groupBy("palabra", "correcta", "veces", "g").agg(F.first(F.size("guion")).alias("todas"), F.count("*").alias("sabidas"), F.sum(F.log("tasa")).alias("peso"))
+    scored = costs.where("sabidas = todas").groupBy("palabra", "correcta").agg((F.max("peso") + F.log(F.first("veces"))).alias("puntos"))
+    scored = cut(scored)
+    best = scored.groupBy(F.col("palabra").alias("parte")).agg(F.max_by("correcta", F.struct("puntos", "correcta")).alias("correcta"))
+    known_part = known.select(F.col("palabra").alias("parte"), F.lit(True).alias("sabida"))
+    mended = (
+        inner.join(known_part, "parte", "left").join(best, "parte", "left").withColumn("buena", F.when(F.col("sabida"), F.col("parte")).otherwise(F.col("correcta")))
+        .groupBy("palabra").agg(F.array_sort(F.collect_list(F.struct("k", "buena"))).alias("ps"), F.count_if(F.col("buena").isNull()).alias("faltan"))
+        .where("faltan = 0").select("palabra", F.array_join(F.transform("ps", lambda p: p["buena"]), "-").alias("correcta"), F.lit(0.0).alias("puntos")).where("palabra <> correcta")
+    )
+    return scored.join(whole.select("palabra"), "palabra", "left_semi").union(mended)
 
 
 def _seams(trusted) -> Callable:
@@ -336,8 +338,8 @@ def following(pages: DataFrame) -> DataFrame:
     return full.withColumn("propia", own).join(firsts, ["documento_id", "tramo"]).select("documento_id", "numero", F.coalesce("propia", "luego").alias("despues"))
 
 
-def noise(pages: DataFrame, clean: DataFrame | None, context: bool = False) -> dict[str, DataFrame]:
-    """What is wrong with the distinct ``pages``; with ``context``, corrections are ranked by the words beside them too.
+def noise(pages: DataFrame, clean: DataFrame | None) -> dict[str, DataFrame]:
+    """What is wrong with the distinct ``pages``.
 
     ``lineas``: documento_id, numero, linea, tipo (cabecera, folio, guion, caracter). ``divididas``: the divided words,
     with the page and line that each goes on in. ``palabras``: documento_id, numero, linea, palabra, correcta of misread words.
@@ -345,9 +347,12 @@ def noise(pages: DataFrame, clean: DataFrame | None, context: bool = False) -> d
     spark = pages.sparkSession
     found = cut(furniture(pages))
     page = cut(marked(pages, found))
-    known = vocabulary(page, clean).collect()  # bounded: each word is a given share of all
-    counts = {r["palabra"]: r["n"] for r in known}
-    trusted = spark.sparkContext.broadcast({r["palabra"] for r in known if r["limpia"]})
+    counts = cut(vocabulary(page, clean))
+    blessed = counts.where(F.col("c") >= BLESSED).select("palabra")
+    lexicon = counts.where((F.col("c") >= BLESSED) | (F.col("n") >= PAGED)).select("palabra", (F.col("n") + F.col("c")).alias("n"))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    # At most 1 / COMMON words; the others are told apart by a join.
+    trusted = spark.sparkContext.broadcast({r["palabra"] for r in counts.where(F.col("c") >= max(BLESSED, COMMON * total)).select("palabra").collect()})
     seams = cut(page.mapInArrow(_seams(trusted), SEAMS))
     over = (
         seams.where("clase = 'cola'").join(following(seams_pages(page)).withColumnRenamed("despues", "luego"), ["documento_id", "numero"])
@@ -356,7 +361,6 @@ def noise(pages: DataFrame, clean: DataFrame | None, context: bool = False) -> d
     )
     within = seams.where("clase = 'guion'").select("documento_id", "numero", F.col("numero").alias("pagina"), "linea", "siguiente", "a", "b", "signo", "antes", "despues")
     divided = within.union(over).withColumn("junta", F.lower(F.concat("a", "b"))).withColumn("compuesta", F.lower(F.concat("a", F.lit("-"), "b")))
-    lexicon = spark.createDataFrame([(r["palabra"], r["n"]) for r in known], "palabra string, n bigint")
     seen = lambda c, name: lexicon.select(F.col("palabra").alias(c), F.col("n").alias(name))
     divided = divided.join(seen("junta", "nj"), "junta", "left").join(seen("compuesta", "nc"), "compuesta", "left")
     divided = cut(divided.where((F.col("signo") != "-") | (F.coalesce("nj", F.lit(0)) >= F.coalesce("nc", F.lit(0)))))
@@ -364,42 +368,38 @@ def noise(pages: DataFrame, clean: DataFrame | None, context: bool = False) -> d
     parts = divided.select("documento_id", "numero", "linea", F.col("junta").alias("palabra"), F.length("a").alias("corte"), "pagina", "siguiente", "antes", "despues")
     # Hyphenated words whose own hyphen ends the line, and pages' first and last halves that nothing joins, stay as they are.
     every = words.union(parts)
-    distinct = every.groupBy("palabra").agg(F.count("*").alias("n"))
-    choices = cut(candidates(distinct, counts))
     # A word that clean texts have isn't misread; a divided one is on the line of the part that differs.
-    blessed = lexicon_blessed(spark, known)
-    if context:
-        own = every.where("antes <> '' or despues <> ''").select("antes", "palabra", "despues").distinct().join(choices, "palabra")
-        before, after = (neighbours(page).select(F.col(x).alias(c), F.col(y).alias("correcta"), F.col("n").alias(f"n_{c}")) for c, x, y in (("antes", "a", "b"), ("despues", "b", "a")))
-        ranked = own.join(before, ["antes", "correcta"], "left").join(after, ["despues", "correcta"], "left")
-        beside = sum(BESIDE * F.log1p(F.coalesce(f"n_{c}", F.lit(0))) for c in ("antes", "despues"))
-        told = ranked.groupBy("antes", "palabra", "despues").agg(F.max_by("correcta", F.struct(F.col("puntos") + beside, "correcta")).alias("dicha"))
-        every = every.join(told, ["antes", "palabra", "despues"], "left")
-    else:
-        every = every.withColumn("dicha", F.lit(None).cast("string"))
-    best = choices.groupBy("palabra").agg(F.max_by("correcta", F.struct("puntos", "correcta")).alias("correcta"))
-    wrong = every.join(best, "palabra").join(blessed, "palabra", "left_anti")
-    wrong = cut(wrong.withColumn("correcta", F.coalesce("dicha", "correcta")).drop("dicha", "antes", "despues"))
+    distinct = cut(every.groupBy("palabra").agg(F.count("*").alias("n")).join(blessed, "palabra", "left_anti"))
+    choices = cut(candidates(distinct, lexicon))
+    best = choices.groupBy("palabra").agg(F.max_by("correcta", F.struct("puntos", "correcta")).alias("correcta"), F.count("*").alias("opciones"))
+    wrong = cut(every.join(best, "palabra"))
+    told = in_context(page, wrong.where("opciones > 1"), choices)
+    wrong = wrong.join(told, ["antes", "palabra", "despues"], "left")
+    wrong = cut(wrong.withColumn("correcta", F.coalesce("dicha", "correcta")).drop("dicha", "antes", "despues", "opciones"))
     second = (F.col("corte") > 0) & (F.substring("palabra", F.lit(1), F.col("corte")) == F.substring("correcta", F.lit(1), F.col("corte")))
     on = wrong.select("documento_id", F.when(second, F.col("pagina")).otherwise(F.col("numero")).alias("numero"), F.when(second, F.col("siguiente")).otherwise(F.col("linea")).alias("linea"), F.lit("caracter").alias("tipo"))
     lines = found.union(divided.select("documento_id", "numero", "linea", F.lit("guion").alias("tipo"))).union(on).distinct()
     return {"lineas": lines, "divididas": divided, "palabras": wrong, "opciones": choices, "paginas": page}
 
 
-def neighbours(page: DataFrame) -> DataFrame:
-    """``a, b, n``: how often words follow each other in the lines of marked pages."""
+def in_context(page: DataFrame, open_: DataFrame, choices: DataFrame) -> DataFrame:
+    """``antes, palabra, despues, dicha``: for each setting of a word with several candidates the one that its count, its edits
+    and the words beside it speak for."""
+    own = cut(open_.select("antes", "palabra", "despues").distinct().join(choices, "palabra"))
+    pairs = own.select(F.col("antes").alias("a"), F.col("correcta").alias("b")).union(own.select("correcta", "despues")).where("a <> '' and b <> ''").distinct()
+    near = cut(neighbours(page, pairs))
+    before, after = (near.select(F.col(x).alias(c), F.col(y).alias("correcta"), F.col("n").alias(f"n_{c}")) for c, x, y in (("antes", "a", "b"), ("despues", "b", "a")))
+    ranked = own.join(before, ["antes", "correcta"], "left").join(after, ["despues", "correcta"], "left")
+    beside = sum(BESIDE * F.log1p(F.coalesce(f"n_{c}", F.lit(0))) for c in ("antes", "despues"))
+    return ranked.groupBy("antes", "palabra", "despues").agg(F.max_by("correcta", F.struct(F.col("puntos") + beside, "correcta")).alias("dicha"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            count: Counter = Counter()
-            for text in b.column("texto").to_pylist():
-                for line in text.lower().split("\n"):
-                    words = [w.strip(PUNCTUATION) for w in line.split()]
-                    count.update(zip(words, words[1:]))
-            keys = list(count)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(count.values()), pa.int64())], names=["a", "b", "n"])
 
-    return page.select("texto").mapInArrow(run, "a string, b string, n bigint").where("a <> '' and b <> ''").groupBy("a", "b").agg(F.sum("n").alias("n"))
+def neighbours(page: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``a, b, n``: how often the pairs of words ``wanted`` follow each other in the text lines of marked pages."""
+    lines = F.filter(F.split(F.lower("texto"), "\n"), lambda x, i: ~F.array_contains("fuera", i))
+    rows = page.select(F.explode(lines).alias("r")).select(F.filter(F.split("r", f"[\\s{re.escape(PUNCTUATION)}]+"), lambda w: w != "").alias("ws")).where(F.size("ws") > 1)
+    pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("a"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("b"))
+    return rows.select(F.explode(pairs).alias("p")).select("p.a", "p.b").join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def seams_pages(page: DataFrame) -> DataFrame:
@@ -409,36 +409,82 @@ def seams_pages(page: DataFrame) -> DataFrame:
     return page.where(full > 0)
 
 
-def lexicon_blessed(spark, known: list) -> DataFrame:
-    return spark.createDataFrame([(r["palabra"],) for r in known if r["limpia"]], "palabra string")
+def distinct_chunks(chunks: DataFrame) -> DataFrame:
+    """One row ``id, documento_id, pagina, texto`` per chunk (of differing copies the longest text); chunks without id or text are left out."""
+    rows = chunks.where("id is not null and texto is not null")
+    pagina = F.col("pagina").cast("int") if "pagina" in chunks.columns else F.lit(None).cast("int")
+    own = F.max_by(F.struct("documento_id", pagina.alias("pagina"), "texto"), F.struct(F.length("texto"), F.xxhash64("texto"))).alias("m")
+    return rows.groupBy("id").agg(own).select("id", "m.*")
+
+
+def line_key(line: Column) -> tuple[Column, Column]:
+    """Two hashes by which a line of a document is found again."""
+    return F.xxhash64("documento_id", line).alias("h"), F.xxhash64(F.lit(1), line, "documento_id").alias("g")
+
+
+def chunk_lines(chunks: DataFrame) -> DataFrame:
+    """``id, todas, pagina, linea, h, g`` of the lines of chunks that aren't blank."""
+    own = chunks.select("id", "documento_id", "pagina", F.size(F.split("texto", "\n")).alias("todas"), F.posexplode(F.split("texto", "\n")).alias("linea", "renglon"))
+    return own.where(F.btrim("renglon") != "").select("id", "todas", "pagina", "linea", *line_key(F.col("renglon")))
+
+
+#: Marks the id of a chunk that is judged by itself.
+ALONE = "\x01"
+
+
+def sheets(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The distinct pages, and as pages of their own the chunks with a line that isn't one of their document's pages."""
+    own = cut(distinct_pages(pages))
+    lines = own.select("documento_id", F.explode(F.split("texto", "\n")).alias("renglon")).select(*line_key(F.col("renglon"))).distinct()
+    lone = chunk_lines(chunks).join(lines, ["h", "g"], "left_anti").select("id").distinct()
+    alone = chunks.join(lone, "id", "left_semi").select(F.concat(F.lit(ALONE), "id").alias("documento_id"), F.lit(1).alias("numero"), "texto")
+    return cut(own.union(alone))
+
+
+#: Pages from the one a chunk starts on in which its lines are looked for, where a document's equal lines differ in what is wrong.
+AHEAD = 8
+
+
+def moved(chunks: DataFrame, page: DataFrame, wrong: DataFrame) -> DataFrame:
+    """``id, todas, linea, mal``: what is ``wrong`` (``documento_id, numero, malas``, an array of ``linea, mal``) with the lines of chunks.
+
+    A chunk has whole lines of pages. Where equal lines of a document have different things wrong, the nearest page from the one
+    that the chunk starts on tells; where none is near, the first of them.
+    """
+    told = page.join(wrong, ["documento_id", "numero"], "left").select("documento_id", "numero", "malas", F.posexplode(F.split("texto", "\n")).alias("linea", "renglon"))
+    each = told.where(F.btrim("renglon") != "").select("numero", *line_key(F.col("renglon")), F.get(F.filter("malas", lambda m: m["linea"] == F.col("linea")), F.lit(0))["mal"].alias("mal"))
+    known = each.groupBy("h", "g").agg(F.count("*").alias("n"), F.count("mal").alias("m"), F.min("mal").alias("a"), F.max("mal").alias("z"))
+    known = cut(known.where("m > 0").withColumn("igual", (F.col("n") == F.col("m")) & (F.col("a") == F.col("z"))).drop("n", "m", "z"))
+    own = cut(chunk_lines(chunks).join(known, ["h", "g"]))
+    near = each.join(known.where("not igual").select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g", "numero").agg(F.max("mal").alias("mal"))
+    open_ = own.where("not igual").withColumn("numero", F.explode(F.sequence(F.coalesce("pagina", F.lit(1)), F.coalesce("pagina", F.lit(1)) + AHEAD)))
+    placed = open_.join(near, ["h", "g", "numero"]).groupBy("id", "linea").agg(F.min_by(F.struct("mal"), "numero").alias("x"))
+    rest = own.where("not igual").join(placed, ["id", "linea"], "left").select("id", "todas", "linea", F.when(F.col("x").isNull(), F.col("a")).otherwise(F.col("x.mal")).alias("mal"))
+    return own.where("igual").select("id", "todas", "linea", F.col("a").alias("mal")).union(rest.where("mal is not null"))
 
 
 def noisy_lines(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) -> DataFrame:
     """``tabla, clave, linea, tipo`` of the noise of pages and chunks (see ``p2_found`` in TESTDATA.md).
 
-    Chunks are whole lines of the pages of their document, so a line is judged where the page has it; documents
-    that have chunks but no pages are judged by their chunks. Null texts have no lines; repeated rows count once.
+    Chunks are whole lines of the pages of their document, so a line is judged where the page has it; chunks with a line
+    that no page of their document has are judged by themselves. Null texts have no lines; repeated rows count once.
     """
-    cuts = chunks.select("id", "documento_id", "texto").where("id is not null and texto is not null")
-    named = pages.where("texto is not null and numero is not null").select("documento_id").distinct()
-    alone = cuts.join(named, "documento_id", "left_anti").select(F.concat(F.lit("\x01"), "id").alias("documento_id"), F.lit(1).alias("numero"), "texto")
-    found = noise(cut(distinct_pages(pages.select("documento_id", "numero", "texto").union(alone))), clean, context=True)
+    cuts = cut(distinct_chunks(chunks))
+    found = noise(sheets(pages, cuts), clean)
     lines = cut(found["lineas"])
-    of_pages = lines.where(~F.col("documento_id").startswith("\x01")).select(F.lit("paginas").alias("tabla"), F.concat_ws(":", "documento_id", F.col("numero").cast("string")).alias("clave"), "linea", "tipo")
-    of_alone = lines.where(F.col("documento_id").startswith("\x01")).select(F.lit("trozos").alias("tabla"), F.expr("substring(documento_id, 2)").alias("clave"), "linea", "tipo")
-    # The text of each judged line, by two hashes of which the chunks' lines find it.
-    mark = lambda c: (F.xxhash64("documento_id", c).alias("h"), F.xxhash64(F.lit(1), c, "documento_id").alias("g"))
-    line = F.get(F.split("texto", "\n"), F.col("linea"))
-    judged = lines.join(found["paginas"], ["documento_id", "numero"]).select(*mark(line), "tipo").groupBy("h", "g").agg(F.collect_set("tipo").alias("tipos"))
-    own = cuts.select("id", F.size(F.split("texto", "\n")).alias("todas"), "documento_id", F.posexplode(F.split("texto", "\n")).alias("linea", "renglon"))
-    known = own.select("id", "todas", "linea", *mark(F.col("renglon"))).join(judged, ["h", "g"]).groupBy("id", "todas").agg(F.collect_set(F.struct("linea", "tipos")).alias("malas"))
+    own = lines.where(~F.col("documento_id").startswith(ALONE))
+    of_pages = own.select(F.lit("paginas").alias("tabla"), F.concat_ws(":", "documento_id", F.col("numero").cast("string")).alias("clave"), "linea", "tipo")
+    lone = lines.where(F.col("documento_id").startswith(ALONE)).select(F.expr(f"substring(documento_id, {len(ALONE) + 1})").alias("id"), "linea", "tipo")
+    wrong = own.groupBy("documento_id", "numero", "linea").agg(F.array_sort(F.collect_set("tipo")).alias("mal")).groupBy("documento_id", "numero").agg(F.collect_list(F.struct("linea", "mal")).alias("malas"))
+    alone = cut(found["paginas"].where(F.col("documento_id").startswith(ALONE)).select(F.expr(f"substring(documento_id, {len(ALONE) + 1})").alias("id")))
+    known = moved(cuts.join(alone, "id", "left_anti"), found["paginas"].drop("fuera"), wrong).groupBy("id", "todas").agg(F.collect_set(F.struct("linea", F.col("mal").alias("tipos"))).alias("malas"))
     outside = F.transform(F.filter("malas", lambda m: F.array_contains(m["tipos"], "cabecera") | F.array_contains(m["tipos"], "folio")), lambda m: m["linea"])
     last = F.array_max(F.array_except(F.sequence(F.lit(0), F.col("todas") - 1), outside))
     of_chunks = (
         known.select("id", last.alias("ultima"), F.explode("malas").alias("m")).select("id", "ultima", "m.linea", F.explode("m.tipos").alias("tipo"))
-        .where("tipo <> 'guion' or linea < ultima").select(F.lit("trozos").alias("tabla"), F.col("id").alias("clave"), "linea", "tipo").distinct()
+        .where("tipo <> 'guion' or linea < ultima").select("id", "linea", "tipo").union(lone).select(F.lit("trozos").alias("tabla"), F.col("id").alias("clave"), "linea", "tipo").distinct()
     )
-    return of_pages.union(of_alone).union(of_chunks)
+    return of_pages.union(of_chunks)
 
 
 def like(word: str, right: str) -> str:
@@ -501,9 +547,10 @@ def repaired(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) -> Da
     and of chunks (clave = id), without furniture, with divided words joined and misread ones put right.
 
     A paragraph that a page leaves open, or that the next page begins in small letters, goes on across the page. Null and
-    blank texts have no paragraph; repeated rows count once. Chunks of documents without pages stay unmended but reflowed.
+    blank texts have no paragraph; repeated rows count once. Chunks with a line that no page of their document has are mended by themselves.
     """
-    found = noise(cut(distinct_pages(pages.select("documento_id", "numero", "texto"))), clean, context=True)
+    cuts = cut(distinct_chunks(chunks))
+    found = noise(sheets(pages, cuts), clean)
     page = found["paginas"]
     at = ["documento_id", "numero", "linea"]
     out = found["lineas"].where("tipo in ('cabecera', 'folio')").select(*at, F.lit(True).alias("fuera"))
@@ -518,14 +565,13 @@ def repaired(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) -> Da
     )
     kind = fixes.schema["f"].dataType.simpleString()
     none = F.array().cast(f"array<{kind}>")
+    lone = F.col("documento_id").startswith(ALONE)
     of_pages = page.join(fixes.groupBy("documento_id", "numero").agg(F.collect_list("f").alias("arreglos")), ["documento_id", "numero"], "left")
-    of_pages = of_pages.select(F.lit("paginas").alias("tabla"), F.col("documento_id").alias("clave"), "numero", "texto", F.coalesce("arreglos", none).alias("arreglos"))
-    mark = lambda c: (F.xxhash64("documento_id", c).alias("h"), F.xxhash64(F.lit(1), c, "documento_id").alias("g"))
-    known = fixes.join(page, ["documento_id", "numero"]).select(*mark(F.get(F.split("texto", "\n"), F.col("linea"))), "f").groupBy("h", "g").agg(F.min_by("f", F.col("f")["linea"]).alias("f"))
-    cuts = cut(chunks.select("id", "documento_id", "texto").where("id is not null and texto is not null").dropDuplicates(["id"]))
-    own = cuts.select("id", "documento_id", F.posexplode(F.split("texto", "\n")).alias("linea", "renglon")).select("id", "linea", *mark(F.col("renglon")))
-    moved = own.join(known, ["h", "g"]).groupBy("id").agg(F.collect_list(F.struct("linea", "f.fuera", "f.cambios", "f.entera", "f.quita")).alias("arreglos"))
-    of_chunks = cuts.join(moved, "id", "left").select(F.lit("trozos").alias("tabla"), F.col("id").alias("clave"), F.lit(0).alias("numero"), "texto", F.coalesce("arreglos", none).alias("arreglos"))
+    of_pages = of_pages.select(F.when(lone, "trozos").otherwise("paginas").alias("tabla"), F.when(lone, F.expr(f"substring(documento_id, {len(ALONE) + 1})")).otherwise(F.col("documento_id")).alias("clave"), F.when(lone, 0).otherwise(F.col("numero")).alias("numero"), "texto", F.coalesce("arreglos", none).alias("arreglos"))
+    wrong = fixes.where(~lone).select("documento_id", "numero", F.struct("linea", F.struct("f.fuera", F.array_sort("f.cambios").alias("cambios"), "f.entera", "f.quita").alias("mal")).alias("m")).groupBy("documento_id", "numero").agg(F.collect_list("m").alias("malas"))
+    rest = cuts.join(page.where(lone).select(F.expr(f"substring(documento_id, {len(ALONE) + 1})").alias("id")), "id", "left_anti")
+    fixed = moved(rest, page.drop("fuera"), wrong).groupBy("id").agg(F.collect_list(F.struct("linea", "mal.fuera", "mal.cambios", "mal.entera", "mal.quita")).alias("arreglos"))
+    of_chunks = rest.join(fixed, "id", "left").select(F.lit("trozos").alias("tabla"), F.col("id").alias("clave"), F.lit(0).alias("numero"), "texto", F.coalesce("arreglos", none).alias("arreglos"))
     kinds = "tabla string, clave string, numero int, k int, texto string, empieza boolean, abierto boolean"
     told = cut(of_pages.union(of_chunks).mapInArrow(_paragraphs, kinds))
     # A page's first paragraph goes on if it begins small or the page before was left open.
