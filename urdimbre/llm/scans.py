@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -394,12 +395,33 @@ def in_context(page: DataFrame, open_: DataFrame, choices: DataFrame) -> DataFra
     return ranked.groupBy("antes", "palabra", "despues").agg(F.max_by("correcta", F.struct(F.col("puntos") + beside, "correcta")).alias("dicha"))
 
 
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the neighbouring words of the text lines of a batch."""
+    marks = PUNCTUATION
+    for b in batches:
+        pages = pc.split_pattern(pc.utf8_lower(b.column("texto")), "\n")
+        many = pages.value_lengths().to_numpy(zero_copy_only=False)
+        page, first = np.repeat(np.arange(len(many)), many), np.cumsum(many) - many
+        out = b.column("fuera")
+        lost = np.repeat(first, out.value_lengths().to_numpy(zero_copy_only=False)) + out.flatten().to_numpy(zero_copy_only=False)
+        text = np.ones(len(page), bool)
+        text[lost] = False
+        words = pc.utf8_split_whitespace(pages.flatten().filter(pa.array(text)))
+        of = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        bare = pc.utf8_trim(coded.dictionary, marks).dictionary_encode()
+        code = bare.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
+        names = bare.dictionary
+        said = (pc.utf8_length(names).to_numpy(zero_copy_only=False) > 0)[code] if len(code) else np.zeros(0, bool)
+        at = np.flatnonzero((of[1:] == of[:-1]) & said[1:] & said[:-1])
+        pair, n = np.unique(code[at].astype(np.int64) * len(names) + code[at + 1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(pair // max(len(names), 1))), names.take(pa.array(pair % max(len(names), 1))), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+
 def neighbours(page: DataFrame, wanted: DataFrame) -> DataFrame:
     """``a, b, n``: how often the pairs of words ``wanted`` follow each other in the text lines of marked pages."""
-    lines = F.filter(F.split(F.lower("texto"), "\n"), lambda x, i: ~F.array_contains("fuera", i))
-    rows = page.select(F.explode(lines).alias("r")).select(F.filter(F.split("r", f"[\\s{re.escape(PUNCTUATION)}]+"), lambda w: w != "").alias("ws")).where(F.size("ws") > 1)
-    pairs = F.arrays_zip(F.slice("ws", F.lit(1), F.size("ws") - 1).alias("a"), F.slice("ws", F.lit(2), F.size("ws") - 1).alias("b"))
-    return rows.select(F.explode(pairs).alias("p")).select("p.a", "p.b").join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
+    seen = page.select("texto", "fuera").mapInArrow(_bigrams, "a string, b string, n bigint")
+    return seen.join(wanted, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def seams_pages(page: DataFrame) -> DataFrame:
@@ -409,12 +431,19 @@ def seams_pages(page: DataFrame) -> DataFrame:
     return page.where(full > 0)
 
 
-def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """One row ``id, documento_id, pagina, texto`` per chunk (of differing copies the longest text); chunks without id or text are left out."""
-    rows = chunks.where("id is not null and texto is not null")
+def read_chunks(chunks: DataFrame) -> DataFrame:
+    """``id, documento_id, pagina, texto`` of chunks; those without id or text are left out, repeated rows stay."""
     pagina = F.col("pagina").cast("int") if "pagina" in chunks.columns else F.lit(None).cast("int")
-    own = F.max_by(F.struct("documento_id", pagina.alias("pagina"), "texto"), F.struct(F.length("texto"), F.xxhash64("texto"))).alias("m")
-    return rows.groupBy("id").agg(own).select("id", "m.*")
+    return chunks.where("id is not null and texto is not null").select("id", "documento_id", pagina.alias("pagina"), "texto")
+
+
+#: Ids that are sent to every task at most; more are joined.
+SENT = 100_000
+
+
+def of_these(rows: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
+    """Semi or anti join of rows with a written table of distinct ``id``, which is broadcast only after its size is checked."""
+    return rows.join(F.broadcast(ids) if ids.limit(SENT + 1).count() <= SENT else ids, "id", kind)
 
 
 def line_key(line: Column) -> tuple[Column, Column]:
@@ -436,9 +465,12 @@ def sheets(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """The distinct pages, and as pages of their own the chunks with a line that isn't one of their document's pages."""
     own = cut(distinct_pages(pages))
     lines = own.select("documento_id", F.explode(F.split("texto", "\n")).alias("renglon")).select(*line_key(F.col("renglon"))).distinct()
-    lone = chunk_lines(chunks).join(lines, ["h", "g"], "left_anti").select("id").distinct()
-    alone = chunks.join(lone, "id", "left_semi").select(F.concat(F.lit(ALONE), "id").alias("documento_id"), F.lit(1).alias("numero"), "texto")
-    return cut(own.union(alone))
+    foreign = cut(chunk_lines(chunks).select("h", "g").distinct().join(lines, ["h", "g"], "left_anti"))
+    if foreign.isEmpty():
+        return own
+    lone = cut(chunk_lines(chunks).join(foreign, ["h", "g"], "left_semi").select("id").distinct())
+    alone = of_these(chunks, lone, "left_semi").select(F.concat(F.lit(ALONE), "id").alias("documento_id"), F.lit(1).alias("numero"), "texto")
+    return cut(own.union(distinct_pages(alone)))
 
 
 #: Pages from the one a chunk starts on in which its lines are looked for, where a document's equal lines differ in what is wrong.
@@ -469,7 +501,7 @@ def noisy_lines(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) ->
     Chunks are whole lines of the pages of their document, so a line is judged where the page has it; chunks with a line
     that no page of their document has are judged by themselves. Null texts have no lines; repeated rows count once.
     """
-    cuts = cut(distinct_chunks(chunks))
+    cuts = read_chunks(chunks)
     found = noise(sheets(pages, cuts), clean)
     lines = cut(found["lineas"])
     own = lines.where(~F.col("documento_id").startswith(ALONE))
@@ -477,7 +509,7 @@ def noisy_lines(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) ->
     lone = lines.where(F.col("documento_id").startswith(ALONE)).select(F.expr(f"substring(documento_id, {len(ALONE) + 1})").alias("id"), "linea", "tipo")
     wrong = own.groupBy("documento_id", "numero", "linea").agg(F.array_sort(F.collect_set("tipo")).alias("mal")).groupBy("documento_id", "numero").agg(F.collect_list(F.struct("linea", "mal")).alias("malas"))
     alone = cut(found["paginas"].where(F.col("documento_id").startswith(ALONE)).select(F.expr(f"substring(documento_id, {len(ALONE) + 1})").alias("id")))
-    known = moved(cuts.join(alone, "id", "left_anti"), found["paginas"].drop("fuera"), wrong).groupBy("id", "todas").agg(F.collect_set(F.struct("linea", F.col("mal").alias("tipos"))).alias("malas"))
+    known = of_these(moved(cuts, found["paginas"].drop("fuera"), wrong), alone, "left_anti").groupBy("id", "todas").agg(F.collect_set(F.struct("linea", F.col("mal").alias("tipos"))).alias("malas"))
     outside = F.transform(F.filter("malas", lambda m: F.array_contains(m["tipos"], "cabecera") | F.array_contains(m["tipos"], "folio")), lambda m: m["linea"])
     last = F.array_max(F.array_except(F.sequence(F.lit(0), F.col("todas") - 1), outside))
     of_chunks = (
@@ -549,7 +581,7 @@ def repaired(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) -> Da
     A paragraph that a page leaves open, or that the next page begins in small letters, goes on across the page. Null and
     blank texts have no paragraph; repeated rows count once. Chunks with a line that no page of their document has are mended by themselves.
     """
-    cuts = cut(distinct_chunks(chunks))
+    cuts = cut(read_chunks(chunks).groupBy("id").agg(F.max_by(F.struct("documento_id", "pagina", "texto"), F.struct(F.length("texto"), F.xxhash64("texto"))).alias("m")).select("id", "m.*"))
     found = noise(sheets(pages, cuts), clean)
     page = found["paginas"]
     at = ["documento_id", "numero", "linea"]
@@ -569,7 +601,8 @@ def repaired(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) -> Da
     of_pages = page.join(fixes.groupBy("documento_id", "numero").agg(F.collect_list("f").alias("arreglos")), ["documento_id", "numero"], "left")
     of_pages = of_pages.select(F.when(lone, "trozos").otherwise("paginas").alias("tabla"), F.when(lone, F.expr(f"substring(documento_id, {len(ALONE) + 1})")).otherwise(F.col("documento_id")).alias("clave"), F.when(lone, 0).otherwise(F.col("numero")).alias("numero"), "texto", F.coalesce("arreglos", none).alias("arreglos"))
     wrong = fixes.where(~lone).select("documento_id", "numero", F.struct("linea", F.struct("f.fuera", F.array_sort("f.cambios").alias("cambios"), "f.entera", "f.quita").alias("mal")).alias("m")).groupBy("documento_id", "numero").agg(F.collect_list("m").alias("malas"))
-    rest = cuts.join(page.where(lone).select(F.expr(f"substring(documento_id, {len(ALONE) + 1})").alias("id")), "id", "left_anti")
+    alone = cut(page.where(lone).select(F.expr(f"substring(documento_id, {len(ALONE) + 1})").alias("id")))
+    rest = of_these(cuts, alone, "left_anti")
     fixed = moved(rest, page.drop("fuera"), wrong).groupBy("id").agg(F.collect_list(F.struct("linea", "mal.fuera", "mal.cambios", "mal.entera", "mal.quita")).alias("arreglos"))
     of_chunks = rest.join(fixed, "id", "left").select(F.lit("trozos").alias("tabla"), F.col("id").alias("clave"), F.lit(0).alias("numero"), "texto", F.coalesce("arreglos", none).alias("arreglos"))
     kinds = "tabla string, clave string, numero int, k int, texto string, empieza boolean, abierto boolean"
