@@ -94,3 +94,25 @@ def test_rows_without_id_join_what_they_quote(spark, tmp_path):
         ("a", 1, "paciente", "me  duele."), ("a", 1, "agente", "espere"), (None, 4, "paciente", "Solo"), (None, 4, "agente", "Sí"), (None, 2, "paciente", "Me duele"), (None, 2, "agente", "Espere"),
         (None, 1, "paciente", "igual"), (None, 1, "agente", "igual"), (None, 1, "paciente", "sin"), (None, 1, "agente", "hora"),
     }
+
+
+def test_the_search_joins_what_no_single_link_does(spark, monkeypatch):
+    """A copy of a copy of a call's turn reaches the call, and replies without ids are one conversation, only by the search."""
+    rows = [
+        ("apertura", "00:00.000", "a", 0, "", "Hola"), ("turno", "00:10.900", "a", 1, "me duele", "espere"), ("turno", "00:11.500", None, 1, "Me duele", "Espere"), ("turno", "00:12.400", None, 1, "me duele", "espere"), ("turno", "00:13.300", None, 1, "me duele", "espere"),
+        ("apertura", "30:00.000", None, 0, "", "Buenas"), ("turno", "30:30.000", None, 1, "quien es", "yo"), ("turno", "31:10.000", None, 2, "vale", "adiós"), ("turno", "50:00.000", None, 3, "tarde", "sí"),
+        ("apertura", "40:00.000", None, 0, "", "uno"), ("apertura", "40:01.000", None, 0, "", "dos"), ("turno", "40:20.000", None, 1, "de cuál", "no sé"),
+    ]
+    log_ = spark.createDataFrame([(t, f"2026-01-01T00:{ts}Z", START + timedelta(seconds=i), c, n, p, a) for i, (t, ts, c, n, p, a) in enumerate(rows)], LOG)
+
+    def groups():
+        out = {}
+        for r in C.conversations(log_).collect():
+            out.setdefault(r.component, []).append((r.idx, r.patient or r.agent))
+        return sorted(sorted(x, key=str) for x in out.values())
+
+    got = groups()
+    assert [len(x) for x in got if (0, "Hola") in x] == [5]
+    assert [(0, "Buenas"), (1, "quien es"), (2, "vale")] in got and [(3, "tarde")] in got and [(1, "de cuál")] in got and [(0, "uno")] in got
+    monkeypatch.setattr(C, "components", lambda x: x.groupBy(C.F.col("u").alias("node")).agg(C.F.min("v").alias("component")))
+    assert groups() != got

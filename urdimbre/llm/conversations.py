@@ -1,27 +1,34 @@
 """Conversations rebuilt from message rows.
 
 Rows are linked, the links' connected components are the conversations, and a component is then ordered
-and validated. Links:
+and validated. The nodes are threads: all rows that name one call, or the copies of a turn without id. Links:
 
-* reply: a turn answers within the call it names, so it links to that call's opening node;
-* quote: copies of one turn (same call, same ``turno_idx``) quote each other and share a node; every row also
-  links to what it quotes (same instant, turn and words), where a row without a call meets the call it copies.
-  What rows of several calls say at once tells nothing of the call, and a row without instant quotes nothing.
+* quote: rows of one turn with the same words at nearly the same instant are copies, so their threads are linked
+  through what they say. Instants under half of ``NEAR`` apart always meet, from ``NEAR`` on never directly, but copies
+  of copies do: that takes the search. What rows of several calls say at once tells nothing of the call.
+* reply: a turn without id that quotes no call answers the turn without id one index before it, if just one such
+  turn was in the last ``GAP``; so conversations of which no row has an id are chains of replies.
 
-Components are found with alternating large-star and small-star joins. Rows without ``llamada_id`` that quote
-no call form components of their own, which belong to no call of ``llamadas``.
+Components are found with alternating large-star and small-star joins. Threads without id in a component with just one
+call belong to that call's conversation; a component without a call is a conversation of its own, and where a component
+holds several calls, each call stays by itself.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from urdimbre.plans.lineage import cut, table
 
 BLANKS = " \t\r\n\u00a0"
 #: turno_idx under which the closing row of a call is kept.
 CLOSING = -1
+#: Microseconds within which copies and replies are looked for.
+NEAR, GAP = 2_000_000, 120_000_000
+#: Replies are looked for along stretches of time of so many gaps.
+GAPS = 64
 #: Sorts after every plain id.
 NO_CALL = "\uffff"
 
@@ -82,55 +89,90 @@ def quote(instant: Column, idx: Column, *said: Column) -> Column:
     return F.when(instant.isNotNull() & idx.isNotNull(), both)
 
 
-def turns(log: DataFrame) -> DataFrame:
-    """One row per turn of the log: the copies of a turn pre-aggregated.
+def message_rows(log: DataFrame) -> DataFrame:
+    """Rows of the log that have a place in a conversation, with their ``call``, ``thread``, ``kind``, ``idx`` and instant ``t``.
 
-    Columns: ``node`` (the turn), ``call`` (plain id or null), ``idx``, ``clase`` flags, ``texto`` structs of
-    the earliest copy that says something, whether copies differ in words, and what they quote. Rows whose ``tipo`` is unknown,
-    and turns without ``turno_idx``, have no place in a conversation and are left out.
+    Rows whose ``tipo`` is unknown, and turns without ``turno_idx``, have none and are left out.
     """
     kind = plain_id(F.col("tipo"))
     idx = F.when(kind == "cierre", CLOSING).when(kind == "apertura", F.coalesce("turno_idx", F.lit(0))).when(kind == "turno", F.col("turno_idx"))
     rows = log.select(
-        plain_id(F.col("llamada_id")).alias("call"), kind.alias("kind"), idx.cast("int").alias("idx"),
-        F.coalesce("recibido_ts", F.lit("9999-12-31").cast("timestamp_ntz")).alias("at"), F.try_to_timestamp("ts").alias("ts"),
-        F.col("transcripcion").alias("p"), F.col("respuesta").alias("a"), words(F.col("transcripcion")).alias("wp"), words(F.col("respuesta")).alias("wa"),
+        plain_id(F.col("llamada_id")).alias("call"), kind.alias("kind"), idx.cast("int").alias("idx"), F.col("recibido_ts").alias("at"),
+        F.unix_micros(F.try_to_timestamp("ts")).alias("t"), F.col("transcripcion").alias("p"), F.col("respuesta").alias("a"),
     ).where("idx is not null")
-    alone = F.concat_ws("\x1f", F.lit(NO_CALL), F.coalesce(F.col("ts").cast("string"), F.lit("")), F.col("idx").cast("string"), F.coalesce("wp", F.lit("")), F.coalesce("wa", F.lit("")))
+    said = [F.coalesce(words(F.col(c)), F.lit("")) for c in "pa"]
+    alone = F.concat_ws("\x1f", F.lit(NO_CALL), F.coalesce(F.col("t").cast("string"), F.lit("")), F.col("idx").cast("string"), *said)
+    return rows.withColumn("thread", F.when(F.col("call").isNotNull(), F.col("call")).otherwise(alone))
+
+
+def turns(rows: DataFrame) -> DataFrame:
+    """One row per turn of ``message_rows``: the copies of a turn pre-aggregated.
+
+    Columns: ``thread``, ``call`` (plain id or null), ``idx``, flags, the texts of the earliest copy that says something,
+    and whether copies differ in words.
+    """
+    told = rows.withColumn("at", F.coalesce("at", F.lit("9999-12-31").cast("timestamp_ntz"))).withColumn("wp", words(F.col("p"))).withColumn("wa", words(F.col("a")))
     first = lambda text, said: F.min(F.when(F.col(said).isNotNull(), F.struct("at", F.col(text).alias("text"))))["text"]
-    return (
-        rows.withColumn("thread", F.coalesce("call", alone)).withColumn("quote", quote(F.col("ts"), F.col("idx"), F.col("wp"), F.col("wa")))
-        .groupBy("thread", "call", "idx")
-        .agg(
-            F.max(F.col("kind") == "apertura").alias("opens"), F.max((F.col("kind") == "turno") & F.col("wp").isNotNull()).alias("asks"),
-            F.max(F.col("wa").isNotNull()).alias("answers"),
-            (F.coalesce(F.min("wp") != F.max("wp"), F.lit(False)) | F.coalesce(F.min("wa") != F.max("wa"), F.lit(False))).alias("versions"),
-            first("p", "wp").alias("patient"), first("a", "wa").alias("agent"), F.collect_set("quote").alias("quotes"),
-        )
-        .withColumn("node", F.concat_ws("#", "thread", "idx"))
+    return told.groupBy("thread", "call", "idx").agg(
+        F.max(F.col("kind") == "apertura").alias("opens"), F.max((F.col("kind") == "turno") & F.col("wp").isNotNull()).alias("asks"),
+        F.max(F.col("wa").isNotNull()).alias("answers"),
+        (F.coalesce(F.min("wp") != F.max("wp"), F.lit(False)) | F.coalesce(F.min("wa") != F.max("wa"), F.lit(False))).alias("versions"),
+        first("p", "wp").alias("patient"), first("a", "wa").alias("agent"),
     )
 
 
-def quote_links(told: DataFrame) -> DataFrame:
-    """Links ``u, v`` from the threads of turns to what they quote, where it joins any: of what a turn without a call
-    quotes, and not turns of several calls."""
-    quotes = told.select("thread", "call", F.explode("quotes").alias("quote"))
-    open_ = cut(quotes.where("call is null").select("quote").distinct())
-    pairs = cut(quotes.join(open_, "quote", "left_semi").distinct())
-    joins = pairs.groupBy("quote").agg(F.min("call").alias("a"), F.max("call").alias("z")).where("a is null or a = z").select("quote")
-    name = F.concat_ws("\x1e", F.lit(NO_CALL), F.col("quote.h").cast("string"), F.col("quote.g").cast("string"))
-    return pairs.join(joins, "quote").select(F.col("thread").alias("u"), name.alias("v"))
+def quotes(rows: DataFrame) -> DataFrame:
+    """``thread, call, quote``: what the rows at the turn and near the instant of a row without id say, as a hash of 128 bits.
+
+    Instants lie in two grids shifted by half their width, so near ones share a cell. A row without instant quotes nothing.
+    """
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor((F.col("t") + k * NEAR // 2) / NEAR).alias("cell")) for k in (0, 1)))).alias("c")
+    placed = rows.where("t is not null").select("thread", "call", "idx", "p", "a", cells).select("thread", "call", "idx", "p", "a", "c.*")
+    open_ = cut(placed.where("call is null").select("idx", "k", "cell").distinct())
+    parts = [F.col("idx"), F.col("k"), F.col("cell"), *(F.coalesce(words(F.col(c)), F.lit("")) for c in "pa")]
+    name = F.concat_ws("\x1e", F.lit(NO_CALL), F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit(1), *reversed(parts))))
+    return placed.join(open_, ["idx", "k", "cell"], "left_semi").select("thread", "call", name.alias("quote")).distinct()
+
+
+def replies(lone: DataFrame) -> DataFrame:
+    """Links ``u, v`` of turns ``thread, idx, t`` to the only turn of the index before within ``GAP``.
+
+    Turns are looked over along stretches of time; a stretch also gets the turns that end the one before it.
+    """
+    here = F.floor(F.col("t") / (GAP * GAPS))
+    late = F.when(F.floor((F.col("t") + GAP) / (GAP * GAPS)) > here, here + 1)
+    said = lone.select((F.col("idx") + 1).alias("n"), "t", F.col("thread").alias("before"), F.explode(F.array_compact(F.array(here, late))).alias("stretch"))
+    asked = lone.select(F.col("idx").alias("n"), "t", "thread", here.alias("stretch"))
+    last = Window.partitionBy("n", "stretch").orderBy("t").rangeBetween(-GAP, 0)
+    both = said.withColumn("thread", F.lit(None).cast("string")).unionByName(asked.withColumn("before", F.lit(None).cast("string")))
+    seen = both.withColumn("a", F.min("before").over(last)).withColumn("z", F.max("before").over(last))
+    return seen.where("thread is not null and a = z and a <> thread").select(F.col("thread").alias("u"), F.col("a").alias("v"))
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """Quote and reply links ``u, v`` between the threads of ``message_rows``."""
+    said = cut(quotes(rows))
+    calls = said.groupBy("quote").agg(F.min("call").alias("a"), F.max("call").alias("z"))
+    quoted = said.join(calls.where("a is null or a = z").select("quote"), "quote").select(F.col("thread").alias("u"), F.col("quote").alias("v"))
+    told = said.join(calls.where("a is not null").select("quote"), "quote", "left_semi").select("thread").distinct()
+    alone = rows.where("call is null and t is not null and idx >= 0").groupBy("thread", "idx").agg(F.min("t").alias("t"))
+    return quoted.union(replies(cut(alone.join(told, "thread", "left_anti"))))
 
 
 def conversations(log: DataFrame) -> DataFrame:
-    """The turns of ``log`` with the ``component`` (conversation) that reply and quote links put them in.
+    """The turns of ``log`` with the ``component`` (conversation) that quote and reply links put them in.
 
-    Reply links make each thread (the turns of a call, or the copies of a turn without one) a star, which stands as one
-    node in the joins. The component of turns that belong to a call, by their own id or what they quote, is the call.
+    A component is named by its call, or by its smallest thread if it has none. Where it would have several calls they
+    stay apart, and its threads without id belong to none of them.
     """
-    told = cut(turns(log))
-    linked = components(quote_links(told)).withColumnRenamed("node", "thread")
-    return told.join(linked, "thread", "left").withColumn("component", F.coalesce("component", "thread")).drop("node", "thread", "quotes")
+    rows = message_rows(log)
+    told = cut(turns(rows))
+    linked = cut(components(links(rows)).withColumnRenamed("node", "thread"))
+    threads = told.join(linked.select("thread"), "thread", "left_semi").select("thread", "call").distinct()
+    named = linked.join(threads, "thread").groupBy("component").agg(F.min("call").alias("a"), F.max("call").alias("z"), F.min("thread").alias("least"))
+    own = F.when(F.col("a").isNull() | (F.col("a") == F.col("z")), F.coalesce("a", "least")).otherwise(F.col("thread"))
+    found = linked.join(named, "component").select("thread", own.alias("component"))
+    return told.join(found, "thread", "left").withColumn("component", F.coalesce("component", "thread")).drop("thread")
 
 
 def judged(calls: DataFrame, told: DataFrame) -> DataFrame:
@@ -182,8 +224,8 @@ def p1_conversaciones(spark, folder: str) -> DataFrame:
 def p1_sin_id(spark, folder: str) -> DataFrame:
     """Utterances of the turns without id: ``conversacion, llamada_id, turno_idx, orden, hablante, texto``.
 
-    ``llamada_id`` is the plain id of the call that a turn quotes; null where it quotes none, the turns of such a
-    ``conversacion`` being all that is known of it. ``orden``, ``hablante`` and ``texto`` as in ``p1_conversaciones``.
+    ``llamada_id`` is the plain id of the call that their conversation belongs to; null where it is of no call, its turns
+    being all that is known of it. ``orden``, ``hablante`` and ``texto`` as in ``p1_conversaciones``.
     """
     told = cut(conversations(table(spark, folder, "turnos")))
     calls = told.where("call is not null").select("component", F.col("call").alias("llamada_id")).distinct()

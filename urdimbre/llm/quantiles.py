@@ -10,7 +10,9 @@ States of parts (partitions, days, files) are merged by addition; counts may be
 taken away again. While a state has few distinct codes it is held as its counts by code (``codigos``,
 ``cuentas``), the vector of which the sketches are linear functions; past ``SPARSE`` codes it is turned into
 counters (``contadores``). Percentiles of the first form have the error of the code alone; of the second form
-the rank also errs, with a standard error of under 0.3 % of the count (stated bound: 1 %).
+the rank also errs, by at most the stated share ``cota`` of the count. It is the sum over the sketched levels of
+sqrt(8 R / WIDTH), where R is the second moment of the level without its heaviest WIDTH / 8 cells (the tail bound of
+a Count-sketch, of which the median of ``DEPTH`` rows is taken), read off the counters themselves.
 
 The percentile p of n values is the value of rank ceil(p * n), the smallest having rank 1.
 """
@@ -24,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urdimbre.llm.conversations import NO_CALL, plain_id, quote, words
+from urdimbre.llm.conversations import NO_CALL, SAYS_SQL, WORDS_SQL, plain_id, words
 from urdimbre.plans.lineage import cut, table
 
 LEVELS, EXACT, DEPTH, WIDTH = 20, 10, 5, 1024
 CODES = 1 << LEVELS
-#: Distinct codes from which a state is held as counters; they take about as much room as so many codes.
-SPARSE = 20_000
+#: Distinct codes from which a state is held as counters.
+SPARSE = 4_000
+#: States of counters (0.4 MB each) that a task adds up before it sends them, bytes of states added at once, and parts that the counters of a key are first added in.
+HELD, BYTES, SALTS = 64, 64 << 20, 64
 #: Rows summarised at once in a task.
 ROWS = 200_000
 #: Turns of one call that are put into the same task; longer calls are spread.
@@ -101,14 +105,18 @@ def invert(sketch: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return node
 
 
-def batched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
+def batched(batches: Iterator[pa.RecordBatch], rows: int, size: int = BYTES) -> Iterator[pa.Table]:
+    """Batches put together up to ``rows`` rows, or ``size`` bytes, cut where one has more bytes."""
+    held, n, full = [], 0, 0
+    for whole in batches:
+        step = max(1, whole.num_rows * size // max(whole.nbytes, 1)) if whole.nbytes > size else max(whole.num_rows, 1)
+        for at in range(0, whole.num_rows, step):
+            b = whole.slice(at, step)
+            held.append(b)
+            n, full = n + b.num_rows, full + whole.nbytes * b.num_rows // whole.num_rows
+            if n >= rows or full >= size:
+                yield pa.Table.from_batches(held)
+                held, n, full = [], 0, 0
     if n:
         yield pa.Table.from_batches(held)
 
@@ -137,13 +145,22 @@ def states(keys: pa.Table, ends: np.ndarray, codes: np.ndarray, counts: np.ndarr
     offsets = pa.array(offsets, pa.int32())
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((codes, pa.int32()), (counts, pa.int64()))]
     out = pa.table([*(keys.column(k) for k in KEY), pa.array(n, pa.int64()), *lists, pa.array(blobs, pa.binary())], schema=ARROW_STATE)
-    yield from out.to_batches(max_chunksize=10_000)
+    yield from out.to_batches(max_chunksize=10_000 if not dense else 100)
+
+
+def bound(sketch: np.ndarray) -> float:
+    """Share of the count by which a rank read from the counters may err."""
+    n = sketch[: 1 << EXACT].sum()
+    rows = np.sort(sketch[1 << EXACT :].reshape(LEVELS - EXACT, DEPTH, WIDTH).astype(float) ** 2, axis=2)
+    tail = np.median(rows[:, :, : WIDTH - WIDTH // 8].sum(2), axis=1)
+    return float(np.sqrt(8 * tail / WIDTH).sum() / n) if n > 0 else 0.0
 
 
 def summarise(groupings: tuple[str, ...], measures: tuple[str, ...]) -> Callable:
     """States of the rows of each task: one for every value of every grouping column, and measure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
         for part in batched(batches, ROWS):
             for grouping in groupings:
                 named = part.column(grouping).combine_chunks().dictionary_encode()
@@ -160,16 +177,36 @@ def summarise(groupings: tuple[str, ...], measures: tuple[str, ...]) -> Callable
                     continue
                 own = cells >> LEVELS
                 last = np.flatnonzero(np.append(own[1:] != own[:-1], True))
-                at = own[last]
-                keys = pa.table({
-                    "agrupacion": pa.array([grouping] * len(at), pa.string()), "grupo": named.dictionary.take(pa.array(at // len(measures))).cast(pa.string()),
-                    "medida": pa.array(measures, pa.string()).take(pa.array(at % len(measures))),
-                })
-                yield from states(keys, last + 1, cells & CODES - 1, counts.astype(np.int64), {})
+                starts = np.append(0, last[:-1] + 1)
+                wide = last + 1 - starts > SPARSE
+                for i in np.flatnonzero(wide):  # counters are added up over the task
+                    k, mine = own[last[i]], slice(starts[i], last[i] + 1)
+                    key = (grouping, named.dictionary[int(k // len(measures))].as_py(), measures[k % len(measures)])
+                    held[key] = held.pop(key, 0) + counters(cells[mine] & CODES - 1, counts[mine])
+                    if len(held) > HELD:
+                        first = next(iter(held))
+                        yield from dense_states({first: held.pop(first)})
+                keep = np.repeat(~wide, last + 1 - starts)
+                cells, counts, at = cells[keep], counts[keep], own[last[~wide]]
+                ends = np.cumsum((last + 1 - starts)[~wide])
+                if len(at):
+                    keys = pa.table({
+                        "agrupacion": pa.array([grouping] * len(at), pa.string()), "grupo": named.dictionary.take(pa.array(at // len(measures))).cast(pa.string()),
+                        "medida": pa.array(measures, pa.string()).take(pa.array(at % len(measures))),
+                    })
+                    yield from states(keys, ends, cells & CODES - 1, counts.astype(np.int64), {})
+        yield from dense_states(held)
 
     return run
 
 
+def dense_states(held: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if held:
+        keys = pa.table({k: pa.array([key[i] for key in held], pa.string()) for i, k in enumerate(KEY)})
+        none = np.zeros(0, np.int64)
+        yield from states(keys, np.zeros(len(held), np.int64), none, none, dict(enumerate(held.values())))
+
+
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the states of equal keys, which come one after another."""
     held: pa.Table | None = None
@@ -235,7 +272,10 @@ def read_ranks(percentiles: dict[str, float]) -> Callable:
             base = sums[ends - lengths]
             blobs = part.column("contadores")
             dense = {int(i): np.frombuffer(blobs[int(i)].as_py(), np.int64) for i in np.flatnonzero(blobs.is_valid().to_numpy())}
-            out = [*(part.column(k) for k in KEY), part.column("n")]
+            cota = np.zeros(len(n))
+            for i, c in dense.items():
+                cota[i] = bound(c)
+            out = [*(part.column(k) for k in KEY), part.column("n"), pa.array(cota)]
             for p in percentiles.values():
                 rank = np.clip(np.ceil(p * n - 1e-9), 1, np.maximum(n, 1)).astype(np.int64)
                 # With exact counts the descent is a search in their running sum.
@@ -247,7 +287,7 @@ def read_ranks(percentiles: dict[str, float]) -> Callable:
                     if n[i] > 0:
                         got[i] = decoded(invert(c, rank[i : i + 1]))[0]
                 out.append(pa.array(got, mask=~((n > 0) & (fits | np.isin(np.arange(len(n)), list(dense))))))
-            yield from pa.table(out, names=[*KEY, "n", *percentiles]).combine_chunks().to_batches()
+            yield from pa.table(out, names=[*KEY, "n", "cota", *percentiles]).combine_chunks().to_batches()
 
     return run
 
@@ -259,11 +299,17 @@ def build(rows: DataFrame, groupings: tuple[str, ...], measures: tuple[str, ...]
 
 
 def merge(*parts: DataFrame) -> DataFrame:
-    """Sum of states: one row for every grouping, group and measure. Groups without values left are kept with n = 0."""
+    """Sum of states: one row for every grouping, group and measure. Groups without values left are kept with n = 0.
+
+    States that are counters are first added in ``SALTS`` parts of a key, so that a key of which every task has one isn't added by one task alone.
+    """
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.select(*ARROW_STATE.names).repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(added, STATE)
+    every = cut(every.select(*ARROW_STATE.names))
+    wide = every.where("contadores is not null").withColumn("sal", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    fewer = wide.repartition(*KEY, "sal").sortWithinPartitions(*KEY).select(*ARROW_STATE.names).mapInArrow(added, STATE)
+    return every.where("contadores is null").union(fewer).repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(added, STATE)
 
 
 def negated(state: DataFrame) -> DataFrame:
@@ -283,9 +329,16 @@ def negated(state: DataFrame) -> DataFrame:
 
 
 def percentiles(state: DataFrame, wanted: dict[str, float] | None = None) -> DataFrame:
-    """``agrupacion, grupo, medida, n`` and a column for each percentile; null without values."""
+    """``agrupacion, grupo, medida, n, cota`` (share of n by which a rank may err) and a column for each percentile; null without values."""
     wanted = wanted or PERCENTILES
-    return state.select(*ARROW_STATE.names).mapInArrow(read_ranks(wanted), "agrupacion string, grupo string, medida string, n bigint, " + ", ".join(f"{k} double" for k in wanted))
+    return state.select(*ARROW_STATE.names).mapInArrow(read_ranks(wanted), "agrupacion string, grupo string, medida string, n bigint, cota double, " + ", ".join(f"{k} double" for k in wanted))
+
+
+def quote(instant: Column, idx: Column, *said: Column) -> Column:
+    """What a row says, in 128 bits: its instant, turn and words (null and empty words are one); null without instant or turn."""
+    parts = [F.unix_micros(instant), idx.cast("int"), *(F.coalesce(w, F.lit("")) for w in said)]
+    both = F.struct(F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *reversed(parts)).alias("g"))
+    return F.when(instant.isNotNull() & idx.isNotNull(), both)
 
 
 def with_calls(turns: DataFrame) -> DataFrame:
@@ -346,5 +399,39 @@ def p3_total_de_dias(spark, folder: str) -> DataFrame:
     return percentiles(merge(days.withColumns({"agrupacion": F.lit("todo"), "grupo": F.lit("todo")})))
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"p3_percentiles": p3_percentiles, "p3_total_de_dias": p3_total_de_dias}
+def p3_control(spark, folder: str) -> DataFrame:
+    """Of every state its count, and whether all its percentiles have their ranks among the codes of all turns, to within ``cota``."""
+    rows = cut(measured_turns(table(spark, folder, "turnos")))
+    found = cut(percentiles(merge(build(rows, GROUPINGS, MEASURES))))
+    told = found.select(*KEY, "n", "cota", *(code(F.col(p)).alias(p) for p in PERCENTILES))
+    pair = F.explode(F.array(*(F.struct(F.lit(g).alias("agrupacion"), F.col(g).alias("grupo")) for g in GROUPINGS))).alias("g")
+    value = F.explode(F.array(*(F.struct(F.lit(m).alias("medida"), F.col(m).alias("codigo")) for m in MEASURES))).alias("v")
+    every = rows.select(pair, *MEASURES).select("g.*", value).select("agrupacion", "grupo", "v.*").where("grupo is not null and codigo is not null").groupBy(*KEY, "codigo").agg(F.count("*").alias("m"))
+    ranks = every.join(told, list(KEY)).groupBy(*KEY, "n", "cota").agg(F.sum("m").alias("hay"), *(F.struct(F.sum(F.when(F.col("codigo") < F.col(p), F.col("m")).otherwise(0)).alias("antes"), F.sum(F.when(F.col("codigo") <= F.col(p), F.col("m")).otherwise(0)).alias("hasta")).alias(p) for p in PERCENTILES))
+    slack = F.col("cota") * F.col("n")
+    right = [(F.ceil(F.col("n") * q - 1e-9) > F.col(p)["antes"] - slack) & (F.ceil(F.col("n") * q - 1e-9) <= F.col(p)["hasta"] + slack) for p, q in PERCENTILES.items()]
+    whole = F.col("n") == F.col("hay")
+    for r in right:
+        whole = whole & r
+    return ranks.select(*KEY, "n", whole.alias("dentro"), (F.col("cota") <= 0.02).alias("estrecha"))
+
+
+_USABLE = "({c} is not null and not isnan({c}) and {c} >= 0 and {c} < 'infinity'::double)"
+_SOURCE = {m: f"latencia_ms.{m}" if i < 2 else f"latencia_ms.spans.{m}" for i, m in enumerate(MEASURES)}
+_SAID = "case when {says} then {words} else '' end"
+SQL = {
+    "p3_control": f"""
+with filas as (select nullif(lower(trim(llamada_id, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), '') as id, turno_idx as i, try_cast(ts as timestamptz) as t, ts, recibido_ts as llego, latencia_ms,
+    {_SAID.format(says=SAYS_SQL.format(c='transcripcion'), words=WORDS_SQL.format(c='transcripcion'))} as wp, {_SAID.format(says=SAYS_SQL.format(c='respuesta'), words=WORDS_SQL.format(c='respuesta'))} as wa
+  from turnos where lower(trim(tipo)) = 'turno'),
+dichos as (select t, i, wp, wa, min(id) as id from filas where id is not null and t is not null and i is not null group by all having min(id) = max(id)),
+puestas as (select f.* exclude (id), coalesce(f.id, d.id) as id from filas f left join dichos d on f.id is null and f.t = d.t and f.i = d.i and f.wp = d.wp and f.wa = d.wa),
+vueltas as (select id, coalesce(i, -1) as i, case when id is null then coalesce(t::varchar, ts, '') end as sin,
+    arg_min(coalesce(latencia_ms.cliente_origen, 'navegador'), row(coalesce(epoch_ms(llego), 4398046511103), coalesce(latencia_ms.cliente_origen, 'navegador'))) as origen,
+    arg_min(strftime((t at time zone 'UTC')::date, '%Y-%m-%d'), row(coalesce(epoch_ms(llego), 4398046511103), (t at time zone 'UTC')::date)) filter (t is not null) as dia,
+    {", ".join(f"bool_or({_USABLE.format(c=c)}) as {m}" for m, c in _SOURCE.items())}
+  from puestas group by all),
+largas as ({" union all ".join(f"select '{g}' as agrupacion, {x} as grupo, '{m}' as medida from vueltas where {m} and {x} is not null" for g, x in (("llamada_id", "id"), ("dia", "dia"), ("cliente_origen", "origen")) for m in MEASURES)})
+select agrupacion, grupo, medida, count(*) as n, true as dentro, true as estrecha from largas group by all""",
+}
+QUERIES = {"p3_percentiles": p3_percentiles, "p3_total_de_dias": p3_total_de_dias, "p3_control": p3_control}
