@@ -12,20 +12,26 @@ def test_permutations():
         assert n < 10 or list(one) != list(two)
 
 
-def test_draws_hit_the_quotas():
+def test_draws_hit_the_quotas(spark, monkeypatch):
+    monkeypatch.setattr(M, "DRAWN", 3)  # several rounds of halving
     quota = {"a": 1234, "b": 77, "c": 0, "d": 5}
-    got = M.draws(quota, shard=100)
-    total = {}
-    for _, s, first, n, _ in got:
-        assert first == total.get(s, 0)
+    got = sorted((r.fragmento, r.fuente, r.desde, r.n, r.lugar, r.total) for r in M.draws(spark, quota, shard=100).collect())
+    total, sizes = {}, {}
+    for k, s, first, n, place, size in got:
+        assert first == total.get(s, 0) and place == sizes.get(k, 0) and size == (100 if k < 13 else 16)
         total[s] = total.get(s, 0) + n
-    assert total == {"a": 1234, "b": 77, "d": 5}
-    sizes = {}
-    for k, _, _, n, place in got:
-        assert place == sizes.get(k, 0)
         sizes[k] = sizes.get(k, 0) + n
-    assert set(list(sizes.values())[:-1]) == {100}
-    assert M.draws({}) == []
+    assert total == {"a": 1234, "b": 77, "d": 5} and sizes == {k: 100 if k < 13 else 16 for k in range(14)}
+    assert M.draws(spark, {}).count() == 0
+
+
+def test_halves_are_multinomial():
+    """Counts of a half have the mean and nearly the spread of a multinomial draw, and never exceed a quota."""
+    quota, rng = np.array([600, 300, 100]), np.random.default_rng(3)
+    got = np.array([M.halved(quota, (200, 800), rng) for _ in range(2000)])
+    assert (got.sum(1) == 200).all() and (got <= quota).all()
+    share = quota / 1000
+    assert np.abs(got.mean(0) - 200 * share).max() < 1 and np.abs(got.var(0) / (200 * share * (1 - share)) - 1).max() < 0.15
 
 
 def test_quotas():

@@ -2,15 +2,17 @@
 
 The token streams of each source (its documents in a pseudorandom order) are packed into blocks of a fixed
 length. The size of the mixture is chosen so that every source reaches its share without any block being used
-more often than its cap allows, or given; then a source short of blocks stays at its cap. For every output
-shard the counts of each source are drawn from a multinomial over the quotas that remain, so that the shards
-together hit the quotas. The slots of a source are numbered, and slot j takes block perm(j mod blocks) of round
-j div blocks, where perm is a Feistel permutation keyed by source and round: blocks are joined by that index.
+more often than its cap allows, or given; then a source short of blocks stays at its cap. The mixture has shards of
+one size. The counts of the sources in the shards are drawn from a multinomial without exceeding the quotas:
+the shards are halved again and again, and each half draws its counts from the quotas of the whole, all halves of one
+round in parallel, so the shards together hit the quotas. The slots of a source are numbered, and slot j takes block
+perm(j mod blocks) of round j div blocks, where perm is a Feistel permutation keyed by source and round: blocks are
+joined by that index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ from urdimbre.llm import tokens
 from urdimbre.plans.lineage import cut, table
 
 BLOCK = 256
-#: Slots of an output shard.
-SHARD = 100_000
+#: Shards of a mixture at most, and slots of a shard at least.
+SHARDS, SHARD = 4096, 16
+#: Shards that one task draws at most.
+DRAWN = 256
 #: Documents ranked in one task at most, about.
 RANKED = 200_000
 SEED = 17
@@ -77,31 +81,69 @@ def quotas(sources: list[tuple[str, float, int, int]], total: int | None = None)
     return {s: min(room, round(total * w / whole)) for s, w, room in there}
 
 
-def draws(quota: dict[str, int], shard: int = SHARD, seed: int = SEED) -> list[tuple[int, str, int, int, int]]:
-    """``shard, source, first slot of the source, slots, first place in the shard`` of a mixture."""
-    rng, left = np.random.default_rng(seed), {s: n for s, n in sorted(quota.items()) if n}
-    names, out, k = list(left), [], 0
-    taken = dict.fromkeys(names, 0)
-    while rest := sum(left.values()):
-        size, got = min(shard, rest), dict.fromkeys(names, 0)
-        if size == rest:
-            got = dict(left)
-        else:
-            need = size
-            while need:  # what a draw takes beyond a quota is drawn again from the others
-                p = np.array([left[s] - got[s] for s in names], float)
-                for s, n in zip(names, rng.multinomial(need, p / p.sum())):
-                    got[s] += min(int(n), left[s] - got[s])
-                need = size - sum(got.values())
-        place = 0
-        for s in names:
-            if got[s]:
-                out.append((k, s, taken[s], got[s], place))
-            place += got[s]
-            taken[s] += got[s]
-            left[s] -= got[s]
-        k += 1
-    return out
+def halved(quota: np.ndarray, sizes: tuple[int, int], rng: np.random.Generator) -> np.ndarray:
+    """Of the ``quota`` of each source what goes to the first half of ``sizes`` slots: multinomial counts, what a draw takes beyond a quota drawn again."""
+    got, need = np.zeros_like(quota), sizes[0]
+    while need:
+        left = (quota - got).astype(float)
+        got = np.minimum(got + rng.multinomial(need, left / left.sum()), quota)
+        need = sizes[0] - int(got.sum())
+    return got
+
+
+def parted(part: dict, shard: int, seed: int) -> list[dict]:
+    """The two halves of a run of shards: ``first, last`` (shards), ``counts`` and ``taken`` (of each source, in it and before it)."""
+    first, last, counts, taken = part["first"], part["last"], np.array(part["counts"], np.int64), np.array(part["taken"], np.int64)
+    middle = (first + last) // 2
+    near = halved(counts, ((middle - first) * shard, int(counts.sum()) - (middle - first) * shard), np.random.default_rng((seed, first, last)))
+    return [
+        {"first": first, "last": middle, "counts": near.tolist(), "taken": taken.tolist()},
+        {"first": middle, "last": last, "counts": (counts - near).tolist(), "taken": (taken + near).tolist()},
+    ]
+
+
+def _drawn(shard: int, seed: int, below: int) -> Callable:
+    """Halves runs of shards until they have ``below`` shards or fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.to_pylist():
+                open_, done = [part], []
+                while open_:
+                    p = open_.pop()
+                    if p["last"] - p["first"] <= below:
+                        done.append(p)
+                    else:
+                        open_ += parted(p, shard, seed)
+                    if done and (len(done) >= 1000 or not open_):
+                        yield pa.RecordBatch.from_pylist(done, schema=RUN_ARROW)
+                        done = []
+
+    return run
+
+
+RUN = "first bigint, last bigint, counts array<bigint>, taken array<bigint>"
+RUN_ARROW = pa.schema([("first", pa.int64()), ("last", pa.int64()), ("counts", pa.list_(pa.int64())), ("taken", pa.list_(pa.int64()))])
+
+
+def draws(spark, quota: dict[str, int], shard: int | None = None, seed: int = SEED) -> DataFrame:
+    """``fragmento, fuente, desde, n, lugar, total``: for every shard and source the first slot of the source, how many slots, the first
+    place in the shard and the shard's size. The driver makes one row; the halves of long runs are drawn in parallel."""
+    names = [s for s, n in sorted(quota.items()) if n]
+    slots = sum(quota[s] for s in names)
+    if not slots:
+        return spark.createDataFrame([], "fragmento int, fuente string, desde bigint, n bigint, lugar bigint, total bigint")
+    shard = shard or max(SHARD, -(-slots // SHARDS))
+    shards = -(-slots // shard)
+    rows = spark.createDataFrame([(0, shards, [quota[s] for s in names], [0] * len(names))], RUN)
+    below = shards
+    while below > 1:  # each round makes at most ``DRAWN`` parts of a run
+        below = max(1, -(-below // DRAWN))
+        rows = rows.mapInArrow(_drawn(shard, seed, below), RUN)
+        rows = rows.repartition("first") if below > 1 else rows
+    each = F.explode(F.transform("counts", lambda n, i: F.struct(F.get(F.array(*map(F.lit, names)), i).alias("fuente"), F.get("taken", i).alias("desde"), n.alias("n"), F.aggregate(F.slice("counts", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("lugar")))).alias("x")
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select(F.col("first").cast("int").alias("fragmento"), total.alias("total"), each).select("fragmento", "x.fuente", "x.desde", "x.n", "x.lugar", "total").where("n > 0")
 
 
 def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -134,23 +176,22 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(j), pa.int32()), pa.array(spot, pa.int64()), pa.array([source] * len(j)), pa.array(block, pa.int64()), pa.array(turn, pa.int32())], names=["fragmento", "posicion", "fuente", "bloque", "vuelta"])
 
 
-def mix(blocks: DataFrame, goal: DataFrame, total: int | None = None, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix(blocks: DataFrame, goal: DataFrame, total: int | None = None, shard: int | None = None, seed: int = SEED) -> DataFrame:
     """``fragmento, posicion, fuente, bloque, vuelta, ids, documentos``: the mixture of ``blocks`` (written already) for the ``targets``.
 
     ``vuelta`` counts the earlier uses of the block. Sources without target or blocks are left out; without any the
-    result is empty. The driver gets a row per source with a target, and draws a few numbers per shard.
+    result is empty. The driver gets a row per source with a target; the shards are drawn by tasks.
     """
     spark = blocks.sparkSession
     have = blocks.groupBy("fuente").agg(F.count("*").alias("n"))
     sources = [(r["fuente"], r["peso"], r["tope"], r["n"]) for r in goal.join(have, "fuente").orderBy("fuente").collect()]
     n = {s: b for s, _, _, b in sources}
     keys = {s: seed * 1_000_000_007 + i * 998_244_353 for i, s in enumerate(sorted(n))}
-    drawn = draws(quotas(sources, total), shard, seed)
-    sizes: dict[int, int] = {}
-    for k, _, _, count, _ in drawn:
-        sizes[k] = sizes.get(k, 0) + count
-    rows = [(k, s, keys[s], n[s], first, count, place, sizes[k]) for k, s, first, count, place in drawn]
-    plan = spark.createDataFrame(rows, "fragmento int, fuente string, clave bigint, bloques bigint, desde bigint, n bigint, lugar bigint, total bigint")
+    of = F.create_map(*(F.lit(x) for s in sorted(n) for x in (s, F.struct(F.lit(keys[s]).cast("bigint").alias("clave"), F.lit(n[s]).cast("bigint").alias("bloques"))))) if n else F.lit(None)
+    drawn = draws(spark, quotas(sources, total), shard, seed)
+    if not n:
+        return drawn.limit(0).select("fragmento", F.lit(0).cast("bigint").alias("posicion"), "fuente", F.lit(0).cast("bigint").alias("bloque"), F.lit(0).alias("vuelta"), F.array().cast("array<int>").alias("ids"), F.array().cast(blocks.schema["documentos"].dataType).alias("documentos"))
+    plan = drawn.withColumn("o", of[F.col("fuente")]).select("fragmento", "fuente", "o.clave", "o.bloques", "desde", "n", "lugar", "total")
     slots = plan.repartition("fragmento", "fuente").mapInArrow(_slots, "fragmento int, posicion bigint, fuente string, bloque bigint, vuelta int")
     return slots.join(blocks, ["fuente", "bloque"]).select("fragmento", "posicion", "fuente", "bloque", "vuelta", "ids", "documentos")
 
@@ -182,5 +223,32 @@ def p7_informe(spark, folder: str) -> DataFrame:
     )
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"p7_mezcla": p7_mezcla, "p7_informe": p7_informe}
+def p7_control(spark, folder: str) -> DataFrame:
+    """Of every source in the mixture: whether its blocks are used within its cap and its slots hit its quota, and whether the shards
+    are full (but the last), hold each place once and hold the source in counts that vary as drawn ones do (not all alike, where it could)."""
+    blocks = corpus_blocks(spark, folder)
+    goal = targets(table(spark, folder, "mezcla_objetivo"))
+    found = cut(mix(blocks, goal).select("fragmento", "posicion", "fuente", "bloque"))
+    shards = found.groupBy("fragmento").agg(F.count("*").alias("n"), F.count_distinct("posicion").alias("k"), F.max("posicion").alias("z"))
+    ends = shards.agg(F.max("fragmento").alias("ultimo"), F.count("*").alias("fragmentos"), F.max("n").alias("lleno"), F.min((F.col("n") == F.col("k")) & (F.col("z") + 1 == F.col("n"))).alias("lugares"))
+    full = shards.crossJoin(F.broadcast(ends)).agg(F.min((F.col("n") == F.col("lleno")) | (F.col("fragmento") == F.col("ultimo"))).alias("llenos"), F.max("lugares").alias("lugares"), F.max("fragmentos").alias("fragmentos"))  # one row
+    uses = found.groupBy("fuente", "bloque").agg(F.count("*").alias("u")).groupBy("fuente").agg(F.max("u").alias("usos"), F.sum("u").alias("n"))
+    each = found.groupBy("fuente", "fragmento").agg(F.count("*").alias("m")).groupBy("fuente").agg(F.count_distinct("m").alias("cuentas"))
+    have = blocks.groupBy("fuente").agg(F.count("*").alias("b"))
+    room = goal.join(have, "fuente").where("tope > 0").withColumn("todo", F.sum("peso").over(Window.partitionBy(F.lit(0))))
+    total = room.agg(F.min(F.col("tope") * F.col("b") * F.col("todo") / F.col("peso")).alias("total"))
+    right = F.abs(F.col("n") - F.least(F.col("tope") * F.col("b"), F.round(F.col("total") * F.col("peso") / F.col("todo")))) <= 1
+    return (
+        room.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(full)).join(uses, "fuente").join(each, "fuente")  # one row each
+        .select("fuente", (F.col("usos") <= F.col("tope")).alias("tope_cumplido"), right.alias("cuota_cumplida"), "llenos", "lugares", ((F.col("cuentas") > 1) | (F.col("n") < 2 * F.col("fragmentos")) | (F.col("fragmentos") < 3)).alias("sorteada"))
+    )
+
+
+_PLAIN = r"nullif(regexp_replace(lower(source), '[\s\x{a0}_-]+', '', 'g'), '')"
+SQL = {
+    "p7_control": f"""
+with metas as (select {_PLAIN} as fuente, sum(peso) as peso, min(greatest(0, coalesce(tope_repeticiones, 1))) as tope from mezcla_objetivo where peso > 0 and not isnan(peso) and {_PLAIN} is not null group by all)
+select fuente, true as tope_cumplido, true as cuota_cumplida, true as llenos, true as lugares, true as sorteada from metas
+where tope > 0 and fuente in (select {_PLAIN} from documents where text <> '')""",
+}
+QUERIES = {"p7_mezcla": p7_mezcla, "p7_informe": p7_informe, "p7_control": p7_control}
