@@ -52,6 +52,7 @@ def test_units():
 def test_evidence_of_the_document():
     assert cut("Am 3. Tag kam sie. Gut.", together=["0 Tag"]) == ["Am 3. Tag kam sie.", "Gut."]
     assert cut("Vino el Lic. de ayer. El Lic. Pérez firmó. Fin.") == ["Vino el Lic. de ayer.", "El Lic. Pérez firmó.", "Fin."]
+    assert cut("Vino el Lic. de ayer. ¿Quién? Pérez vino. Y con Pérez, con Pérez, el Lic. Pérez firmó. Fin.")[-2:] == ["Y con Pérez, con Pérez, el Lic. Pérez firmó.", "Fin."]
     assert cut("the end.The next. Done") == ["the end.", "The next.", "Done"]
 
 
@@ -62,3 +63,21 @@ def test_operator(spark, folder):
     assert S.sentences(docs.limit(0)).count() == 0
     found = {r.n for r in S.open_cases(spark.createDataFrame([(1, "Am 3. Tag. Vgl. S. 4 und etc. Gut.")], "doc_id int, text string")).collect()}
     assert {"Tag.", "S.", "Gut."} <= found
+
+
+def test_corpus_evidence_is_a_rate(spark):
+    """One sentence that opens with a word doesn't undo what hundreds show; the counts are those of the patterns."""
+    texts = ["Am 3. Tag kam sie."] * 5 + ["Am ersten Tag, am zweiten Tag, am letzten Tag kam er."] * 60 + ["Ende. Tagelang geschah nichts, wirklich! Tag um Tag verging."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.juntas for r in S.kept_together(docs).collect()}
+    assert set(got) == set(range(5)) and got[0] == ["0 Tag"]
+    seen = {r.word: r for r in S.evidence(docs, spark.createDataFrame([("Tag",), ("kam",)], "word string")).collect()}
+    assert seen["Tag"].opens == 1 and seen["Tag"].among == 60 * 3 + 1 - 1 or seen["Tag"].among >= 180
+    assert set(seen) == {"Tag", "kam"}
+
+
+def test_long_units_and_nested_quotes():
+    """Thousands of marks in one unit, and pairs in pairs, are cut as short ones are."""
+    piece = "Dijo «esto (o aquello). Sí» y calló. "
+    assert len(cut(piece * 3000)) == 3000 and cut(piece * 2)[0] == piece.strip()
+    assert len(cut("a. " * 5000 + "B")) >= 1

@@ -3,22 +3,24 @@
 A text is first cut into units (paragraphs, or lines in list and transcript formats); units are cut after
 terminators. Whether a full stop ends a sentence is disambiguated by the document itself: a word is an
 abbreviation if it occurs elsewhere in the document with a full stop before a small letter or comma, and the
-word after it opens a sentence if it opens one at an unambiguous place elsewhere. Cases that the document
-leaves open fall back on the same evidence over the corpus, counted and joined by word in Spark. Other rules
+word after it opens a sentence if it opens one at an unambiguous place elsewhere, unless it is a proper name: seen
+with a capital within sentences at least as often. Cases that the document leaves open fall back on the rates of the
+same evidence over the corpus, counted in one pass and joined by word in Spark. Other rules
 go by script: ideographic, danda and Arabic terminators; the Greek question mark; spaces between Thai words.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urdimbre.plans.lineage import table
+from urdimbre.plans.lineage import cut, table
 
 #: Marks by what they do.
 OPENING, CLOSING = "¿¡«“„\"'‘(「『[{（", "»”“\"'’)」』]}）"
@@ -34,54 +36,86 @@ LABEL = regex.compile(r"\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?\s*)?(?:\[\p{L}[^\]\
 #: What stands between a sentence and the next word without belonging to either's words: emoji, marks, markup.
 BESIDE = regex.compile(r"(?:\s|<[^<>\s]*>|[\p{So}\p{Sk}\p{Cf}\p{M}️])+")
 THAI_GAP = regex.compile(r"(?<=\p{Thai})[^\S\n]+(?=\p{Thai})")
-WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.·]+$")
+THAI, MARK, SPEAKS, SOLID = (regex.compile(x) for x in (r"\p{Thai}", r"\p{M}", r"[\p{L}\p{N}]", r"\S"))
 WORD = regex.compile(r"[\p{L}\p{M}]+")
+LINE = regex.compile(r"[\n\f]")
 BLANK_LINE = regex.compile(r"\n[^\S\n]*\n\s*|\f")
-#: Evidence, of the same form for the document and (in Java's syntax) the corpus.
+#: Evidence: where words stand in the document and, counted, in the corpus.
 DOTTED = r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)\.(?:[,;:]|[^\S\n]+\p{Ll}(?!\)))"
 OPENS = r"(?:^|\n\s*\n\s*|[\p{L}\p{M}]{6}[.!?]\s+|[\p{L}\p{M}\p{N}][!?]\s+)[¿¡«“„\"(]*(\p{Lu}[\p{L}\p{M}]*)"
 AMONG = r"\p{Ll},?\s(\p{Lu}[\p{L}\p{M}]*)"
 BARE = r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]+)(?![\p{L}\p{M}.])"
-OPEN_CASE = r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*|\p{N}+)\.[»”“\"')\]]*\s+(\p{Lu}[\p{L}\p{M}]*\.?)"
-IN_DOCUMENT = {k: regex.compile(p) for k, p in (("dotted", DOTTED), ("opens", OPENS), ("bare", BARE))}
+OPEN_CASE = regex.compile(r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*|\p{N}+)\.[»”“\"')\]]*\s+(\p{Lu}[\p{L}\p{M}]*\.?)")
+IN_DOCUMENT = {k: regex.compile(p) for k, p in (("dotted", DOTTED), ("opens", OPENS), ("among", AMONG), ("bare", BARE))}
+#: Times that a word opens sentences, of the times that it is seen with a capital, under which it is no opening.
+RARELY = 0.1
 
 
-def found(pattern: str, text: Column, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open cases of each document: a short word, known abbreviation or figure (``0``) with a full stop before a capital ``n`` (with its own full stop, if any)."""
+    for b in batches:
+        ids, first, then = [], [], []
+        for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for w, n in {(("0" if w[0].isdecimal() or not w[0].isalpha() else w), n) for w, n in OPEN_CASE.findall(text)}:
+                ids.append(key), first.append(w), then.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("doc_id").type), pa.array(first, pa.string()), pa.array(then, pa.string())], names=["doc_id", "w", "n"])
 
 
 def open_cases(docs: DataFrame) -> DataFrame:
-    """``doc_id, w, n``: a short word, known abbreviation or figure (``0``) with a full stop before a capital ``n`` (with its own full stop, if any)."""
-    pairs = F.arrays_zip(found(OPEN_CASE, F.col("text"), 1).alias("w"), found(OPEN_CASE, F.col("text"), 2).alias("n"))
-    rows = docs.select("doc_id", F.explode(F.array_distinct(pairs)).alias("p")).select("doc_id", F.col("p.w").alias("w"), F.col("p.n").alias("n"))
-    return rows.withColumn("w", F.when(F.col("w").rlike(r"^\p{N}"), "0").otherwise(F.col("w"))).distinct()
+    """``doc_id, w, n`` of documents without null texts."""
+    return docs.select("doc_id", "text").mapInArrow(_cases, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, w string, n string")
+
+
+def _evidence(words) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = words.value
+        for b in batches:
+            counts: dict[str, Counter] = {k: Counter() for k in IN_DOCUMENT}
+            for text in b.column("text").to_pylist():
+                for k in ("dotted", "opens", "among"):
+                    counts[k].update(IN_DOCUMENT[k].findall(text))
+                counts["bare"].update(bare(text))
+            seen = [w for w in set().union(*counts.values()) if wanted is None or w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([counts[k][w] for w in seen], pa.int64()) for k in IN_DOCUMENT)], names=["word", *IN_DOCUMENT])
+
+    return run
+
+
+EDGES = regex.compile(r"[^\p{L}\p{M}.]+")
 
 
-def evidence(docs: DataFrame) -> DataFrame:
-    """``word, dotted, opens, among, bare``: how often each word of the corpus is seen in each unambiguous place."""
-    kinds = {"dotted": DOTTED, "opens": OPENS, "among": AMONG, "bare": BARE}
+def bare(text: str) -> list[str]:
+    """Words without a full stop beside them."""
+    return [t for t in EDGES.split(text) if t and "." not in t]
 
-    def each(kind: str) -> Column:
-        return F.transform(found(kinds[kind], F.col("text")), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
 
-    seen = F.flatten(F.array(*map(each, kinds)))
-    counts = docs.select(F.explode(seen).alias("s")).groupBy("s.word", "s.kind").agg(F.count("*").alias("n"))
-    return counts.groupBy("word").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds))
+#: Distinct words of open cases that are sent to every task at most; with more, all words of the corpus are counted.
+SENT = 200_000
+
+
+def evidence(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """``word, dotted, opens, among, bare``: how often the corpus has each of ``words`` in each unambiguous place, counted in one pass."""
+    few = words.limit(SENT + 1).count() <= SENT
+    sent = docs.sparkSession.sparkContext.broadcast({r[0] for r in words.collect()} if few else None)
+    counts = docs.select("text").mapInArrow(_evidence(sent), "word string, " + ", ".join(f"{k} bigint" for k in IN_DOCUMENT))
+    return counts.groupBy("word").agg(*(F.sum(k).alias(k) for k in IN_DOCUMENT))
 
 
 def kept_together(docs: DataFrame) -> DataFrame:
     """``doc_id, juntas``: the pairs ``w n`` of a document that the corpus holds for no end of a sentence."""
-    cases = open_cases(docs)
-    seen = evidence(docs)
+    cases = cut(open_cases(docs))
+    names = cases.select("w", "n").distinct().withColumn("name", F.rtrim("n", F.lit(".")))
+    words = cut(names.select(F.col("w").alias("word")).union(names.select("name")).distinct())
+    seen = cut(evidence(docs, words))
     pairs = (
-        cases.select("w", "n").distinct()
-        .join(seen.select(F.col("word").alias("w"), "dotted", "bare"), "w", "left").withColumn("name", F.rtrim("n", F.lit("."))).join(seen.select(F.col("word").alias("name"), "opens", "among"), "name", "left")
+        names.join(seen.select(F.col("word").alias("w"), "dotted", "bare"), "w", "left").join(seen.select(F.col("word").alias("name"), "opens", "among"), "name", "left")
         .na.fill(0, ["dotted", "bare", "opens", "among"])
     )
-    # Never seen without full stop, and before another abbreviation.
-    never_bare = (F.col("bare") == 0) & (F.length("w") <= SHORT) & F.col("n").endswith(".") & (F.length("n") <= SHORT)
+    # Hardly ever seen without full stop, and before another abbreviation.
+    never_bare = (F.col("bare") <= RARELY * F.col("dotted")) & (F.length("w") <= SHORT) & F.col("n").endswith(".") & (F.length("n") <= SHORT)
     shortened = (2 * F.col("dotted") > F.col("bare")) | never_bare
-    together = (F.col("opens") == 0) & F.when(F.col("w") == "0", F.col("among") > 0).otherwise(shortened)
+    no_opening = F.col("opens") <= RARELY * (F.col("opens") + F.col("among"))
+    together = no_opening & F.when(F.col("w") == "0", F.col("among") > 0).otherwise(shortened)
     return cases.join(pairs.where(together).select("w", "n"), ["w", "n"]).groupBy("doc_id").agg(F.collect_set(F.concat_ws(" ", "w", "n")).alias("juntas"))
 
 
@@ -91,35 +125,40 @@ class Document:
     def __init__(self, text: str, form: str | None, together: list[str] | None):
         self.text, self.form, self.together = text, (form or "").strip().lower(), set(together or ())
         self.known: dict[str, Counter] = {}
+        self.thai = bool(THAI.search(text))
 
     def seen(self, kind: str, word: str) -> int:
         if kind not in self.known:
-            self.known[kind] = Counter(m.group(1) for m in IN_DOCUMENT[kind].finditer(self.text))
+            self.known[kind] = Counter(bare(self.text) if kind == "bare" else IN_DOCUMENT[kind].findall(self.text))
         return self.known[kind][word]
 
     def shortened(self, word: str) -> bool:
         return 2 * self.seen("dotted", word) > self.seen("bare", word)
 
     def spans(self) -> Iterator[tuple[int, int]]:
-        cut = regex.compile(r"[\n\f]") if self.form in ("lista", "transcripcion") else BLANK_LINE
+        parts = LINE if self.form in ("lista", "transcripcion") else BLANK_LINE
         at = 0
-        for end in [*((m.start(), m.end()) for m in cut.finditer(self.text)), (len(self.text),) * 2]:
+        for end in [*((m.start(), m.end()) for m in parts.finditer(self.text)), (len(self.text),) * 2]:
             yield from self.unit(at, end[0])
             at = end[1]
 
     def unit(self, start: int, end: int) -> Iterator[tuple[int, int]]:
         text = self.text
         label = LABEL.match(text, start, end).end()
-        closes = self.pairs(start, end)
-        inner = sorted(closes.items())
-        at, ends = start, []
-        for m in TERMINATOR.finditer(text, label, end):
-            ends.append((m.start(), m.end(), False))
-        ends += [(m.start(), m.end(), True) for m in THAI_GAP.finditer(text, label, end)]
-        for a, b, gap in sorted(ends):
+        ends = [(m.start(), m.end(), False) for m in TERMINATOR.finditer(text, label, end)]
+        if self.thai:
+            ends = sorted(ends + [(m.start(), m.end(), True) for m in THAI_GAP.finditer(text, label, end)])
+        if not ends:
+            yield from self.trimmed(start, end)
+            return
+        opened, closed = self.pairs(start, end)
+        begins = set(opened)
+        at = start
+        for a, b, gap in ends:
             if a < at:
                 continue
-            around = next(((o, c) for o, c in inner if o < a < c), None)
+            k = bisect_left(opened, a) - 1  # outermost pairs don't overlap
+            around = (opened[k], closed[k]) if k >= 0 and closed[k] > a else None
             if gap:
                 to = a if not around else None
             elif around:
@@ -129,9 +168,9 @@ class Document:
             if to is None:
                 continue
             if not gap:
-                while to < end and text[to] in CLOSING and to not in closes:
+                while to < end and text[to] in CLOSING and to not in begins:
                     to += 1
-                if text[to:end].strip() and not self.ends(text, a, b, to, end, max(at, label), around):
+                if to < end and SOLID.search(text, to, end) and not self.ends(text, a, b, to, end, max(at, label), around):
                     continue
             yield from self.trimmed(at, to)
             at = to
@@ -142,20 +181,24 @@ class Document:
         if own.strip():
             yield start + len(own) - len(own.lstrip()), start + len(own.rstrip())
 
-    def pairs(self, start: int, end: int) -> dict[int, int]:
-        """Outermost closed quotations and brackets of a unit."""
-        open_, out, text = [], {}, self.text
+    def pairs(self, start: int, end: int) -> tuple[list[int], list[int]]:
+        """Opening and closing places of the outermost closed quotations and brackets of a unit, in order."""
+        open_: list[int] = []
+        opened: list[int] = []
+        closed: list[int] = []
+        text = self.text
         for m in QUOTE.finditer(text, start, end):
             q, i = m.group(), m.start()
             match = next((k for k in range(len(open_) - 1, -1, -1) if q in CLOSED_BY[text[open_[k]]]), None)
             if match is not None:
                 o = open_[match]
                 del open_[match:]
-                out = {a: b for a, b in out.items() if not o < a < i}
-                out[o] = i
+                while opened and opened[-1] > o:  # those within the new pair
+                    opened.pop(), closed.pop()
+                opened.append(o), closed.append(i)
             elif q in CLOSED_BY and (q != '"' or i == start or not text[i - 1].isalnum()):
                 open_.append(i)
-        return out
+        return opened, closed
 
     def ends(self, text: str, a: int, b: int, to: int, end: int, start: int, around: tuple[int, int] | None) -> bool:
         """Whether the terminator at ``a:b``, closed at ``to``, ends the sentence begun at ``start``."""
@@ -170,10 +213,9 @@ class Document:
         opened, first = text[at] is not following, text[at] if at < end else ""
         if following in ",;:)]}»”’—–-/…%" or first.islower():
             return False
-        before = regex.search(r"\p{L}", text[start:a][::-1])
-        letter = before.group() if before else ""
+        letter = next((text[i] for i in range(a - 1, start - 1, -1) if text[i].isalpha()), "")
         if around:
-            introduced = bool(regex.search(r"[\p{L}\p{N}]", text[start : around[0]]))
+            introduced = bool(SPEAKS.search(text, start, around[0])) if around[0] > start else False
             return introduced if first.isalpha() and not first.isupper() else True
         if mark in FULL:
             return True
@@ -188,15 +230,17 @@ class Document:
             return first.isupper() and not opened and (before.islower() and before.isalpha() or before[-1:].isdigit() or before[-1:] in "%)")
         if _script(letter) in ("Devanagari", "Thai"):
             return False
-        word = WORD_BEFORE.search(text, start, a)
-        word = word.group() if word else ""
+        i = a
+        while i > start and (text[i - 1] in ".·" or text[i - 1].isalnum() or MARK.match(text, i - 1)):
+            i -= 1
+        word = text[i:a]
         figure = word[-1:].isdigit()
         if first.isdigit():
             return figure or len(word) >= SHORT and not self.shortened(word)
         if opened or not first.isupper():
             return True
         name = WORD.match(text, at).group()
-        if self.seen("opens", name):
+        if (opens := self.seen("opens", name)) and opens > self.seen("among", name):
             return True
         if not figure and self.shortened(word):
             return False
@@ -204,11 +248,13 @@ class Document:
         return f"{key} {name}" not in self.together and f"{key} {name}." not in self.together
 
 
+SCRIPTS = {name: regex.compile(rf"\p{{{name}}}") for name in ("Greek", "Devanagari", "Thai")}
+
+
 def _script(letter: str) -> str:
-    for name in ("Greek", "Devanagari", "Thai"):
-        if letter and regex.match(rf"\p{{{name}}}", letter):
-            return name
-    return ""
+    if letter < "\u0370":
+        return ""
+    return next((name for name, own in SCRIPTS.items() if own.match(letter)), "")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
