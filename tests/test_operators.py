@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from urdimbre.functions import stats
+from urdimbre.functions import text as tx
 from urdimbre.operators import analysis, chunking, corpus, dedup, retrieval, sequences, turnlog
 
 
@@ -64,6 +66,69 @@ def test_chunk_pages_and_edges(spark):
     assert chunking.chunks(pages(spark, []), 100, 10).count() == 0
 
 
+def test_chunks_by_search_over_all_ends(spark):
+    """Every chunk is the longest run of units that fits, and repeats the fewest last units that are long enough, whatever the stretch."""
+    rng = random.Random(8)
+    words = lambda: " ".join("x" * rng.randrange(1, 12) for _ in range(rng.randrange(1, 14)))
+    docs = {d: [(n, "".join(words() + rng.choice([". ", "! ", "\n\n", "; ", ", ", " "]) for _ in range(rng.randrange(0, 9)))) for n in range(1, 24)] for d in ("a", "b")}
+    docs["c"] = [(n, "sin punto " * 30) for n in range(1, 9)] + [(9, "fin.")]
+    rows = [(d, n, t) for d, ps in docs.items() for n, t in ps]
+    got = [sorted((r.clave, r.indice, r.pagina, r.texto) for r in chunking.chunks(pages(spark, rows), 120, 30, 20, stretch=w).collect()) for w in (1, 2, 5, 200)]
+    assert got[0] == got[1] == got[2] == got[3]
+    clean = {(r.clave, r.numero): r.t for r in pages(spark, rows).select("clave", "numero", tx.normalized(F.col("texto")).alias("t")).collect()}
+    for d, ps in docs.items():
+        own, _ = chunking.units([(n, clean[d, n]) for n, _ in ps if clean[d, n]], 120, True)
+        text, size = [t.strip() for _, t in own], [len(t) for _, t in own]
+        assert "".join("".join(text).split()) == "".join("".join(clean[d, n] for n, _ in ps).split()) and max(size) <= 120
+        want, i, new = [], 0, 0
+        while new < len(own):
+            fits = [e for e in range(new + 1, len(own) + 1) if sum(size[i:e]) + e - i - (new == i) <= 120]
+            end = max(fits, default=new + 1)
+            body = " ".join(text[i:end])
+            if not want or len(body) >= 20:
+                want.append((d, len(want), own[i][0], body))
+            if end == len(own):
+                break
+            back = max([s for s in range(i, end + 1) if sum(size[s:end]) + end - s >= 30], default=i)
+            i = next(s for s in range(back, end + 1) if sum(size[s:end]) + end - s + size[end] <= 120 or s == end)
+            new = end
+        assert [x for x in got[0] if x[0] == d] == want
+
+
+@pytest.mark.parametrize("how", ["linear", "nearest", "floor"])
+def test_percentiles_with_an_outlier_and_one_group(spark, how):
+    rng = np.random.default_rng(9)
+    values = [float(x) for x in rng.normal(0, 1, 3000)] + [1e300, -1e300]
+    rows = [("a", v) for v in values] + [("b", float(i % 3)) for i in range(500)] + [("b", None), ("b", float("nan")), (None, 7.0), ("c", None)]
+    table = spark.createDataFrame(rows, "g string, v double").withColumn("_v", F.lit("clash")).repartition(4)
+    got = {r.g: r for r in stats.percentiles(table, ["g"], "v", {"x": 0.0, "y": 0.37, "z": 1.0}, how).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, own in (("a", values), ("b", [float(i % 3) for i in range(500)]), (None, [7.0])):
+        for k, q in (("x", 0.0), ("y", 0.37), ("z", 1.0)):
+            at = q * (len(own) - 1)
+            want = np.quantile(own, q) if how == "linear" else sorted(own)[round(at) if how == "nearest" else int(at)]
+            assert abs(got[g][k] - want) <= 1e-9 * max(1, abs(want)), (g, k)
+    assert stats.percentiles(table.limit(0), ["g"], "v", {"x": 0.5}, how).count() == 0
+    one = stats.percentiles(table.where("g = 'a'"), [], "v", {"x": 0.5}, how).collect()
+    assert len(one) == 1 and abs(one[0].x) < 0.2
+
+
+def test_near_duplicates_on_skewed_shingles(spark):
+    """A phrase that all texts share is no meeting place; a family of near copies keeps every link."""
+    rng = random.Random(6)
+    phrase = [f"c{i}" for i in range(12)]
+    docs = [(i, " ".join(phrase + [f"u{i}x{j}" for j in range(40)])) for i in range(80)]
+    base = [f"f{i}" for i in range(100)]
+    for i in range(80, 100):
+        w = list(base)
+        w[rng.randrange(100)] = f"z{i}"
+        docs.append((i, " ".join(w)))
+    pairs = {(r.a, r.b) for r in dedup.near_duplicates(spark.createDataFrame(docs, "k int, t string"), "k", "t")[0].collect()}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in docs}
+    assert pairs == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8} and len(pairs) > 100
+    assert dedup.near_duplicates(spark.createDataFrame(docs, "k int, t string"), "k", "t", shortest=200)[0].count() == 0
+
+
 def test_running_values_by_brute_force(spark):
     rng = random.Random(5)
     rows = [(k, i, rng.choice([None, 1, 2, 3]), rng.random() < 0.6) for k in "ab" for i in range(100)]
@@ -140,6 +205,15 @@ def test_analyses_on_small_tables(spark):
     rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), (None, 9.0)], "g string, v double")
     got = {r.g: (r.minimo_resto, r.maximo_resto) for r in analysis.without_each(rows, "g", "v").collect()}
     assert got == {"a": (2.0, 3.0), "b": (1.0, 3.0), "c": (1.0, 2.0)}
+    cells = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (None, "z"), (3, None)], "a int, b string")
+    assert sorted((r.a, r.b) for r in analysis.zero_cells(cells, "a", "b").collect()) == [(1, "z"), (2, "y"), (2, "z"), (3, "x"), (3, "y"), (3, "z")]
+    assert analysis.zero_cells(cells.limit(0), "a", "b").count() == 0
+    day = {(r.a, r.b): r.n for r in analysis.described_on(cells.withColumn("v", F.lit(2.0)), "a", [1, 9], "b", "v").collect()}
+    assert day[1, "x"] == 1 and day[9, "x"] == 0 and day[9, None] == 0
+    labels = spark.createDataFrame([("Español", "es"), ("raro", "es"), ("raro", "en"), (None, "fr")], "etiqueta string, codigo string")
+    assert [r.l for r in analysis.coded(spark.createDataFrame([(" ESPAÑOL ",), ("raro",), (None,)], "l string"), "l", labels).orderBy(F.col("l").desc()).collect()] == ["es", None, None]
+    ids = spark.createDataFrame([("Pac-007 / 01",), ("pac_7_1",), ("--",), (None,)], "i string").select(tx.plain_id(F.col("i")).alias("i")).collect()
+    assert [r.i for r in ids] == ["pac_7_1", "pac_7_1", None, None]
     report = analysis.key_report(rows.withColumnRenamed("g", "k"), rows.limit(0).withColumnRenamed("g", "k"), "k").first()
     assert tuple(report) == (0, 3, 0)
     assert analysis.sweep(rows.limit(0), "g", "v", [1.0]).count() == 0

@@ -69,3 +69,11 @@ def test_wilson_and_sums(spark):
     assert round(row[0][0], 3) == 0.61 and round(row[0][1], 9) == 1.0 and tuple(row[1]) == (None, None)
     pair = spark.createDataFrame([(1, None), (None, None), (2, 3)], "a int, b int").select(stats.add(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in pair] == [1, None, 5]
+
+
+def test_windows_and_value_with_quote(spark):
+    text = spark.createDataFrame([("a" * 2500,), ("",), (None,), ("b" * 700,)], "t string")
+    assert [[len(w) for w in r.w] for r in text.select(tx.windows(F.col("t")).alias("w")).collect()] == [[1200, 1200], [], [], [700]]
+    rows = spark.createDataFrame([('{"x": {"valor": 3, "cita": "tres"}}',), ('{"x": {"valor": 3, "cita": 3}}',), ('{"x": 3}',), ('{"x": {"valor": null, "cita": "a"}}',), ("no",), (None,)], "j string")
+    got = [(r.v, r.c) for r in rows.select(*(c.alias(k) for c, k in zip(tx.value_and_quote(F.col("j"), "x"), "vc"))).collect()]
+    assert got == [("3", "tres")] + [(None, None)] * 5

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-#: Ranges that the values of a group are cut into.
-RANGES = 1000
+from urdimbre.plans.lineage import cut
 
 
 def usable(c: Column) -> Column:
@@ -20,32 +18,46 @@ def usable(c: Column) -> Column:
 
 def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """How often each value of ``value`` occurs in each group: what exact percentiles need, combined before the shuffle."""
-    return rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_veces"))
-
+    there = F.col(value).isNotNull()
+    if rows.schema[value].dataType.typeName() in ("double", "float"):
+        there &= ~F.isnan(value)
+    return rows.where(there).groupBy(*keys, value).agg(F.count("*").alias("_veces"))
 
-def linear(value: str, p: float, digits: int = 1) -> Column:
-    """Percentile between neighbouring ranks, over ``counted`` values; null without values."""
-    return F.round(F.expr(f"percentile(`{value}`, {p}D, _veces)"), digits)
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], how: str, digits: int | None = None) -> DataFrame:
+    """``keys`` and a column for each of ``wanted`` (shares 0..1): percentiles of rank q * (n - 1) from 0.
 
-def by_rank(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], nearest: bool) -> DataFrame:
-    """Percentiles that are values: of rank q * (n - 1) from 0, taken to the nearest rank (ties to even) or down.
-
-    The values of a group are cut into ``RANGES`` of equal width; counts of ranges tell which ones hold the ranks, and
-    only those are ranked. Null keys are a group; null values don't count.
+    ``how``: linear (between the two ranks beside it), nearest (ties to even) or floor, which give a value of the group.
+    Null keys are a group, null and NaN values don't count, a group without values has no row. Values are counted
+    first; the distinct ones are cut into ranges of equally many across all groups, so neither a large group nor an
+    outlier makes a task larger. Sums of ranges tell which ones hold the ranks, and only those are ranked.
     """
     each = counted(rows, keys, value).withColumn("_k", F.struct(F.lit(0), *keys))
-    ends = each.groupBy("_k").agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_veces").alias("_n"))
-    share = (F.col(value) - F.col("_min")) / F.nullif(F.col("_max") - F.col("_min"), F.lit(0))
-    placed = each.join(ends, "_k").withColumn("_c", F.coalesce(F.floor(share * RANGES), F.lit(0)))
+    placed = cut(each.select("_k", F.col(value).alias("_v"), "_veces").repartitionByRange("_k", "_v").withColumn("_c", F.spark_partition_id()))
     before = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = placed.groupBy("_k", "_c", "_n").agg(F.sum("_veces").alias("_m")).withColumn("_antes", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    rank = lambda q: (F.bround if nearest else F.floor)(F.lit(q) * (F.col("_n") - 1)) + 1
-    holds = lambda q: (rank(q) > F.col("_antes")) & (rank(q) <= F.col("_antes") + F.col("_m"))
-    held = ranges.where(reduce(lambda a, b: a | b, map(holds, wanted.values()))).drop("_n")
-    upto = Window.partitionBy("_k", "_c").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(held, ["_k", "_c"]).withColumn("_hasta", F.sum("_veces").over(upto) + F.col("_antes"))
-    return ranked.groupBy(*keys).agg(*(F.min(F.when(holds(q) & (F.col("_hasta") >= rank(q)), F.col(value))).alias(k) for k, q in wanted.items()))
+    sums = placed.groupBy("_k", "_c").agg(F.sum("_veces").alias("_m"))
+    ranges = sums.withColumn("_antes", F.coalesce(F.sum("_m").over(before), F.lit(0))).withColumn("_n", F.sum("_m").over(Window.partitionBy("_k")))
+    place = lambda q: F.lit(float(q)) * (F.col("_n") - 1)
+    ranks = lambda q: {"nearest": [F.bround(place(q))], "floor": [F.floor(place(q))], "linear": [F.floor(place(q)), F.ceil(place(q))]}[how]
+    asked = [r.cast("bigint") + 1 for q in wanted.values() for r in ranks(q)]
+    held = ranges.where(reduce(lambda a, b: a | b, [(r > F.col("_antes")) & (r <= F.col("_antes") + F.col("_m")) for r in asked])).drop("_m")
+    upto = Window.partitionBy("_k", "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(held, ["_k", "_c"]).withColumn("_hasta", F.sum("_veces").over(upto) + F.col("_antes")).withColumn("_desde", F.col("_hasta") - F.col("_veces"))
+    at = lambda r: F.max(F.when((r.cast("bigint") + 1 > F.col("_desde")) & (r.cast("bigint") + 1 <= F.col("_hasta")), F.col("_v")))
+    parts = {f"_{i}_{j}": at(r) for i, q in enumerate(wanted.values()) for j, r in enumerate(ranks(q))}
+    got = ranked.groupBy("_k", "_n").agg(*(c.alias(k) for k, c in parts.items()))
+
+    def answer(i: int, q: float) -> Column:
+        low = F.col(f"_{i}_0")
+        out = low + (F.col(f"_{i}_1") - low) * (place(q) - F.floor(place(q))) if how == "linear" else low
+        return out if digits is None else F.round(out, digits)
+
+    return got.select(*(F.col("_k")[k].alias(k) for k in keys), *(answer(i, q).alias(k) for i, (k, q) in enumerate(wanted.items())))
+
+
+def by_rank(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float], nearest: bool) -> DataFrame:
+    """Percentiles that are values, of the nearest or the floored rank."""
+    return percentiles(rows, keys, value, wanted, "nearest" if nearest else "floor")
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -39,8 +39,8 @@ def plain(c: Column) -> Column:
 
 
 def normalized(c: Column) -> Column:
-    """Document text with line ends unified, control characters blanked, words divided by a hyphen at a line end joined,
-    runs of blanks and of empty lines shortened, ends trimmed. Null stays null, blank becomes empty."""
+    """Normal form of a document, by five fixed rules: line ends unified, control characters blanked, words divided by a hyphen at a line end joined,
+    runs of blanks and of empty lines shortened; then ends trimmed. Null stays null, blank becomes empty."""
     text = F.regexp_replace(c, "\r\n?", "\n")
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
     text = F.regexp_replace(text, r"([\p{L}\p{N}_])[-­]\n([\p{L}\p{N}_])", "$1$2")
@@ -48,6 +48,12 @@ def normalized(c: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"\n{2,}", "\n\n"), F.lit(" \n\t"))
 
 
+def plain_id(c: Column) -> Column:
+    """An identifier whatever its spelling: its runs of letters and of digits parted by ``_``, lower case, without zero padding; null without any."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+|[0-9]+"), F.lit(0))
+    return F.nullif(F.array_join(F.transform(runs, lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")), "_"), F.lit(""))
+
+
 def canonical_words(c: Column) -> Column:
     """Words of a-z and 0-9, lower case without accents; empty for null."""
     return F.filter(F.split(F.regexp_replace(plain(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
@@ -110,6 +116,25 @@ def snippet(c: Column, most: int) -> Column:
     return F.when(F.length(own) > most, F.concat(F.rtrim(F.substring(own, 1, most - 1)), F.lit("…"))).otherwise(own)
 
 
+def value_and_quote(answer: Column, field: str) -> tuple[Column, Column]:
+    """Value and quote that a model's answer (JSON, as ``json_object`` gives) holds for a field.
+
+    Only an object with a ``valor`` that isn't null and a ``cita`` that is text carries evidence; of anything else both are null.
+    """
+    at = lambda key: F.get_json_object(answer, f"$.{field}.{key}")
+    quote = F.get_json_object(answer, f"$.{field}")
+    is_text = quote.rlike(r'"cita"\s*:\s*"')
+    told = at("valor").isNotNull() & at("cita").isNotNull() & is_text
+    return F.when(told, at("valor")), F.when(told, at("cita"))
+
+
+def windows(c: Column, width: int = 1200, least: int = 600, most: int | None = None) -> Column:
+    """Consecutive pieces of ``width`` characters; a last one under ``least`` is dropped. ``most``: characters looked at (all)."""
+    text = c if most is None else F.substring(c, 1, most)
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(width)))
+    return F.filter(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(width))), lambda x: F.length(x) >= least)
+
+
 def to_integer(c: Column) -> Column:
     """Whole number of a text: digits, or a decimal without fraction; anything else is null."""
     number = c.try_cast("double")

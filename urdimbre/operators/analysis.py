@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urdimbre.functions.stats import counted, wilson
+from urdimbre.functions.stats import counted, percentiles, wilson
 
 
 def crosstab(rows: DataFrame, row: str, column: str, values: list) -> DataFrame:
@@ -13,12 +13,34 @@ def crosstab(rows: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return rows.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0, [str(v) for v in values])
 
 
-def described(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, minimum, quartiles and maximum of ``value`` by ``key``; nulls don't count."""
-    each = counted(rows, [key], value)
-    quart = F.expr(f"percentile(`{value}`, array(0.25D, 0.5D, 0.75D), _veces)")
-    found = each.groupBy(key).agg(F.sum("_veces").alias("n"), F.min(value).alias("minimo"), quart.alias("_q"), F.max(value).alias("maximo"))
-    return found.select(key, "n", "minimo", *(F.round(F.get("_q", F.lit(i)), 4).alias(k) for i, k in enumerate(("q1", "mediana", "q3"))), "maximo")
+def described(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, minimum, quartiles (linear) and maximum of ``value`` by ``keys``; null and NaN values don't count."""
+    quart = percentiles(rows, keys, value, {"q1": 0.25, "mediana": 0.5, "q3": 0.75}, "linear", 4).withColumn("_g", F.struct(F.lit(0), *keys))
+    ends = counted(rows, keys, value).groupBy(F.struct(F.lit(0), *keys).alias("_g")).agg(F.sum("_veces").alias("n"), F.min(value).alias("minimo"), F.max(value).alias("maximo"))
+    return quart.join(ends, "_g").select(*keys, "n", "minimo", "q1", "mediana", "q3", "maximo")
+
+
+def described_on(rows: DataFrame, key: str, given: list, by: str, value: str) -> DataFrame:
+    """``described`` for each of the ``given`` values of ``key`` and each value of ``by``; n is 0 and the rest null where there are no rows."""
+    cells = rows.select(by).distinct().withColumn(key, F.explode(F.array(*map(F.lit, given))))
+    found = described(rows.where(F.col(key).isin(given)), [key, by], value)
+    same = (cells[key] == found[key]) & cells[by].eqNullSafe(found[by])
+    return cells.join(found, same, "left").select(cells[key], cells[by], F.coalesce("n", F.lit(0)).alias("n"), "minimo", "q1", "mediana", "q3", "maximo")
+
+
+def flag_purity(rows: DataFrame, key: str, flag: Column, label: str) -> DataFrame:
+    """By ``key``: rows where ``flag`` is true, and the commonest ``label`` among them (ties: the smallest) with its share."""
+    each = rows.where(flag).groupBy(key, label).agg(F.count("*").alias("m"))
+    best = F.min(F.struct((-F.col("m")).alias("menos"), F.col(label).alias("etiqueta"))).alias("b")
+    return each.groupBy(key).agg(F.sum("m").alias("n"), best).select(key, "n", F.col("b.etiqueta").alias("comun"), F.round(-F.col("b.menos") / F.col("n"), 6).alias("pureza"))
+
+
+def classes(cases: DataFrame, label: str, entity: str) -> DataFrame:
+    """By ``label``: cases, distinct entities, and the Wilson interval of the class' share of all entities; null entities aren't counted."""
+    each = cases.groupBy(label).agg(F.count("*").alias("casos"), F.count_distinct(entity).alias("entidades"))
+    whole = cases.agg(F.count_distinct(entity).alias("todas"))
+    low, high = wilson(F.col("entidades"), F.col("todas"))
+    return each.crossJoin(F.broadcast(whole)).select(label, "casos", "entidades", F.round(low, 6).alias("desde"), F.round(high, 6).alias("hasta"))  # one row
 
 
 def purity(rows: DataFrame, group: str, label: str) -> DataFrame:
@@ -68,15 +90,12 @@ def without_each(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def within_band(rows: DataFrame, base: Column, values: list[str], low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """Rows outside ``base`` whose values all lie within the percentiles ``low``..``high`` of the rows in it."""
-    bands = None
-    for v in values:
-        own = counted(rows.where(base), [], v).agg(F.expr(f"percentile(`{v}`, array({low}D, {high}D), _veces)").alias(f"_{v}"))
-        bands = own if bands is None else bands.crossJoin(own)  # one row each
-    held = rows.where(~F.coalesce(base, F.lit(False))).crossJoin(F.broadcast(bands))
+    """Rows outside ``base`` whose values all lie within the percentiles ``low``..``high`` (linear) of the rows in it."""
+    held = rows.where(~F.coalesce(base, F.lit(False)))
     for v in values:
-        held = held.where(F.col(v).between(F.get(f"_{v}", F.lit(0)), F.get(f"_{v}", F.lit(1))))
-    return held.drop(*(f"_{v}" for v in values))
+        band = percentiles(rows.where(base), [], v, {"_bajo": low, "_alto": high}, "linear")  # one row
+        held = held.crossJoin(F.broadcast(band)).where(F.col(v).between(F.col("_bajo"), F.col("_alto"))).drop("_bajo", "_alto")
+    return held
 
 
 def key_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -86,10 +105,21 @@ def key_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("ambas"), F.count_if(F.col("_b").isNull()).alias("solo_primera"), F.count_if(F.col("_a").isNull()).alias("solo_segunda"))
 
 
+#: Distinct labels that a cross table may have.
+LABELS = 10_000
+
+
 def zero_cells(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of a value of ``a`` and one of ``b`` that no row has; nulls are no value. Both are sets of labels, so their pairs are few."""
-    x, y = (rows.where(F.col(c).isNotNull()).select(c).distinct() for c in (a, b))
-    return x.crossJoin(y).join(rows.select(a, b).distinct(), [a, b], "left_anti")
+    """Pairs of a value of ``a`` and one of ``b`` that no row has; nulls are no value.
+
+    The values of ``b`` are labels: more than ``LABELS`` of them are refused. Only the pairs that are missing are built.
+    """
+    own = rows.where(F.col(b).isNotNull()).select(b).distinct()
+    if own.limit(LABELS + 1).count() > LABELS:
+        raise ValueError(f"{b} has more than {LABELS} values")
+    every = own.agg(F.collect_set(b).alias("_todas"))
+    each = rows.where(F.col(a).isNotNull()).groupBy(a).agg(F.collect_set(b).alias("_hay"))
+    return each.crossJoin(F.broadcast(every)).select(a, F.explode(F.array_except("_todas", "_hay")).alias(b))  # one row of labels
 
 
 def joined_cases(cases: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,3 +127,15 @@ def joined_cases(cases: DataFrame, others: DataFrame, keys: list[str]) -> DataFr
     n = others.groupBy(*keys).agg(F.count("*").alias("_n"))
     both = cases.join(n, keys, "left")
     return both.agg(F.count("_n").alias("con"), F.count_if(F.col("_n").isNull()).alias("sin"), F.coalesce(F.sum("_n"), F.lit(0)).alias("filas"))
+
+
+def labelled(cases: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Left join of cases with labels by ``key``, with what it is checked for: ``etiquetas`` (rows of labels that the case meets; 0 and 1 are right)."""
+    n = labels.groupBy(key).agg(F.count("*").alias("etiquetas"))
+    return cases.join(n, key, "left").na.fill(0, ["etiquetas"])
+
+
+def coded(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by the code that its spelling names in ``labels`` (``etiqueta, codigo``, a few rows); null if it names none or several."""
+    known = labels.where("etiqueta is not null and codigo is not null").groupBy(F.lower(F.trim("etiqueta")).alias("_e")).agg(F.min(F.lower("codigo")).alias("_c"), F.count_distinct(F.lower("codigo")).alias("_m")).where("_m = 1")
+    return rows.join(known, F.lower(F.trim(column)) == F.col("_e"), "left").withColumn(column, F.col("_c")).drop("_e", "_c", "_m")

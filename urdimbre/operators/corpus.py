@@ -9,8 +9,10 @@ LAYER = 40
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``new`` in the place of old rows of the same key; of rows of ``new`` with one key any, whole, is kept once. Columns by name."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]), allowMissingColumns=True)
+    """``new`` in the place of old rows of the same key; of rows of ``new`` with one key the smallest, whole, is kept. Columns by name."""
+    rest = [c for c in new.columns if c != key]
+    one = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("_m")).select(key, *(F.col("_m")[c].alias(c) for c in rest)) if rest else new.distinct()
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def without(old: DataFrame, column: str, gone: DataFrame) -> DataFrame:
@@ -18,6 +20,11 @@ def without(old: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     return old.join(gone.select(column).distinct(), column, "left_anti")
 
 
+def counted_of(old: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """By ``column``: the rows and distinct ids that ``without`` takes away; keys without any have no row."""
+    return old.join(gone.select(column).distinct(), column, "left_semi").groupBy(column).agg(F.count("*").alias("filas"), F.count_distinct("id").alias("trozos"))
+
+
 def inventory(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """``id, trozos_dichos, trozos_hay`` of every document, 0 where it has no chunk; repeated chunk ids count once."""
     have = chunks.groupBy(F.col("documento_id").alias("id")).agg(F.count_distinct(F.col("id")).alias("n"))
@@ -34,9 +41,10 @@ def text_layer(pages: DataFrame) -> DataFrame:
     return pages.groupBy("documento_id").agg(F.round(F.avg(length), 4).alias("media"), (F.avg(length) >= LAYER).alias("capa"))
 
 
-def manifest(chunks: DataFrame) -> DataFrame:
-    """One row with what a version of the table holds."""
-    return chunks.agg(F.count("*").alias("filas"), F.count_distinct("id").alias("trozos"), F.count_distinct("documento_id").alias("documentos"), F.max(F.length("texto")).alias("mayor"), F.sum(F.length("texto")).alias("caracteres"))
+def manifest(chunks: DataFrame, **parameters) -> DataFrame:
+    """One row with what a version of the table holds, and the parameters that it was made with."""
+    found = chunks.agg(F.count("*").alias("filas"), F.count_distinct("id").alias("trozos"), F.count_distinct("documento_id").alias("documentos"), F.max(F.length("texto")).alias("mayor"), F.sum(F.length("texto")).alias("caracteres"))
+    return found.withColumns({k: F.lit(v) for k, v in parameters.items()}) if parameters else found
 
 
 def too_large(spark, folder: str, most: int) -> list[tuple[str, int]]:

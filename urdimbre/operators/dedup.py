@@ -24,54 +24,58 @@ def membership(docs: DataFrame, key: str, text: str) -> DataFrame:
     return own.join(first, "huella").select(key, "huella", "clase")
 
 
-def shingles(docs: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """``key, n, fichas``: the distinct hashes of ``words`` words in a row; texts with fewer words have none and are left out."""
-    own = docs.select(F.col(key), canonical_words(F.col(text)).alias("w")).where(F.size("w") >= words)
+def shingles(docs: DataFrame, key: str, text: str, words: int = WORDS, shortest: int = 0) -> DataFrame:
+    """``key, n, fichas``: the distinct hashes of ``words`` words in a row; texts with fewer words than that, or than ``shortest``, have none and are left out."""
+    own = docs.select(F.col(key), canonical_words(F.col(text)).alias("w")).where(F.size("w") >= max(words, shortest))
     each = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
     return own.select(key, F.array_distinct(each).alias("fichas")).withColumn("n", F.size("fichas"))
 
 
 def similar_pairs(sets: DataFrame, key: str, similar: float = SIMILAR) -> DataFrame:
-    """``a, b, jaccard`` of all pairs a < b of ``shingles`` with a Jaccard similarity of ``similar`` or more."""
+    """``a, b, jaccard`` of all pairs a < b of ``shingles`` with a Jaccard similarity of ``similar`` or more.
+
+    Shingles are in order of how many texts have them. A pair of the asked similarity meets within the first
+    n - ceil(similar * n) + 1 of both; where it first meets, what is left on both sides must suffice for its overlap. Shingles
+    of one text only come first and meet nothing, so just their number is needed and they aren't shuffled again.
+    """
     sets = cut(sets.select(F.col(key).alias("k"), "fichas", "n"))
     each = sets.select("k", "n", F.explode("fichas").alias("f"))
-    rarity = each.groupBy("f").agg(F.count("*").alias("df"))
-    # The rarest n - ceil(similar * n) + 1 shingles of each text.
-    ranked = each.join(rarity.where("df > 1"), "f", "left").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "f"))).alias("fs"))
-    most = (F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1).cast("int")
-    prefix = cut(ranked.select("k", "n", F.explode(F.slice("fs", 1, most)).alias("x")).where("x.df > 1").select("k", "n", F.col("x.f").alias("f")))
-    a, b = (prefix.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), "f") for x in "ab")
-    met = a.join(b, "f").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar - 1e-9)).select("a", "b").distinct()
+    common = each.groupBy("f").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(common, "f").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "f"))).alias("fs"))
+    single = F.col("n") - F.size("fs")
+    most = (F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1 - single).cast("int")
+    prefix = cut(ranked.where(most > 0).select("k", "n", single.alias("antes"), F.posexplode(F.slice("fs", F.lit(1), most)).alias("i", "x")).select("k", "n", (F.col("antes") + F.col("i")).alias("i"), F.col("x.f").alias("f")))
+    a, b = (prefix.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}"), "f") for x in "ab")
+    least = F.ceil((F.col("na") + F.col("nb")) * (similar / (1 + similar)) - 1e-9)
+    # At the first shingle that both have, at most the shorter rest is shared.
+    near = (F.least("na", "nb") >= F.greatest("na", "nb") * similar - 1e-9) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= least)
+    met = cut(a.join(b, "f").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct())
     side = lambda x: sets.select(F.col("k").alias(x), F.col("fichas").alias(f"f{x}"))
     shared = F.size(F.array_intersect("fa", "fb"))
     return met.join(side("a"), "a").join(side("b"), "b").select("a", "b", (shared / (F.size("fa") + F.size("fb") - shared)).alias("jaccard")).where(F.col("jaccard") >= similar)
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, words: int = WORDS, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, key: str, text: str, words: int = WORDS, similar: float = SIMILAR, shortest: int = 0) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b, jaccard`` of class representatives (distinct texts), and the ``membership`` of every document."""
     members = cut(membership(docs, key, text))
     first = members.where(F.col(key) == F.col("clase")).select(key).distinct()
-    return similar_pairs(shingles(docs.select(key, text).join(first, key, "left_semi").dropDuplicates([key]), key, text, words), key, similar), members
+    return similar_pairs(shingles(docs.select(key, text).join(first, key, "left_semi").dropDuplicates([key]), key, text, words, shortest), key, similar), members
 
 
-def kept_first(docs: DataFrame, key: str, text: str, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+def kept_first(docs: DataFrame, key: str, text: str, words: int = WORDS, similar: float = SIMILAR, shortest: int = 0) -> DataFrame:
     """``key, gemelo, motivo``: documents in order of ``key``, each kept unless a kept one before it is its copy (exacto) or near
     duplicate (solapamiento, of which the first kept is named). A dropped document drops no other; copies of one are judged like it.
     """
-    pairs, members = near_duplicates(docs, key, text, words, similar)
-    links = cut(pairs.select(F.col("a").alias("antes"), F.col("b").alias("luego")))
-    kept = cut(members.where(F.col(key) == F.col("clase")).select(F.col("clase").alias("k")).distinct().join(links.select(F.col("luego").alias("k")), "k", "left_anti"))
-    dropped = kept.limit(0)
-    undecided = cut(links.select(F.col("luego").alias("k")).distinct())
-    while not undecided.isEmpty():
-        out = undecided.join(links.join(kept.select(F.col("k").alias("antes")), "antes", "left_semi").select(F.col("luego").alias("k")), "k", "left_semi")
-        dropped = cut(dropped.union(out))
-        rest = undecided.join(dropped, "k", "left_anti")
-        waiting = links.join(dropped.select(F.col("k").alias("antes")), "antes", "left_anti").select(F.col("luego").alias("k"))
-        free = rest.join(waiting, "k", "left_anti")
-        kept = cut(kept.union(free))
-        undecided = cut(rest.join(kept, "k", "left_anti"))
-    twin = links.join(kept.select(F.col("k").alias("antes")), "antes", "left_semi").groupBy(F.col("luego").alias("clase")).agg(F.min("antes").alias("cercano"))
+    pairs, members = near_duplicates(docs, key, text, words, similar, shortest)
+    every = cut(pairs.select(F.col("a").alias("antes"), F.col("b").alias("luego")))
+    links, dropped = every, every.select(F.col("antes").alias("k")).limit(0)
+    while not links.isEmpty():  # each round writes what it decides and the links that are still open
+        heads = links.select("antes").distinct().join(links.select(F.col("luego").alias("antes")).distinct(), "antes", "left_anti")
+        out = cut(links.join(heads, "antes", "left_semi").select(F.col("luego").alias("k")).distinct())
+        open_ = links.join(heads, "antes", "left_anti").join(out.select(F.col("k").alias("antes")), "antes", "left_anti")
+        links = cut(open_.join(out.select(F.col("k").alias("luego")), "luego", "left_anti").select("antes", "luego"))
+        dropped = dropped.union(out)
+    twin = every.join(dropped.select(F.col("k").alias("antes")), "antes", "left_anti").groupBy(F.col("luego").alias("clase")).agg(F.min("antes").alias("cercano"))
     named = members.join(twin, "clase", "left")
     copy = F.col(key) != F.col("clase")
     return named.select(key, F.when(F.col("cercano").isNotNull(), F.col("cercano")).when(copy, F.col("clase")).alias("gemelo"), F.when(F.col("cercano").isNotNull(), "solapamiento").when(copy, "exacto").alias("motivo"))

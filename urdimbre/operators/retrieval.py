@@ -19,8 +19,8 @@ from urdimbre.functions.text import STEM, TERM, canonical_words, query_terms, sn
 from urdimbre.plans.lineage import cut
 
 POOL, BEST, ALPHA, THRESHOLD, QUOTED = 60, 5, 0.5, 0.59, 400
-#: Queries in a block, and rows that a block is multiplied with at once: some tens of MB of scores.
-BLOCK, ROWS = 2_000, 4_096
+#: Queries sent to every task for one scan of the rows, queries and rows multiplied at once (some tens of MB of scores).
+BLOCK, QUERIES, ROWS = 16_000, 2_000, 4_096
 #: The same where scores are fused, which takes several arrays of that size.
 FUSED_ROWS = 512
 
@@ -45,17 +45,19 @@ def highest(score: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray,
 def _nearest(queries, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, wanted = queries.value
-        best, score = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        parts = [slice(at, at + QUERIES) for at in range(0, len(ids), QUERIES)]
+        best, score = [np.zeros((len(ids[p]), 0), np.int64) for p in parts], [np.zeros((len(ids[p]), 0)) for p in parts]
         for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             own = matrix(b.column("vector"))
             keys = np.asarray(b.column("id"), np.int64)
             norm = np.linalg.norm(own, axis=1)
-            got = np.round(wanted @ (own / np.where(norm > 0, norm, 1)[:, None]).T, 6)
-            score, best = highest(np.hstack([score, got]), np.hstack([best, np.broadcast_to(keys, got.shape)]), most)
-        for at in range(0, len(ids), 500):
-            part = slice(at, at + 500)
-            n = score.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], n)), pa.array(best[part].ravel()), pa.array(score[part].ravel())], names=["consulta", "id", "denso"])
+            unit = (own / np.where(norm > 0, norm, 1)[:, None]).T
+            for k in range(len(parts)):
+                got = np.round(wanted[parts[k]] @ unit, 6)
+                score[k], best[k] = highest(np.hstack([score[k], got]), np.hstack([best[k], np.broadcast_to(keys, got.shape)]), most)
+        for k, part in enumerate(parts):
+            n = score[k].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], n)), pa.array(best[k].ravel()), pa.array(score[k].ravel())], names=["consulta", "id", "denso"])
 
     return run
 
@@ -143,7 +145,7 @@ def best_by_label(vectors: DataFrame, queries: DataFrame, alphas: tuple[float, .
         own = cut(own.join(terms, "id", "left"))
         asked = asked.join(weighed.withColumnRenamed("consulta", "id"), "id", "left")
     asked = cut(asked)
-    blocks = max(1, -(-asked.count() // BLOCK))
+    blocks = max(1, -(-asked.count() // QUERIES))
     for k in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()
         if not block.num_rows:
@@ -181,8 +183,8 @@ def lexical(fragments: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFr
     has counts as rarest. Terms are at least as long as a word piece, so both sides meet on distinct words.
     """
     terms = cut(queries.select(F.col("id").alias("consulta"), F.explode(query_terms(F.col("texto"))).alias("termino")))
-    own = cut(fragments.select("id", F.explode(F.array_distinct(canonical_words(F.col("texto")))).alias("palabra")))
-    meet = stems_of_words(own.select("palabra").distinct(), terms.select("termino").distinct())
+    own = fragments.select("id", F.explode(F.array_distinct(canonical_words(F.col("texto")))).alias("palabra"))
+    meet = cut(stems_of_words(cut(own.select("palabra").distinct()), terms.select("termino").distinct()))
     there = cut(own.join(meet, "palabra").select("id", "termino").distinct())
     total = fragments.count()
     df = there.groupBy("termino").agg(F.count("*").alias("df"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urdimbre.functions.stats import counted, linear, usable
+from urdimbre.functions.stats import percentiles, usable
 
 SPANS = ("stt", "extraccion", "politica", "rag", "redaccion", "tts")
 
@@ -24,8 +24,10 @@ def call() -> Column:
 
 def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``n, p50, p95, minimo, maximo`` of the usable values of each group, percentiles linear, one digit."""
-    each = counted(rows.withColumn(value, usable(F.col(value))), keys, value)
-    return each.groupBy(*keys).agg(F.sum("_veces").alias("n"), linear(value, 0.5).alias("p50"), linear(value, 0.95).alias("p95"), F.round(F.min(value), 1).alias("minimo"), F.round(F.max(value), 1).alias("maximo"))
+    own = rows.withColumn(value, usable(F.col(value)))
+    ends = own.where(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0), *keys).alias("_g")).agg(F.count("*").alias("n"), F.round(F.min(value), 1).alias("minimo"), F.round(F.max(value), 1).alias("maximo"))
+    found = percentiles(own, keys, value, {"p50": 0.5, "p95": 0.95}, "linear", 1).withColumn("_g", F.struct(F.lit(0), *keys))
+    return found.join(ends, "_g").select(*keys, "n", "p50", "p95", "minimo", "maximo")
 
 
 def latency_by_origin(log: DataFrame) -> DataFrame:
@@ -101,10 +103,25 @@ def clean_turns(log: DataFrame) -> DataFrame:
     return turns(log).where((F.coalesce("latencia_ms.cliente_origen", F.lit("navegador")) == "navegador") & (F.col("stt.resultado") == "ok") & (F.col("extraccion.resultado") == "ok") & well)
 
 
+def without_model(log: DataFrame) -> DataFrame:
+    """One row: turns, and those in which no model was really called (no call, or none but with result no_invocado)."""
+    called = F.exists("llm", lambda x: F.coalesce(x["resultado"], F.lit("?")) != "no_invocado")
+    return turns(log).agg(F.count("*").alias("turnos"), F.count_if(~F.coalesce(called, F.lit(False))).alias("sin_modelo"))
+
+
+def by_source(log: DataFrame) -> DataFrame:
+    """Turns with a query to the corpus by the source of their reply: turns, queries, sufficient ones and declared limits."""
+    enough = F.coalesce(F.col("rag.suficiente"), F.lit(False))
+    own = turns(log).where(F.col("rag.consultas") > 0).groupBy(F.coalesce("fuente_respuesta", F.lit("?")).alias("fuente"))
+    return own.agg(F.count("*").alias("turnos"), F.sum("rag.consultas").alias("consultas"), F.count_if(enough).alias("con_fuente"), F.count_if(~enough).alias("limite_declarado"))
+
+
 def corrected(log: DataFrame, patches: DataFrame) -> DataFrame:
     """``log`` with ``ms`` replaced by the latest patch of its ``llamada, turno_idx``: ``llamada, turno_idx, ms, en`` (ties: the larger).
 
-    A patch without row changes nothing; a null patch is none. Both sides keep their other rows and columns.
+    A patch without row changes nothing; a null, NaN or infinite patch is none, and such a measure of ``log`` is null.
+    Both sides keep their other rows and columns.
     """
+    patches = patches.withColumn("ms", usable(F.col("ms")))
     last = patches.where("ms is not null").groupBy("llamada", "turno_idx").agg(F.max_by("ms", F.struct("en", "ms")).alias("_nuevo"))
-    return log.join(last, ["llamada", "turno_idx"], "left").withColumn("ms", F.round(F.coalesce("_nuevo", "ms"), 1)).drop("_nuevo")
+    return log.join(last, ["llamada", "turno_idx"], "left").withColumn("ms", F.round(F.coalesce("_nuevo", usable(F.col("ms"))), 1)).drop("_nuevo")

@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_owned: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one is set where the session has none (tests)."""
+    """Folder of ``spark.checkpoint.dir``. On one machine (tests) a temporary one is set where the session has none; on a cluster that is an error."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the application's own part of the shared folder, which goes when the driver ends."""
+    own = f"{shared_folder(spark)}/urdimbre-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.mkdirs(path) and own not in _owned:
+        files.deleteOnExit(path)
+        _owned.add(own)
+    return f"{own}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = new_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

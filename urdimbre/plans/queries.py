@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from urdimbre.functions import stats
 from urdimbre.functions import text as tx
 from urdimbre.operators import analysis, chunking, corpus, dedup, retrieval, sequences, turnlog
-from urdimbre.plans.lineage import cut, table
+from urdimbre.plans.lineage import cut, new_folder, table
 from urdimbre.sources import jsonl
 from urdimbre.streaming import logs
 
@@ -72,9 +72,19 @@ def lang_detect(spark, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", spanish.alias("es"), english.alias("en"), tx.guessed_language(F.col("text")).alias("idioma"))
 
 
-@query(f"select lang, {GUESS_SQL} as idioma, count(*) as n from ({FUNCTION_SQL}) group by all")
+CODES_SQL = "(select lower(trim(etiqueta)) as e, min(lower(codigo)) as c from etiquetas_idioma where etiqueta is not null and codigo is not null group by 1 having count(distinct lower(codigo)) = 1)"
+CODED_SQL = f"(select c as lang, es, en from ({FUNCTION_SQL}) f left join {CODES_SQL} k on lower(trim(f.lang)) = k.e)"
+
+
+def _told(spark, folder: str) -> DataFrame:
+    """Language that the label of each document names, and the one its function words tell."""
+    told = table(spark, folder, "documents").select("lang", tx.guessed_language(F.col("text")).alias("idioma"))
+    return analysis.coded(told, "lang", table(spark, folder, "etiquetas_idioma"))
+
+
+@query(f"select lang, {GUESS_SQL} as idioma, count(*) as n from {CODED_SQL} group by all")
 def lang_confusion(spark, folder: str) -> DataFrame:
-    return analysis.confusion(table(spark, folder, "documents").select("lang", tx.guessed_language(F.col("text")).alias("idioma")), "lang", "idioma")
+    return analysis.confusion(_told(spark, folder), "lang", "idioma")
 
 
 MARKED = r"""string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1))"""
@@ -87,26 +97,26 @@ def sentence_stats(spark, folder: str) -> DataFrame:
 
 
 @query(rf"""select llamada_id, turno_idx, recibido_ts, trim(coalesce(transcripcion, '')) <> '' and (regexp_matches(trim(transcripcion), '[¿?]')
-  or regexp_matches(lower(trim(transcripcion)), '^[^\p{{L}}\p{{N}}_]*({tx.QUESTION_OPENERS})($|[^\p{{L}}\p{{N}}_])')) as pregunta from turnos where tipo = 'turno'""")
+  or regexp_matches(lower(trim(transcripcion)), '^[^\p{{L}}\p{{N}}_]*({tx.QUESTION_OPENERS})($|[^\p{{L}}\p{{N}}_])')) as pregunta from turnos where lower(trim(tipo)) = 'turno'""")
 def question_detect(spark, folder: str) -> DataFrame:
-    return table(spark, folder, "turnos").where("tipo = 'turno'").select("llamada_id", "turno_idx", "recibido_ts", tx.asks(F.col("transcripcion")).alias("pregunta"))
+    return turnlog.turns(table(spark, folder, "turnos")).select("llamada_id", "turno_idx", "recibido_ts", tx.asks(F.col("transcripcion")).alias("pregunta"))
 
 
 @query(rf"""select llamada_id, turno_idx, recibido_ts, coalesce(extraccion.pregunta_del_paciente, false) or (trim(coalesce(transcripcion, '')) <> '' and (regexp_matches(trim(transcripcion), '[¿?]')
-  or regexp_matches(lower(trim(transcripcion)), '^[^\p{{L}}\p{{N}}_]*({tx.QUESTION_OPENERS})($|[^\p{{L}}\p{{N}}_])'))) as pregunta from turnos where tipo = 'turno'""")
+  or regexp_matches(lower(trim(transcripcion)), '^[^\p{{L}}\p{{N}}_]*({tx.QUESTION_OPENERS})($|[^\p{{L}}\p{{N}}_])'))) as pregunta from turnos where lower(trim(tipo)) = 'turno'""")
 def question_union(spark, folder: str) -> DataFrame:
     """The model's mark or the form of the text: the second only adds to the first."""
     told = F.coalesce("extraccion.pregunta_del_paciente", F.lit(False))
-    return table(spark, folder, "turnos").where("tipo = 'turno'").select("llamada_id", "turno_idx", "recibido_ts", (told | tx.asks(F.col("transcripcion"))).alias("pregunta"))
+    return turnlog.turns(table(spark, folder, "turnos")).select("llamada_id", "turno_idx", "recibido_ts", (told | tx.asks(F.col("transcripcion"))).alias("pregunta"))
 
 
 BARE_SQL = "trim(regexp_replace({}, '[^0-9a-z]+', ' ', 'g'))"
 
 
 @query(f"""select llamada_id, turno_idx, recibido_ts, cita, coalesce({BARE_SQL.format(plain_sql('cita'))} <> '' and contains({BARE_SQL.format(plain_sql('transcripcion'))}, {BARE_SQL.format(plain_sql('cita'))}), false) as respaldada
-  from (select *, upper(substring(case when turno_idx % 2 = 0 then transcripcion else respuesta end, 4, 12)) as cita from turnos where tipo = 'turno')""")
+  from (select *, upper(substring(case when turno_idx % 2 = 0 then transcripcion else respuesta end, 4, 12)) as cita from turnos where lower(trim(tipo)) = 'turno')""")
 def quote_validate(spark, folder: str) -> DataFrame:
-    own = table(spark, folder, "turnos").where("tipo = 'turno'").withColumn("cita", F.upper(F.substring(F.when(F.col("turno_idx") % 2 == 0, F.col("transcripcion")).otherwise(F.col("respuesta")), 4, 12)))
+    own = turnlog.turns(table(spark, folder, "turnos")).withColumn("cita", F.upper(F.substring(F.when(F.col("turno_idx") % 2 == 0, F.col("transcripcion")).otherwise(F.col("respuesta")), 4, 12)))
     return own.select("llamada_id", "turno_idx", "recibido_ts", "cita", tx.quoted(F.col("cita"), F.col("transcripcion")).alias("respaldada"))
 
 
@@ -137,7 +147,13 @@ def dup_pairs(spark, folder: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, folder, "documents"), "doc_id", "text")[0]
 
 
-@query()
+#: In order of the later document: a pair drops it unless its earlier one is dropped.
+KEEP_SQL = f"""with pares as ({PAIRS_SQL}), fuera as (select list_reduce(list_prepend([]::bigint[], coalesce(list([a, b] order by b, a), [])), lambda q, x: case when list_contains(q, x[1]) then q else list_append(q, x[2]) end) as q from pares),
+  c as (select doc_id, min(doc_id) over (partition by sha256(text)) as clase from documents where text is not null), g as (select b as clase, min(a) as cercano from pares, fuera where not list_contains(q, a) group by all)
+  select doc_id, case when cercano is not null then cercano when doc_id <> c.clase then c.clase end as gemelo, case when cercano is not null then 'solapamiento' when doc_id <> c.clase then 'exacto' end as motivo from c left join g using (clase)"""
+
+
+@query(KEEP_SQL)
 def dup_keep(spark, folder: str) -> DataFrame:
     return dedup.kept_first(table(spark, folder, "documents").where("text is not null"), "doc_id", "text")
 
@@ -163,9 +179,37 @@ def chunk_counts(spark, folder: str) -> DataFrame:
     return corpus.counts(table(spark, folder, "trozos"), ["origen", "idioma"])
 
 
-@query("select count(*) as filas, count(distinct id) as trozos, count(distinct documento_id) as documentos, max(length(texto)) as mayor, sum(length(texto))::bigint as caracteres from trozos")
+@query("select count(*) as filas, count(distinct id) as trozos, count(distinct documento_id) as documentos, max(length(texto)) as mayor, sum(length(texto))::bigint as caracteres, 600 as longitud, 150 as solape, 80 as minimo from trozos")
 def manifest(spark, folder: str) -> DataFrame:
-    return corpus.manifest(table(spark, folder, "trozos"))
+    return corpus.manifest(table(spark, folder, "trozos"), longitud=chunking.LENGTH, solape=chunking.OVERLAP, minimo=chunking.SHORTEST)
+
+
+@query("select documento_id, count(*) as filas, count(distinct t.id) as trozos from trozos t where documento_id in (select id from documentos where estado <> 'disponible') group by all")
+def deleted_counts(spark, folder: str) -> DataFrame:
+    """What ``delete_document`` takes away, counted before."""
+    gone = table(spark, folder, "documentos").where("estado <> 'disponible'").select(F.col("id").alias("documento_id"))
+    return corpus.counted_of(table(spark, folder, "trozos"), "documento_id", gone)
+
+
+@query(f"""with v as (select doc_id, k, substr(text, k * 1200 + 1, 1200) as w from (select doc_id, text, unnest(range(0, (length(text) + 1199) // 1200)) as k from documents where text <> '')),
+  c as (select doc_id, k, length(w) as n, len({words_sql('w')}) as palabras from v where length(w) >= 600)
+  select c as idioma, count(*) as ventanas, sum(n)::bigint as caracteres, sum(palabras)::bigint as palabras, round(min(n / palabras) filter (palabras > 0), 6) as minimo from c x join documents d using (doc_id) left join {CODES_SQL} k on lower(trim(d.lang)) = k.e group by all""".replace("select c as idioma", "select k.c as idioma"))
+def window_ratio(spark, folder: str) -> DataFrame:
+    """Windows of 1,200 characters of the documents by language: how many, their characters, and the fewest characters to a word."""
+    docs = analysis.coded(table(spark, folder, "documents").select("lang", "text"), "lang", table(spark, folder, "etiquetas_idioma"))
+    each = docs.select(F.col("lang").alias("idioma"), F.explode(tx.windows(F.col("text"))).alias("w")).select("idioma", F.length("w").alias("n"), F.size(tx.canonical_words(F.col("w"))).alias("palabras"))
+    return each.groupBy("idioma").agg(F.count("*").alias("ventanas"), F.sum("n").alias("caracteres"), F.sum("palabras").cast("bigint").alias("palabras"), F.round(F.min(F.try_divide("n", "palabras")), 6).alias("minimo"))
+
+
+@query("""select event_id, case when event_id % 3 = 0 then (json_extract_string(props, '$.k')) end as valor, case when event_id % 3 = 0 and json_extract_string(props, '$.k') is not null then event_type end as cita from events""")
+def value_quotes(spark, folder: str) -> DataFrame:
+    """Values with quotes as models answer them: an object with both is evidence; a bare value, or a quote that is no text, isn't."""
+    value = F.get_json_object("props", "$.k")
+    whole = F.to_json(F.struct(F.struct(value.alias("valor"), F.col("event_type").alias("cita")).alias("x")))
+    bare, odd = F.to_json(F.struct(value.alias("x"))), F.to_json(F.struct(F.struct(value.alias("valor"), F.col("event_id").alias("cita")).alias("x")))
+    answer = F.when(F.col("event_id") % 3 == 0, whole).when(F.col("event_id") % 3 == 1, bare).otherwise(odd)
+    told, quote = tx.value_and_quote(tx.json_object(F.concat(F.lit("Respuesta:\n```json\n"), answer, F.lit("\n```"))), "x")
+    return table(spark, folder, "events").select("event_id", told.alias("valor"), F.when(told.isNotNull(), quote).alias("cita"))
 
 
 @query("""with n as (select distinct id, '* ' || texto as texto, documento_id, indice from trozos where pagina = 1)
@@ -276,6 +320,7 @@ def citations(spark, folder: str) -> DataFrame:
     return retrieval.cited(retrieval.sufficient(_fused(spark, folder)), _texts(spark, folder)).select("consulta", "id", "lugar", "puntos", "cita")
 
 
+#: Weights of the sweep.
 ALPHAS = (1.0, 0.75, 0.6, 0.5, 0.4, 0.25, 0.0)
 
 
@@ -290,12 +335,12 @@ def hit_at_k(spark, folder: str) -> DataFrame:
 
 
 @query(f"""with {DENSE_SQL}, l as (select consulta, max(denso) filter (q.label = e.label) as propia, max(denso) filter (q.label <> e.label) as ajena
-    from p join embeddings q on q.vec_id = consulta join embeddings e on e.vec_id = id where consulta <> id group by consulta)
+    from d join embeddings q on q.vec_id = consulta join embeddings e on e.vec_id = id where consulta <> id group by consulta)
   select a as alfa, round(min(a * propia + (1 - a)), 6) as peor_propia, round(max(a * ajena), 6) as mejor_ajena, round(min(a * propia + (1 - a)) - max(a * ajena), 6) as hueco from l, (select unnest([{", ".join(f"{a}::double" for a in ALPHAS)}]) as a) group by a""")
 def alpha_sweep(spark, folder: str) -> DataFrame:
     """Gap between the worst own and the best foreign score of all queries, for each weight of the dense score (the label as the other).
 
-    Each query's best scores are taken over all rows. The SQL looks at the 60 nearest only, so it differs where a query has no row of its label among them.
+    Each query's best scores are taken over all rows.
     """
     vectors = _labelled(spark, folder)
     best = retrieval.best_by_label(vectors, vectors.where("id % 100 = 0"))
@@ -304,7 +349,16 @@ def alpha_sweep(spark, folder: str) -> DataFrame:
     return each.groupBy("alfa").agg(F.round(own, 6).alias("peor_propia"), F.round(foreign, 6).alias("mejor_ajena"), F.round(own - foreign, 6).alias("hueco"))
 
 
-@query()
+FUSED_SQL = f"""{DENSE_SQL}, {TERMS_SQL},
+  todo as (select consulta, sum(peso) as todo from w group by 1), hay as (select w.consulta, h.id, sum(w.peso) as hay from w join h using (termino) group by 1, 2),
+  x2 as (select d.consulta, d.id, d.denso, todo, coalesce(coalesce(hay, 0) / todo, 0) as lex, q.label = e.label as suya from d join embeddings q on q.vec_id = d.consulta join embeddings e on e.vec_id = d.id left join todo using (consulta) left join hay using (consulta, id) where d.consulta <> d.id),
+  f as (select consulta, alfa, max(puntos) filter (suya) as propia, max(puntos) filter (not suya) as ajena from (select consulta, id, suya, alfa, case when alfa >= 1 then greatest(0, least(1, denso)) when todo is null then greatest(0, least(1, denso))
+    else round(alfa * greatest(0, least(1, denso)) + (1 - alfa) * least(1, lex), 6) end as puntos from x2, (select unnest([{", ".join(f"{a}::double" for a in ALPHAS)}]) as alfa)) group by all)"""
+
+
+@query(f"""with {FUSED_SQL}, g as (select doc_id as consulta, {GUESS_SQL} as idioma from ({FUNCTION_SQL})),
+  e2 as (select coalesce(idioma, 'indeterminado') as idioma, alfa, count(*) as consultas, min(propia) as peor_propia, max(ajena) as mejor_ajena, round(min(propia) - max(ajena), 6) as hueco from f left join g using (consulta) group by all)
+  select *, row_number() over (partition by idioma order by hueco desc nulls last, alfa desc) = 1 and hueco is not null as mejor_alfa from e2""")
 def alpha_sweep_hybrid(spark, folder: str) -> DataFrame:
     """The same of the hybrid score, by language of the query's text: own and foreign best over all rows by the fusion with each alpha.
 
@@ -322,15 +376,20 @@ def alpha_sweep_hybrid(spark, folder: str) -> DataFrame:
     return gaps.withColumn("mejor_alfa", (place == 1) & F.col("hueco").isNotNull())
 
 
-@query(f"""with {DENSE_SQL}, b as (select consulta, max(denso) as mejor from p where consulta <> id group by consulta)
-  select min(mejor) filter (label % 2 = 0) as peor_cubierta, max(mejor) filter (label % 2 = 1) as mejor_ajena, round(min(mejor) filter (label % 2 = 0) - max(mejor) filter (label % 2 = 1), 6) as hueco,
-  round((min(mejor) filter (label % 2 = 0) + max(mejor) filter (label % 2 = 1)) / 2, 6) as umbral from b join embeddings on vec_id = consulta""")
+#: Fixed value: by how much a threshold lies above the best foreign score where the populations overlap.
+ABOVE = 0.02
+
+
+@query(f"""with {FUSED_SQL}, g as (select round(min(propia), 6) as peor_cubierta, round(max(ajena), 6) as mejor_ajena, count(propia) as cubiertas, count(ajena) as ajenas from f where alfa = 0.5)
+  select *, round(peor_cubierta - mejor_ajena, 6) as hueco, round(case when peor_cubierta > mejor_ajena then (peor_cubierta + mejor_ajena) / 2 else mejor_ajena + {ABOVE} end, 6) as umbral from g""")
 def population_gap(spark, folder: str) -> DataFrame:
-    """Separation of two populations of queries (by label) by their best score, and the threshold between them."""
-    labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("consulta"), "label")
-    best = dense_topk(spark, folder).where("consulta <> id").groupBy("consulta").agg(F.max("denso").alias("mejor")).join(labels, "consulta")
-    low, high = F.min(F.when(F.col("label") % 2 == 0, F.col("mejor"))), F.max(F.when(F.col("label") % 2 == 1, F.col("mejor")))
-    return best.agg(low.alias("peor_cubierta"), high.alias("mejor_ajena"), F.round(low - high, 6).alias("hueco"), F.round((low + high) / 2, 6).alias("umbral"))
+    """Separation of covered queries (best fused score over rows of their label) from foreign ones (over all others), and the threshold:
+    midway between the populations, or just above the foreign one where they overlap."""
+    vectors, texts = _labelled(spark, folder), _texts(spark, folder)
+    best = retrieval.best_by_label(vectors, vectors.where("id % 100 = 0"), (retrieval.ALPHA,), retrieval.lexical(texts, texts.where("id % 100 = 0")))
+    ends = best.agg(F.round(F.min("propia"), 6).alias("peor_cubierta"), F.round(F.max("ajena"), 6).alias("mejor_ajena"), F.count("propia").alias("cubiertas"), F.count("ajena").alias("ajenas"))
+    low, high = F.col("peor_cubierta"), F.col("mejor_ajena")
+    return ends.withColumn("hueco", F.round(low - high, 6)).withColumn("umbral", F.round(F.when(low > high, (low + high) / 2).otherwise(high + ABOVE), 6))
 
 
 # Turn log ---------------------------------------------------------------------------------------------------
@@ -393,20 +452,27 @@ def call_totals(spark, folder: str) -> DataFrame:
     return turnlog.call_totals(table(spark, folder, "turnos"))
 
 
-@query(f"""select llamada_id, turno_idx, recibido_ts, latencia_ms.servidor_total as ms from {TURNS} where clase_fila = 'turno' and coalesce(latencia_ms.cliente_origen, 'navegador') = 'navegador' and stt.resultado = 'ok'
+@query(f"""select llamada_id, turno_idx, recibido_ts, case when {FINITE.format(c='latencia_ms.servidor_total')} then latencia_ms.servidor_total end as ms from {TURNS} where clase_fila = 'turno' and coalesce(latencia_ms.cliente_origen, 'navegador') = 'navegador' and stt.resultado = 'ok'
   and extraccion.resultado = 'ok' and len(llm) > 0 and len(list_filter(llm, lambda x: x.resultado = 'ok')) = len(llm)""")
 def clean_turns(spark, folder: str) -> DataFrame:
-    return turnlog.clean_turns(table(spark, folder, "turnos")).select("llamada_id", "turno_idx", "recibido_ts", F.col("latencia_ms.servidor_total").alias("ms"))
+    return turnlog.clean_turns(table(spark, folder, "turnos")).select("llamada_id", "turno_idx", "recibido_ts", stats.usable(F.col("latencia_ms.servidor_total")).alias("ms"))
 
 
-@query(f"""with f as (select llamada, turno_idx, recibido_ts as en, latencia_ms.cliente_fin_habla_a_audio as ms from {TURNS} where clase_fila in ('turno', 'apertura') and llamada is not null),
-  p as (select llamada, turno_idx, arg_max(ms, row(en, ms)) as nuevo from f where ms is not null and not isnan(ms) and en is not null group by all)
+@query(f"""with f as (select llamada, turno_idx, recibido_ts as en, case when {FINITE.format(c='latencia_ms.cliente_fin_habla_a_audio')} then latencia_ms.cliente_fin_habla_a_audio end as ms from {TURNS} where clase_fila in ('turno', 'apertura') and llamada is not null),
+  p as (select llamada, turno_idx, arg_max(ms, row(en, ms)) as nuevo from f where ms is not null and en is not null group by all)
   select f.llamada, f.turno_idx, f.en, round(coalesce(nuevo, ms), 1) as ms from f left join p on p.llamada = f.llamada and p.turno_idx = f.turno_idx""")
 def telemetry_merge(spark, folder: str) -> DataFrame:
     """Every row of a turn takes the measure that was received last for it."""
     rows = turnlog.kind().isin("turno", "apertura") & turnlog.call().isNotNull()
     own = table(spark, folder, "turnos").where(rows).select(turnlog.call().alias("llamada"), "turno_idx", F.col("recibido_ts").alias("en"), F.col("latencia_ms.cliente_fin_habla_a_audio").alias("ms"))
-    return turnlog.corrected(own, own.where("en is not null and ms is not null and not isnan(ms)"))
+    return turnlog.corrected(own, own.where("en is not null"))
+
+
+def plain_id_sql(c: str) -> str:
+    return f"nullif(array_to_string(list_transform(regexp_extract_all(lower({c}), '\\p{{L}}+|[0-9]+'), lambda x: regexp_replace(x, '^0+([0-9])', '\\1')), '_'), '')"
+
+
+PATIENTS = f"(select * replace ({plain_id_sql('paciente_id')} as paciente_id) from trayectorias_postop_silver)"
 
 
 # Percentiles, sequences -------------------------------------------------------------------------------------
@@ -414,7 +480,7 @@ def telemetry_merge(spark, folder: str) -> DataFrame:
 
 @query("select event_type, round(quantile_cont(value, 0.5), 1) as p50, round(quantile_cont(value, 0.95), 1) as p95 from events group by event_type")
 def percentile_linear(spark, folder: str) -> DataFrame:
-    return stats.counted(table(spark, folder, "events"), ["event_type"], "value").groupBy("event_type").agg(stats.linear("value", 0.5).alias("p50"), stats.linear("value", 0.95).alias("p95"))
+    return stats.percentiles(table(spark, folder, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, "linear", 1)
 
 
 RANK_SQL = "select event_type, min(value) filter (r > {f}(0.5 * (n - 1))) as p50, min(value) filter (r > {f}(0.95 * (n - 1))) as p95 from (select event_type, value, row_number() over (partition by event_type order by value) as r, count(*) over (partition by event_type) as n from events where value is not null) group by event_type"
@@ -430,10 +496,10 @@ def percentile_floor(spark, folder: str) -> DataFrame:
     return stats.by_rank(table(spark, folder, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95}, nearest=False)
 
 
-@query("""select fila_id, last_value(dolor_nrs ignore nulls) over w as dolor_nrs, last_value(fiebre_c ignore nulls) over w as fiebre_c, last_value(herida ignore nulls) over w as herida
-  from trayectorias_postop_silver where paciente_id is not null and dia_postop is not null window w as (partition by paciente_id order by dia_postop, fila_id rows between unbounded preceding and current row)""")
+@query(f"""select fila_id, last_value(dolor_nrs ignore nulls) over w as dolor_nrs, last_value(fiebre_c ignore nulls) over w as fiebre_c, last_value(herida ignore nulls) over w as herida
+  from {PATIENTS} where paciente_id is not null and dia_postop is not null window w as (partition by paciente_id order by dia_postop, fila_id rows between unbounded preceding and current row)""")
 def latest_signals(spark, folder: str) -> DataFrame:
-    own = table(spark, folder, "trayectorias_postop_silver").where("paciente_id is not null and dia_postop is not null").select("fila_id", "paciente_id", "dia_postop", "dolor_nrs", "fiebre_c", "herida")
+    own = _trajectories(spark, folder).where("paciente_id is not null and dia_postop is not null").select("fila_id", "paciente_id", "dia_postop", "dolor_nrs", "fiebre_c", "herida")
     return sequences.latest_known(own, ["paciente_id"], "dia_postop", ["dolor_nrs", "fiebre_c", "herida"], ties=["fila_id"]).select("fila_id", "dolor_nrs", "fiebre_c", "herida")
 
 
@@ -462,18 +528,24 @@ def failure_streak(spark, folder: str) -> DataFrame:
 
 # Analyses ---------------------------------------------------------------------------------------------------
 
+#: Findings at the wound, from the mildest.
 WOUNDS = ["normal", "eritema_leve", "secrecion_purulenta"]
 TRAJECTORIES = "trayectorias_postop_silver"
 
 
+def _trajectories(spark, folder: str) -> DataFrame:
+    return table(spark, folder, TRAJECTORIES).withColumn("paciente_id", tx.plain_id(F.col("paciente_id")))
+
+
 @query(f"select dia_postop, {', '.join(f"count(*) filter (herida = '{w}') as {w}" for w in WOUNDS)} from {TRAJECTORIES} group by dia_postop")
 def crosstab_day_wound(spark, folder: str) -> DataFrame:
     return analysis.crosstab(table(spark, folder, TRAJECTORIES), "dia_postop", "herida", WOUNDS)
 
 
-@query(f"select m.movilidad, h.herida from (select distinct movilidad from {TRAJECTORIES} where movilidad is not null) m, (select distinct herida from {TRAJECTORIES} where herida is not null) h where not exists (select 1 from {TRAJECTORIES} t where t.movilidad = m.movilidad and t.herida = h.herida)")
+@query(f"select m.dia_postop, h.arquetipo_trayectoria from (select distinct dia_postop from {TRAJECTORIES} where dia_postop is not null) m, (select distinct arquetipo_trayectoria from {TRAJECTORIES} where arquetipo_trayectoria is not null) h where not exists (select 1 from {TRAJECTORIES} t where t.dia_postop = m.dia_postop and t.arquetipo_trayectoria = h.arquetipo_trayectoria)")
 def zero_cells(spark, folder: str) -> DataFrame:
-    return analysis.zero_cells(table(spark, folder, TRAJECTORIES), "movilidad", "herida")
+    """Days on which no row has a given archetype."""
+    return analysis.zero_cells(table(spark, folder, TRAJECTORIES), "dia_postop", "arquetipo_trayectoria")
 
 
 @query(f"select clase, criterio, count(*) as n, count(distinct llamada) as llamadas from {TURNS} where clase_fila = 'cierre' group by all")
@@ -481,17 +553,81 @@ def closing_hist(spark, folder: str) -> DataFrame:
     return table(spark, folder, "turnos").where(turnlog.kind() == "cierre").groupBy("clase", "criterio").agg(F.count("*").alias("n"), F.count_distinct(turnlog.call()).alias("llamadas"))
 
 
-@query(f"""select count(n) as con, count(*) filter (n is null) as sin, coalesce(sum(n), 0)::bigint as filas from llamadas l
-  left join (select paciente_id, dia_postop, count(*) as n from {TRAJECTORIES} group by all) t on t.paciente_id = l.paciente_id and t.dia_postop = l.dia_postop""")
+CALLS_OF = f"(select llamada_id, {plain_id_sql('paciente_id')} as paciente_id, dia_postop, clase from llamadas)"
+
+
+def _calls(spark, folder: str) -> DataFrame:
+    return table(spark, folder, "llamadas").withColumn("paciente_id", tx.plain_id(F.col("paciente_id")))
+
+
+@query(f"""with c as (select clase, llamada from {TURNS} where clase_fila = 'cierre'), t as (select llamada, count(*) as m from {TURNS} where clase_fila = 'turno' and llamada is not null group by all), k as (select distinct clase, llamada from c where llamada is not null)
+  select k.clase, count(*) as casos, coalesce(sum(m), 0)::bigint as turnos from k left join t using (llamada) group by all""")
+def class_turns(spark, folder: str) -> DataFrame:
+    """Classes of closings by case (a call with the class) and by turn of such calls."""
+    log = table(spark, folder, "turnos")
+    cases = log.where((turnlog.kind() == "cierre") & turnlog.call().isNotNull()).select("clase", turnlog.call().alias("llamada")).distinct()
+    many = turnlog.turns(log).where(turnlog.call().isNotNull()).groupBy(turnlog.call().alias("llamada")).agg(F.count("*").alias("m"))
+    return cases.join(many, "llamada", "left").groupBy("clase").agg(F.count("*").alias("casos"), F.coalesce(F.sum("m"), F.lit(0)).alias("turnos"))
+
+
+@query(f"""select coalesce(fuente_respuesta, '?') as fuente, count(*) as turnos, sum(rag.consultas)::bigint as consultas, count(*) filter (coalesce(rag.suficiente, false)) as con_fuente, count(*) filter (not coalesce(rag.suficiente, false)) as limite_declarado
+  from {TURNS} where clase_fila = 'turno' and rag.consultas > 0 group by all""")
+def rag_by_source(spark, folder: str) -> DataFrame:
+    return turnlog.by_source(table(spark, folder, "turnos"))
+
+
+@query(f"""select count(*) as turnos, count(*) filter (coalesce(len(list_filter(llm, lambda x: coalesce(x.resultado, '?') <> 'no_invocado')), 0) = 0) as sin_modelo from {TURNS} where clase_fila = 'turno'""")
+def turns_without_model(spark, folder: str) -> DataFrame:
+    return turnlog.without_model(table(spark, folder, "turnos"))
+
+
+@query(f"""select count(n) as con, count(*) filter (n is null) as sin, coalesce(sum(n), 0)::bigint as filas from {CALLS_OF} l
+  left join (select paciente_id, dia_postop, count(*) as n from {PATIENTS} group by all) t on t.paciente_id = l.paciente_id and t.dia_postop = l.dia_postop""")
 def case_join(spark, folder: str) -> DataFrame:
     """Calls with and without a row of the same patient and day."""
-    return analysis.joined_cases(table(spark, folder, "llamadas"), table(spark, folder, TRAJECTORIES), ["paciente_id", "dia_postop"])
+    return analysis.joined_cases(_calls(spark, folder), _trajectories(spark, folder), ["paciente_id", "dia_postop"])
+
+
+@query(f"""with c as (select llamada_id, 'tray_' || paciente_id || '_' || dia_postop as caso from {CALLS_OF}), t as (select {plain_id_sql('trayectoria_id')} as caso, count(*) as n from {TRAJECTORIES} group by all)
+  select c.llamada_id, c.caso, coalesce(n, 0) as etiquetas, coalesce(n, 0) = 1 as integra from c left join t using (caso)""")
+def case_labels(spark, folder: str) -> DataFrame:
+    """Calls joined with trajectory rows by a key computed of patient and day; a case is whole if it meets just one."""
+    key = F.concat(F.lit("tray_"), "paciente_id", F.lit("_"), F.col("dia_postop").cast("string"))
+    cases = _calls(spark, folder).select("llamada_id", key.alias("caso"))
+    found = analysis.labelled(cases, table(spark, folder, TRAJECTORIES).select(tx.plain_id(F.col("trayectoria_id")).alias("caso")), "caso")
+    return found.select("llamada_id", "caso", "etiquetas", (F.col("etiquetas") == 1).alias("integra"))
+
+
+@query(f"""with t as (select count(distinct paciente_id) as m from {CALLS_OF}), e as (select clase, count(*) as casos, count(distinct paciente_id) as entidades from {CALLS_OF} group by clase), w as (select *, entidades as k, m as n, entidades / nullif(m, 0) as p from e, t)
+  select clase, casos, entidades, round(greatest(0, (p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) as desde,
+  round(least(1, (p + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n)), 6) as hasta from w""")
+def class_patients(spark, folder: str) -> DataFrame:
+    """Calls and distinct patients of each class, and the interval of the share of patients."""
+    return analysis.classes(_calls(spark, folder), "clase", "paciente_id")
+
+
+#: Fixed value: days that the per-day tables show, whether there are rows of them or not.
+DAYS = [1, 3, 7, 14]
+
+
+@query(f"""select d.dia_postop, c.herida, count(dolor_nrs) as n, min(dolor_nrs) as minimo, round(quantile_cont(dolor_nrs, 0.25), 4) as q1, round(quantile_cont(dolor_nrs, 0.5), 4) as mediana, round(quantile_cont(dolor_nrs, 0.75), 4) as q3, max(dolor_nrs) as maximo
+  from (select unnest({DAYS}) as dia_postop) d, (select distinct herida from {TRAJECTORIES}) c left join {TRAJECTORIES} t on t.dia_postop = d.dia_postop and t.herida is not distinct from c.herida group by all""")
+def pain_by_day(spark, folder: str) -> DataFrame:
+    """Pain by wound on the given days; a cell without rows is there with n = 0."""
+    return analysis.described_on(table(spark, folder, TRAJECTORIES), "dia_postop", DAYS, "herida", "dolor_nrs")
+
+
+@query(f"""with e as (select dia_postop, coalesce(movilidad, '') as movilidad, count(*) as m from {TRAJECTORIES} where herida = 'secrecion_purulenta' group by all)
+  select dia_postop, sum(m)::bigint as n, arg_min(movilidad, row(-m, movilidad)) as comun, round(max(m) / sum(m), 6) as pureza from e group by dia_postop""")
+def flag_by_day(spark, folder: str) -> DataFrame:
+    """How pure mobility is, by day, among rows with a purulent wound."""
+    return analysis.flag_purity(table(spark, folder, TRAJECTORIES).withColumn("movilidad", F.coalesce("movilidad", F.lit(""))), "dia_postop", F.col("herida") == "secrecion_purulenta", "movilidad")
 
 
 @query(f"""select arquetipo_trayectoria, count(dolor_nrs) as n, min(dolor_nrs) as minimo, round(quantile_cont(dolor_nrs, 0.25), 4) as q1, round(quantile_cont(dolor_nrs, 0.5), 4) as mediana, round(quantile_cont(dolor_nrs, 0.75), 4) as q3, max(dolor_nrs) as maximo
   from {TRAJECTORIES} where dolor_nrs is not null group by all""")
 def pain_by_archetype(spark, folder: str) -> DataFrame:
-    return analysis.described(table(spark, folder, TRAJECTORIES), "arquetipo_trayectoria", "dolor_nrs")
+    return analysis.described(table(spark, folder, TRAJECTORIES), ["arquetipo_trayectoria"], "dolor_nrs")
 
 
 @query(f"select arquetipo_trayectoria, sum(n)::bigint as n, max(n) / sum(n) as pureza, max(n) / sum(n) >= 0.95 as pura from (select arquetipo_trayectoria, movilidad, count(*) as n from {TRAJECTORIES} group by all) group by all")
@@ -499,9 +635,9 @@ def archetype_purity(spark, folder: str) -> DataFrame:
     return analysis.purity(table(spark, folder, TRAJECTORIES), "arquetipo_trayectoria", "movilidad")
 
 
-@query(f"select paciente_id, count(distinct arquetipo_trayectoria) as distintas, min(arquetipo_trayectoria) as primera from {TRAJECTORIES} group by all having count(distinct arquetipo_trayectoria) > 1")
+@query(f"select paciente_id, count(distinct arquetipo_trayectoria) as distintas, min(arquetipo_trayectoria) as primera from {PATIENTS} group by all having count(distinct arquetipo_trayectoria) > 1")
 def label_constancy(spark, folder: str) -> DataFrame:
-    return analysis.constancy(table(spark, folder, TRAJECTORIES), "paciente_id", "arquetipo_trayectoria")
+    return analysis.constancy(_trajectories(spark, folder), "paciente_id", "arquetipo_trayectoria")
 
 
 @query(f"select dia_postop, a as mayor_bajo, b as menor_alto, b - a as hueco from (select dia_postop, max(fiebre_c) filter (herida = 'normal') as a, min(fiebre_c) filter (herida = 'secrecion_purulenta') as b from {TRAJECTORIES} group by all)")
@@ -513,11 +649,12 @@ WILSON_SQL = "(p + 1.96 * 1.96 / (2 * n) {s} 1.96 * sqrt(p * (1 - p) / n + 1.96
 
 
 @query(f"""select lang, k as aciertos, n, round(p, 6) as recall, round(greatest(0, {WILSON_SQL.format(s='-')}), 6) as desde, round(least(1, {WILSON_SQL.format(s='+')}), 6) as hasta
-  from (select lang, count(*) filter (lang = {GUESS_SQL}) as k, count(*) as n, count(*) filter (lang = {GUESS_SQL}) / count(*) as p from ({FUNCTION_SQL}) group by lang)""")
+  from (select lang, count(*) filter (lang = {GUESS_SQL}) as k, count(*) as n, count(*) filter (lang = {GUESS_SQL}) / count(*) as p from {CODED_SQL} group by lang)""")
 def recall_wilson(spark, folder: str) -> DataFrame:
-    return analysis.recall(table(spark, folder, "documents").select("lang", tx.guessed_language(F.col("text")).alias("idioma")), "lang", "idioma")
+    return analysis.recall(_told(spark, folder), "lang", "idioma")
 
 
+#: Thresholds of the sweep.
 FEVERS = [37.5, 37.6, 37.7, 37.8, 37.9, 38.0, 38.1]
 
 
@@ -526,10 +663,10 @@ def threshold_sweep(spark, folder: str) -> DataFrame:
     return analysis.sweep(table(spark, folder, TRAJECTORIES).withColumn("fiebre_c", stats.usable(F.col("fiebre_c"))), "herida", "fiebre_c", FEVERS)
 
 
-@query(f"""with e as (select paciente_id, min(fiebre_c) as a, max(fiebre_c) as b from {TRAJECTORIES} where paciente_id is not null and fiebre_c is not null group by all)
+@query(f"""with e as (select paciente_id, min(fiebre_c) as a, max(fiebre_c) as b from {PATIENTS} where paciente_id is not null and fiebre_c is not null group by all)
   select x.paciente_id, min(y.a) as minimo_resto, max(y.b) as maximo_resto from e x left join e y on x.paciente_id <> y.paciente_id group by all""")
 def leave_one_out(spark, folder: str) -> DataFrame:
-    return analysis.without_each(table(spark, folder, TRAJECTORIES), "paciente_id", "fiebre_c")
+    return analysis.without_each(_trajectories(spark, folder), "paciente_id", "fiebre_c")
 
 
 @query(f"""with b as (select quantile_cont(dolor_nrs, [0.1, 0.9]) as d, quantile_cont(fiebre_c, [0.1, 0.9]) as f from {TRAJECTORIES} where herida = 'normal')
@@ -564,6 +701,18 @@ def jsonl_report(spark, folder: str) -> DataFrame:
     return jsonl.line_report(lines, table(spark, folder, "events").select("event_id", "value").schema)
 
 
+@query("""with n as (select event_id, event_id // 500 as bloque, row_number() over (partition by event_id // 500 order by event_id) as linea from events)
+  select bloque, linea, event_id from n where event_id % 7 = 0""")
+def jsonl_bad_lines(spark, folder: str) -> DataFrame:
+    """Events written as files of JSON lines, some of them broken, and read back: file and number of every line that can't be read."""
+    own = table(spark, folder, "events").select("event_id", F.floor(F.col("event_id") / 500).alias("bloque"), F.to_json(F.struct("event_id", "value")).alias("j"))
+    rows = own.withColumn("value", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("<"), F.col("j"))).otherwise(F.col("j"))).repartition("bloque").sortWithinPartitions("bloque", "event_id")
+    path = new_folder(spark, "jsonl")
+    rows.select("bloque", "value").write.partitionBy("bloque").text(path)
+    bad = jsonl.bad_lines(jsonl.numbered(spark, path), table(spark, folder, "events").select("event_id", "value").schema)
+    return bad.select(F.regexp_extract("fichero", r"bloque=(\d+)", 1).cast("bigint").alias("bloque"), "linea", F.regexp_extract("value", r'"event_id":(\d+)', 1).cast("bigint").alias("event_id"))
+
+
 @query("select event_type, count(*) as n, round(sum(value), 2) as suma from events group by event_type")
 def stream_tail(spark, folder: str) -> DataFrame:
     """Counts of a tailed table, complete once its files are read."""
@@ -573,11 +722,23 @@ def stream_tail(spark, folder: str) -> DataFrame:
 
 @query("select time_bucket(interval '1 hour', ts) as inicio, event_type, count(*) as n, round(sum(value), 2) as suma from events group by all")
 def stream_windows(spark, folder: str) -> DataFrame:
-    """Hourly counts of the stream of events, with a watermark (the table is one file, so nothing is late)."""
-    found = logs.drained(logs.event_windows(logs.tailed(spark, f"{folder}/events.parquet")), "complete", "windows")
+    """Hourly counts of the stream of events: windows are given again when they change and closed by the watermark (the table is one file, so nothing is late)."""
+    found = logs.drained(logs.event_windows(logs.tailed(spark, f"{folder}/events.parquet")), "update", "windows", ["w", "event_type"])
     return found.select(F.col("w.start").cast("timestamp_ntz").alias("inicio"), "event_type", "n", "suma")
 
 
+@query(f"""with f as (select distinct llamada, turno_idx, recibido_ts as en, latencia_ms.cliente_fin_habla_a_audio as ms from {TURNS} where clase_fila = 'turno' and llamada is not null and turno_idx is not null and recibido_ts is not null)
+  select a.llamada, a.turno_idx, a.en, b.ms from f a join f b on a.llamada = b.llamada and a.turno_idx = b.turno_idx and b.en >= a.en and b.en <= a.en + interval '1 hour' where b.ms is not null and {FINITE.format(c='b.ms')} group by all""")
+def stream_telemetry(spark, folder: str) -> DataFrame:
+    """Turns of the log as one stream and their measures as another, joined where a measure comes within an hour of its turn."""
+    log = logs.tailed(spark, f"{folder}/turnos.parquet").where((turnlog.kind() == "turno") & turnlog.call().isNotNull() & F.col("turno_idx").isNotNull() & F.col("recibido_ts").isNotNull())
+    ms = stats.usable(F.col("latencia_ms.cliente_fin_habla_a_audio"))
+    rows = log.select(turnlog.call().alias("llamada"), "turno_idx", F.col("recibido_ts").cast("timestamp").alias("en"), ms.alias("ms"))
+    joined = logs.late_telemetry(rows.drop("ms"), rows.where("ms is not null"))
+    found = logs.drained(joined, "append", "telemetry").where("ms is not null")
+    return found.select("llamada", "turno_idx", F.col("en").cast("timestamp_ntz").alias("en"), "ms").distinct()
+
+
 @query("""with e as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval '6 hours' or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as nuevo from events),
   s as (select user_id, ts, sum(nuevo) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from e)
   select user_id, min(ts) as inicio, max(ts) as fin, count(*) as filas from s group by user_id, k having count(*) >= 2""")

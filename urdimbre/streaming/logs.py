@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from urdimbre.plans.lineage import new_folder
 
-from urdimbre.plans.lineage import shared_folder
 
+def drained(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream has given once all its present input is read, written to the shared folder.
 
-def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """What a stream has given once all its present input is read, written to the shared folder."""
+    ``append`` rows are final. ``update`` gives the changed rows of each batch: of the rows of the same ``keys`` the last counts, so
+    the stream keeps no state of closed windows. ``complete`` gives everything anew with each batch and suits small results only.
+    """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    base = new_folder(spark, f"stream-{name}")
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/at").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/at").outputMode("append").trigger(availableNow=True).start()
-    else:
-
-        def write(batch: DataFrame, k: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{base}/out")
-
-        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/at").outputMode("complete").trigger(availableNow=True).start()
+        query = writer.format("parquet").option("path", f"{base}/out").start()
+    elif mode == "complete":
+        query = writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{base}/out")).start()
+    else:  # a batch that is run again replaces its own rows
+        query = writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{base}/out/_lote={k}")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_lote", T.LongType())])).parquet(f"{base}/out")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_lote").alias("_u"))
+    return last.select(*(F.col(c) if c in keys else F.col("_u")[c].alias(c) for c in stream.columns))
 
 
 def tailed(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +43,7 @@ def tailed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Events by type in tumbling windows of their time; rows later than the watermark are left out."""
+    """Events by type in tumbling windows of their time; in append and update mode rows of windows that the watermark has closed are left out."""
     return events.withColumn("en", F.col("ts").cast("timestamp")).withWatermark("en", late).groupBy(F.window("en", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("suma"))
 
 
