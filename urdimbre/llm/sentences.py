@@ -41,22 +41,64 @@ WORD = regex.compile(r"[\p{L}\p{M}]+")
 LINE = regex.compile(r"[\n\f]")
 BLANK_LINE = regex.compile(r"\n[^\S\n]*\n\s*|\f")
 #: Evidence: where words stand in the document and, counted, in the corpus.
-DOTTED = r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)\.(?:[,;:]|[^\S\n]+\p{Ll}(?!\)))"
-OPENS = r"(?:^|\n\s*\n\s*|[\p{L}\p{M}]{6}[.!?]\s+|[\p{L}\p{M}\p{N}][!?]\s+)[¿¡«“„\"(]*(\p{Lu}[\p{L}\p{M}]*)"
-AMONG = r"\p{Ll},?\s(\p{Lu}[\p{L}\p{M}]*)"
-BARE = r"(?<![\p{L}\p{M}.])([\p{L}\p{M}]+)(?![\p{L}\p{M}.])"
-OPEN_CASE = regex.compile(r"([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*|\p{N}+)\.[»”“\"')\]]*\s+(\p{Lu}[\p{L}\p{M}]*\.?)")
-IN_DOCUMENT = {k: regex.compile(p) for k, p in (("dotted", DOTTED), ("opens", OPENS), ("among", AMONG), ("bare", BARE))}
+DOT_WITHIN = regex.compile(r"\.(?=[,;:]|[^\S\n]+\p{Ll}(?!\)))")
+MARKED = regex.compile(r"[.!?]\s+[¿¡«“„\"(]*(\p{Lu}[\p{L}\p{M}]*)")
+BEGINS = regex.compile(r"(?:\A|\n\s*\n\s*)[¿¡«“„\"(]*(\p{Lu}[\p{L}\p{M}]*)")
+AMONG = regex.compile(r"\p{Ll},?\s(\p{Lu}[\p{L}\p{M}]*)")
+EDGES = regex.compile(r"[^\p{L}\p{M}.]+")
+#: A full stop before a capital, and what stands before a place in the text.
+BEFORE_CAPITAL = regex.compile(r"\.[»”“\"')\]]*\s+(\p{Lu}[\p{L}\p{M}]*\.?)")
+WORDS_BACK, FIGURE_BACK = regex.compile(r"(?r)[\p{L}\p{M}.]+"), regex.compile(r"(?r)\p{N}+")
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+
+
+def word_before(text: str, at: int) -> str:
+    """Word that ends at a full stop, with the parts of an abbreviation before it; empty if none does."""
+    found = WORDS_BACK.match(text, 0, at)
+    return found.group().rsplit("..", 1)[-1].lstrip(".") if found and found.group()[-1] != "." else ""
+
+
+def dotted(text: str) -> list[str]:
+    """Words with a full stop before a small letter or a comma."""
+    return [w for m in DOT_WITHIN.finditer(text) if (w := word_before(text, m.start()))]
+
+
+def opens(text: str) -> list[str]:
+    """Words that surely open a sentence: at the start, after a blank line, and after a mark that closes a long word or isn't a full stop."""
+    out = BEGINS.findall(text)
+    for m in MARKED.finditer(text):
+        i = m.start()
+        if text[i] != "." and i and (text[i - 1].isalnum() or MARK.match(text, i - 1)) or i >= 6 and LETTERS.fullmatch(text, i - 6, i):
+            out.append(m.group(1))
+    return out
+
+
+def bare(text: str) -> list[str]:
+    """Words without a full stop beside them."""
+    return [t for t in EDGES.split(text) if t and "." not in t]
+
+
+def cases(text: str) -> set[tuple[str, str]]:
+    """A short word, known abbreviation or figure (``0``) with a full stop before a capital, and that word (with its own full stop, if any)."""
+    out = set()
+    for m in BEFORE_CAPITAL.finditer(text):
+        w = word_before(text, m.start()) or ("0" if FIGURE_BACK.match(text, 0, m.start()) else "")
+        if w:
+            out.add((w, m.group(1)))
+    return out
+
+
+IN_DOCUMENT = {"dotted": dotted, "opens": opens, "among": AMONG.findall, "bare": bare}
 #: Times that a word opens sentences, of the times that it is seen with a capital, under which it is no opening.
 RARELY = 0.1
 
 
 def _cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open cases of each document: a short word, known abbreviation or figure (``0``) with a full stop before a capital ``n`` (with its own full stop, if any)."""
+    """Open cases of each document."""
     for b in batches:
         ids, first, then = [], [], []
         for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            for w, n in {(("0" if w[0].isdecimal() or not w[0].isalpha() else w), n) for w, n in OPEN_CASE.findall(text)}:
+            for w, n in cases(text):
                 ids.append(key), first.append(w), then.append(n)
         yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("doc_id").type), pa.array(first, pa.string()), pa.array(then, pa.string())], names=["doc_id", "w", "n"])
 
@@ -72,23 +114,14 @@ def _evidence(words) -> Callable:
         for b in batches:
             counts: dict[str, Counter] = {k: Counter() for k in IN_DOCUMENT}
             for text in b.column("text").to_pylist():
-                for k in ("dotted", "opens", "among"):
-                    counts[k].update(IN_DOCUMENT[k].findall(text))
-                counts["bare"].update(bare(text))
+                for k, of in IN_DOCUMENT.items():
+                    counts[k].update(of(text))
             seen = [w for w in set().union(*counts.values()) if wanted is None or w in wanted]
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([counts[k][w] for w in seen], pa.int64()) for k in IN_DOCUMENT)], names=["word", *IN_DOCUMENT])
 
     return run
 
 
-EDGES = regex.compile(r"[^\p{L}\p{M}.]+")
-
-
-def bare(text: str) -> list[str]:
-    """Words without a full stop beside them."""
-    return [t for t in EDGES.split(text) if t and "." not in t]
-
-
 #: Distinct words of open cases that are sent to every task at most; with more, all words of the corpus are counted.
 SENT = 200_000
 
@@ -129,11 +162,12 @@ class Document:
 
     def seen(self, kind: str, word: str) -> int:
         if kind not in self.known:
-            self.known[kind] = Counter(bare(self.text) if kind == "bare" else IN_DOCUMENT[kind].findall(self.text))
+            self.known[kind] = Counter(IN_DOCUMENT[kind](self.text))
         return self.known[kind][word]
 
     def shortened(self, word: str) -> bool:
-        return 2 * self.seen("dotted", word) > self.seen("bare", word)
+        dotted_ = self.seen("dotted", word)
+        return dotted_ > 0 and 2 * dotted_ > self.seen("bare", word)
 
     def spans(self) -> Iterator[tuple[int, int]]:
         parts = LINE if self.form in ("lista", "transcripcion") else BLANK_LINE
