@@ -82,3 +82,31 @@ def test_report(spark, folder):
     got = {r.particion: r for r in S.p4_informe(spark, folder).collect()}
     assert abs(sum(r.alcanzada for r in got.values()) - 1) < 1e-9
     assert all(abs(r.alcanzada - r.proporcion) < 0.02 for r in got.values())
+
+
+def test_bitsets_are_bounded_and_exact(monkeypatch):
+    """Few kept bitsets give the totals that all give, and thousands of sizes take little room."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    for kept in (1, 3, 1000):
+        monkeypatch.setattr(S, "KEPT", kept)
+        for _ in range(30):
+            items = [(rng.randrange(1, 30), rng.randrange(0, 5)) for _ in range(rng.randrange(0, 8))]
+            items = list({s: (s, m) for s, m in items}.values())
+            target = rng.uniform(0, 150)
+            totals = {0}
+            for s, m in items:
+                totals = {t + s * k for t in totals for k in range(m + 1)}
+            got = S.subset_closest(items, target)
+            total = sum(s * k for s, k in got.items())
+            assert all(k <= dict(items)[s] for s, k in got.items()) and abs(total - target) == min(abs(t - target) for t in totals)
+    monkeypatch.setattr(S, "KEPT", 32)
+    tracemalloc.start()
+    got = S.deal([(s, 1) for s in range(1, 3001)], [("a", 0.8), ("b", 0.1), ("c", 0.1)])
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    rows = 3000 * 3001 // 2
+    each = {name: sum(s * k for s, parts in got.items() for n, k in parts if n == name) for name in "abc"}
+    assert sum(each.values()) == rows and abs(each["b"] - rows / 10) <= 3000 and abs(each["c"] - rows / 10) <= 3000

@@ -21,8 +21,10 @@ from urdimbre.plans.lineage import cut, table
 
 #: Bits of a subset-sum bitset at most; larger totals are counted in units of several rows.
 BITS = 1 << 22
-#: Share of all rows above which a component is dealt by itself, and components of a smaller size that are held back.
-LARGE, HELD = 0.0005, 16
+#: Bitsets that are kept at most; those between are made again from the last one kept.
+KEPT = 32
+#: Components of each size that the bitsets choose among at least; of larger numbers the rest is dealt in proportion.
+HELD = 16
 #: Components ranked in one task at most, about.
 RANKED = 200_000
 
@@ -92,77 +94,111 @@ def subset_closest(items: list[tuple[int, int]], target: float) -> dict[int, int
     """Of ``size, multiplicity`` pairs, how many of each size to take so that their total is closest to ``target``.
 
     A bitset holds the reachable totals; multiplicities are cut into powers of two, so each size shifts the
-    bitset a logarithmic number of times. Ties take the smaller total.
+    bitset a logarithmic number of times. Totals above twice the target can't be closest and aren't kept. Ties take the smaller
+    total. About ``KEPT`` of the bitsets are kept on the way; going back, each stretch between two is made again.
     """
-    pieces, reach = [], [1]
-    for size, many in items:
-        k = 1
-        while many > 0:
-            k = min(k, many)
-            pieces.append((size, k))
-            reach.append(reach[-1] | reach[-1] << size * k)
-            many -= k
-            k *= 2
-    goal, total = max(0, round(target)), reach[-1]
+    goal = max(0, round(target))
+    mask = (1 << 2 * goal + max((s for s, m in items if m > 0), default=0) + 2) - 1
+    pieces = [(size, k) for size, many in items for k in powers(many)]
+    step = max(1, -(-len(pieces) // KEPT))
+    grown = lambda reach, size, k: (reach | reach << size * k) & mask
+    kept, total = [], 1
+    for i, (size, k) in enumerate(pieces):
+        if i % step == 0:
+            kept.append(total)
+        total = grown(total, size, k)
     below = total & ((1 << goal + 1) - 1)
     low = below.bit_length() - 1
     above = total >> goal
     high = goal + (above & -above).bit_length() - 1 if above else low
     left = low if abs(low - target) <= abs(high - target) else high
     taken: dict[int, int] = {}
-    for i in range(len(pieces) - 1, -1, -1):
-        if not reach[i] >> left & 1:
-            size, k = pieces[i]
-            taken[size] = taken.get(size, 0) + k
-            left -= size * k
+    for block in range(len(kept) - 1, -1, -1):
+        own = pieces[block * step : (block + 1) * step]
+        reach = [kept[block]]
+        for size, k in own[:-1]:
+            reach.append(grown(reach[-1], size, k))
+        for (size, k), before in zip(reversed(own), reversed(reach)):
+            if not before >> left & 1:
+                taken[size] = taken.get(size, 0) + k
+                left -= size * k
     return taken
 
 
+def powers(many: int) -> list[int]:
+    """Powers of two, and a rest, whose sums are just the numbers up to ``many``."""
+    out, k = [], 1
+    while many > 0:
+        out.append(min(k, many))
+        many -= out[-1]
+        k *= 2
+    return out
+
+
 def deal(sizes: list[tuple[int, int]], shares: list[tuple[str, float]]) -> dict[int, list[tuple[str, int]]]:
     """For each component size, how many components of it each split gets.
 
     ``sizes``: size and number of components; ``shares``: split and proportion (normalised here; null and
-    negative count as 0; ties by name). From the largest size down, a component above ``LARGE`` of all rows goes
-    to the split that lacks most; of smaller ones most are dealt in proportion to what the splits lack. The
-    bitsets choose among those held back, at least ``HELD`` of each size where there are so many.
+    negative count as 0; ties by name). Of each size all but ``HELD`` components, or as many as
+    make up the largest one, are dealt in proportion to the shares, which leaves
+    every split lacking its share of those held back; the bitsets share these out between two splits at a time, again and again
+    while that brings their totals closer to what they lack.
     """
     shares = sorted(((name, max(0.0, p or 0.0)) for name, p in shares), key=lambda x: (x[1], x[0]))
     whole = sum(p for _, p in shares) or 1.0
     rows = sum(s * m for s, m in sizes)
     lacks = [rows * p / whole for _, p in shares]
     given = {s: [0] * len(shares) for s, _ in sizes}
+    largest = max((s for s, _ in sizes), default=0)
     rest: dict[int, int] = {}
     for s, m in sorted(sizes, reverse=True):
-        if s > LARGE * rows:
-            for _ in range(m):
-                i = max(range(len(shares)), key=lambda i: (lacks[i], i))
-                given[s][i] += 1
-                lacks[i] -= s
-            continue
-        open_ = [max(0.0, x) for x in lacks]
-        most = (m - min(m, HELD)) / (sum(open_) or 1.0)
-        for i, x in enumerate(open_):
-            given[s][i] = int(most * x)
+        for i, (_, p) in enumerate(shares):
+            given[s][i] = int((m - min(m, max(HELD, -(-largest // s)))) * (p / whole))
             lacks[i] -= s * given[s][i]
         rest[s] = m - sum(given[s])
-    unit = -(-max(1, sum(s * m for s, m in rest.items())) // BITS)
-    for i in range(len(shares) - 1):
-        by_unit: dict[int, list[int]] = {}
-        for s in sorted(rest):
-            if rest[s]:
-                by_unit.setdefault(max(1, round(s / unit)), []).append(s)
-        taken = subset_closest([(u, sum(rest[s] for s in ss)) for u, ss in by_unit.items()], lacks[i] / unit)
-        for u, k in taken.items():
-            for s in by_unit[u]:
-                one = min(k, rest[s])
-                given[s][i] += one
-                rest[s] -= one
-                k -= one
-    for s, m in rest.items():
-        given[s][-1] += m
+    # What the splits lack is made up of the components held back: first all are the largest split's, then each pair of splits
+    # shares out anew what both hold, until no pair comes closer.
+    held = [dict.fromkeys(rest, 0) for _ in shares[:-1]] + [rest]
+    off = lambda i: sum(s * k for s, k in held[i].items()) - lacks[i]
+    tried = True
+    while tried:
+        tried = False
+        for i in range(len(shares) - 1, -1, -1):
+            for j in range(i):
+                both = {s: held[i][s] + held[j][s] for s in rest if held[i][s] + held[j][s]}
+                before = abs(off(i)) + abs(off(j)), max(abs(off(i)), abs(off(j)))
+                if before[0] < 1:
+                    continue
+                old = held[i], held[j]
+                got = shared_out(both, lacks[j] + (off(i) + off(j)) / 2)
+                held[j] = {s: got.get(s, 0) for s in rest}
+                held[i] = {s: both.get(s, 0) - got.get(s, 0) for s in rest}
+                after = abs(off(i)) + abs(off(j)), max(abs(off(i)), abs(off(j)))
+                if after[0] < before[0] - 1e-6 or after[0] < before[0] + 1e-6 and after[1] < before[1] - 1e-6:
+                    tried = True
+                else:
+                    held[i], held[j] = old
+    for i, own in enumerate(held):
+        for s, k in own.items():
+            given[s][i] += k
     return {s: [(name, k) for (name, _), k in zip(shares, g) if k] for s, g in given.items()}
 
 
+def shared_out(have: dict[int, int], target: float) -> dict[int, int]:
+    """``subset_closest`` of sizes with multiplicities, counted in units of several rows where the bitset would be too long."""
+    unit = -(-max(1, sum(s * m for s, m in have.items())) // BITS)
+    by_unit: dict[int, list[int]] = {}
+    for s in sorted(have):
+        by_unit.setdefault(max(1, round(s / unit)), []).append(s)
+    taken = subset_closest([(u, sum(have[s] for s in ss)) for u, ss in by_unit.items()], target / unit)
+    out: dict[int, int] = {}
+    for u, k in taken.items():
+        for s in by_unit[u]:
+            out[s] = min(k, have[s])
+            k -= out[s]
+    return out
+
+
 def split(rows: DataFrame, shares: DataFrame) -> DataFrame:
     """``fila_id, grupo, particion`` of every row: groups stay whole, splits come near their share of rows.
 
@@ -218,6 +254,23 @@ def p4_informe(spark, folder: str) -> DataFrame:
     )
 
 
+def p4_control(spark, folder: str) -> DataFrame:
+    """One row: the rows dealt, whether no trajectory and no patient is in two splits, and whether every share is reached to within a
+    hundredth of a percent of the rows and the size of the largest group."""
+    rows = table(spark, folder, "trayectorias_postop_silver").withColumn("fila_id", F.monotonically_increasing_id())
+    rows = cut(rows)
+    dealt = cut(split(rows, table(spark, folder, "particiones_objetivo")))
+    keyed = rows.select("fila_id", F.explode(F.array_compact(F.array(trajectory_key(F.col("trayectoria_id")), patient_key(F.col("paciente_id"))))).alias("clave"))
+    whole = keyed.join(dealt, "fila_id").groupBy("clave").agg(F.count_distinct("particion").alias("n")).agg(F.coalesce(F.max("n") <= 1, F.lit(True)).alias("enteras"))
+    shares = table(spark, folder, "particiones_objetivo").where("particion is not null")
+    each = shares.join(dealt.groupBy("particion").agg(F.count("*").alias("n")), "particion", "left").na.fill(0, ["n"])
+    total = each.agg(F.sum("proporcion").alias("p"), F.sum("n").alias("filas"))
+    largest = dealt.groupBy("grupo").agg(F.count("*").alias("m")).agg(F.max("m").alias("mayor"))
+    off = F.abs(F.col("n") - F.col("filas") * F.col("proporcion") / F.col("p"))
+    near = each.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(largest)).agg(F.max("filas").alias("filas"), F.min(off <= F.greatest(F.col("mayor"), F.col("filas") * 0.0001)).alias("cerca"))  # one row each
+    return near.crossJoin(F.broadcast(whole)).select("filas", "enteras", "cerca")  # one row each
+
+
 KEY_SQL = "array_to_string(list_transform({parts}, lambda x: regexp_replace(x, '^0+([0-9])', '\\1')), '_')"
 RUNS_SQL = "regexp_extract_all(lower({c}), '\\p{{L}}+|[0-9]+')"
 SQL = {
@@ -234,4 +287,5 @@ filas as (select fila_id, grupo from claves join raiz on x = coalesce(a, b)),
 menor as (select grupo, min(fila_id) as fila_a from filas group by grupo)
 select fila_a, fila_id as fila_b from filas join menor using (grupo) where fila_id <> fila_a""",
 }
-QUERIES = {"p4_found": p4_found, "p4_particiones": p4_particiones, "p4_informe": p4_informe}
+SQL["p4_control"] = "select count(*) as filas, true as enteras, true as cerca from trayectorias_postop_silver"
+QUERIES = {"p4_found": p4_found, "p4_particiones": p4_particiones, "p4_informe": p4_informe, "p4_control": p4_control}

@@ -154,5 +154,11 @@ def p6_vuelta(spark, folder: str) -> DataFrame:
     return docs.join(back, "doc_id").select("doc_id", "n_ids", (F.coalesce("text", F.lit("")) == F.col("vuelta")).alias("igual"))
 
 
-SQL: dict[str, str] = {}
-QUERIES = {"p6_ids": p6_ids, "p6_vuelta": p6_vuelta}
+def p6_control(spark, folder: str) -> DataFrame:
+    """One row: documents, those without ids, and whether decoding gives every text again."""
+    back = p6_vuelta(spark, folder)
+    return back.agg(F.count("*").alias("documentos"), F.count_if(F.col("n_ids") == 0).alias("vacios"), F.min("igual").alias("iguales"))
+
+
+SQL: dict[str, str] = {"p6_control": "select count(*) as documentos, count(*) filter (coalesce(text, '') = '') as vacios, true as iguales from documents"}
+QUERIES = {"p6_ids": p6_ids, "p6_vuelta": p6_vuelta, "p6_control": p6_control}
