@@ -164,16 +164,24 @@ def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: Slots that are named at once, and about how many a task names.
+NAMED, SLOTS = 100_000, 50_000
+
+
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Block and place of the slots of each drawn count."""
     for b in batches:
-        for shard, source, key, blocks, first, count, place, size in zip(*(c.to_pylist() for c in b.columns)):
-            for at in range(0, count, 10_000):
-                j = np.arange(first + at, first + min(count, at + 10_000))
-                turn = j // blocks
-                block = permuted(j % blocks, np.full(len(j), blocks), key + turn * 1_000_003)
-                spot = permuted(np.arange(place + at, place + at + len(j)), np.full(len(j), size), np.full(len(j), shard + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(j), pa.int32()), pa.array(spot, pa.int64()), pa.array([source] * len(j)), pa.array(block, pa.int64()), pa.array(turn, pa.int32())], names=["fragmento", "posicion", "fuente", "bloque", "vuelta"])
+        shard, key, blocks, first, count, place, size = (b.column(c).to_numpy() for c in ("fragmento", "clave", "bloques", "desde", "n", "lugar", "total"))
+        upto = np.cumsum(count)
+        for at in range(0, int(upto[-1]) if len(upto) else 0, NAMED):
+            slot = np.arange(at, min(at + NAMED, upto[-1]))
+            row = np.searchsorted(upto, slot, side="right")
+            own = slot - (upto - count)[row]
+            j = first[row] + own
+            turn = j // blocks[row]
+            block = permuted(j % blocks[row], blocks[row], key[row] + turn * 1_000_003)
+            spot = permuted(place[row] + own, size[row], shard[row].astype(np.int64) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[row], pa.int32()), pa.array(spot, pa.int64()), b.column("fuente").take(pa.array(row)), pa.array(block, pa.int64()), pa.array(turn, pa.int32())], names=["fragmento", "posicion", "fuente", "bloque", "vuelta"])
 
 
 def mix(blocks: DataFrame, goal: DataFrame, total: int | None = None, shard: int | None = None, seed: int = SEED) -> DataFrame:
@@ -188,11 +196,12 @@ def mix(blocks: DataFrame, goal: DataFrame, total: int | None = None, shard: int
     n = {s: b for s, _, _, b in sources}
     keys = {s: seed * 1_000_000_007 + i * 998_244_353 for i, s in enumerate(sorted(n))}
     of = F.create_map(*(F.lit(x) for s in sorted(n) for x in (s, F.struct(F.lit(keys[s]).cast("bigint").alias("clave"), F.lit(n[s]).cast("bigint").alias("bloques"))))) if n else F.lit(None)
-    drawn = draws(spark, quotas(sources, total), shard, seed)
+    quota = quotas(sources, total)
+    drawn = draws(spark, quota, shard, seed)
     if not n:
         return drawn.limit(0).select("fragmento", F.lit(0).cast("bigint").alias("posicion"), "fuente", F.lit(0).cast("bigint").alias("bloque"), F.lit(0).alias("vuelta"), F.array().cast("array<int>").alias("ids"), F.array().cast(blocks.schema["documentos"].dataType).alias("documentos"))
     plan = drawn.withColumn("o", of[F.col("fuente")]).select("fragmento", "fuente", "o.clave", "o.bloques", "desde", "n", "lugar", "total")
-    slots = plan.repartition("fragmento", "fuente").mapInArrow(_slots, "fragmento int, posicion bigint, fuente string, bloque bigint, vuelta int")
+    slots = plan.repartition(1 + sum(quota.values()) // SLOTS, "fragmento", "fuente").mapInArrow(_slots, "fragmento int, posicion bigint, fuente string, bloque bigint, vuelta int")
     return slots.join(blocks, ["fuente", "bloque"]).select("fragmento", "posicion", "fuente", "bloque", "vuelta", "ids", "documentos")
 
 

@@ -113,9 +113,14 @@ def _evidence(words) -> Callable:
         wanted = words.value
         for b in batches:
             counts: dict[str, Counter] = {k: Counter() for k in IN_DOCUMENT}
+            tokens: Counter = Counter()
             for text in b.column("text").to_pylist():
-                for k, of in IN_DOCUMENT.items():
-                    counts[k].update(of(text))
+                for k in ("dotted", "opens", "among"):
+                    counts[k].update(IN_DOCUMENT[k](text))
+                tokens.update(text.split())
+            for token, n in tokens.items():  # what parts tokens parts words too
+                for w in bare(token):
+                    counts["bare"][w] += n
             seen = [w for w in set().union(*counts.values()) if wanted is None or w in wanted]
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([counts[k][w] for w in seen], pa.int64()) for k in IN_DOCUMENT)], names=["word", *IN_DOCUMENT])
 
