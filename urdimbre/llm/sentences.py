@@ -242,8 +242,11 @@ class Document:
     def ends(self, text: str, a: int, b: int, to: int, end: int, start: int, around: tuple[int, int] | None) -> bool:
         """Whether the terminator at ``a:b``, closed at ``to``, ends the sentence begun at ``start``."""
         mark, gap = text[b - 1], text[to].isspace()
-        beside = BESIDE.match(text, to, end)
-        at = beside.end() if beside else to
+        if text[to] == " " and to + 1 < end and text[to + 1].isalnum():
+            at = to + 1
+        else:
+            beside = BESIDE.match(text, to, end)
+            at = beside.end() if beside else to
         if at >= end:
             return False
         following = text[at]
@@ -279,12 +282,14 @@ class Document:
         if opened or not first.isupper():
             return True
         name = WORD.match(text, at).group()
-        if (opens := self.seen("opens", name)) and opens > self.seen("among", name):
-            return True
-        if not figure and self.shortened(word):
-            return False
         key = "0" if figure else word
-        return f"{key} {name}" not in self.together and f"{key} {name}." not in self.together
+        held = not figure and self.shortened(word) or self.together and (f"{key} {name}" in self.together or f"{key} {name}." in self.together)
+        return not held or self.opening(name)
+
+    def opening(self, name: str) -> bool:
+        """Whether a word opens a sentence elsewhere in the document and isn't a proper name of it."""
+        n = self.seen("opens", name)
+        return n > 0 and n > self.seen("among", name)
 
 
 SCRIPTS = {name: regex.compile(rf"\p{{{name}}}") for name in ("Greek", "Devanagari", "Thai")}
