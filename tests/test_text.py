@@ -57,11 +57,11 @@ def test_quote_and_snippet(spark):
 
 def test_percentiles(spark):
     rows = spark.createDataFrame([(v,) for v in (100.0, 200.0, 300.0, 400.0)], "v double")
-    own = stats.counted(rows, [], "v").agg(*(stats.linear("v", p).alias(f"p{i}") for i, p in enumerate((0.5, 0.95, 0.0, 1.0)))).first()
+    own = stats.percentiles(rows, [], "v", {f"p{i}": p for i, p in enumerate((0.5, 0.95, 0.0, 1.0))}, "linear", 1).first()
     assert list(own) == [250.0, 385.0, 100.0, 400.0]
     assert list(stats.by_rank(rows.withColumn("k", F.lit(1)), ["k"], "v", {"a": 0.5}, nearest=True).first()) == [1, 300.0]
     assert list(stats.by_rank(rows.withColumn("k", F.lit(1)), ["k"], "v", {"a": 0.5}, nearest=False).first()) == [1, 200.0]
-    assert stats.counted(rows.limit(0), [], "v").agg(stats.linear("v", 0.5)).first()[0] is None
+    assert stats.percentiles(rows.limit(0), [], "v", {"a": 0.5}, "linear").count() == 0
 
 
 def test_wilson_and_sums(spark):
