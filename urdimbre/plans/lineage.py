@@ -47,3 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    """Into how many parts the session shuffles; asked for by number, they aren't merged when they are small."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan before costly work on each: dealt to all cores if the files have fewer parts than that, else left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from urdimbre.functions import stats
 from urdimbre.functions import text as tx
 from urdimbre.operators import analysis, chunking, corpus, dedup, retrieval, sequences, turnlog
-from urdimbre.plans.lineage import cut, new_folder, table
+from urdimbre.plans.lineage import cut, new_folder, spread, table
 from urdimbre.sources import jsonl
 from urdimbre.streaming import logs
 
@@ -19,6 +19,11 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
+def documents(spark, folder: str, *columns: str) -> DataFrame:
+    """Columns of the documents, for work on their texts."""
+    return spread(table(spark, folder, "documents").select(*columns))
+
+
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
@@ -47,7 +52,7 @@ def words_sql(c: str) -> str:
   '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '([\p{L}\p{N}_])[-\x{ad}]\n([\p{L}\p{N}_])', '\1\2', 'g'), '[ \t\x{a0}\x{2007}\x{202f}]+', ' ', 'g'), '\n{2,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) as texto
 from documents""")
 def doc_normalize(spark, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", tx.normalized(F.col("text")).alias("texto"))
+    return documents(spark, folder, "doc_id", "text").select("doc_id", tx.normalized(F.col("text")).alias("texto"))
 
 
 @query("select doc_id, sha256(text) as huella from documents")
@@ -58,7 +63,7 @@ def doc_hash(spark, folder: str) -> DataFrame:
 @query(f"select doc_id, list_aggregate({words_sql('text')}, 'string_agg', ' ') as palabras, len({words_sql('text')}) as n from documents")
 def canonical_words(spark, folder: str) -> DataFrame:
     words = tx.canonical_words(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", F.when(F.size(words) > 0, F.array_join(words, " ")).alias("palabras"), F.size(words).alias("n"))
+    return documents(spark, folder, "doc_id", "text").select("doc_id", F.when(F.size(words) > 0, F.array_join(words, " ")).alias("palabras"), F.size(words).alias("n"))
 
 
 FUNCTION_SQL = f"""select doc_id, lang, len(list_filter(w, lambda x: x in ({quoted_list(tx.SPANISH)}))) as es, len(list_filter(w, lambda x: x in ({quoted_list(tx.ENGLISH)}))) as en
@@ -69,7 +74,7 @@ GUESS_SQL = "case when es > en then 'es' when en > es then 'en' else 'indetermin
 @query(f"select doc_id, es, en, {GUESS_SQL} as idioma from ({FUNCTION_SQL})")
 def lang_detect(spark, folder: str) -> DataFrame:
     spanish, english = tx.function_words(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", spanish.alias("es"), english.alias("en"), tx.guessed_language(F.col("text")).alias("idioma"))
+    return documents(spark, folder, "doc_id", "text").select("doc_id", spanish.alias("es"), english.alias("en"), tx.guessed_language(F.col("text")).alias("idioma"))
 
 
 CODES_SQL = "(select lower(trim(etiqueta)) as e, min(lower(codigo)) as c from etiquetas_idioma where etiqueta is not null and codigo is not null group by 1 having count(distinct lower(codigo)) = 1)"
@@ -78,7 +83,7 @@ CODED_SQL = f"(select c as lang, es, en from ({FUNCTION_SQL}) f left join {CODES
 
 def _told(spark, folder: str) -> DataFrame:
     """Language that the label of each document names, and the one its function words tell."""
-    told = table(spark, folder, "documents").select("lang", tx.guessed_language(F.col("text")).alias("idioma"))
+    told = documents(spark, folder, "lang", "text").select("lang", tx.guessed_language(F.col("text")).alias("idioma"))
     return analysis.coded(told, "lang", table(spark, folder, "etiquetas_idioma"))
 
 
@@ -92,7 +97,7 @@ MARKED = r"""string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.
 
 @query(f"""select formato, count(*) as oraciones, max(length(s)) as mayor from (select formato, unnest(list_filter({MARKED}, lambda s: regexp_matches(s, '[^\\s\\x{{a0}}]'))) as s from documents) group by formato""")
 def sentence_stats(spark, folder: str) -> DataFrame:
-    pieces = table(spark, folder, "documents").select("formato", F.explode(tx.sentence_pieces(F.col("text"))).alias("s"))
+    pieces = documents(spark, folder, "formato", "text").select("formato", F.explode(tx.sentence_pieces(F.col("text"))).alias("s"))
     return pieces.groupBy("formato").agg(F.count("*").alias("oraciones"), F.max(F.length("s")).alias("mayor"))
 
 
@@ -144,7 +149,7 @@ select a.k as a, b.k as b, count(*) / (a.n + b.n - count(*)) as jaccard from e a
 @query(PAIRS_SQL)
 def dup_pairs(spark, folder: str) -> DataFrame:
     """Similar pairs of class representatives; ``dup_exact`` has the membership."""
-    return dedup.near_duplicates(table(spark, folder, "documents"), "doc_id", "text")[0]
+    return dedup.near_duplicates(documents(spark, folder, "doc_id", "text"), "doc_id", "text")[0]
 
 
 #: In order of the later document: a pair drops it unless its earlier one is dropped.
@@ -155,12 +160,12 @@ KEEP_SQL = f"""with pares as ({PAIRS_SQL}), fuera as (select list_reduce(list_pr
 
 @query(KEEP_SQL)
 def dup_keep(spark, folder: str) -> DataFrame:
-    return dedup.kept_first(table(spark, folder, "documents").where("text is not null"), "doc_id", "text")
+    return dedup.kept_first(documents(spark, folder, "doc_id", "text").where("text is not null"), "doc_id", "text")
 
 
 @query()
 def chunks(spark, folder: str) -> DataFrame:
-    return chunking.chunks(table(spark, folder, "paginas").withColumnRenamed("documento_id", "clave"))
+    return chunking.chunks(spread(table(spark, folder, "paginas").select(F.col("documento_id").alias("clave"), "numero", "texto")))
 
 
 @query("""select documento_id, round(avg(length(trim(coalesce(texto, ''), ' ' || chr(10) || chr(9) || chr(13)))), 4) as media, avg(length(trim(coalesce(texto, ''), ' ' || chr(10) || chr(9) || chr(13)))) >= 40 as capa
@@ -196,7 +201,7 @@ def deleted_counts(spark, folder: str) -> DataFrame:
   select c as idioma, count(*) as ventanas, sum(n)::bigint as caracteres, sum(palabras)::bigint as palabras, round(min(n / palabras) filter (palabras > 0), 6) as minimo from c x join documents d using (doc_id) left join {CODES_SQL} k on lower(trim(d.lang)) = k.e group by all""".replace("select c as idioma", "select k.c as idioma"))
 def window_ratio(spark, folder: str) -> DataFrame:
     """Windows of 1,200 characters of the documents by language: how many, their characters, and the fewest characters to a word."""
-    docs = analysis.coded(table(spark, folder, "documents").select("lang", "text"), "lang", table(spark, folder, "etiquetas_idioma"))
+    docs = analysis.coded(documents(spark, folder, "lang", "text"), "lang", table(spark, folder, "etiquetas_idioma"))
     each = docs.select(F.col("lang").alias("idioma"), F.explode(tx.windows(F.col("text"))).alias("w")).select("idioma", F.length("w").alias("n"), F.size(tx.canonical_words(F.col("w"))).alias("palabras"))
     return each.groupBy("idioma").agg(F.count("*").alias("ventanas"), F.sum("n").alias("caracteres"), F.sum("palabras").cast("bigint").alias("palabras"), F.round(F.min(F.try_divide("n", "palabras")), 6).alias("minimo"))
 
@@ -264,7 +269,7 @@ def _labelled(spark, folder: str) -> DataFrame:
 
 
 def _texts(spark, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"))
+    return documents(spark, folder, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("text").alias("texto"))
 
 
 def _fused(spark, folder: str) -> DataFrame:
