@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from urdimbre.functions import stats
 from urdimbre.functions import text as tx
 from urdimbre.operators import analysis, chunking, corpus, dedup, retrieval, sequences, turnlog
+from urdimbre.plans.lineage import spread
 
 
 def text_of(*parts):
@@ -35,6 +36,19 @@ def test_near_duplicates_by_brute_force(spark):
     assert {r.k: r.clase for r in members.collect()}[63] == 0 and members.count() == 63
 
 
+def test_short_texts_have_no_shingles(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "uno dos tres cuatro"), (4, "uno dos tres cuatro cinco"), (5, "a b c d e a b c d e a")], "k int, t string")
+    assert {r.k: r.n for r in dedup.shingles(docs, "k", "t").collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 5}
+    assert {r.n for r in dedup.shingles(docs, "k", "t", shortest=20).collect()} == {0}
+
+
+def test_spread_keeps_rows(spark):
+    few, many = (spark.range(0, 50, 1, n) for n in (1, 16))
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(many).rdd.getNumPartitions() == 16
+    assert sorted(r.id for r in spread(few).collect()) == list(range(50))
+
+
 def test_kept_first_chain(spark):
     a, b, c = text_of((0, 100)), text_of((8, 108)), text_of((16, 116))
     docs = spark.createDataFrame([(1, a), (2, b), (3, c), (4, b), (5, a), (6, "otro")], "k int, t string")

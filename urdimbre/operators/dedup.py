@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urdimbre.functions.text import canonical_words
-from urdimbre.plans.lineage import cut
+from urdimbre.plans.lineage import cut, shuffle_parts
 
 WORDS, SIMILAR = 5, 0.8
 
@@ -25,9 +25,10 @@ def membership(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingles(docs: DataFrame, key: str, text: str, words: int = WORDS, shortest: int = 0) -> DataFrame:
-    """``key, n, fichas``: the distinct hashes of ``words`` words in a row; texts with fewer words than that, or than ``shortest``, have none and are left out."""
-    own = docs.select(F.col(key), canonical_words(F.col(text)).alias("w")).where(F.size("w") >= max(words, shortest))
-    each = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    """``key, n, fichas``: the distinct hashes of ``words`` words in a row; texts with fewer words than that, or than ``shortest``, have none (n is 0)."""
+    own = docs.select(F.col(key), F.transform(canonical_words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
+    starts = F.when(F.size("w") >= max(words, shortest), F.sequence(F.lit(0), F.size("w") - words)).otherwise(F.array().cast("array<int>"))
+    each = F.transform(starts, lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(words))))
     return own.select(key, F.array_distinct(each).alias("fichas")).withColumn("n", F.size("fichas"))
 
 
@@ -59,7 +60,10 @@ def near_duplicates(docs: DataFrame, key: str, text: str, words: int = WORDS, si
     """Pairs ``a, b, jaccard`` of class representatives (distinct texts), and the ``membership`` of every document."""
     members = cut(membership(docs, key, text))
     first = members.where(F.col(key) == F.col("clase")).select(key).distinct()
-    return similar_pairs(shingles(docs.select(key, text).join(first, key, "left_semi").dropDuplicates([key]), key, text, words, shortest), key, similar), members
+    own = docs.select(key, text).join(first, key, "left_semi")
+    # The size of texts as they are shuffled says little about the work on them, so the parts stay as many as they are.
+    own = own.repartition(shuffle_parts(docs.sparkSession), key).dropDuplicates([key])
+    return similar_pairs(shingles(own, key, text, words, shortest), key, similar), members
 
 
 def kept_first(docs: DataFrame, key: str, text: str, words: int = WORDS, similar: float = SIMILAR, shortest: int = 0) -> DataFrame:
