@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from urdimbre.functions.text import normalized
-from urdimbre.plans.lineage import cut
+from urdimbre.plans.lineage import cut, shuffle_parts
 
 LENGTH, OVERLAP, SHORTEST = 600, 150, 80
 #: Pages of a document that a task holds at once.
@@ -119,10 +119,11 @@ def chunks(pages: DataFrame, length: int = LENGTH, overlap: int = OVERLAP, short
     if length <= 0 or not 0 <= overlap < length:
         raise ValueError("the length must be positive and the overlap from 0 to below it")
     own = pages.select("clave", F.col("numero").cast("int").alias("numero"), normalized(F.col("texto")).alias("texto")).where("texto <> '' and clave is not null and numero is not null")
-    held = own.groupBy("clave", F.floor(F.col("numero") / stretch).alias("parte")).agg(F.array_sort(F.collect_set(F.struct("numero", "texto"))).alias("ps"))
+    own = own.withColumn("parte", F.floor(F.col("numero") / stretch)).repartition(shuffle_parts(pages.sparkSession), "clave", "parte")
+    held = cut(own.groupBy("clave", "parte").agg(F.array_sort(F.collect_set(F.struct("numero", "texto"))).alias("ps")))
     along = Window.partitionBy("clave").orderBy("parte")
-    placed = held.select("clave", F.row_number().over(along).alias("tramo"), F.lead("parte").over(along).isNull().alias("ultimo"), F.transform("ps", lambda p: F.struct(p["texto"].alias("texto"), p["numero"].alias("numero"))).alias("paginas"))
-    placed = cut(placed)
+    order = held.select("clave", "parte").withColumn("tramo", F.row_number().over(along)).withColumn("ultimo", F.lead("parte").over(along).isNull())
+    placed = held.join(order, ["clave", "parte"]).select("clave", "tramo", "ultimo", F.transform("ps", lambda p: F.struct(p["texto"].alias("texto"), p["numero"].alias("numero"))).alias("paginas"))
     kinds = f"clave {pages.schema['clave'].dataType.simpleString()}, tramo int, trozos array<{UNIT}>, deja {OPEN}"
     pack = _pack(length, overlap, shortest)
     told = cut(placed.withColumn("antes", F.lit(None).cast(OPEN)).mapInArrow(pack, kinds))
