@@ -43,8 +43,10 @@ BLANK_LINE = regex.compile(r"\n[^\S\n]*\n\s*|\f")
 #: Evidence: where words stand in the document and, counted, in the corpus.
 DOT_WITHIN = regex.compile(r"\.(?=[,;:]|[^\S\n]+\p{Ll}(?!\)))")
 MARKED = regex.compile(r"[.!?]\s+[¿¡«“„\"(]*(\p{Lu}[\p{L}\p{M}]*)")
-BEGINS = regex.compile(r"(?:\A|\n\s*\n\s*)[¿¡«“„\"(]*(\p{Lu}[\p{L}\p{M}]*)")
-AMONG = regex.compile(r"\p{Ll},?\s(\p{Lu}[\p{L}\p{M}]*)")
+OPENER = r"[¿¡«“„\"(]*(\p{Lu}[\p{L}\p{M}]*)"
+FIRST, BEGINS = regex.compile(OPENER), regex.compile(r"\n\s*\n\s*" + OPENER)
+#: A capital after a small letter; of capitals in a row the second is no evidence.
+AMONG = regex.compile(r"\s(?<=\p{Ll},?\s)(\p{Lu}[\p{L}\p{M}]*)(?:,?\s\p{Lu}[\p{L}\p{M}]*)?")
 EDGES = regex.compile(r"[^\p{L}\p{M}.]+")
 #: A full stop before a capital, and what stands before a place in the text.
 BEFORE_CAPITAL = regex.compile(r"\.[»”“\"')\]]*\s+(\p{Lu}[\p{L}\p{M}]*\.?)")
@@ -65,7 +67,8 @@ def dotted(text: str) -> list[str]:
 
 def opens(text: str) -> list[str]:
     """Words that surely open a sentence: at the start, after a blank line, and after a mark that closes a long word or isn't a full stop."""
-    out = BEGINS.findall(text)
+    first = FIRST.match(text)
+    out = [first.group(1), *BEGINS.findall(text, first.end())] if first else BEGINS.findall(text)
     for m in MARKED.finditer(text):
         i = m.start()
         if text[i] != "." and i and (text[i - 1].isalnum() or MARK.match(text, i - 1)) or i >= 6 and LETTERS.fullmatch(text, i - 6, i):
@@ -174,21 +177,29 @@ class Document:
         dotted_ = self.seen("dotted", word)
         return dotted_ > 0 and 2 * dotted_ > self.seen("bare", word)
 
-    def spans(self) -> Iterator[tuple[int, int]]:
+    def spans(self) -> list[tuple[int, int]]:
         parts = LINE if self.form in ("lista", "transcripcion") else BLANK_LINE
+        out: list[tuple[int, int]] = []
         at = 0
-        for end in [*((m.start(), m.end()) for m in parts.finditer(self.text)), (len(self.text),) * 2]:
-            yield from self.unit(at, end[0])
-            at = end[1]
-
-    def unit(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        for m in parts.finditer(self.text):
+            to, after = m.span()
+            self.unit(at, to, out)
+            at = after
+        self.unit(at, len(self.text), out)
+        return out
+
+    def unit(self, start: int, end: int, out: list[tuple[int, int]]) -> None:
+        """Adds the sentences of a unit to ``out``."""
         text = self.text
+        if not self.thai and not TERMINATOR.search(text, start, end):
+            self.trimmed(start, end, out)
+            return
         label = LABEL.match(text, start, end).end()
         ends = [(m.start(), m.end(), False) for m in TERMINATOR.finditer(text, label, end)]
         if self.thai:
             ends = sorted(ends + [(m.start(), m.end(), True) for m in THAI_GAP.finditer(text, label, end)])
         if not ends:
-            yield from self.trimmed(start, end)
+            self.trimmed(start, end, out)
             return
         opened, closed = self.pairs(start, end)
         begins = set(opened)
@@ -211,14 +222,18 @@ class Document:
                     to += 1
                 if to < end and SOLID.search(text, to, end) and not self.ends(text, a, b, to, end, max(at, label), around):
                     continue
-            yield from self.trimmed(at, to)
+            self.trimmed(at, to, out)
             at = to
-        yield from self.trimmed(at, end)
+        self.trimmed(at, end, out)
 
-    def trimmed(self, start: int, end: int) -> Iterator[tuple[int, int]]:
-        own = self.text[start:end]
-        if own.strip():
-            yield start + len(own) - len(own.lstrip()), start + len(own.rstrip())
+    def trimmed(self, start: int, end: int, out: list[tuple[int, int]]) -> None:
+        text = self.text
+        while start < end and text[start].isspace():
+            start += 1
+        while start < end and text[end - 1].isspace():
+            end -= 1
+        if start < end:
+            out.append((start, end))
 
     def pairs(self, start: int, end: int) -> tuple[list[int], list[int]]:
         """Opening and closing places of the outermost closed quotations and brackets of a unit, in order."""
@@ -255,14 +270,13 @@ class Document:
         opened, first = text[at] is not following, text[at] if at < end else ""
         if following in ",;:)]}»”’—–-/…%" or first.islower():
             return False
-        letter = next((text[i] for i in range(a - 1, start - 1, -1) if text[i].isalpha()), "")
         if around:
             introduced = bool(SPEAKS.search(text, start, around[0])) if around[0] > start else False
             return introduced if first.isalpha() and not first.isupper() else True
         if mark in FULL:
             return True
         if mark in ";\u037e":
-            return mark == "\u037e" or "Greek" in _script(letter)
+            return mark == "\u037e" or _script(self.letter(start, a)) == "Greek"
         if text[a:b].count(".") > 1 or "…" in text[a:b]:
             return first.isupper()
         if mark in "!?":
@@ -270,7 +284,7 @@ class Document:
         if not gap and to == b:
             before = text[a - 2 : a]
             return first.isupper() and not opened and (before.islower() and before.isalpha() or before[-1:].isdigit() or before[-1:] in "%)")
-        if _script(letter) in ("Devanagari", "Thai"):
+        if _script(self.letter(start, a)) in ("Devanagari", "Thai"):
             return False
         i = a
         while i > start and (text[i - 1] in ".·" or text[i - 1].isalnum() or MARK.match(text, i - 1)):
@@ -286,6 +300,13 @@ class Document:
         held = not figure and self.shortened(word) or self.together and (f"{key} {name}" in self.together or f"{key} {name}." in self.together)
         return not held or self.opening(name)
 
+    def letter(self, start: int, end: int) -> str:
+        """Last letter of a stretch; empty if it has none."""
+        i = end - 1
+        while i >= start and not self.text[i].isalpha():
+            i -= 1
+        return self.text[i] if i >= start else ""
+
     def opening(self, name: str) -> bool:
         """Whether a word opens a sentence elsewhere in the document and isn't a proper name of it."""
         n = self.seen("opens", name)
