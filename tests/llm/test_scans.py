@@ -9,7 +9,8 @@ from urdimbre.llm.automaton import Trie, scripts
 
 @pytest.mark.parametrize(
     ("line", "number"),
-    [("9", 9), ("  [12] ", 12), ("- 3 -", 3), ("Página 4 de 9", 4), ("Page 5 of 5", 5), ("Seite 1 von 4", 1), ("· 7 ·", 7), ("p. l8", 18), ("iii", 3), ("[l]", 1), ("15 / 16", 15), ("42.", None), ("39 %", None), ("38,9", None), ("semana 9.", None), ("Registro diario", None), ("", None)],
+    [("9", 9), ("  [12] ", 12), ("- 3 -", 3), ("Página 4 de 9", 4), ("Page 5 of 5", 5), ("Seite 1 von 4", 1), ("· 7 ·", 7), ("p. l8", 18), ("iii", 3), ("[l]", 1), ("15 / 16", 15), ("42.", None), ("39 %", None), ("38,9", None), ("semana 9.", None), ("Registro diario", None), ("", None),
+     ("folio 000123", 123), ("CXII", 112), ("civic", None), ("- 1234567 -", 1234567), ("— " * 40 + "7", 7), ("0" * 5000, 0), ("9" * 5000, None)],
 )
 def test_page_numbers(line, number):
     found = S.page_number(line)
@@ -21,6 +22,7 @@ def test_title_keys_survive_misreading():
     assert S.title_key("Fundación Ribera C1ara (ed. 2)") == S.title_key("Fundaclón Ribera Clara (ed. 2)")
     for line in ("una herida y el", "Termina aquí.", "12", "", "«Me duele", "abc-"):
         assert S.title_key(line) is None
+    assert S.title_key("Guía de cuidados " + "muy " * 60 + "larga") == S.title_key("Guia de cu1dados " + "muy " * 60 + "larga")
 
 
 def test_automata_find_all_within_two_edits():

@@ -82,7 +82,7 @@ PAGE_SHAPES, OF_SHAPES = {shape(w) for w in PAGE_WORDS}, {shape(w) for w in OF_W
 def title_key(line: str) -> str | None:
     """Key of a line that looks like a title: its words by shape, numbers and their marks left out."""
     line = line.strip()
-    if not 4 <= len(line) <= 110 or line[-1] in NO_END or line[0] in NO_START or line[0].islower() and line[0] != "l" and not line[1:6].isupper() or "%" in line:
+    if not line or line[-1] in NO_END or line[0] in NO_START or line[0].islower() and line[0] != "l" and not line[1:6].isupper() or "%" in line:
         return None
     words = [w for w in TOKEN.findall(line) if w.strip(NUMERALS)]
     if not words or sum(map(len, words)) < 4 or not (words[0][0].isupper() or words[0][0] in "l105269@" or words[0][1:].isupper()):
@@ -90,10 +90,17 @@ def title_key(line: str) -> str | None:
     return " ".join(map(shape, words))
 
 
+#: Roman numerals; the small ones are taken in any order, as scanners misread them.
+NUMERAL = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+ROMAN = regex.compile(r"[ivxl]+|m*(?:c[dm]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})")
+#: Digits that a number surely holds; numbers above the second are page numbers only where they keep their distance to the page.
+BIGINT, FEW = 18, 99_999
+
+
 def page_number(line: str) -> tuple[str, int] | None:
     """Style and value of a line that holds only a page number, with or without words and marks around it."""
     own = line.strip()
-    if not own or len(own) > 24 or own[-1] in ".:;!?\"" or regex.search(r"[%,°:\"?!¿¡«»]", own):
+    if not own or own[-1] in ".:;!?\"" or regex.search(r"[%,°:\"?!¿¡«»]", own):
         return None
     words = TOKEN.findall(own)
     named = len(words) > 1 and shape(words[0]) in PAGE_SHAPES
@@ -101,19 +108,19 @@ def page_number(line: str) -> tuple[str, int] | None:
     numbers = [w for w in words if shape(w) not in OF_SHAPES]
     if not 1 <= len(numbers) <= 2 or len(words) > 3:
         return None
-    if len(numbers) == 1 and regex.fullmatch(r"[ivxl]+|[IVXL]+", numbers[0]) and own == numbers[0] and set(own) != {"l"}:
+    if own == numbers[0] and (own.islower() or own.isupper()) and ROMAN.fullmatch(own.lower()) and set(own) != {"l"}:
         value, before = 0, 0
-        for c in reversed(numbers[0].lower()):
-            n = {"i": 1, "v": 5, "x": 10, "l": 50}[c]
+        for c in reversed(own.lower()):
+            n = NUMERAL[c]
             value += n if n >= before else -n
             before = max(before, n)
         return "roman", value
     values = [w.translate(DIGITS) for w in numbers]
-    if not all(v.isascii() and v.isdigit() and len(v) <= 5 for v in values) or own == numbers[0] and not any(c.isdigit() or c == "l" for c in own):
+    if not all(v.isascii() and v.isdigit() for v in values) or len(values[0].lstrip("0")) > BIGINT or own == numbers[0] and not any(c.isdigit() or c == "l" for c in own):
         return None
     if not named and not any(c.isdigit() for c in own) and not regex.fullmatch(r"\W*[lIi|oO]+\W*", own):
         return None
-    return regex.sub(r"\s+", " ", regex.sub(r"[^\W_]+|@", "9", own)), int(values[0])
+    return regex.sub(r"\s+", " ", regex.sub(r"[^\W_]+|@", "9", own)), int(values[0].lstrip("0") or "0")
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +159,7 @@ def furniture(pages: DataFrame) -> DataFrame:
     known = numbers.join(kept.withColumn("cerca", F.sum("n").over(near)), ["documento_id", "estilo", "paso"])
     bare = F.col("estilo").isin("9", "roman")
     first = (F.col("paso") == 0) | (F.col("estilo") == "roman") & F.col("paso").between(-3, 0)
-    folios = known.where(~bare | (F.col("cerca") >= 2) | first).select("documento_id", "numero", "linea", F.lit("folio").alias("tipo"))
+    folios = known.where(~bare & (F.col("valor") <= FEW) | (F.col("cerca") >= 2) | first).select("documento_id", "numero", "linea", F.lit("folio").alias("tipo"))
     return heads.union(folios).distinct()
 
 
