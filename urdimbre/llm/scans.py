@@ -539,7 +539,7 @@ GLUED = "\x02"
 
 
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs of each text after its fixes; of each whether it begins within one and whether it is left open."""
+    """Paragraphs of each text after its fixes; of each whether it begins one, its place (0 is a rest of what came before), and whether it is left open."""
     for b in batches:
         out: list[tuple] = []
         for table_, key, number, text, fixes in zip(*(b.column(c).to_pylist() for c in ("tabla", "clave", "numero", "texto", "arreglos"))):
@@ -574,11 +574,14 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     line = GLUED + line
                 held[-1].append(line)
                 fresh = title or line[-1] in ".!?:" and len(line) < 0.8 * width
+            begun = 0
             for k, p in enumerate(held):
                 own = re.sub(r"(?<=.) \x02", "", re.sub(r"\s+", " ", " ".join(p)))
-                out.append((table_, key, number, k, own, k > 0 or not (own[0].islower() or own[0] == GLUED), k == len(held) - 1 and own[-1] not in ".!?:\""))
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=["tabla", "clave", "numero", "k", "texto", "empieza", "abierto"])
+                begins = k > 0 or not (own[0].islower() or own[0] == GLUED)
+                begun += begins
+                out.append((table_, key, number, k, own, begins, begun, k == len(held) - 1 and own[-1] not in ".!?:\""))
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=["tabla", "clave", "numero", "k", "texto", "empieza", "orden", "abierto"])
 
 
 def repaired(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) -> DataFrame:
@@ -612,15 +615,19 @@ def repaired(pages: DataFrame, chunks: DataFrame, clean: DataFrame | None) -> Da
     rest = of_these(cuts, alone, "left_anti")
     fixed = moved(rest, page.drop("fuera"), wrong).groupBy("id").agg(F.collect_list(F.struct("linea", "mal.fuera", "mal.cambios", "mal.entera", "mal.quita")).alias("arreglos"))
     of_chunks = rest.join(fixed, "id", "left").select(F.lit("trozos").alias("tabla"), F.col("id").alias("clave"), F.lit(0).alias("numero"), "texto", F.coalesce("arreglos", none).alias("arreglos"))
-    kinds = "tabla string, clave string, numero int, k int, texto string, empieza boolean, abierto boolean"
-    told = cut(of_pages.union(of_chunks).mapInArrow(_paragraphs, kinds))
+    kinds = "tabla string, clave string, numero int, k int, texto string, empieza boolean, orden bigint, abierto boolean"
+    unglued = lambda c: F.regexp_replace(c, f" ?{GLUED}", "").alias("texto")
+    # A chunk is whole by itself; only paragraphs of pages are joined across them.
+    chunked = of_pages.where("tabla = 'trozos'").union(of_chunks).mapInArrow(_paragraphs, kinds).select("tabla", "clave", "numero", F.col("orden").alias("parrafo"), unglued(F.col("texto")))
+    told = cut(of_pages.where("tabla = 'paginas'").mapInArrow(_paragraphs, kinds).drop("orden"))
     # A page's first paragraph goes on if it begins small or the page before was left open.
     after = following(seams_pages(page)).select(F.col("documento_id").alias("clave"), "numero", "despues")
-    left = told.where("abierto and tabla = 'paginas'").join(after, ["clave", "numero"]).select("clave", F.col("despues").alias("numero"), F.lit(0).alias("k"), F.lit("paginas").alias("tabla"), F.lit(True).alias("sigue"))
+    left = told.where("abierto").join(after, ["clave", "numero"]).select("clave", F.col("despues").alias("numero"), F.lit(0).alias("k"), F.lit("paginas").alias("tabla"), F.lit(True).alias("sigue"))
     starts = told.join(left, ["tabla", "clave", "numero", "k"], "left").withColumn("nuevo", (F.col("empieza") & F.col("sigue").isNull()).cast("int"))
     ordered = running_sum(starts, ["tabla", "clave"], "numero", "nuevo", "parrafo", ties=["k"])
     joined = ordered.groupBy("tabla", "clave", "parrafo").agg(F.array_sort(F.collect_list(F.struct("numero", "k", "texto"))).alias("ps"))
-    return joined.select("tabla", "clave", F.get("ps", F.lit(0))["numero"].alias("numero"), "parrafo", F.regexp_replace(F.array_join(F.transform("ps", lambda p: p["texto"]), " "), f" ?{GLUED}", "").alias("texto"))
+    paged = joined.select("tabla", "clave", F.get("ps", F.lit(0))["numero"].alias("numero"), "parrafo", unglued(F.array_join(F.transform("ps", lambda p: p["texto"]), " ")))
+    return paged.unionByName(chunked)
 
 
 def p2_found(spark, folder: str) -> DataFrame:
