@@ -105,6 +105,20 @@ def test_words_beside_tell_the_line_of_a_misreading(spark):
     assert sorted((r.linea, r.tipo) for r in S.noisy_lines(pages, chunks, clean).collect()) == [(0, "guion"), (1, "caracter")]
 
 
+def test_words_meet_the_vocabulary_in_every_task(spark):
+    """Blocks of words and slices of the vocabulary find each other when they lie in several tasks, as large ones do."""
+    known = [(f"{a}{b}{c}paciente", 100) for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
+    unknown = [(w.replace("ente", x), 1) for w, _ in known for x in ("eute", "cnte", "enfe", "entc", "emte", "eente", "ente5", "ene", "nte", "entte")]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        got = {(r.palabra, r.correcta) for r in S.retrieved(spark.createDataFrame(unknown, "palabra string, n bigint"), spark.createDataFrame(known, "palabra string, n bigint")).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert len({w for w, _ in got}) == len(unknown) == 1250
+    assert {(w, v) for (w, _), v in zip(unknown, [k for k, _ in known for _ in range(10)])} <= got
+
+
 def test_only_systematic_edits_are_misreadings(spark):
     """An edit that many words show is learnt; a rare word that only chance brings near another stays."""
     right = [f"{a}n{b}" for a in ("casa", "mes", "lla", "ro", "tri", "go") for b in ("te", "do", "ra", "li")]

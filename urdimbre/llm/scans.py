@@ -232,8 +232,10 @@ def retrieved(unknown: DataFrame, known: DataFrame) -> DataFrame:
     slices = 1 + known.count() // SLICE
     many = unknown.count()
     blocks = max(1 + many // WALKED, min(unknown.sparkSession.sparkContext.defaultParallelism, 1 + many // 500))
-    each = unknown.select("palabra", "n", F.pmod(F.xxhash64("palabra"), F.lit(blocks)).alias("bloque"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("tramo"))
-    words = known.select("palabra", "n", F.pmod(F.xxhash64("palabra"), F.lit(slices)).alias("tramo"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bloque"))
+    # Both sides need keys of one type: equal numbers of two types are hashed to different tasks and don't meet.
+    own = lambda n: F.pmod(F.xxhash64("palabra"), F.lit(n)).cast("int")
+    each = unknown.select("palabra", "n", own(blocks).alias("bloque"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("tramo"))
+    words = known.select("palabra", "n", own(slices).alias("tramo"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bloque"))
     return each.groupBy("bloque", "tramo").cogroup(words.groupBy("bloque", "tramo")).applyInArrow(_retrieve, "palabra string, correcta string, veces bigint, ediciones int, guiones array<array<string>>")
 
 
