@@ -81,6 +81,26 @@ def test_lines_left_aside(spark, models):
     assert [r.idioma for r in G.segments(given, models).collect()] == ["es"]
 
 
+def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
+    """The word of any one row of many is known to the models, and every piece counts for rejection and confidence."""
+    said = [f"palabra{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}q" for i in range(900)]
+    told = []
+    monkeypatch.setattr(G, "calibrate", lambda models, held, own=G.calibrate: (told.append(held), own(models, held))[1])
+    models = G.train(spark.createDataFrame([(i, f"la casa de {w} y otras cosas", "es") for i, w in enumerate(said)] + [(1000 + i, "the house and other things", "en") for i in range(20)], "clave int, texto string, idioma string"))
+    grams = G.text_hash([w[-4:] + " " for w in said], G.ORDER)
+    assert models.languages == ["en", "es"] and G.find(models.grams[G.ORDER - 1], grams)[1].all()
+    assert told[0].query("clase == 2")["n"].sum() == 920
+
+
+def test_quantiles_of_counted_values():
+    rng = np.random.default_rng(3)
+    for many in (1, 2, 5, 1000):
+        values = rng.integers(0, 50, many)
+        each, n = np.unique(values, return_counts=True)
+        for q in (0, 0.05, 0.5, 0.998, 1):
+            assert G.quantile(each[::-1], n[::-1], q) == pytest.approx(np.quantile(values, q))
+
+
 def test_no_labels(spark):
     empty = G.train(spark.createDataFrame([(1, None, "es"), (2, "hola", None)], "clave int, texto string, idioma string"))
     assert empty.languages == [] and G.segments(rows(spark, ["hola"]), empty).count() == 0

@@ -8,13 +8,14 @@ cross-entropy, a switch of language between pieces costs ``SWITCH`` nats (Viterb
 length-normalised cross-entropy is above what held-out rows show is rejected (``und``). Confidence is the
 calibrated probability of the choice given its lead over the second language.
 
-Training uses at most about ``SAMPLE`` rows per language, chosen by hash (a documented bound of the classifier);
-everything else reads all rows. Labels may be wrong, so a first round of models drops the pieces that contradict
-their label before the second.
+Training and calibration use every labelled row. Labels may be wrong, so a first round of models drops the pieces
+that contradict their label before the second. For rejection and confidence each half of the rows is scored by
+models of the other half. The driver gets counts only: of the distinct n-grams, and of scores by thousandths of a nat.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -27,11 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urdimbre.llm import scans
-from urdimbre.plans.lineage import cut, table
+from urdimbre.plans.lineage import cut, spread, table
 
 ORDER = 5
-#: Labelled rows of each language that models are trained on, about.
-SAMPLE = 400
 SWITCH = 6.0
 #: Letters that make a language present, and share of held-out pieces that rejection may lose at most.
 PRESENT, LOST = 40, 0.002
@@ -39,6 +38,10 @@ UNKNOWN = "und"
 #: Letters below which a piece isn't rejected by itself, and bounds of the evidence that confidence goes by, in nats.
 SHORT = 20
 EVIDENCE = np.array([1, 2, 4, 8, 16, 32, 64, 128.0])
+#: Labelled pieces that a language needs for a bound on rejection (as many as it takes for 20 of them in a held-out fifth).
+LEAST = 100
+#: Steps in a nat by which entropies are counted for rejection, and distinct words that a task counts before it passes them on.
+STEPS, HELD = 1000, 300_000
 PIECE = re.compile(r"(?<=[.!?…;:।؟。！？])\s+|(?<=[。！？।])|\n[^\S\n]*\n\s*|\n(?=[«„“\"(¿¡\[]*[A-ZÀ-ÞΑ-ΩА-Я])")
 WORD = re.compile(r"[^\W\d_]+")
 #: Words, and what parts pieces (as ``PIECE`` does).
@@ -182,13 +185,14 @@ class Pieces:
         codes, distinct = pd.factorize(np.array(tokens, object))
         word = np.fromiter((w[0].isalpha() for w in distinct), bool, len(distinct))
         lower, plain = pd.factorize(np.array([w.lower() for w in distinct], object))
+        self.words = list(plain)
         score, size = models.score(list(plain)), np.fromiter((len(w) for w in plain), np.int64, len(plain))
         # Words of one text with no break between them are a piece.
         is_word = word[codes]
-        own = lower[codes[is_word]]
+        self.own = own = lower[codes[is_word]]
         text, part = np.repeat(np.arange(len(many)), many)[is_word], np.cumsum(~is_word)[is_word]
         starts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (part[1:] != part[:-1]))) if len(own) else own
-        self.text = text[starts]
+        self.starts, self.text = starts, text[starts]
         self.score = np.add.reduceat(score[own], starts, axis=0) if len(own) else np.zeros((0, len(models.languages)))
         self.letters = np.add.reduceat(size[own], starts) if len(own) else own
         self.chars = self.letters + np.diff(np.append(starts, len(own)))
@@ -218,6 +222,11 @@ class Pieces:
         best[(-self.score[np.arange(n), best] / self.chars > bound) & (self.letters >= SHORT)] = -1
         return best
 
+    def jumbled(self, models: Models) -> np.ndarray:
+        """Score of every piece with the letters of each word jumbled, a word the same way everywhere."""
+        mixed = models.score(["".join(random.Random(w).sample(w, len(w))) for w in self.words])
+        return np.add.reduceat(mixed[self.own], self.starts, axis=0) if len(self.own) else self.score
+
     def lead(self) -> np.ndarray:
         """Nats by which the best language leads the second."""
         top = np.sort(self.score, axis=1)
@@ -225,29 +234,37 @@ class Pieces:
 
 
 def _grams(models) -> Callable:
-    """Counts of n-grams by labelled language, of the pieces that the models (if any) give to it."""
+    """Counts of n-grams by labelled language and half of the rows, of the pieces that the models (if any) give to it."""
+
+    def told(words: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
+        for (label, half), own in words.items():
+            count: Counter = Counter()
+            for w, n in own.items():
+                padded = f" {w} "
+                for end in range(2, len(padded) + 1):
+                    count[padded[max(0, end - ORDER) : end]] += n
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(count), pa.string()), pa.array([half] * len(count), pa.int32()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["idioma", "mitad", "g", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[tuple[str, int], Counter] = {}
         for b in batches:
-            words: dict[str, Counter] = {}
-            texts, labels = b.column("texto").to_pylist(), b.column("idioma").to_pylist()
+            texts, labels, halves = (b.column(c).to_pylist() for c in ("texto", "idioma", "mitad"))
             if models is None:
-                for text, label in zip(texts, labels):
-                    words.setdefault(label, Counter()).update(WORD.findall(text.lower()))
+                for text, label, half in zip(texts, labels, halves):
+                    words.setdefault((label, half), Counter()).update(WORD.findall(text.lower()))
             else:
                 m = models.value
-                pieces = Pieces(texts, [None] * len(texts), m, strings=True)
-                for k, best, string in zip(pieces.text, pieces.score.argmax(1), pieces.strings):
-                    if m.languages[best] == labels[k]:
-                        words.setdefault(labels[k], Counter()).update(WORD.findall(string.lower()))
-            count: Counter = Counter()
-            for label, own in words.items():
-                for w, n in own.items():
-                    padded = f" {w} "
-                    for end in range(2, len(padded) + 1):
-                        count[label, padded[max(0, end - ORDER) : end]] += n
-            keys = list(count)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(count.values()), pa.int64())], names=["idioma", "g", "n"])
+                pieces = Pieces(texts, [None] * len(texts), m)
+                label = np.array([m.languages.index(x) for x in labels], np.int64)[pieces.text]
+                key = np.where(pieces.score.argmax(1) == label, 2 * label + np.array(halves, np.int64)[pieces.text], -1)
+                of = np.repeat(key, np.diff(np.append(pieces.starts, len(pieces.own))))
+                each, n = np.unique(of[of >= 0] * len(pieces.words) + pieces.own[of >= 0], return_counts=True)
+                for k, w, many in zip(*(x.tolist() for x in (*np.divmod(each, max(len(pieces.words), 1)), n))):
+                    words.setdefault((m.languages[k // 2], k % 2), Counter())[pieces.words[w]] += many
+            if sum(map(len, words.values())) > HELD:
+                yield from told(words)
+                words = {}
+        yield from told(words)
 
     return run
 
@@ -262,49 +279,75 @@ def codes_of(labels: DataFrame) -> DataFrame:
     return own.groupBy("etiqueta").agg(F.min("codigo").alias("codigo"), F.count_distinct("codigo").alias("n")).where("n = 1").drop("n")
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> Models:
-    """Models of the languages of labelled rows ``clave, texto, idioma``; rows without text or label are left out.
-
-    Of each language about ``sample`` rows are used, every fifth of them held out for rejection and confidence.
-    """
+def train(rows: DataFrame) -> Models:
+    """Models of the languages of labelled rows ``clave, texto, idioma``, all of them; rows without text or label are left out."""
     spark = rows.sparkSession
-    rows = rows.where("texto is not null and idioma is not null and trim(texto) <> ''").select("clave", "texto", "idioma")
-    many = rows.groupBy("idioma").agg(F.count("*").alias("n"))
-    share = (F.xxhash64("clave").bitwiseAND(F.lit((1 << 20) - 1)) / float(1 << 20)) * F.col("n")
-    chosen = cut(rows.join(many, "idioma").withColumn("turno", share).where(F.col("turno") < sample).select("texto", "idioma", (F.pmod(F.xxhash64(F.lit(5), "clave"), F.lit(5)) == 0).alias("aparte")))
+    rows = rows.where("texto is not null and idioma is not null and trim(texto) <> ''")
+    rows = spread(rows.select("texto", "idioma", F.pmod(F.xxhash64(F.lit(5), "clave"), F.lit(2)).cast("int").alias("mitad")))
     models = None
     for _ in range(2):
         sent = None if models is None else spark.sparkContext.broadcast(models)
-        counts = chosen.where("not aparte").mapInArrow(_grams(sent), "idioma string, g string, n bigint").groupBy("idioma", "g").agg(F.sum("n").alias("n")).toPandas()
+        grams = rows.mapInArrow(_grams(sent), "idioma string, mitad int, g string, n bigint")
+        counts = grams.groupBy("idioma", "mitad", "g").agg(F.sum("n").alias("n")).toArrow().to_pandas()
         if counts.empty:
             return Models([])
         models = kneser_ney(counts, sorted(counts["idioma"].unique()))
-    calibrate(models, chosen.where("aparte").toPandas())
+    halves = [kneser_ney(own, models.languages) if len(own := counts[counts["mitad"] != k]) else models for k in (0, 1)]
+    calibrate(models, rows.mapInArrow(_held(spark.sparkContext.broadcast(halves)), "clase int, k int, valor bigint, n bigint").groupBy("clase", "k", "valor").agg(F.sum("n").alias("n")).toArrow().to_pandas())
     return models
 
 
+def _held(models) -> Callable:
+    """``clase, k, valor, n``: how pieces do with the models of the other half of the rows.
+
+    0: entropies (in ``STEPS`` of a nat) of pieces whose label is the best language ``k``, 1: those of the same texts jumbled,
+    2: pieces by place of their evidence, of which with ``k`` 1 the label agrees.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, labels, halves = b.column("texto").to_pylist(), b.column("idioma").to_pylist(), b.column("mitad").to_numpy()
+            for half, m in enumerate(models.value):
+                at = np.flatnonzero(halves == half)
+                pieces = Pieces([texts[i] for i in at], [None] * len(at), m)
+                if not len(pieces.text):
+                    continue
+                label = np.array([m.languages.index(labels[i]) for i in at], np.int64)[pieces.text]
+                best, long = pieces.score.argmax(1), pieces.letters >= SHORT
+                good = best == label
+                out = []
+                for clase, score, on in ((0, pieces.score, good & long), (1, pieces.jumbled(m), long)):
+                    step = np.rint(-score.max(1) / pieces.chars * STEPS).astype(np.int64)
+                    out.append((clase, score.argmax(1)[on], step[on]))
+                out.append((2, good.astype(np.int64), np.searchsorted(EVIDENCE, pieces.lead(), side="right")))
+                for clase, k, valor in out:
+                    each, n = np.unique(np.stack([k, valor]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), clase), pa.int32()), pa.array(each[0], pa.int32()), pa.array(each[1], pa.int64()), pa.array(n, pa.int64())], names=["clase", "k", "valor", "n"])
+
+    return run
+
+
+def quantile(values: np.ndarray, n: np.ndarray, q: float) -> float:
+    """The quantile, linear between ranks, of values that occur ``n`` times each."""
+    by = np.argsort(values)
+    upto, place = np.cumsum(n[by]), q * (n.sum() - 1)
+    low, high = (values[by][np.searchsorted(upto, rank, side="right")] for rank in (np.floor(place), np.ceil(place)))
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
 def calibrate(models: Models, held: pd.DataFrame) -> None:
-    """Sets the rejection bound and the confidence by evidence, rising, from held-out rows.
+    """Sets the rejection bound and the confidence by evidence, rising, from the counts of held-out pieces (see ``_held``).
 
     The bound lies above nearly all held-out pieces, and at the entropy that all but a few of the same pieces have
     with the letters of each word jumbled: what looks no more like a language than that is rejected.
     """
-    pieces = Pieces(list(held["texto"]), [None] * len(held), models, strings=True)
-    if not len(pieces.text):
-        return
-    label = np.array([models.languages.index(x) if x in models.languages else -1 for x in held["idioma"]])[pieces.text]
-    best = pieces.score.argmax(1)
-    good = best == label
-    rng = np.random.default_rng(0)
-    jumbled = Pieces([WORD.sub(lambda m: "".join(rng.permutation(list(m.group()))), x) for x in pieces.strings], [None] * len(pieces.strings), models)
-    lowest = lambda p: -p.score.max(1) / p.chars
     models.most = np.full(len(models.languages), np.inf)
     for k in range(len(models.languages)):
-        own, off = lowest(pieces)[good & (best == k) & (pieces.letters >= SHORT)], lowest(jumbled)[(jumbled.score.argmax(1) == k) & (jumbled.letters >= SHORT)]
-        if len(own) >= 20 and len(off) >= 20:
-            models.most[k] = max(np.quantile(own, 1 - LOST), np.quantile(off, 0.05))
-    of = np.searchsorted(EVIDENCE, pieces.lead(), side="right")
-    all_, right = (np.bincount(of, w, len(EVIDENCE) + 1) for w in (np.ones(len(of)), good.astype(float)))
+        own, off = (held[(held["clase"] == clase) & (held["k"] == k)] for clase in (0, 1))
+        if own["n"].sum() >= LEAST and off["n"].sum() >= LEAST:
+            models.most[k] = max(quantile(x["valor"].to_numpy(), x["n"].to_numpy(), q) for x, q in ((own, 1 - LOST), (off, 0.05))) / STEPS
+    of = held[held["clase"] == 2]
+    all_, right = (np.bincount(x["valor"], x["n"], len(EVIDENCE) + 1) for x in (of, of[of["k"] == 1]))
     models.agreed = np.maximum.accumulate((right + 1) / (all_ + 2))
 
 
