@@ -40,7 +40,7 @@ SHORT = 20
 EVIDENCE = np.array([1, 2, 4, 8, 16, 32, 64, 128.0])
 #: Labelled pieces that a language needs for a bound on rejection (as many as it takes for 20 of them in a held-out fifth).
 LEAST = 100
-#: Steps in a nat by which entropies are counted for rejection, and distinct words that a task counts before it passes them on.
+#: Steps in a nat by which entropies are counted for rejection, and distinct pieces or words that a task counts before it passes them on.
 STEPS, HELD = 1000, 300_000
 PIECE = re.compile(r"(?<=[.!?…;:।؟。！？])\s+|(?<=[。！？।])|\n[^\S\n]*\n\s*|\n(?=[«„“\"(¿¡\[]*[A-ZÀ-ÞΑ-ΩА-Я])")
 WORD = re.compile(r"[^\W\d_]+")
@@ -233,8 +233,29 @@ class Pieces:
         return top[:, -1] - top[:, -2] if top.shape[1] > 1 else np.full(len(top), np.inf)
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``idioma, mitad, trozo, n``: the pieces of labelled texts as words in lower case, and how often."""
+
+    def counted(held: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
+        for (label, half), raw in held.items():
+            count: Counter = Counter()
+            for piece, n in raw.items():
+                if words := WORD.findall(piece.lower()):
+                    count[" ".join(words)] += n
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(count), pa.string()), pa.array([half] * len(count), pa.int32()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["idioma", "mitad", "trozo", "n"])
+
+    held: dict[tuple[str, int], Counter] = {}
+    for b in batches:
+        for text, label, half in zip(*(b.column(c).to_pylist() for c in ("texto", "idioma", "mitad"))):
+            held.setdefault((label, half), Counter()).update(PIECE.split(text))
+        if sum(map(len, held.values())) > HELD:
+            yield from counted(held)
+            held = {}
+    yield from counted(held)
+
+
 def _grams(models) -> Callable:
-    """Counts of n-grams by labelled language and half of the rows, of the pieces that the models (if any) give to it."""
+    """Counts of n-grams by labelled language and half of the rows, of the pieces (see ``_told``) that the models, if any, give to it."""
 
     def told(words: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
         for (label, half), own in words.items():
@@ -248,19 +269,15 @@ def _grams(models) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[tuple[str, int], Counter] = {}
         for b in batches:
-            texts, labels, halves = (b.column(c).to_pylist() for c in ("texto", "idioma", "mitad"))
-            if models is None:
-                for text, label, half in zip(texts, labels, halves):
-                    words.setdefault((label, half), Counter()).update(WORD.findall(text.lower()))
-            else:
-                m = models.value
-                pieces = Pieces(texts, [None] * len(texts), m)
-                label = np.array([m.languages.index(x) for x in labels], np.int64)[pieces.text]
-                key = np.where(pieces.score.argmax(1) == label, 2 * label + np.array(halves, np.int64)[pieces.text], -1)
-                of = np.repeat(key, np.diff(np.append(pieces.starts, len(pieces.own))))
-                each, n = np.unique(of[of >= 0] * len(pieces.words) + pieces.own[of >= 0], return_counts=True)
-                for k, w, many in zip(*(x.tolist() for x in (*np.divmod(each, max(len(pieces.words), 1)), n))):
-                    words.setdefault((m.languages[k // 2], k % 2), Counter())[pieces.words[w]] += many
+            pieces, labels, halves, many = (b.column(c).to_pylist() for c in ("trozo", "idioma", "mitad", "n"))
+            if models is not None:
+                names = np.array(models.value.languages, object)
+                agree = (names[Pieces(pieces, [None] * len(pieces), models.value).score.argmax(1)] == np.array(labels, object)).tolist()
+            for k, (piece, label, half, n) in enumerate(zip(pieces, labels, halves, many)):
+                if models is None or agree[k]:
+                    own = words.setdefault((label, half), Counter())
+                    for w in piece.split(" "):
+                        own[w] += n
             if sum(map(len, words.values())) > HELD:
                 yield from told(words)
                 words = {}
@@ -284,21 +301,22 @@ def train(rows: DataFrame) -> Models:
     spark = rows.sparkSession
     rows = rows.where("texto is not null and idioma is not null and trim(texto) <> ''")
     rows = spread(rows.select("texto", "idioma", F.pmod(F.xxhash64(F.lit(5), "clave"), F.lit(2)).cast("int").alias("mitad")))
+    pieces = cut(rows.mapInArrow(_told, "idioma string, mitad int, trozo string, n bigint"))
     models = None
     for _ in range(2):
         sent = None if models is None else spark.sparkContext.broadcast(models)
-        grams = rows.mapInArrow(_grams(sent), "idioma string, mitad int, g string, n bigint")
+        grams = pieces.mapInArrow(_grams(sent), "idioma string, mitad int, g string, n bigint")
         counts = grams.groupBy("idioma", "mitad", "g").agg(F.sum("n").alias("n")).toArrow().to_pandas()
         if counts.empty:
             return Models([])
         models = kneser_ney(counts, sorted(counts["idioma"].unique()))
     halves = [kneser_ney(own, models.languages) if len(own := counts[counts["mitad"] != k]) else models for k in (0, 1)]
-    calibrate(models, rows.mapInArrow(_held(spark.sparkContext.broadcast(halves)), "clase int, k int, valor bigint, n bigint").groupBy("clase", "k", "valor").agg(F.sum("n").alias("n")).toArrow().to_pandas())
+    calibrate(models, pieces.mapInArrow(_held(spark.sparkContext.broadcast(halves)), "clase int, k int, valor bigint, n bigint").groupBy("clase", "k", "valor").agg(F.sum("n").alias("n")).toArrow().to_pandas())
     return models
 
 
 def _held(models) -> Callable:
-    """``clase, k, valor, n``: how pieces do with the models of the other half of the rows.
+    """``clase, k, valor, n``: how pieces (see ``_told``) do with the models of the other half of the rows.
 
     0: entropies (in ``STEPS`` of a nat) of pieces whose label is the best language ``k``, 1: those of the same texts jumbled,
     2: pieces by place of their evidence, of which with ``k`` 1 the label agrees.
@@ -306,22 +324,21 @@ def _held(models) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, labels, halves = b.column("texto").to_pylist(), b.column("idioma").to_pylist(), b.column("mitad").to_numpy()
+            texts, labels, halves, many = b.column("trozo").to_pylist(), b.column("idioma").to_pylist(), b.column("mitad").to_numpy(), b.column("n").to_numpy()
             for half, m in enumerate(models.value):
                 at = np.flatnonzero(halves == half)
-                pieces = Pieces([texts[i] for i in at], [None] * len(at), m)
-                if not len(pieces.text):
+                if not len(at):
                     continue
-                label = np.array([m.languages.index(labels[i]) for i in at], np.int64)[pieces.text]
+                pieces = Pieces([texts[i] for i in at], [None] * len(at), m)
+                label = np.array([m.languages.index(labels[i]) for i in at], np.int64)
                 best, long = pieces.score.argmax(1), pieces.letters >= SHORT
-                good = best == label
-                out = []
+                good, every = best == label, np.ones(len(at), bool)
+                out = [(2, good.astype(np.int64), np.searchsorted(EVIDENCE, pieces.lead(), side="right"), every)]
                 for clase, score, on in ((0, pieces.score, good & long), (1, pieces.jumbled(m), long)):
-                    step = np.rint(-score.max(1) / pieces.chars * STEPS).astype(np.int64)
-                    out.append((clase, score.argmax(1)[on], step[on]))
-                out.append((2, good.astype(np.int64), np.searchsorted(EVIDENCE, pieces.lead(), side="right")))
-                for clase, k, valor in out:
-                    each, n = np.unique(np.stack([k, valor]), axis=1, return_counts=True)
+                    out.append((clase, score.argmax(1), np.rint(-score.max(1) / pieces.chars * STEPS).astype(np.int64), on))
+                for clase, k, valor, on in out:
+                    each, of = np.unique(np.stack([k[on], valor[on]]), axis=1, return_inverse=True)
+                    n = np.bincount(of.ravel(), many[at][on], each.shape[1]).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), clase), pa.int32()), pa.array(each[0], pa.int32()), pa.array(each[1], pa.int64()), pa.array(n, pa.int64())], names=["clase", "k", "valor", "n"])
 
     return run
