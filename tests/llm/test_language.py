@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from urdimbre.llm import language as G
+from urdimbre.llm import scans
 
 BIG = "/root/testdata/sf0.01"
 
@@ -81,6 +83,25 @@ def test_lines_left_aside(spark, models):
     assert [r.idioma for r in G.segments(given, models).collect()] == ["es"]
 
 
+def test_lines_like_furniture_are_told_without_their_keys(monkeypatch):
+    """Running text is refused at its fifth word and titles aren't brought to their shapes, however many lines there are."""
+    lines = ["y anote la hora en que toma el medicamento", "Hospital de los pacientes del norte", "12", "Tome la medicación.", "", " — 3 — ", "iv", "a de b de c"]
+    calls = {"shape": 0, "words": 0}
+
+    class Counted:
+        def findall(self, line, own=scans.TOKEN):
+            calls["words"] += 1
+            return own.findall(line)
+
+    monkeypatch.setattr(scans, "shape", lambda text, own=scans.shape: (calls.__setitem__("shape", calls["shape"] + 1), own(text))[1])
+    monkeypatch.setattr(scans, "TOKEN", Counted())
+    many = pa.RecordBatch.from_pydict({"id": ["a"], "documento_id": ["d"], "texto": ["\n".join(lines[:2] * 500)]})
+    assert sum(b.num_rows for b in G._furniture_like(iter([many]))) == 500
+    assert calls == {"shape": 0, "words": 500}
+    one = pa.RecordBatch.from_pydict({"id": ["a", "b"], "documento_id": ["d", "d"], "texto": ["\n".join(lines), None]})
+    assert [r["renglon"] for b in G._furniture_like(iter([one])) for r in b.to_pylist()] == [lines[1], "12", " — 3 — ", "iv"]
+
+
 def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
     """The word of any one row of many is known to the models, and every piece counts for rejection and confidence."""
     said = [f"palabra{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}q" for i in range(900)]

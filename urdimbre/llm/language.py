@@ -416,7 +416,7 @@ def _furniture_like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             (key, doc, i, line)
             for key, doc, text in zip(*(b.column(c).to_pylist() for c in ("id", "documento_id", "texto")))
             for i, line in enumerate((text or "").split("\n"))
-            if line.strip() and (scans.page_number(line) or scans.title_key(line))
+            if scans.title_words(line) or scans.page_number(line)
         ]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.string(), pa.int32(), pa.string()))], names=["id", "documento_id", "linea", "renglon"])
 

@@ -79,15 +79,21 @@ NO_END, NO_START, NUMERALS = ".,;:!?»”\"" + HYPHENS, "«„\"(¿¡", "0123456
 PAGE_SHAPES, OF_SHAPES = {shape(w) for w in PAGE_WORDS}, {shape(w) for w in OF_WORDS}
 
 
-def title_key(line: str) -> str | None:
-    """Key of a line that looks like a title: its words by shape, numbers and their marks left out."""
+def title_words(line: str) -> list[str] | None:
+    """Words of a line that looks like a title, numbers and their marks left out."""
     line = line.strip()
     if not line or line[-1] in NO_END or line[0] in NO_START or line[0].islower() and line[0] != "l" and not line[1:6].isupper() or "%" in line:
         return None
     words = [w for w in TOKEN.findall(line) if w.strip(NUMERALS)]
     if not words or sum(map(len, words)) < 4 or not (words[0][0].isupper() or words[0][0] in "l105269@" or words[0][1:].isupper()):
         return None
-    return " ".join(map(shape, words))
+    return words
+
+
+def title_key(line: str) -> str | None:
+    """Key of a line that looks like a title: its words by shape."""
+    words = title_words(line)
+    return words and shape(" ".join(words))
 
 
 #: Roman numerals; the small ones are taken in any order, as scanners misread them.
@@ -95,12 +101,14 @@ NUMERAL = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 ROMAN = regex.compile(r"[ivxl]+|m*(?:c[dm]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})")
 #: Digits that a number surely holds; numbers above the second are page numbers only where they keep their distance to the page.
 BIGINT, FEW = 18, 99_999
+#: Up to four words without the signs that don't stand by page numbers; it ends at the fifth word, however long the line.
+NUMBER_LIKE = re.compile(r"[^\w@|%,°:\"?!¿¡«»]*+(?:[\w@|]++[^\w@|%,°:\"?!¿¡«»]*+){1,4}")
 
 
 def page_number(line: str) -> tuple[str, int] | None:
     """Style and value of a line that holds only a page number, with or without words and marks around it."""
     own = line.strip()
-    if not own or own[-1] in ".:;!?\"" or regex.search(r"[%,°:\"?!¿¡«»]", own):
+    if not own or own[-1] in ".:;!?\"" or not NUMBER_LIKE.fullmatch(own):
         return None
     words = TOKEN.findall(own)
     named = len(words) > 1 and shape(words[0]) in PAGE_SHAPES
