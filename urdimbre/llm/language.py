@@ -44,8 +44,12 @@ LEAST = 100
 STEPS, HELD = 1000, 300_000
 PIECE = re.compile(r"(?<=[.!?…;:।؟。！？])\s+|(?<=[。！？।])|\n[^\S\n]*\n\s*|\n(?=[«„“\"(¿¡\[]*[A-ZÀ-ÞΑ-ΩА-Я])")
 WORD = re.compile(r"[^\W\d_]+")
-#: Words, and what parts pieces (as ``PIECE`` does).
-TOKEN = re.compile(r"[^\W\d_]+|[.!?…;:؟](?=\s)|[।。！？]|\n(?=[^\S\n]*\n)|\n(?=[«„“\"(¿¡\[]*[A-ZÀ-ÞΑ-ΩА-Я])")
+#: Kinds of characters, and by code point the kinds of those met so far: what parts pieces as ``PIECE`` does, before a blank or anywhere; what may open a line, and with what it then begins.
+LETTER, ALPHABETIC, BLANK, ENDS, PARTS, OPENS, CAPITAL, MET = (np.uint8(1 << k) for k in range(8))
+KINDS = {LETTER: WORD, BLANK: re.compile(r"\s"), ENDS: re.compile("[.!?…;:؟]"), PARTS: re.compile("[।。！？]"), OPENS: re.compile(r"[«„“\"(¿¡\[]"), CAPITAL: re.compile("[A-ZÀ-ÞΑ-ΩА-Я]")}
+_kinds = np.zeros(0x110000, np.uint8)
+#: Characters of texts that are cut into words at a time, and words whose scores are added up at a time.
+CHARS, WORDS = 1 << 18, 1 << 14
 PRIME = np.uint64(1_000_003)
 
 
@@ -166,37 +170,106 @@ def kneser_ney(counts: pd.DataFrame, languages: list[str]) -> Models:
     return models
 
 
+def kinds(codes: np.ndarray) -> np.ndarray:
+    """Kinds of characters, as bits; a character is looked into when it is first met."""
+    found = _kinds[codes]
+    if not found.all():
+        for c in np.unique(codes[found == 0]).tolist():
+            own = chr(c)
+            _kinds[c] = MET | sum(bit for bit, like in KINDS.items() if like.match(own)) | ALPHABETIC * own.isalpha()
+        found = _kinds[codes]
+    return found
+
+
+def word_hash(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of words of so many letters each, one after the other: the sum of the mixed letters and their places."""
+    first = np.cumsum(lengths) - lengths
+    h = np.arange(len(codes), dtype=np.uint64)
+    h -= np.repeat(first.astype(np.uint64), lengths)
+    h <<= np.uint64(21)
+    h |= codes
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h += np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(by)
+    h ^= h >> np.uint64(31)
+    return np.add.reduceat(h, first) if len(first) else h
+
+
+def cut_words(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of every word of the texts: its hash, text, place in it, length and whether a piece begins with it."""
+    codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds(codes)
+    letter = np.append(kind & LETTER != 0, False)
+    edge = np.flatnonzero(np.diff(letter, prepend=False))
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    h = word_hash(codes[letter[:-1]], length)
+
+    def beyond(at: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """The first place from each on that is none to skip; after every text there is one."""
+        on = skip[at]
+        if on.any():
+            rest = np.flatnonzero(~skip)
+            at = np.where(on, rest[np.searchsorted(rest, at)], at)
+        return at
+
+    ends, line = np.flatnonzero(kind & ENDS), np.flatnonzero(codes == 10)
+    empty = codes[beyond(line + 1, (kind & BLANK != 0) & (codes != 10))] == 10
+    begins = kind[beyond(line + 1, kind & OPENS != 0)] & CAPITAL != 0
+    # What begins with a letter-like number parts pieces and is no word.
+    word = kind[start] & ALPHABETIC != 0
+    parts = np.concatenate([ends[kind[ends + 1] & BLANK != 0], np.flatnonzero(kind & PARTS), line[empty | begins], start[~word]])
+    start, length, h = start[word], length[word], h[word]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    of = np.cumsum(sizes) - sizes
+    first = np.searchsorted(start, of)
+    text = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(start))))
+    fresh = np.zeros(len(start) + 1, bool)
+    fresh[np.searchsorted(start, parts)] = True
+    fresh[first] = True
+    return h, text, start - of[text], length, fresh[:-1]
+
+
 class Pieces:
     """The pieces of a batch of texts: for each its text, letters, length and score in every language, and with ``strings`` itself."""
 
     def __init__(self, texts: list[str | None], outside: list[list[int] | None], models: Models, strings: bool = False):
-        tokens: list[str] = []
-        many, self.strings = [], []
+        plain, self.strings = [], []
         for text, out in zip(texts, outside):
             text = text or ""
             if out:
                 skip = set(out)
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in skip)
-            found = TOKEN.findall(text)
-            tokens += found
-            many.append(len(found))
+            plain.append(text)
             if strings:
                 self.strings += [x for x in PIECE.split(text) if WORD.search(x)]
-        codes, distinct = pd.factorize(np.array(tokens, object))
-        word = np.fromiter((w[0].isalpha() for w in distinct), bool, len(distinct))
-        lower, plain = pd.factorize(np.array([w.lower() for w in distinct], object))
-        self.words = list(plain)
-        score, size = models.score(list(plain)), np.fromiter((len(w) for w in plain), np.int64, len(plain))
+        upto = np.cumsum([len(x) for x in plain])
+        bounds = [0, *(np.flatnonzero(np.diff(upto // CHARS)) + 1).tolist(), len(plain)]
+        each = [(i, cut_words(plain[i:j])) for i, j in zip(bounds, bounds[1:]) if i < j]
+        h, text, place, length, fresh = (np.concatenate([np.zeros(0, t), *(x[k] + i if k == 1 else x[k] for i, x in each)]) for k, t in enumerate((np.uint64, np.int64, np.int64, np.int64, bool)))
+        codes, distinct = pd.factorize(h)
+        at = np.zeros(len(distinct), np.int64)
+        at[codes[::-1]] = np.arange(len(codes))[::-1]
+        lower, words = pd.factorize(np.array([plain[t][p : p + n].lower() for t, p, n in zip(text[at].tolist(), place[at].tolist(), length[at].tolist())], object))
+        self.words = list(words)
+        size = np.fromiter((len(w) for w in words), np.int64, len(words))
         # Words of one text with no break between them are a piece.
-        is_word = word[codes]
-        self.own = own = lower[codes[is_word]]
-        text, part = np.repeat(np.arange(len(many)), many)[is_word], np.cumsum(~is_word)[is_word]
-        starts = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (part[1:] != part[:-1]))) if len(own) else own
-        self.starts, self.text = starts, text[starts]
-        self.score = np.add.reduceat(score[own], starts, axis=0) if len(own) else np.zeros((0, len(models.languages)))
+        self.own = own = lower[codes]
+        self.starts = starts = np.flatnonzero(fresh)
+        self.text = text[starts]
+        self.score = self.summed(models.score(self.words))
         self.letters = np.add.reduceat(size[own], starts) if len(own) else own
         self.chars = self.letters + np.diff(np.append(starts, len(own)))
 
+    def summed(self, score: np.ndarray) -> np.ndarray:
+        """Scores of the pieces from those of ``words``."""
+        out, bounds, i = np.zeros((len(self.starts), score.shape[1])), np.append(self.starts, len(self.own)), 0
+        while i < len(out):
+            j = max(i + 1, np.searchsorted(bounds, bounds[i] + WORDS, side="right") - 1)
+            out[i:j] = np.add.reduceat(score[self.own[bounds[i] : bounds[j]]], bounds[i:j] - bounds[i], axis=0)
+            i = j
+        return out
+
     def languages(self, models: Models) -> np.ndarray:
         """Language of every piece, -1 where rejected: the best path through the pieces of each text."""
         n, best = len(self.text), np.zeros(len(self.text), np.int64)
@@ -224,8 +297,7 @@ class Pieces:
 
     def jumbled(self, models: Models) -> np.ndarray:
         """Score of every piece with the letters of each word jumbled, a word the same way everywhere."""
-        mixed = models.score(["".join(random.Random(w).sample(w, len(w))) for w in self.words])
-        return np.add.reduceat(mixed[self.own], self.starts, axis=0) if len(self.own) else self.score
+        return self.summed(models.score(["".join(random.Random(w).sample(w, len(w))) for w in self.words]))
 
     def lead(self) -> np.ndarray:
         """Nats by which the best language leads the second."""
