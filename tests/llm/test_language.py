@@ -1,6 +1,8 @@
 import random
 import re
+import time
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -183,3 +185,14 @@ def test_words_of_a_batch_take_little_memory(models):
     finally:
         tracemalloc.stop()
     assert len(pieces.own) == 180_000 and most / len(pieces.own) < 150, most / len(pieces.own)
+
+
+def test_shuffles_of_all_texts_are_cleared(spark, folder):
+    """Of those that the tables of records were made of only that of the last job may be left before texts are told the language of."""
+    here = Path(spark.sparkContext.getConf().get("spark.local.dir"))
+    files = lambda: {p.name for p in here.rglob("shuffle_*.data")}
+    before, until = files(), time.time() + 15
+    assert G.records(spark, folder).columns[0] == "tabla"
+    while len(files() - before) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(files() - before) <= 1

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urdimbre.llm import scans
-from urdimbre.plans.lineage import cut, spread, table
+from urdimbre.plans.lineage import clear, cut, spread, table
 
 ORDER = 5
 SWITCH = 6.0
@@ -501,6 +501,7 @@ def records(spark, folder: str) -> DataFrame:
     docs = table(spark, folder, "documentos").where("id is not null").groupBy("id").agg(F.max("idioma").alias("etiqueta"))
     of_docs = page.join(docs, page["documento_id"] == docs["id"]).select(F.lit("documentos").alias("tabla"), F.col("id").alias("clave"), "etiqueta", F.col("numero").cast("bigint").alias("parte"), "texto", "fuera")
     chunks = cut(table(spark, folder, "trozos").select("id", "documento_id", "texto", "idioma").where("id is not null and texto is not null").dropDuplicates(["id"]))
+    clear(spark)  # the shuffles of all texts that the tables above were made of
     raw = found.join(pages, ["documento_id", "numero"]).select("documento_id", F.get(F.split("texto", "\n"), F.col("linea")).alias("renglon")).distinct()
     like = chunks.mapInArrow(_furniture_like, "id string, documento_id string, linea int, renglon string")
     out = like.join(raw, ["documento_id", "renglon"], "left_semi").groupBy("id").agg(F.collect_set("linea").alias("fuera"))

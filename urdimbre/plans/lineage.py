@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -44,6 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Has Spark delete the shuffles of jobs that nothing refers to any more, which else stay until the driver's memory fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
